@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from .bpe import op7
 from .common import table
+from .htmltext import op4
 from .media import op10
 from .mixing import SQL3, op3
+from .warc import SQL1, op1
 
 
 def queries() -> dict:
     return {
+        "op1_warc": lambda spark, d: op1(table(spark, d, "pages")),
         "op3_mixing": lambda spark, d: op3(table(spark, d, "documents")),
+        "op4_html": lambda spark, d: op4(table(spark, d, "pages")),
+        "op7_bpe": lambda spark, d: op7(table(spark, d, "documents")),
         "op10_media": lambda spark, d: op10(table(spark, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": SQL3}
+    return {"op1_warc": SQL1, "op3_mixing": SQL3}
