@@ -27,6 +27,10 @@ from pyspark.sql import types as T
 
 LABELLED_PAGES = 600  # at most so many labelled pages are learned from
 
+#: No tag weighs more than so many times log 2: an advert between two paragraphs
+#: must not cut a short first one off.
+LARGEST = 3 * math.log(2.0)
+
 #: Elements whose content is no text of the page. Fixed values of HTML.
 RAW = "script|style|noscript|template|svg|canvas|iframe|object|textarea|select|title|math|audio|video"
 #: A token of the markup: comment, declaration, raw element up to its end, or tag.
@@ -139,7 +143,7 @@ def learn(pages) -> dict:
     total = {k: sum(c.values()) + len(names) + 1 for k, c in seen.items()}
     odds = lambda t: math.log((seen[True][t] + 1) / total[True]) - math.log((seen[False][t] + 1) / total[False])
     word = math.log1p(math.exp(odds("")))
-    return {"word": word, "tags": {t: -math.log1p(math.exp(-odds(t))) for t in names if t}, "other": -math.log(2.0)}
+    return {"word": word, "tags": {t: -min(math.log1p(math.exp(-odds(t))), LARGEST) for t in names if t}, "other": -math.log(2.0)}
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:

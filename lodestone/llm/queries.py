@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op7
 from .common import table
 from .htmltext import op4
+from .lm import op8
 from .media import op10
 from .mixing import SQL3, op3
 from .warc import SQL1, op1
@@ -16,6 +17,7 @@ def queries() -> dict:
         "op3_mixing": lambda spark, d: op3(table(spark, d, "documents")),
         "op4_html": lambda spark, d: op4(table(spark, d, "pages")),
         "op7_bpe": lambda spark, d: op7(table(spark, d, "documents")),
+        "op8_lm": lambda spark, d: op8(table(spark, d, "documents")),
         "op10_media": lambda spark, d: op10(table(spark, d, "documents")),
     }
 
