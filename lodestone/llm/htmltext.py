@@ -172,8 +172,11 @@ def main_text(page: str | None, weights: dict) -> str:
 def weights_of(pages: DataFrame, n: int = LABELLED_PAGES) -> dict:
     """Learns from at most n pages with one content element, those of least crc32."""
     marks = F.regexp_count(F.lower("html"), F.lit(r"<(?:article|main)[\s>]"))
-    rows = pages.filter(marks == 1).orderBy(F.crc32(F.col("page_id").cast("string").cast("binary")), "page_id", F.xxhash64("html")).limit(n)
-    return learn(r.html for r in rows.select("html").collect())
+    order = (F.crc32(F.col("page_id").cast("string").cast("binary")), "page_id")
+    chosen = pages.filter(marks == 1).select("page_id").orderBy(*order).limit(n)
+    # Only ids are ordered as a whole; their at most n pages are fetched then.
+    rows = pages.join(F.broadcast(chosen.distinct()), "page_id", "left_semi").filter(marks == 1)
+    return learn(r.html for r in rows.orderBy(*order, F.xxhash64("html")).limit(n).select("html").collect())
 
 
 def extract(pages: DataFrame, weights: dict) -> DataFrame:
