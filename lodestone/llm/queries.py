@@ -8,16 +8,20 @@ from .htmltext import op4
 from .lm import op8
 from .media import op10
 from .mixing import SQL3, op3
+from .quality import op2
+from .toxicity import op9
 from .warc import SQL1, op1
 
 
 def queries() -> dict:
     return {
         "op1_warc": lambda spark, d: op1(table(spark, d, "pages")),
+        "op2_quality": lambda spark, d: op2(table(spark, d, "documents"), table(spark, d, "labels")),
         "op3_mixing": lambda spark, d: op3(table(spark, d, "documents")),
         "op4_html": lambda spark, d: op4(table(spark, d, "pages")),
         "op7_bpe": lambda spark, d: op7(table(spark, d, "documents")),
         "op8_lm": lambda spark, d: op8(table(spark, d, "documents")),
+        "op9_toxicity": lambda spark, d: op9(table(spark, d, "documents"), table(spark, d, "labels")),
         "op10_media": lambda spark, d: op10(table(spark, d, "documents")),
     }
 
