@@ -8,8 +8,10 @@ from .htmltext import op4
 from .lm import op8
 from .media import op10
 from .mixing import SQL3, op3
+from .neardup import op5
 from .quality import op2
 from .toxicity import op9
+from .vectors import op6
 from .warc import SQL1, op1
 
 
@@ -19,6 +21,8 @@ def queries() -> dict:
         "op2_quality": lambda spark, d: op2(table(spark, d, "documents"), table(spark, d, "labels")),
         "op3_mixing": lambda spark, d: op3(table(spark, d, "documents")),
         "op4_html": lambda spark, d: op4(table(spark, d, "pages")),
+        "op5_minhash": lambda spark, d: op5(table(spark, d, "documents")),
+        "op6_vectors": lambda spark, d: op6(table(spark, d, "embeddings")),
         "op7_bpe": lambda spark, d: op7(table(spark, d, "documents")),
         "op8_lm": lambda spark, d: op8(table(spark, d, "documents")),
         "op9_toxicity": lambda spark, d: op9(table(spark, d, "documents"), table(spark, d, "labels")),
