@@ -20,7 +20,7 @@ table of sources (one row each) is ordered as a whole.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -72,9 +72,8 @@ def training_time(share, ramp):
     return F.when(ramp == 0.0, share).otherwise((F.sqrt(b * b + F.lit(4.0) * ramp * share) - b) / (F.lit(2.0) * ramp))
 
 
-def mix(documents: DataFrame, weights=WEIGHTS, ramps=RAMPS, most: int = MOST) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, position (training time
-    of the first copy, null where nothing is taken), range-sorted by position."""
+def _placed(documents: DataFrame, weights, ramps, most: int) -> DataFrame:
+    """Each document with its place in its source's stream and what is taken of it."""
     shared_dir(documents.sparkSession)
     docs = sized(documents).withColumn("bucket", F.substring("order_key", 1, 2)).checkpoint()
     buckets = docs.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
@@ -93,13 +92,35 @@ def mix(documents: DataFrame, weights=WEIGHTS, ramps=RAMPS, most: int = MOST) ->
     part = F.when(F.col("source_size") > 0, F.expr("demand % source_size")).otherwise(F.lit(0))
     whole = F.when(F.col("source_size") > 0, F.expr("demand div source_size")).otherwise(F.lit(0))
     taken = F.col("size") * whole + F.least(F.greatest(part - F.col("start"), F.lit(0)), F.col("size"))
-    share = F.least(F.col("start") / F.col("demand"), F.lit(1.0))
-    d = d.withColumn("taken", taken.cast("long"))
-    at = F.when(F.col("taken") > 0, F.round(training_time(share, F.col("ramp")), 9))
+    return d.withColumn("taken", taken.cast("long"))
+
+
+def _position(start) -> Column:
+    """Training time of the word at this place of the source's repeated stream."""
+    return F.round(training_time(F.least(start / F.col("demand"), F.lit(1.0)), F.col("ramp")), 9)
+
+
+def mix(documents: DataFrame, weights=WEIGHTS, ramps=RAMPS, most: int = MOST) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, position (training time
+    of the first copy, null where nothing is taken), range-sorted by position."""
+    d = _placed(documents, weights, ramps, most)
+    at = F.when(F.col("taken") > 0, _position(F.col("start")))
     d = d.select("doc_id", "source", "size", "source_size", "target", "taken", at.alias("position"))
     return d.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
+def mixed_documents(documents: DataFrame, weights=WEIGHTS, ramps=RAMPS, most: int = MOST) -> DataFrame:
+    """The documents as the mix trains on them, in the order of training: each as
+    often as its taken words make whole copies (to the nearest, so at most one
+    document of a source differs from `taken`), its columns unchanged. Ids must
+    be unique."""
+    d = _placed(documents, weights, ramps, most).withColumn("copies", F.expr("(2 * taken + size) div (2 * nullif(size, 0))"))
+    d = d.filter("copies > 0").select("doc_id", "start", "source_size", "demand", "ramp", F.explode(F.expr("sequence(0L, copies - 1)")).alias("copy"))
+    d = d.select(F.col("doc_id").alias("__id"), _position(F.col("start") + F.col("copy") * F.col("source_size")).alias("__position"))
+    out = documents.join(d, F.col("doc_id") == F.col("__id"))
+    return out.orderBy("__position", "__id").select(*documents.columns)
+
+
 def op3(documents: DataFrame) -> DataFrame:
     return mix(documents).select("doc_id", "size", "source_size", "target", "taken", "position")
 
