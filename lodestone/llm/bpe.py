@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import filesystem, scratch
+from .common import filesystem, scratch, stored
 
-LEXICON_WORDS = 65_536
+LEXICON_WORDS = 131_072
 LONGEST = 32  # bytes of a lexicon word
 SLICE = 1 << 20  # characters of text that are held as words at once
-REMEMBERED = 200_000  # words whose encoding a worker remembers
+REMEMBERED = 100_000  # words outside the lexicon whose encoding a worker remembers
 
 
 def byte_symbols() -> list[str]:
@@ -44,12 +44,11 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
-@functools.cache
-def _category_class(first: str) -> str:
-    """The characters of a general category as ranges of a character class."""
+def _category_class(first: str, last: int) -> str:
+    """The characters up to `last` of a general category as ranges of a character class."""
     out, start = [], None
-    for cp in range(sys.maxunicode + 2):
-        inside = cp <= sys.maxunicode and unicodedata.category(chr(cp))[0] == first
+    for cp in range(last + 2):
+        inside = cp <= last and unicodedata.category(chr(cp))[0] == first
         if inside and start is None:
             start = cp
         elif not inside and start is not None:
@@ -63,11 +62,23 @@ BLANKS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 
 
 @functools.cache
-def _piece_pattern() -> re.Pattern:
-    letter, number = _category_class("L"), _category_class("N")
+def _piece_pattern(last: int) -> re.Pattern:
+    """The pattern for texts without characters beyond `last`; small classes match faster."""
+    letter, number = _category_class("L", last), _category_class("N", last)
     return re.compile(f"[{letter}]+|[{number}]|'s|'t|'re|'ve|'m|'ll|'d|[^{BLANKS}{letter}{number}]+")
 
 
+def _last(text: str) -> int:
+    """The smallest of four bounds of the text's code points."""
+    if text.isascii():
+        return 0x7F
+    try:
+        text.encode("latin-1")
+        return 0xFF
+    except UnicodeEncodeError:
+        return 0xFFFF if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else sys.maxunicode
+
+
 class Vocabulary:
     """A tokenizer file: ids, merge ranks, added tokens; merges words exactly."""
 
@@ -82,7 +93,6 @@ class Vocabulary:
         self.merges = {tuple(m if isinstance(m, list) else m.split(" ")): r for r, m in enumerate(model["merges"])}
         self.symbols = byte_symbols()
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
-        self.pattern = _piece_pattern()
 
     def pieces(self, text: str) -> list[str]:
         """Pre-tokens of a whole text; added tokens stand as themselves."""
@@ -96,7 +106,7 @@ class Vocabulary:
     def _plain(self, text: str) -> list[str]:
         text = unicodedata.normalize("NFC", text)
         text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
-        return self.pattern.findall(text)
+        return _piece_pattern(_last(text)).findall(text)
 
     def merge(self, word: str) -> list[int]:
         if word in self.added:
@@ -106,12 +116,16 @@ class Vocabulary:
         return [self.ids[x] for x in (self._few(s) if len(s) <= 48 else self._many(s))]
 
     def _few(self, s: list[str]) -> list[str]:
-        ranks, none = self.merges, len(self.merges)
-        while len(s) > 1:
-            rank, i = min((ranks.get(p, none), i) for i, p in enumerate(zip(s, s[1:])))
-            if rank == none:
-                break
-            s[i : i + 2] = [s[i] + s[i + 1]]
+        get, none = self.merges.get, len(self.merges)
+        ranks = [get(p, none) for p in zip(s, s[1:])]
+        while ranks and (least := min(ranks)) < none:
+            i = ranks.index(least)
+            s[i] += s.pop(i + 1)
+            ranks.pop(i)
+            if i:
+                ranks[i - 1] = get((s[i - 1], s[i]), none)
+            if i < len(ranks):
+                ranks[i] = get((s[i], s[i + 1]), none)
         return s
 
     def _many(self, s: list[str]) -> list[str]:
@@ -258,24 +272,30 @@ def _lexicon(folder: str) -> Lexicon:
 
 
 class Encoder:
-    """Encodes slices of text; remembers (ids, bytes of ids, decoded) of recent words."""
+    """Encodes slices of text. Holds (number, bytes, decoded text of the ids) of the
+    lexicon's words it has met and of recent others."""
 
     def __init__(self, path: str, folder: str | None):
         self.v = vocabulary(path)
         self.lexicon = _lexicon(folder) if folder else None
-        self.known: dict[str, tuple[int, bytes, str]] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(words)
-        if not new:
-            return
-        ranks = self.lexicon.find([w.encode("utf-8", "surrogatepass") for w in new]) if self.lexicon else [-1] * len(new)
+        self.frequent: dict[str, tuple[int, bytes, str]] = {}
+        self.recent: dict[str, tuple[int, bytes, str]] = {}
+
+    def _entry(self, ids: list[int]) -> tuple[int, bytes, str]:
+        return len(ids), np.array(ids, "<u4").tobytes(), " ".join(map(self.v.tokens.__getitem__, ids))
+
+    def _learn(self, words: set[str]) -> dict[str, tuple[int, bytes, str]]:
+        """The entries of these words."""
+        new = [w for w in words if w not in self.frequent]
+        ranks = self.lexicon.find([w.encode("utf-8", "surrogatepass") for w in new]).tolist() if self.lexicon and new else [-1] * len(new)
+        if len(self.recent) > REMEMBERED:
+            self.recent.clear()
         for w, r in zip(new, ranks):
-            ids = self.lexicon.ids(r) if r >= 0 and w not in self.v.added else self.v.merge(w)
-            self.known[w] = (len(ids), np.array(ids, "<u4").tobytes(), " ".join(map(self.v.tokens.__getitem__, ids)))
+            if r >= 0 and w not in self.v.added:
+                self.frequent[w] = self._entry(self.lexicon.ids(r))
+            elif w not in self.recent:
+                self.recent[w] = self._entry(self.v.merge(w))
+        return {w: self.frequent.get(w) or self.recent[w] for w in words}
 
     def slices(self, texts: list[str | None]):
         """Yields lists of (n, bytes of ids, decoded text) for runs of texts."""
@@ -284,8 +304,7 @@ class Encoder:
             held.append(self.v.pieces(t or ""))
             size += len(t or "")
             if size >= SLICE or k == len(texts) - 1:
-                self._learn({w for words in held for w in words})
-                known = self.known
+                known = self._learn({w for words in held for w in words})
                 out = []
                 for words in held:
                     parts = [known[w] for w in words]
@@ -295,7 +314,8 @@ class Encoder:
 
 
 def frequent_words(documents: DataFrame, path: str, n: int = LEXICON_WORDS) -> list[str]:
-    """The n pre-tokens that all texts hold most often; ties by code point."""
+    """The pre-tokens that all texts hold most often: those of the largest counts,
+    at most n; equal counts go in or stay out together."""
 
     def count(batches):
         import pyarrow as pa
@@ -317,7 +337,16 @@ def frequent_words(documents: DataFrame, path: str, n: int = LEXICON_WORDS) -> l
 
     counted = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long")
     total = counted.filter(F.octet_length("word") <= LONGEST).groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in total.orderBy(F.desc("n"), "word").limit(n).collect()]
+    total = stored(total, "bpe-words")
+    # How many words have which count, coarsely for large counts: a few thousand rows.
+    step = F.when(F.col("n") < 4096, F.col("n")).otherwise(4096 + F.floor(F.log2(F.col("n") / 4096) * 16)).cast("long")
+    steps = sorted((r.step, r.words) for r in total.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect())
+    room, least = n, None
+    for at, words in reversed(steps):
+        if words > room:
+            break
+        room, least = room - words, at
+    return sorted(r.word for r in total.filter(step >= least).select("word").collect()) if least is not None else []
 
 
 def build_lexicon(documents: DataFrame, path: str, n: int = LEXICON_WORDS) -> str:
