@@ -1 +1 @@
-
+"""Column functions, all of them native expressions."""

@@ -1 +1 @@
-
+"""Relational operators over tables of queries, documents and passages."""
