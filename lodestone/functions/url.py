@@ -12,6 +12,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PARTS = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?"
 #: Query keys that only track. Fixed values.
@@ -128,12 +129,12 @@ def classify_ip(value: str | None, strict: bool = False) -> bool | None:
     return ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_multicast or ip.is_reserved or ip.is_unspecified
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def forbidden_ip(h: pd.Series) -> pd.Series:
     return h.map(classify_ip)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def forbidden_ip_strict(h: pd.Series) -> pd.Series:
     return h.map(lambda x: classify_ip(x, strict=True))
 

@@ -49,7 +49,7 @@ def age_seconds(fetched_at: Column, now: Column) -> Column:
     anything that isn't such a time."""
     ok = F.regexp_like(fetched_at, F.lit(ZONED))
     micros = F.unix_micros(now) - F.unix_micros(F.when(ok, F.try_to_timestamp(fetched_at)))
-    return F.round(F.greatest(F.lit(0.0), micros / 1e6), 3)
+    return F.when(micros.isNotNull(), F.round(F.greatest(F.lit(0.0), micros / 1e6), 3))
 
 
 def stored_version(requests: DataFrame, documents: DataFrame, now: Column) -> DataFrame:
