@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,10 +135,6 @@ def minimal_cover(coverage: dict[str, set[str]], needed: set[str]) -> list[str]
 
 def admissions(bundles: DataFrame) -> DataFrame:
     """Decisions for a table of bundles (rows as JSON in `bundle`, key bundle_id)."""
-    import json
-
-    import pandas as pd
-
     @F.pandas_udf("struct<decision: string, selected: array<string>, reasons: array<string>>")
     def run(rows: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([admit(json.loads(r)) for r in rows], columns=["decision", "selected", "reasons"])

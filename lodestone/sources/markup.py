@@ -143,10 +143,15 @@ def remove(root: Node, selectors) -> None:
             n.parent.children.remove(n)
 
 
-def _inline(node: Node | str) -> str:
+DEEPEST = 100  # levels of markup that are told apart; below, text is text
+
+
+def _inline(node: Node | str, depth: int = 0) -> str:
     if isinstance(node, str):
         return re.sub(r"\s+", " ", node)
-    inner = "".join(map(_inline, node.children))
+    if depth > DEEPEST:
+        return re.sub(r"\s+", " ", node.text())
+    inner = "".join(_inline(c, depth + 1) for c in node.children)
     if node.tag == "br":
         return "\n"
     if node.tag in ("b", "strong") and inner.strip():
@@ -187,7 +192,7 @@ def _blocks(node: Node, out: list[str], depth: int = 0) -> None:
                 items.append("- " + "\n".join(inner).replace("\n", "\n  "))
             if items:
                 out.append("\n".join(items))
-        elif not isinstance(c, str) and depth < 200 and (tag in PARAGRAPHS or any(isinstance(x, Node) and (x.tag in PARAGRAPHS or x.tag == "ul" or re.fullmatch(r"h[1-6]", x.tag)) for x in c.walk() if x is not c)):
+        elif not isinstance(c, str) and depth < DEEPEST and (tag in PARAGRAPHS or any(isinstance(x, Node) and (x.tag in PARAGRAPHS or x.tag == "ul" or re.fullmatch(r"h[1-6]", x.tag)) for x in c.walk() if x is not c)):
             end()
             _blocks(c, out, depth + 1)
         else:

@@ -1 +1 @@
-
+"""Structured Streaming counterparts: incremental tables, counters, caches, cycles."""
