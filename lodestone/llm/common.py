@@ -61,3 +61,9 @@ def words(text: str | None) -> list[bytes]:
     """Whole text in UTF-8, A-Z lower-cased, split at the six ASCII blanks
     (`bytes.split` knows exactly those)."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+def rows_of(batch, at_once: int = 256):
+    """The rows of an Arrow batch as tuples, few of them as Python objects at a time."""
+    for at in range(0, batch.num_rows, at_once):
+        yield from zip(*(c.to_pylist() for c in batch.slice(at, at_once).columns))

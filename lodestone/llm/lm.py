@@ -13,8 +13,9 @@ the block asked for; blocks and answers meet by block and the block is scored.
 So no n-gram is ever a row, frequent n-grams cost a block one key as rare ones
 do, a task holds one shard or one block, and all moves grow as the input.
 
-Keys are 63-bit hashes of words and word pairs: with n distinct n-grams the
-expected number that share a key is n^2 / 2^64.
+Keys are 56-bit hashes of words and word pairs: with n distinct n-grams the
+expected number that share a key is n^2 / 2^56. They travel sorted, as the byte
+planes of their differences, which leaves about five bytes a key.
 
 Defined results: a null or blank text is the end token alone; repeated rows are
 scored (and learned from) each; an empty table gives an empty one; without
@@ -28,11 +29,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, stored, words
+from .common import fold, rows_of, stored, words
 
 FOLDS, HELD_OUT, TUNING = 10, 0, 1
-BLOCK_BYTES = 8 << 20  # text of a block, about
-SHARD_BYTES = 24 << 20  # text whose n-grams a shard gets, about
+#: Bytes of text of a block, and of the text whose n-grams a shard gets: least,
+#: most, and the number of them that the corpus is cut into in between.
+BLOCK_BYTES, SHARD_BYTES = (1 << 20, 32 << 20, 4096), (4 << 20, 256 << 20, 2048)
+KEY_BITS = 56
 BUCKETS = 14  # of context frequencies: 0, then by powers of two
 BINS = 48  # of log probabilities, for the held-out counts
 EM_STEPS = 60
@@ -41,19 +44,19 @@ BLOCKS = "block long, tuning boolean, docs binary"
 ASKED = "shard int, block long, keys binary, learned binary, tuned binary"
 ANSWERS = "shard int, block long, rest binary, total binary, types long, rest_tokens long, tokens long, rest_docs long, docs long"
 
-END, START = np.uint64(0x9E3779B97F4A7C14), np.uint64(0xC2B2AE3D27D4EB4E)
+END, START = np.uint64(0x9E3779B97F4A7C), np.uint64(0xC2B2AE3D27D4EA)
 ONE = np.uint64(1)
 
 
 class _Hashes(dict):
-    """Word -> even 64-bit hash; forgets all when it has become large."""
+    """Word -> even 56-bit hash; forgets all when it has become large."""
 
     def __missing__(self, w: bytes) -> int:
         import xxhash
 
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
-        self[w] = h = xxhash.xxh3_64_intdigest(w) & ~1
+        self[w] = h = xxhash.xxh3_64_intdigest(w) >> 64 - KEY_BITS & ~1
         return h
 
 
@@ -62,7 +65,20 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = (a ^ (a >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + b * np.uint64(0xA0761D6478BD642F)
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xE7037ED1A0B428DB)
-    return (x ^ (x >> np.uint64(29))) | ONE
+    return (x ^ (x >> np.uint64(29))) >> np.uint64(64 - KEY_BITS) | ONE
+
+
+def share(size: int, bounds: tuple[int, int, int]) -> int:
+    least, most, n = bounds
+    return min(most, max(least, size // n))
+
+
+def pack_keys(a: np.ndarray) -> bytes:
+    return pack(np.diff(a, prepend=np.uint64(0)))
+
+
+def unpack_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpack(raw, np.uint64), dtype=np.uint64)
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -113,7 +129,7 @@ class Block:
         return c.astype(np.uint32)
 
 
-def blocks(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def blocks(documents: DataFrame, block_bytes: int) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), fold(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), FOLDS).cast("int").alias("fold"), "text")
 
     def run(batches):
@@ -137,7 +153,7 @@ def blocks(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([at + seq]), pa.array([tuning]), pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["block", "tuning", "docs"])
 
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
+            for row in rows_of(b):
                 tuning = row[1] == TUNING
                 held[tuning].append(row)
                 size[tuning] += len(row[2] or "") + 64
@@ -151,7 +167,7 @@ def blocks(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 
 def _ask(shards: int):
-    step = (1 << 64) // shards + 1
+    step = (1 << KEY_BITS) // shards + 1
     bounds = np.array([k * step for k in range(1, shards)], np.uint64)
 
     def run(batches):
@@ -165,7 +181,7 @@ def _ask(shards: int):
                 tuned = x.counts(x.fold == TUNING)
                 cuts = [0, *np.searchsorted(x.keys, bounds).tolist(), len(x.keys)]
                 spans = [(k, slice(lo, hi)) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
-                columns = [[pack(a[s]) for _, s in spans] for a in (x.keys, rest, tuned)]
+                columns = [[f(a[s]) for _, s in spans] for f, a in ((pack_keys, x.keys), (pack, rest), (pack, tuned))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k for k, _ in spans], pa.int32()), pa.array([block] * len(spans), pa.int64()), *(pa.array(c, pa.binary()) for c in columns)],
                     names=["shard", "block", "keys", "learned", "tuned"],
@@ -178,7 +194,7 @@ def _answer(t):
     """A shard: adds up what its blocks bring and answers each with the totals."""
     import pyarrow as pa
 
-    keys = [unpack(x.as_py(), np.uint64) for x in t.column("keys")]
+    keys = [unpack_keys(x.as_py()) for x in t.column("keys")]
     merged, at = np.unique(np.concatenate(keys), return_inverse=True)
     add = lambda name: np.bincount(at, np.concatenate([unpack(x.as_py(), np.uint32) for x in t.column(name)]), len(merged)).astype(np.int64)
     rest = add("learned")
@@ -234,11 +250,11 @@ def learn_weights(held: np.ndarray, types: int, steps: int = EM_STEPS) -> np.nda
     return np.stack([em(h, k > 0) if h.sum() or k == 0 else common for k, h in enumerate(held)])
 
 
-def score(documents: DataFrame, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def score(documents: DataFrame, block_bytes: int | None = None, shard_bytes: int | None = None) -> DataFrame:
     """One row per document: counts, base score and score (log10)."""
-    packed = blocks(documents, block_bytes)
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
+    packed = blocks(documents, block_bytes or share(size, BLOCK_BYTES))
+    shards = max(1, -(-size // (shard_bytes or share(size, SHARD_BYTES))))
     asked = packed.select("block", "docs").mapInArrow(_ask(shards), ASKED)
     answers = stored(asked.groupBy("shard").applyInArrow(_answer, ANSWERS), "lm-answers")
     names = ("types", "rest_tokens", "tokens", "rest_docs", "docs")
