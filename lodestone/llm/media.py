@@ -56,12 +56,13 @@ def _loudest(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bin and magnitude of the loudest bin per frame and band."""
     x = samples.astype(np.float32) - 128.0
     if len(x) < FRAME:
-        x = np.pad(x, (0, FRAME - len(x)))
+        x = np.pad(x, (0, FRAME - len(x)), mode="edge")
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     window = np.hanning(FRAME).astype(np.float32)
     bins, size = [], []
     for at in range(0, len(frames), FRAMES_AT_ONCE):
-        mag = np.abs(np.fft.rfft(frames[at : at + FRAMES_AT_ONCE] * window, axis=1))
+        part = frames[at : at + FRAMES_AT_ONCE]
+        mag = np.abs(np.fft.rfft((part - part.mean(1, keepdims=True)) * window, axis=1))
         rows = np.arange(len(mag))
         best = [mag[:, lo:hi].argmax(1) + lo for lo, hi in BANDS]
         bins.append(np.stack(best, 1))
