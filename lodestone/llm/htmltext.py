@@ -31,6 +31,8 @@ LABELLED_PAGES = 600  # at most so many labelled pages are learned from
 #: must not cut a short first one off.
 LARGEST = 3 * math.log(2.0)
 
+EPSILON = 0.01
+
 #: Elements whose content is no text of the page. Fixed values of HTML.
 RAW = "script|style|noscript|template|svg|canvas|iframe|object|textarea|select|title|math|audio|video"
 #: A token of the markup: comment, declaration, raw element up to its end, or tag.
@@ -104,8 +106,8 @@ def atoms(page: str, outside: list | None = None):
             continue
         closing = bool(m["close"])
         if skip:  # inside a container that is left out: only its own end matters
-            if outside is not None and not closing:
-                outside.append(("t", name, False))
+            if outside is not None:
+                outside.append(("t", f"/{name}" if closing else name, False))
             if name == skip and name not in VOID and not m["attr"].endswith("/"):
                 depth += -1 if closing else 1
                 if not depth:
@@ -125,6 +127,8 @@ def atoms(page: str, outside: list | None = None):
             text(" ")
         if not closing:
             out.append(("t", name, content > 0))
+        else:
+            out.append(("t", f"/{name}", content > 0))
         if name in CONTENT:
             content = max(0, content + (-1 if closing else 1))
     text(page[at:])
@@ -165,7 +169,9 @@ def main_text(page: str | None, weights: dict) -> str:
     if not any(kind == "w" for kind, _, _ in found):
         return ""
     word, tags, other = weights["word"], weights["tags"], weights["other"]
-    lo, hi = best_region([word * (v.count(" ") + 1) if kind == "w" else tags.get(v, other) for kind, v, _ in found])
+    # Inside marked content a container that is left out is no sign of its end.
+    tag = lambda v, inside: -EPSILON if inside and v == "left-out" else tags.get(v, other)
+    lo, hi = best_region([word * (v.count(" ") + 1) if kind == "w" else tag(v, inside) for kind, v, inside in found])
     return "\n\n".join(v for kind, v, _ in found[lo:hi] if kind == "w")
 
 
