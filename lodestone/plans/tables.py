@@ -130,11 +130,15 @@ def contamination_check(spark, d):
     width = F.least(F.size("w"), F.lit(ANCHOR))
     items = items.select("item_id", F.array_join("w", " ").alias("item"), F.size("w").alias("n"), width.alias("m"), F.array_join(F.slice("w", F.lit(1), width), " ").alias("anchor"))
     widths = [r.m for r in items.select("m").distinct().collect()]  # at most ANCHOR
-    docs = table(spark, d, "documents").select("doc_id", words.alias("w"))
-    at = docs.select("doc_id", "w", F.explode(F.array(*map(F.lit, widths)) if widths else F.array().cast("array<int>")).alias("m"))
-    # All places of a document at once: a place is a row only if its run of words begins a passage.
-    runs = at.filter("size(w) >= m").select("doc_id", "m", "w", F.posexplode(F.expr("transform(sequence(1, size(w) - m + 1), i -> array_join(slice(w, i, m), ' '))")).alias("i", "anchor"))
-    met = runs.join(small(items), ["m", "anchor"]).filter(run("w", F.col("i") + 1, F.col("n")) == F.col("item"))
+    docs, found = table(spark, d, "documents").select("doc_id", words.alias("w")), None
+    for m in widths:
+        # A place is a short row, and lives only if its run of words begins a passage.
+        runs = docs.filter(F.size("w") >= m).select("doc_id", F.posexplode(F.expr(f"transform(sequence(1, size(w) - {m - 1}), i -> array_join(slice(w, i, {m}), ' '))")).alias("i", "anchor"))
+        hits = runs.join(small(items.filter(F.col("m") == m)), "anchor").select("doc_id", "item_id", "item", "n", "i")
+        found = hits if found is None else found.union(hits)
+    met = found.join(docs, "doc_id").filter(run("w", F.col("i") + 1, F.col("n")) == F.col("item")) if found is not None else None
+    if met is None:
+        return table(spark, d, "benchmark").select("item_id", F.lit(0).cast("long").alias("n_docs"), F.lit(None).cast("long").alias("first_doc"))
     found = met.select("item_id", "doc_id").distinct().groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
     every = table(spark, d, "benchmark").select("item_id")
     return every.join(found, "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).cast("long").alias("n_docs"), "first_doc")
