@@ -27,7 +27,7 @@ def approx_tokens(c: Column) -> Column:
     """Three Latin characters a token, others one each; empty or null is 0."""
     n = F.length(c)
     latin = F.length(F.regexp_replace(c, LATIN_LAST, ""))
-    return F.when(F.coalesce(n, F.lit(0)) == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor((latin + 2) / 3).cast("int") + n - latin))
+    return F.when(F.coalesce(n, F.lit(0)) == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor((latin + 2) / 3) + n - latin)).cast("long")
 
 
 def content_hash(c: Column) -> Column:
