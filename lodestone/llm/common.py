@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from urllib.parse import urlparse
 
@@ -67,3 +68,29 @@ def rows_of(batch, at_once: int = 256):
     """The rows of an Arrow batch as tuples, few of them as Python objects at a time."""
     for at in range(0, batch.num_rows, at_once):
         yield from zip(*(c.to_pylist() for c in batch.slice(at, at_once).columns))
+
+
+_HELD: dict = {}
+
+
+def release() -> None:
+    """Gives memory that earlier tasks of this worker process freed back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def held(key, make):
+    """What `make` returns, kept by the worker process from task to task until
+    another key is asked for: a process holds one model at a time."""
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[key] = make()
+    release()
+    return _HELD[key]

@@ -4,7 +4,7 @@ A word's features are its hash and the hashes of its character n-grams, all
 rows of one learned embedding table; a word is the mean of its features, a
 document the mean of its words (with two marks for word repetition: the same
 word again, the same word pair again); a softmax layer gives the class. Trained
-on the driver by stochastic gradient descent in numpy on a bounded sample of
+by stochastic gradient descent in numpy, in one task, on a bounded sample of
 labelled rows. As the network is linear up to the softmax, scoring folds table
 and layer into one number a feature, so that a document costs a look-up a word.
 
@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold
-from .sample import FOLDS, labelled, sigmoid
+from .common import fold, held
+from .sample import FOLDS, labelled, sigmoid, trained
 
-SAMPLE = {0: 1500, 1: 2500}  # labelled rows that are learned from, at most
+SAMPLE = {0: 1000, 1: 1500}  # labelled rows that are learned from, at most
 SLOTS = 1 << 17
 SAME, AGAIN = SLOTS, SLOTS + 1  # marks of repetition
 GRAMS = (2, 3, 4)
@@ -49,15 +49,15 @@ def features(word: str) -> list[int]:
 
 def repeats(words: list[str]) -> tuple[int, int]:
     """How often a word follows itself, and how often a pair of words comes again."""
-    pairs = list(zip(words, words[1:]))
-    return sum(a == b for a, b in pairs), len(pairs) - len(set(pairs))
+    after = words[1:]
+    return sum(map(str.__eq__, words, after)), len(after) - len(set(zip(words, after)))
 
 
 def vector(text: str, known: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """Slots and weights of a document; the words' weights sum to 1."""
     words = text.split()
     if not words:
-        return np.zeros(0, np.int64), np.zeros(0)
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
     slots, weights = [], []
     for w, n in Counter(words).items():
         if w not in known:
@@ -69,7 +69,7 @@ def vector(text: str, known: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarr
     slots += [SAME, AGAIN]
     weights += [same, again]
     at, back = np.unique(np.array(slots), return_inverse=True)
-    return at, np.bincount(back, np.array(weights, float)) / len(words)
+    return at.astype(np.int32), (np.bincount(back, np.array(weights, float)) / len(words)).astype(np.float32)
 
 
 def train(rows: list[tuple[int, str, int]]) -> dict | None:
@@ -117,20 +117,40 @@ def train(rows: list[tuple[int, str, int]]) -> dict | None:
     return {"slots": (table @ (layer[:, 1] - layer[:, 0])).astype(np.float32), "bias": float(bias[1] - bias[0])}
 
 
-class _Words(dict):
-    """Word -> its logit; forgets all when large."""
+class _Grams(dict):
+    """Character n-gram -> the number of its slot; forgets all when large."""
 
     def __init__(self, slots: np.ndarray):
         self.slots = slots
 
+    def __missing__(self, gram: str) -> float:
+        if len(self) > REMEMBERED:
+            self.clear()
+        self[gram] = v = float(self.slots[zlib.crc32(gram.encode("utf-8", "surrogatepass"), len(gram)) % SLOTS])
+        return v
+
+
+class _Words(dict):
+    """Word -> its logit, the mean of its features' numbers; forgets all when large."""
+
+    def __init__(self, slots: np.ndarray):
+        self.slots, self.grams = slots, _Grams(slots)
+
     def __missing__(self, w: str) -> float:
         if len(self) > REMEMBERED:
             self.clear()
-        f = features(w)
-        self[w] = v = float(self.slots[f].sum()) / len(f)
+        s = f"<{w}>"
+        grams = [s[k : k + n] for n in GRAMS for k in range(len(s) - n + 1)]
+        whole = float(self.slots[zlib.crc32(s.encode("utf-8", "surrogatepass")) % SLOTS])
+        self[w] = v = sum(map(self.grams.__getitem__, grams), whole) / (len(grams) + 1)
         return v
 
 
+def known_words(fitted: dict) -> _Words:
+    key = ("quality", zlib.crc32(fitted["slots"].tobytes()), fitted["bias"])
+    return held(key, lambda: _Words(fitted["slots"]))
+
+
 def logit(text: str | None, known: _Words, bias: float) -> float:
     words = text.split() if text else []
     if not words:
@@ -149,7 +169,7 @@ def score(df: DataFrame, fitted: dict | None, text: str = "text", out: str = "sc
     def run(batches):
         import pyarrow as pa
 
-        known = _Words(fitted["slots"]) if fitted else None
+        known = known_words(fitted) if fitted else None
         for b in batches:
             made = [sigmoid(logit(t, known, fitted["bias"])) if fitted else 1.0 for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [pa.array(made, pa.float64())], names=[*kept, out])
@@ -158,7 +178,7 @@ def score(df: DataFrame, fitted: dict | None, text: str = "text", out: str = "sc
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> dict | None:
-    return train(labelled(documents, labels, "quality", SAMPLE))
+    return trained(labelled(documents, labels, "quality", SAMPLE), train)
 
 
 def op2(documents: DataFrame, labels: DataFrame) -> DataFrame:

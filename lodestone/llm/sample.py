@@ -3,23 +3,27 @@
 from __future__ import annotations
 
 import math
+import os
+import pickle
+import traceback
 import zlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, held
 
 FOLDS = 5  # rows of fold 0 are held out
 
 
-def labelled(documents: DataFrame, labels: DataFrame, label: str, most: dict[int, int]) -> list[tuple[int, str, int]]:
-    """(doc_id, whole text, label) of at most `most[v]` rows with each label v,
+def labelled(documents: DataFrame, labels: DataFrame, label: str, most: dict[int, int]) -> DataFrame:
+    """(doc_id, text, y): whole text and label of at most `most[v]` rows with each label v,
     those of least crc32 of the id, without the held-out fold.
 
     Ids are chosen from the labels alone; the bounded list of them is broadcast
     to fetch the texts. Labels that contradict each other for one id and null
-    labels are left out, as are null texts. Sorted by crc32: reruns agree.
+    labels are left out, as are null texts.
     """
     key = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     known = (
@@ -34,8 +38,46 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, most: dict[int
         part = known.filter(F.col("y") == value).select("doc_id", F.col("y").cast("int").alias("y")).orderBy(key, "doc_id").limit(n)
         chosen = part if chosen is None else chosen.union(part)
     rows = documents.filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
-    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
-    return sorted(((r.doc_id, r.text, r.y) for r in rows), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
+    return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+
+
+def in_child(work: Callable[[], bytes]) -> bytes:
+    """What `work` returns in a forked process: its memory goes back with its end,
+    which a worker process that lives on would keep."""
+    read, write = os.pipe()
+    pid = os.fork()
+    if not pid:
+        try:
+            out = b"+" + work()
+        except BaseException:
+            out = b"-" + traceback.format_exc().encode()
+        with os.fdopen(write, "wb") as f:
+            f.write(out)
+        os._exit(0)
+    os.close(write)
+    with os.fdopen(read, "rb") as f:
+        out = f.read()
+    os.waitpid(pid, 0)
+    if out[:1] != b"+":
+        raise RuntimeError(out[1:].decode() or "training ended without a model")
+    return out[1:]
+
+
+def trained(sample: DataFrame, train: Callable[[list[tuple[int, str, int]]], object]):
+    """What `train` makes of the bounded sample, as (doc_id, text, label) rows by
+    crc32 of the id. It runs in one task, where there is memory for it; the
+    driver gets the model alone."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        held("training", dict)
+        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "y")))]
+        rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
+        yield pa.RecordBatch.from_arrays([pa.array([in_child(lambda: pickle.dumps(train(rows)))], pa.binary())], names=["model"])
+
+    found = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0].model) if found else None
 
 
 def sigmoid(x: float) -> float:
