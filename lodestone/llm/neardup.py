@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, words
+from .common import held, stored, words
 from .components import components
 
 WIDTH = 5
@@ -52,7 +52,7 @@ class _Hashes(dict):
     def __missing__(self, w: bytes) -> int:
         import xxhash
 
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         self[w] = h = xxhash.xxh3_64_intdigest(w)
         return h
@@ -105,7 +105,7 @@ def signed(documents: DataFrame) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
-        hashes, signer = _Hashes(), Signer()
+        hashes, signer = held("neardup", _Hashes), Signer()
         for b in batches:
             n, hi, lo, bands = [], [], [], []
             for text in b.column("text").to_pylist():
@@ -129,7 +129,7 @@ def shingle_sets(documents: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        hashes = _Hashes()
+        hashes = held("neardup", _Hashes)
         for b in batches:
             sets = [shingles(t, hashes).view(np.int64) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "n", "shingles"])
