@@ -19,21 +19,23 @@ import heapq
 import io
 import json
 import re
+import struct
 import sys
 import unicodedata
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import filesystem, scratch, stored
+from .common import filesystem, held, scratch, stored
 
-LEXICON_WORDS = 131_072
+LEXICON_WORDS = 262_144
 LONGEST = 32  # bytes of a lexicon word
-SLICE = 1 << 20  # characters of text that are held as words at once
-REMEMBERED = 100_000  # words outside the lexicon whose encoding a worker remembers
+SLICE = 1 << 21  # characters of text that are held as words at once
+REMEMBERED = 80_000  # words outside the lexicon whose encoding a worker remembers
 
 
 def byte_symbols() -> list[str]:
@@ -266,49 +268,42 @@ class Lexicon:
         return self.out_ids[self.out_at[rank] : self.out_at[rank + 1]].tolist()
 
 
-@functools.lru_cache(2)
-def _lexicon(folder: str) -> Lexicon:
-    return Lexicon.load(folder)
-
-
 class Encoder:
-    """Encodes slices of text. Holds (number, bytes, decoded text of the ids) of the
-    lexicon's words it has met and of recent others."""
+    """Encodes slices of text. `known` holds (bytes, decoded text of the ids) of the
+    lexicon's words it has met, which stay, and of recent others, which go together."""
 
     def __init__(self, path: str, folder: str | None):
         self.v = vocabulary(path)
-        self.lexicon = _lexicon(folder) if folder else None
-        self.frequent: dict[str, tuple[int, bytes, str]] = {}
-        self.recent: dict[str, tuple[int, bytes, str]] = {}
+        self.lexicon = Lexicon.load(folder) if folder else None
+        self.frequent: dict[str, tuple[bytes, str]] = {}
+        self.known: dict[str, tuple[bytes, str]] = {}
 
-    def _entry(self, ids: list[int]) -> tuple[int, bytes, str]:
-        return len(ids), np.array(ids, "<u4").tobytes(), " ".join(map(self.v.tokens.__getitem__, ids))
+    def _entry(self, ids: list[int]) -> tuple[bytes, str]:
+        return struct.pack(f"<{len(ids)}I", *ids), " ".join(map(self.v.tokens.__getitem__, ids))
 
-    def _learn(self, words: set[str]) -> dict[str, tuple[int, bytes, str]]:
-        """The entries of these words."""
-        new = [w for w in words if w not in self.frequent]
+    def _learn(self, words: set[str]) -> None:
+        if len(self.known) - len(self.frequent) > REMEMBERED:
+            self.known = dict(self.frequent)
+        new = list(words - self.known.keys())
         ranks = self.lexicon.find([w.encode("utf-8", "surrogatepass") for w in new]).tolist() if self.lexicon and new else [-1] * len(new)
-        if len(self.recent) > REMEMBERED:
-            self.recent.clear()
         for w, r in zip(new, ranks):
             if r >= 0 and w not in self.v.added:
-                self.frequent[w] = self._entry(self.lexicon.ids(r))
-            elif w not in self.recent:
-                self.recent[w] = self._entry(self.v.merge(w))
-        return {w: self.frequent.get(w) or self.recent[w] for w in words}
+                self.frequent[w] = self.known[w] = self._entry(self.lexicon.ids(r))
+            else:
+                self.known[w] = self._entry(self.v.merge(w))
 
     def slices(self, texts: list[str | None]):
-        """Yields lists of (n, bytes of ids, decoded text) for runs of texts."""
+        """Yields lists of (bytes of ids, decoded text) for runs of texts; an id has four bytes."""
         held, size = [], 0
         for k, t in enumerate(texts):
             held.append(self.v.pieces(t or ""))
             size += len(t or "")
             if size >= SLICE or k == len(texts) - 1:
-                known = self._learn({w for words in held for w in words})
-                out = []
+                self._learn(set(chain.from_iterable(held)))
+                entry, out = self.known.__getitem__, []
                 for words in held:
-                    parts = [known[w] for w in words]
-                    out.append((sum(p[0] for p in parts), b"".join([p[1] for p in parts]), " ".join([p[2] for p in parts])))
+                    ids, decoded = zip(*map(entry, words)) if words else ((), ())
+                    out.append((b"".join(ids), " ".join(decoded)))
                 yield out
                 held, size = [], 0
 
@@ -346,7 +341,7 @@ def frequent_words(documents: DataFrame, path: str, n: int = LEXICON_WORDS) -> l
         if words > room:
             break
         room, least = room - words, at
-    return sorted(r.word for r in total.filter(step >= least).select("word").collect()) if least is not None else []
+    return sorted(total.filter(step >= least).select("word").toArrow().column("word").to_pylist()) if least is not None else []
 
 
 def build_lexicon(documents: DataFrame, path: str, n: int = LEXICON_WORDS) -> str:
@@ -372,12 +367,12 @@ def encode(df: DataFrame, path: str, folder: str | None, digests: bool = False)
     def run(batches):
         import pyarrow as pa
 
-        e = Encoder(path, folder)
+        e = held(("bpe", path, folder), lambda: Encoder(path, folder))
         for b in batches:
             n, ids, decoded = [], [], []
             for rows in e.slices(b.column("__text").to_pylist()):
-                for k, i, d in rows:
-                    n.append(k)
+                for i, d in rows:
+                    n.append(len(i) // 4)
                     ids.append(hashlib.sha256(i).hexdigest() if digests else np.frombuffer(i, "<u4").tolist())
                     decoded.append(hashlib.sha256(d.encode("utf-8")).hexdigest() if digests else d)
             arrays = [pa.array(n, pa.int64()), pa.array(ids, pa.string() if digests else pa.list_(pa.int64())), pa.array(decoded, pa.string())]
