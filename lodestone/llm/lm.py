@@ -29,12 +29,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, held, rows_of, stored, words
+from .common import fold, rows_of, stored, words
 
 FOLDS, HELD_OUT, TUNING = 10, 0, 1
 #: Bytes of text of a block, and of the text whose n-grams a shard gets: least,
 #: most, and the number of them that the corpus is cut into in between.
-BLOCK_BYTES, SHARD_BYTES = (1 << 20, 32 << 20, 4096), (4 << 20, 256 << 20, 2048)
+BLOCK_BYTES, SHARD_BYTES = (1 << 20, 32 << 20, 4096), (6 << 20, 256 << 20, 2048)
 KEY_BITS = 56
 BUCKETS = 14  # of context frequencies: 0, then by powers of two
 BINS = 48  # of log probabilities, for the held-out counts
@@ -54,7 +54,7 @@ class _Hashes(dict):
     def __missing__(self, w: bytes) -> int:
         import xxhash
 
-        if len(self) > 150_000:
+        if len(self) > 300_000:
             self.clear()
         self[w] = h = xxhash.xxh3_64_intdigest(w) >> 64 - KEY_BITS & ~1
         return h
@@ -137,17 +137,17 @@ def blocks(documents: DataFrame, block_bytes: int) -> DataFrame:
         from pyspark import TaskContext
 
         at, seq = TaskContext.get().partitionId() << 32, 0
-        waiting: dict[bool, list] = {True: [], False: []}
+        held: dict[bool, list] = {True: [], False: []}
         size = {True: 0, False: 0}
 
         def emit(tuning: bool):
             nonlocal seq
-            ids, folds, texts = zip(*waiting[tuning])
+            ids, folds, texts = zip(*held[tuning])
             t = pa.table({"doc_id": pa.array(ids, pa.int64()), "fold": pa.array(folds, pa.int8()), "text": pa.array(texts, pa.string())})
             out = pa.BufferOutputStream()
             with pa.ipc.new_stream(out, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 w.write_table(t)
-            waiting[tuning].clear()
+            held[tuning].clear()
             size[tuning] = 0
             seq += 1
             return pa.RecordBatch.from_arrays([pa.array([at + seq]), pa.array([tuning]), pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["block", "tuning", "docs"])
@@ -155,12 +155,12 @@ def blocks(documents: DataFrame, block_bytes: int) -> DataFrame:
         for b in batches:
             for row in rows_of(b):
                 tuning = row[1] == TUNING
-                waiting[tuning].append(row)
+                held[tuning].append(row)
                 size[tuning] += len(row[2] or "") + 64
                 if size[tuning] >= block_bytes:
                     yield emit(tuning)
-        for tuning in waiting:
-            if waiting[tuning]:
+        for tuning in held:
+            if held[tuning]:
                 yield emit(tuning)
 
     return stored(docs.mapInArrow(run, BLOCKS), "lm-blocks")
@@ -173,7 +173,7 @@ def _ask(shards: int):
     def run(batches):
         import pyarrow as pa
 
-        hashes = held("lm", _Hashes)
+        hashes = _Hashes()
         for b in batches:
             for block, docs in zip(b.column("block").to_pylist(), b.column("docs")):
                 x = Block(docs.as_py(), hashes)
@@ -194,7 +194,6 @@ def _answer(t):
     """A shard: adds up what its blocks bring and answers each with the totals."""
     import pyarrow as pa
 
-    held("lm", _Hashes)
     keys = [unpack_keys(x.as_py()) for x in t.column("keys")]
     merged, at = np.unique(np.concatenate(keys), return_inverse=True)
     add = lambda name: np.bincount(at, np.concatenate([unpack(x.as_py(), np.uint32) for x in t.column(name)]), len(merged)).astype(np.int64)
@@ -270,22 +269,22 @@ def score(documents: DataFrame, block_bytes: int | None = None, shard_bytes: int
     def tune(left, right):
         import pyarrow as pa
 
-        x, c = gather(left.column("docs"), right, "rest", held("lm", _Hashes))
+        x, c = gather(left.column("docs"), right, "rest", _Hashes())
         pair, word, b = estimates(c, x, rest_tokens)
         cell, n = np.unique((b * BINS + _bin(pair)) * BINS + _bin(word), return_counts=True)
         return pa.table({"cell": pa.array(cell, pa.int64()), "n": pa.array(n, pa.int64())})
 
     tuning = packed.filter("tuning").groupBy("block").cogroup(answers.join(packed.filter("tuning").select("block"), "block", "left_semi").select("block", "shard", "rest").groupBy("block"))
     cells = tuning.applyInArrow(tune, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # BUCKETS * BINS^2 at most
-    counts = np.zeros(BUCKETS * BINS * BINS)
+    held = np.zeros(BUCKETS * BINS * BINS)
     for r in cells:
-        counts[r.cell] = r.n
-    weights = learn_weights(counts.reshape(BUCKETS, BINS, BINS), types)
+        held[r.cell] = r.n
+    weights = learn_weights(held.reshape(BUCKETS, BINS, BINS), types)
 
     def final(left, right):
         import pyarrow as pa
 
-        x, c = gather(left.column("docs"), right, "total", held("lm", _Hashes))
+        x, c = gather(left.column("docs"), right, "total", _Hashes())
         pair, word, b = estimates(c, x, tokens)
         w = weights[b]
         p = w[:, 0] * pair + w[:, 1] * word + w[:, 2] / (types + 1)
