@@ -6,7 +6,8 @@ content, counted on labelled pages (those that mark it with one `article` or
 `main` element). A linear scan finds the contiguous region with the largest
 sum; it is cut at block ends. Elements that are never main text (menus,
 forms, scripts, notices, comments and so on) score with their tag's weight
-alone and are left out of the region's text.
+alone and are left out of the region's text, unless the main content stands in
+them (`containers`).
 
 Defined results: a null or empty html gives an empty text, as does a page
 without words; scanning is linear for any input, broken markup included; ties
@@ -19,7 +20,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,7 @@ RAW = "script|style|noscript|template|svg|canvas|iframe|object|textarea|select|t
 #: A token of the markup: comment, declaration, raw element up to its end, or tag.
 MARKUP = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<![^>]*+>|<\?[^>]*+>"
+    r"|<(?:svg|math)(?=[\s/>])(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+(?<=/)>"
     rf"|<(?P<raw>{RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*+\"|'[^']*+'|[\"'])*?>.*?(?:</(?P=raw)\s*+[^>]*+>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attr>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>",
     re.S | re.I,
@@ -57,7 +59,25 @@ LEFT_OUT_NAMES = frozenset(
     " share sharing social related recommended newsletter subscribe subscription signup popup modal pagination pager widget"
     " toolbar complementary contentinfo form alert".split()
 )
+#: First and last parts of names that tell a layout's state, as in has-sidebar or ad-free.
+STATE_FIRST = frozenset("has no not non with without hide show is".split())
+STATE_LAST = frozenset("free enabled disabled".split())
 CONTENT = frozenset(("article", "main"))
+#: End tags that HTML lets be left out: what an opening tag ends, and the elements that this doesn't reach out of.
+SCOPE = ("table", "td", "th", "caption")
+TABLE_PARTS = frozenset("caption tbody td tfoot th thead tr".split())
+LISTS = (*SCOPE, *"ul ol menu dir dl blockquote section article main aside nav form fieldset details figure header footer button".split())
+GROUPS = ("tbody", "thead", "tfoot", "tr", "caption")
+ENDS = {
+    "li": (("li",), LISTS), "dt": (("dt", "dd"), LISTS), "dd": (("dt", "dd"), LISTS), "td": (("td", "th"), ("table", "tr")),
+    "th": (("td", "th"), ("table", "tr")), "tr": (("tr", "caption"), ("table",)), "tbody": (GROUPS, ("table",)),
+    "thead": (GROUPS, ("table",)), "tfoot": (GROUPS, ("table",)),
+}
+ENDS_P = BLOCKS - TABLE_PARTS - frozenset("body frameset head html legend option".split())
+IN_HEAD = frozenset("base head html link meta".split())
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+CLOSED_AS_BLOCKS = BLOCKS | TABLE_PARTS | {"button"}
+RIVAL = 10  # marked content elsewhere counts if it has at least this part of a container's words
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=\s|$|=)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 PART = re.compile(r"[a-z]+")
@@ -73,21 +93,136 @@ def left_out(name: str, attr: str, in_content: bool) -> bool:
     for m in NAMES.finditer(attr):
         for token in (m[1] or m[2] or m[3] or "").lower().split():
             parts = PART.findall(token)
+            if len(parts) > 1 and (parts[0] in STATE_FIRST or parts[-1] in STATE_LAST):
+                continue
             if token in LEFT_OUT_NAMES or parts and (parts[0] in LEFT_OUT_NAMES or parts[-1] in LEFT_OUT_NAMES):
                 return True
     return False
 
 
+def containers(page: str, found: list) -> dict[int, int]:
+    """Start of the tag -> end of the content of containers that are left out.
+
+    Elements end as in HTML: with their end tag, with their parent or, where the
+    end tag is optional, with what can't stand in them. A container is no reason
+    to leave the main content out: one with a `main` is kept, and so is one with
+    an `article` or with most of the page's words, unless an `article` or `main`
+    beside it has words too (those of comments or cards stay left out then).
+    """
+    stack: list[tuple[str, int, int]] = []  # name, container or 0, mark or 0
+    opened: dict[str, list[int]] = defaultdict(list)  # places in the stack, by name
+    blocks: list[int] = []
+    # Containers and marks (article, main); the first of each is the page. `beside`
+    # counts words whose mark stands in the same container as they do.
+    held: list[list[int]] = [[0] * 8]  # start, end, words, mains, articles, container around, mark around, words in marks
+    marks: list[list[int]] = [[0, 0, 0]]  # container around, mark around, words
+    cover, mark = [0], [0]
+    words = mains = articles = 0
+
+    def last(names) -> int:
+        return max((opened[n][-1] for n in names if opened.get(n)), default=-1)
+
+    def end(place: int, at: int, own: int | None = None) -> None:
+        while len(stack) > place:
+            name, c, m = stack.pop()
+            opened[name].pop()
+            if blocks and blocks[-1] == len(stack):
+                blocks.pop()
+            if c:
+                cover.pop()
+                x = held[c]
+                x[1] = at if own is None or len(stack) > place else own
+                x[2], x[3], x[4] = words - x[2], mains - x[3], articles - x[4]
+            if m:
+                mark.pop()
+
+    def text(lo: int, hi: int) -> None:
+        nonlocal words
+        n = len(page[lo:hi].split())
+        if n:
+            if stack and stack[-1][0] == "head":
+                end(len(stack) - 1, lo)
+            words += n
+            if mark[-1] and marks[mark[-1]][0] == cover[-1]:
+                held[cover[-1]][7] += n
+                marks[mark[-1]][2] += n
+
+    at = 0
+    for t in found:
+        text(at, t.start())
+        at = t.end()
+        name = (t["name"] or "").lower()
+        if not name:
+            continue
+        if t["close"]:
+            if name in ("body", "html"):
+                end(max(0, last((name,))), t.start(), t.end())
+                continue
+            names = HEADINGS if name in HEADINGS else (name,)
+            if name not in CLOSED_AS_BLOCKS:
+                limit = blocks[-1] if blocks else -1
+            elif name == "table":
+                limit = -1
+            else:
+                limit = last(("table",) if name in TABLE_PARTS else LISTS if name == "li" else SCOPE)
+            if (place := last(names)) > limit:
+                end(place, t.start(), t.end())
+            continue
+        if stack and stack[-1][0] == "head" and name not in IN_HEAD:
+            end(len(stack) - 1, t.start())
+        if name in ENDS_P and (place := last(("p",))) > last(SCOPE):
+            end(place, t.start())
+        if name in ENDS:
+            ended, around = ENDS[name]
+            limit = last(around)
+            if inside := [opened[n][-1] for n in ended if opened.get(n) and opened[n][-1] > limit]:
+                end(min(inside), t.start())
+        if name in VOID:
+            if left_out(name, t["attr"], bool(mark[-1])):
+                held.append([t.start(), t.end(), 0, 0, 0, cover[-1], mark[-1], 0])
+            continue
+        c = m = 0
+        if left_out(name, t["attr"], bool(mark[-1])):
+            c = len(held)
+            held.append([t.start(), 0, words, mains, articles, cover[-1], mark[-1], 0])
+            cover.append(c)
+        if name in CONTENT:
+            m = len(marks)
+            marks.append([cover[-1], mark[-1], 0])
+            mark.append(m)
+            mains += name == "main"
+            articles += name == "article"
+        opened[name].append(len(stack))
+        if name in CLOSED_AS_BLOCKS:
+            blocks.append(len(stack))
+        stack.append((name, c, m))
+    text(at, len(page))
+    end(0, len(page))
+    for x in held[1:]:  # sums over all containers and all marks around
+        x[7] += held[x[5]][7]
+    for x in marks[1:]:
+        x[2] += marks[x[1]][2]
+    out = {}
+    for lo, hi, n, has_main, has_article, around, within, _ in held[1:]:
+        beside = held[around][7] - marks[within][2]
+        wrapper = has_main or (has_article or 2 * n > words) and (not beside or RIVAL * beside < n)
+        if not wrapper:
+            out[lo] = hi
+    return out
+
+
 def atoms(page: str, outside: list | None = None):
     """The page as a list of ("w", text of a block) and ("t", tag) in order, and
     whether each stands inside labelled content. `outside` gets what stands in
     containers that are left out."""
     out: list[tuple[str, str, bool]] = []
     held: list[str] = []
-    at, content, skip, depth = 0, 0, "", 0
+    found = list(MARKUP.finditer(page))
+    left = containers(page, found)
+    at, content, skip = 0, 0, 0
 
     def text(s: str) -> None:
-        if s and not skip:
+        if s and at >= skip:
             held.append(s)
         elif s and outside is not None:
             outside.append(("w", s, False))
@@ -98,33 +233,26 @@ def atoms(page: str, outside: list | None = None):
                 out.append(("w", joined, content > 0))
             held.clear()
 
-    for m in MARKUP.finditer(page):
+    for m in found:
         text(page[at : m.start()])
         at = m.end()
         name = (m["name"] or "").lower()
         if not name:
             continue
         closing = bool(m["close"])
-        if skip:  # inside a container that is left out: only its own end matters
+        if m.start() < skip:  # inside a container that is left out
             if outside is not None:
                 outside.append(("t", f"/{name}" if closing else name, False))
-            if name == skip and name not in VOID and not m["attr"].endswith("/"):
-                depth += -1 if closing else 1
-                if not depth:
-                    skip = ""
-            elif closing and name in ("body", "html"):
-                skip = ""
             continue
-        if not closing and left_out(name, m["attr"], content > 0):
+        if m.start() in left:
             block()
             out.append(("t", "left-out", content > 0))
-            if name not in VOID:
-                skip, depth = name, 1
+            skip = left[m.start()]
             continue
         if name in BLOCKS:
             block()
         elif name in SPACED:
-            text(" ")
+            held.append(" ")
         if not closing:
             out.append(("t", name, content > 0))
         else:

@@ -158,6 +158,37 @@ def test_main_text(page):
     assert htmltext.main_text(page, WEIGHTS) == CASES[page]
 
 
+LONG = BODY.strip()
+WHOLE = [
+    *(f"<body><nav>menu</nav><div class='{c}'><article><p>{BODY}</p></article></div></body>" for c in ("has-sidebar", "no-sidebar", "with-sidebar", "hide-menu", "ad-free", "sidebar-layout", "ad")),
+    *(f"<body><div class='{c}'><p>{BODY}</p></div></body>" for c in ("no-sidebar", "page-banner", "sidebar")),
+    f"<form id=page><div class=menu>a b</div><main><p>{BODY}</p></main><aside><article>card</article></aside></form>",
+    f"<article><div class='post-widget'><p>{BODY}</p></div></article>",
+    f"<article><p>{BODY}</p></article><div id=comments><article class=comment>{BODY}</article></div>",
+    f"<p class='notice'>we use cookies<p>{BODY}</p><p class=ad>buy</p>",
+    f"<div><p class='notice'>we use cookies</div><p>{BODY}</p>",
+    f"<p class=notice>we use cookies<div>{BODY}</div>",
+    f"<ul><li class='ad'>buy<li>{BODY}</ul>",
+    f"<dl><dt class=ad>buy<dd>{BODY}</dl>",
+    f"<table><tr class=ad><td>buy<tr><td>{BODY}</table>",
+    f"<table><tr><td class=ad>buy<td>{BODY}</table>",
+    f"<html><head><meta charset=x><title>t</title><body><p>{BODY}",
+    f"<head><meta charset=x>{BODY}",
+    f"<svg width='1' /><p>{BODY}</p><math/>",
+    f"<svg/><p>{BODY}</p><svg><text>no</text></svg>",
+]
+
+
+@pytest.mark.parametrize("page", WHOLE)
+def test_main_text_is_whole(page):
+    assert htmltext.main_text(page, WEIGHTS) == LONG
+
+
+def test_deep_containers_are_linear():
+    assert htmltext.main_text("<div class=ad>" * 50_000 + BODY, WEIGHTS) == LONG
+    assert htmltext.main_text("<ul><li class=ad>" * 20_000 + "</div><li></p>" * 20_000 + BODY, WEIGHTS) is not None
+
+
 def test_best_region():
     rng = random.Random(2)
     for _ in range(200):
