@@ -91,6 +91,26 @@ def test_toxicity(frame):
     assert toxicity.op9(frame(DOC, []), frame(LABEL, labels)).count() == 0
 
 
+SPACED = [
+    "such a m o r o n", "y o u i d i o t", "i  d  i  o  t", "i\td\ti\to\tt", "you $ c u m !", "m 0 r o n", "1 d ! o t",
+    "( l o w n", "a (lown.", "mo ro n", "i. d. i. o. t.", "i - d - i - o - t", "y.o.u.i.d.i.o.t", "you a s s", "s h ! t", "@ s s", "naz! they",
+]
+
+
+def test_spaced_words_are_joined_and_segmented():
+    rng = random.Random(4)
+    insults = [*INSULTS, "ass", "shit", "nazi"]
+    counted = Counter({w: 40 for w in GOOD} | {"a": 400, "you": 200, "such": 50, "they": 90, "to": 300, "in": 300, "is": 300, "be": 200, "rap": 9, "i": 200} | {w: 5 for w in insults})
+    model = toxicity.CharModel(counted)
+    seen = lambda t: {m for w in toxicity.tokens(t) for m in toxicity.behind(w, model)}
+    for t in SPACED:
+        assert seen(t) & set(insults), t
+    for t in ["to be in a", "is a i to", "(rap) in a", "1 2 3 4", "spring!", "a. to (in"]:
+        assert not seen(t) & set(insults), t
+    assert toxicity.segmented(list("suchamoron"), model) == ["such", "a", "moron"]
+    assert toxicity.segmented(["x"] * 3000, model) and toxicity.runs(["-", "!!!", "1"] * 3) == []
+
+
 def test_decoding():
     model = toxicity.CharModel(Counter({w: 5 for w in GOOD + INSULTS}))
     for hidden, word in {"m0r0n": "moron", "idiooot": "idiot", "s_c_u_m": "scum", "r1ver": "river", "st0ne": "stone", "moron!!!": "moron", "spring": "spring", "12345": "12345"}.items():
