@@ -64,6 +64,17 @@ def test_budget(spark):
         P.within_budget(df, "c", "k", 0, 3)
 
 
+def test_budget_of_any_script(spark):
+    rng = random.Random(3)
+    cases = [["".join(rng.choices("ab é日本ЖΩ—”😀", [9, 9, 5, 3, *[rng.randint(0, 9)] * 7], k=rng.randint(1, 300))).strip() or "x" for _ in range(rng.randint(1, 5))] for _ in range(120)]
+    cases += [["日本" * 400], ["текст " * 200], ["“quoted” " + "word " * 100]]
+    df = spark.createDataFrame([(c, k, t) for c, parts in enumerate(cases) for k, t in enumerate(parts)], "c int, k int, text string")
+    rows = P.within_budget(df, "c", "k", 100, 3).collect()
+    for c, parts in enumerate(cases):
+        assert [r.piece for r in sorted(r for r in rows if r.c == c)] == selected(parts, 100, 3)
+    assert all(P.count_tokens(r.piece) <= 100 for r in rows)
+
+
 # --- evaluation -------------------------------------------------------------------
 
 
