@@ -62,8 +62,13 @@ def _asked(spark, d):
     return _turns(spark, d).withColumn("query", first)
 
 
+def _ranked(spark, d):
+    # The registered SQL divides by the token estimate, where the operator's own measure is words.
+    return P.ranked_passages(_asked(spark, d), "conv_id", "turn", "query", "role", size=X.approx_tokens(F.col("text")))
+
+
 def passage_ranking(spark, d):
-    ranked = P.ranked_passages(_asked(spark, d), "conv_id", "turn", "query", "role")
+    ranked = _ranked(spark, d)
     return ranked.select("conv_id", "turn", "matches", "heading_matches", "score", "rank")
 
 
@@ -74,7 +79,7 @@ def context_window(spark, d):
 
 def query_context(spark, d):
     """Contexts of the passages that rank best for each conversation's first turn."""
-    ranked = P.ranked_passages(_asked(spark, d), "conv_id", "turn", "query", "role")
+    ranked = _ranked(spark, d)
     return P.contexts(P.within_budget(ranked, "conv_id", "rank", BUDGET, MOST), "conv_id", "turn")
 
 

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,6 +76,14 @@ def test_budget_of_any_script(spark):
     assert all(P.count_tokens(r.piece) <= 100 for r in rows)
 
 
+def test_density_is_by_words(spark):
+    texts = ["Fox-trot a.b fox, Größe_1 naïve!", "fox", "internationalization of foxes", "", "狐 fox 狐狸 日本", "... fox -- é"]
+    df = spark.createDataFrame([(0, k, t, "fox", "") for k, t in enumerate(texts)], "c int, k int, text string, q string, path string")
+    for r in P.ranked_passages(df, "c", "k", "q", "path").collect():
+        n = r.text.lower().count("fox")
+        assert r.score == pytest.approx(n + 100 * n / max(1, len(re.findall(r"[\w.-]+", r.text.lower()))), abs=1e-6)
+
+
 # --- evaluation -------------------------------------------------------------------
 
 
