@@ -24,16 +24,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WORD_RE, shared_dir
+from .common import WORD_RE, shared_dir, stored
 
 WEIGHTS = (5, 2, 1)
+ROW = "__row"
 RAMPS = (-0.5, 0.0, 0.5)  # a of each weight's schedule
 MOST = 3
 
 
 def sized(documents: DataFrame) -> DataFrame:
-    """doc_id, source, size, and the digest that orders the documents."""
+    """doc_id, source, size, and the digest that orders the documents; the number of the row where it has one."""
     return documents.select(
+        *(c for c in documents.columns if c == ROW),
         "doc_id",
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("long").alias("size"),
@@ -84,7 +86,7 @@ def _placed(documents: DataFrame, weights, ramps, most: int) -> DataFrame:
     offsets = offsets.join(t, F.col("source").eqNullSafe(F.col("s"))).select(
         F.col("source").alias("s"), F.col("bucket").alias("b"), "offset", "source_size", "ramp", "target"
     )
-    inside = W.partitionBy("source", "bucket").orderBy("order_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source", "bucket").orderBy("order_key", "doc_id", "size", *(c for c in docs.columns if c == ROW)).rowsBetween(W.unboundedPreceding, -1)
     d = docs.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     d = d.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     demand = F.least(F.floor(F.col("target") + 0.5).cast("long"), F.col("source_size") * most)
@@ -112,13 +114,14 @@ def mix(documents: DataFrame, weights=WEIGHTS, ramps=RAMPS, most: int = MOST) ->
 def mixed_documents(documents: DataFrame, weights=WEIGHTS, ramps=RAMPS, most: int = MOST) -> DataFrame:
     """The documents as the mix trains on them, in the order of training: each as
     often as its taken words make whole copies (to the nearest, so at most one
-    document of a source differs from `taken`), its columns unchanged. Ids must
-    be unique."""
+    document of a source differs from `taken`), its columns unchanged. Each row
+    is a document of its own, also where ids are null or repeated."""
+    columns = documents.columns
+    documents = stored(documents.withColumn(ROW, F.monotonically_increasing_id()), "mixing-rows")
     d = _placed(documents, weights, ramps, most).withColumn("copies", F.expr("(2 * taken + size) div (2 * nullif(size, 0))"))
-    d = d.filter("copies > 0").select("doc_id", "start", "source_size", "demand", "ramp", F.explode(F.expr("sequence(0L, copies - 1)")).alias("copy"))
-    d = d.select(F.col("doc_id").alias("__id"), _position(F.col("start") + F.col("copy") * F.col("source_size")).alias("__position"))
-    out = documents.join(d, F.col("doc_id") == F.col("__id"))
-    return out.orderBy("__position", "__id").select(*documents.columns)
+    d = d.filter("copies > 0").select("doc_id", ROW, "start", "source_size", "demand", "ramp", F.explode(F.expr("sequence(0L, copies - 1)")).alias("copy"))
+    d = d.select(F.col(ROW), F.col("doc_id").alias("__id"), _position(F.col("start") + F.col("copy") * F.col("source_size")).alias("__position"))
+    return documents.join(d, ROW).orderBy("__position", "__id", ROW).select(*columns)
 
 
 def op3(documents: DataFrame) -> DataFrame:

@@ -43,3 +43,16 @@ def test_empty_and_odd_rows(spark, sf_dir):
         for _, stage in P.STAGES:
             docs = stage(spark, docs, sf_dir)
         docs.collect()
+
+
+def test_null_and_repeated_ids_are_rows_of_their_own(spark, sf_dir):
+    text = lambda k: " ".join(f"w{k}x{n}" for n in range(50))
+    rows = [(None, text(0)), (None, text(1)), (None, text(1)), (5, text(2)), (5, text(3)), (5, text(3)), (7, text(3)), (8, text(0)), (9, text(4))]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    want = {(None, text(1)), (5, text(2)), (5, text(3)), (8, text(0)), (9, text(4))}
+    kept = P.drop_copies(spark, docs, sf_dir)
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(got) == 5 and set(got) == want and kept.columns == docs.columns
+    mixed = P.mix_sources(spark, kept, sf_dir)
+    assert sorted((r.doc_id or 0, r.text) for r in mixed.collect()) == sorted((i or 0, t) for i, t in want)
+    assert P.encode(spark, mixed, sf_dir).count() == 5
