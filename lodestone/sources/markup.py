@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 from ..functions import url as U
 
-MOST_CHARACTERS = 5_000_000
+MOST_CHARACTERS = 6_000_000  # of a page that is extracted
+MOST_BYTES = 5_000_000  # of a page that is fetched
 DROPPED = frozenset("script style noscript template svg canvas form iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 PARAGRAPHS = frozenset("p div section article main blockquote figure figcaption header footer nav aside table tr ul ol dl dt dd address".split())
@@ -286,6 +287,6 @@ def acceptable_type(content_type: Column) -> Column:
     return F.lower(F.trim(F.split(F.coalesce(content_type, F.lit("")), ";")[0])).isin("text/html", "application/xhtml+xml")
 
 
-def within_size(html: Column, declared: Column | None = None, cap: int = MOST_CHARACTERS) -> Column:
+def within_size(html: Column, declared: Column | None = None, cap: int = MOST_BYTES) -> Column:
     ok = F.octet_length(html) <= cap
     return ok if declared is None else ok & (F.coalesce(declared, F.lit(0)) <= cap)

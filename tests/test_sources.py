@@ -67,3 +67,10 @@ def test_json_lines(spark, tmp_path):
     (tmp_path / "p.json").write_text("[]")
     with pytest.raises(ValueError):
         jsonl.read_policy(str(tmp_path / "p.json"))
+
+
+def test_long_pages_are_extracted():
+    page = "<p>text</p>"
+    fits = page + " " * (6_000_000 - len(page))
+    assert M.extract(fits)["text"] == "text" and M.extract(fits)["error"] is None
+    assert M.extract(fits + " ")["error"] and M.within_size.__defaults__[-1] == 5_000_000
