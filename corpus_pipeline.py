@@ -3,7 +3,17 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages
 the documents are written as Parquet and read again, so a lost executor costs at
 most work of one stage. All stages but the last return the columns of the
-documents; the last returns one row per document of the mix.
+documents; the last returns one row per document of the mix, with its token ids.
+
+Defined results. Rows are documents of their own: those with a null id, or with
+an id that others have too, are judged each by its text. Null and blank texts
+score by the classifiers' biases, are no copies of anything, and have no words
+for the mix to take: it leaves them out. Of a group of near copies, equal rows
+among them, the row with the smallest id stays, one with an id before one
+without, then the first as stored. Very long texts are read whole by each stage.
+An empty table gives an empty one at each stage; without labels of both kinds
+the classifiers reject nothing. Extra columns are kept up to the mix, whatever
+their names: the stages name their own columns apart from them.
 """
 
 from __future__ import annotations
@@ -12,32 +22,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, mixing, neardup, quality, toxicity
-from lodestone.llm.common import scratch, stored, table
-
-SCORE = "__score"
-ROW = "__row"
+from lodestone.llm.common import scratch, stored, table, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose restored text isn't toxic."""
     fitted = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, fitted, out=SCORE).filter(F.col(SCORE) < toxicity.THRESHOLD).select(*docs.columns)
+    score = unused("score", docs.columns)
+    return toxicity.score(docs, fitted, out=score).filter(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     fitted = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, fitted, out=SCORE).filter(F.col(SCORE) >= quality.THRESHOLD).select(*docs.columns)
+    score = unused("score", docs.columns)
+    return quality.score(docs, fitted, out=score).filter(F.col(score) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, that of the smallest id, of each group of near copies. Rows are told apart by a number of
     their own, so that what shares an id or has none is a copy only if its text is."""
-    rows = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
-    groups = neardup.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW))
-    kept = groups.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(first.alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
-    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
+    row = unused("row", docs.columns)
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
+    groups = neardup.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("own"), "component_id")
+    ids = rows.select(F.col(row).alias("own"), F.col("doc_id").isNull().alias("none"), "doc_id")
+    kept = groups.join(ids, "own").groupBy("component_id").agg(F.min(F.struct("none", "doc_id", "own")).alias("first")).select(F.col("first.own").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded text of each document of the mix."""
+    """Token ids of each document of the mix, with their count and digests of them and of the decoded text."""
     return bpe.op7(docs)
 
 
@@ -58,8 +68,8 @@ STAGES = [
     ("BPE encoding and decoding", encode),
 ]
 
-#: Learned scores, MinHash and merges are beyond SQL; tests/llm hold the stages
-#: against brute-force versions.
+#: Learned scores, MinHash and merges are beyond SQL; tests/llm hold the operators, and the
+#: rows that stages 3 and 4 keep, against brute-force versions, and stages 1, 2 and 5 against the operators.
 ORACLE_SQL = None
 
 

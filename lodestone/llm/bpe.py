@@ -30,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import filesystem, held, scratch, stored
+from .common import filesystem, held, rows_of, scratch, stored
 
 LEXICON_WORDS = 262_144
 LONGEST = 32  # bytes of a lexicon word
-SLICE = 1 << 21  # characters of text that are held as words at once
-REMEMBERED = 80_000  # words outside the lexicon whose encoding a worker remembers
+SLICE = 1 << 20  # characters of text that are held as words at once
+REMEMBERED = 80_000  # words whose encoding a worker remembers, beside those of a slice
+HOT = 40_000  # of them, so many of the lexicon's stay
 
 
 def byte_symbols() -> list[str]:
@@ -81,21 +82,25 @@ def _last(text: str) -> int:
         return 0xFFFF if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else sys.maxunicode
 
 
-class Vocabulary:
-    """A tokenizer file: ids, merge ranks, added tokens; merges words exactly."""
+def default_tokenizer() -> str:
+    import public_tokenizers
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model = spec["model"]
-        self.ids: dict[str, int] = model["vocab"]
-        self.end: str = model["end_of_word_suffix"]
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+class Splitter:
+    """Cuts texts into pre-tokens."""
+
+    def __init__(self, spec: dict):
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.added.items()}
-        self.merges = {tuple(m if isinstance(m, list) else m.split(" ")): r for r, m in enumerate(model["merges"])}
-        self.symbols = byte_symbols()
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
 
+    @classmethod
+    def load(cls, path: str | None):
+        """From a tokenizer file; without a path from the default one of the machine that loads it."""
+        with open(path or default_tokenizer(), encoding="utf-8") as f:
+            return cls(json.load(f))
+
     def pieces(self, text: str) -> list[str]:
         """Pre-tokens of a whole text; added tokens stand as themselves."""
         if not any(s in text for s in self.added):
@@ -110,6 +115,19 @@ class Vocabulary:
         text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
         return _piece_pattern(_last(text)).findall(text)
 
+
+class Vocabulary(Splitter):
+    """A tokenizer file: ids, merge ranks, added tokens; merges words exactly."""
+
+    def __init__(self, spec: dict):
+        super().__init__(spec)
+        model = spec["model"]
+        self.ids: dict[str, int] = model["vocab"]
+        self.end: str = model["end_of_word_suffix"]
+        self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.added.items()}
+        self.merges = {tuple(m if isinstance(m, list) else m.split(" ")): r for r, m in enumerate(model["merges"])}
+        self.symbols = byte_symbols()
+
     def merge(self, word: str) -> list[int]:
         if word in self.added:
             return [self.added[word]]
@@ -156,9 +174,8 @@ class Vocabulary:
         return [x for x in s if x]
 
 
-@functools.lru_cache(2)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+def vocabulary(path: str | None) -> Vocabulary:
+    return Vocabulary.load(path)
 
 
 def compile_automaton(keys: list[bytes]) -> dict[str, np.ndarray]:
@@ -269,59 +286,67 @@ class Lexicon:
 
 
 class Encoder:
-    """Encodes slices of text. `known` holds (bytes, decoded text of the ids) of the
-    lexicon's words it has met, which stay, and of recent others, which go together."""
+    """Encodes slices of text. `known` holds (bytes, decoded text of the ids) of recent words;
+    when it is full all go but the first `HOT` that the lexicon had. Other words of the
+    lexicon are walked through the automaton again whenever a slice has them."""
 
-    def __init__(self, path: str, folder: str | None):
-        self.v = vocabulary(path)
+    def __init__(self, path: str | None, folder: str | None):
+        self.v = Vocabulary.load(path)
         self.lexicon = Lexicon.load(folder) if folder else None
-        self.frequent: dict[str, tuple[bytes, str]] = {}
+        self.hot: dict[str, tuple[bytes, str]] = {}
         self.known: dict[str, tuple[bytes, str]] = {}
 
     def _entry(self, ids: list[int]) -> tuple[bytes, str]:
         return struct.pack(f"<{len(ids)}I", *ids), " ".join(map(self.v.tokens.__getitem__, ids))
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.known) - len(self.frequent) > REMEMBERED:
-            self.known = dict(self.frequent)
+        if len(self.known) > REMEMBERED:
+            self.known = dict(self.hot)
         new = list(words - self.known.keys())
         ranks = self.lexicon.find([w.encode("utf-8", "surrogatepass") for w in new]).tolist() if self.lexicon and new else [-1] * len(new)
         for w, r in zip(new, ranks):
-            if r >= 0 and w not in self.v.added:
-                self.frequent[w] = self.known[w] = self._entry(self.lexicon.ids(r))
-            else:
+            if r < 0 or w in self.v.added:
                 self.known[w] = self._entry(self.v.merge(w))
+                continue
+            self.known[w] = self._entry(self.lexicon.ids(r))
+            if len(self.hot) < HOT:
+                self.hot[w] = self.known[w]
 
-    def slices(self, texts: list[str | None]):
+    def slices(self, texts):
         """Yields lists of (bytes of ids, decoded text) for runs of texts; an id has four bytes."""
         held, size = [], 0
-        for k, t in enumerate(texts):
+        for t in texts:
             held.append(self.v.pieces(t or ""))
             size += len(t or "")
-            if size >= SLICE or k == len(texts) - 1:
-                self._learn(set(chain.from_iterable(held)))
-                entry, out = self.known.__getitem__, []
-                for words in held:
-                    ids, decoded = zip(*map(entry, words)) if words else ((), ())
-                    out.append((b"".join(ids), " ".join(decoded)))
-                yield out
+            if size >= SLICE:
+                yield self._encoded(held)
                 held, size = [], 0
+        if held:
+            yield self._encoded(held)
+
+    def _encoded(self, texts: list[list[str]]) -> list[tuple[bytes, str]]:
+        self._learn(set(chain.from_iterable(texts)))
+        entry, out = self.known.__getitem__, []
+        for words in texts:
+            ids, decoded = zip(*map(entry, words)) if words else ((), ())
+            out.append((b"".join(ids), " ".join(decoded)))
+        return out
 
 
-def frequent_words(documents: DataFrame, path: str, n: int = LEXICON_WORDS) -> list[str]:
+def frequent_words(documents: DataFrame, path: str | None = None, n: int = LEXICON_WORDS) -> list[str]:
     """The pre-tokens that all texts hold most often: those of the largest counts,
     at most n; equal counts go in or stay out together."""
 
     def count(batches):
         import pyarrow as pa
 
-        v, seen = vocabulary(path), Counter()
+        v, seen = held(("bpe-words", path), lambda: Splitter.load(path)), Counter()
 
         def emit():
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
         for b in batches:
-            for t in b.column(0).to_pylist():
+            for (t,) in rows_of(b):
                 if t:
                     seen.update(v.pieces(t))
                 if len(seen) > 400_000:
@@ -344,7 +369,7 @@ def frequent_words(documents: DataFrame, path: str, n: int = LEXICON_WORDS) -> l
     return sorted(total.filter(step >= least).select("word").toArrow().column("word").to_pylist()) if least is not None else []
 
 
-def build_lexicon(documents: DataFrame, path: str, n: int = LEXICON_WORDS) -> str:
+def build_lexicon(documents: DataFrame, path: str | None = None, n: int = LEXICON_WORDS) -> str:
     """Compiles the frequent words into an automaton in the shared folder; its path."""
     v = vocabulary(path)
     words = {w.encode("utf-8"): v.merge(w) for w in frequent_words(documents, path, n) if w not in v.added}
@@ -353,41 +378,41 @@ def build_lexicon(documents: DataFrame, path: str, n: int = LEXICON_WORDS) -> st
     return folder
 
 
-def encode(df: DataFrame, path: str, folder: str | None, digests: bool = False) -> DataFrame:
-    """Adds `n_tokens`, `ids` and `decoded` to rows with a `text`; with
-    `digests`, the SHA-256 of both in their place and no text."""
-    made = [("n_tokens", T.LongType())] + (
-        [("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())] if digests else [("ids", T.ArrayType(T.LongType())), ("decoded", T.StringType())]
-    )
-    new = {n for n, _ in made}
-    kept = [c for c in df.columns if c.lower() not in new and not (digests and c == "text")]
-    schema = T.StructType([f for f in df.schema.fields if f.name in kept] + [T.StructField(*m) for m in made])
-    df = df.select(*kept, F.col("text").alias("__text"))
+def encode(df: DataFrame, path: str | None, folder: str | None, ids: bool = True, decoded: bool = False, digests: bool = False) -> DataFrame:
+    """Rows with a `text`, which is dropped, get `n_tokens` and, as asked for, their `ids`,
+    the `decoded` text, and the SHA-256 of ids and decoded text."""
+    made = [T.StructField("n_tokens", T.LongType())]
+    made += [T.StructField("ids", T.ArrayType(T.IntegerType()))] * ids + [T.StructField("decoded", T.StringType())] * decoded
+    made += [T.StructField(f"{n}_sha256", T.StringType()) for n in ("ids", "decoded") if digests]
+    new = {f.name for f in made}
+    kept = [c for c in df.columns if c.lower() not in new and c.lower() != "text"]
+    schema = T.StructType([f for f in df.schema.fields if f.name in kept] + made)
+    df = df.select(*(F.col(c) for c in kept), "text")
 
     def run(batches):
         import pyarrow as pa
 
         e = held(("bpe", path, folder), lambda: Encoder(path, folder))
         for b in batches:
-            n, ids, decoded = [], [], []
-            for rows in e.slices(b.column("__text").to_pylist()):
-                for i, d in rows:
-                    n.append(len(i) // 4)
-                    ids.append(hashlib.sha256(i).hexdigest() if digests else np.frombuffer(i, "<u4").tolist())
-                    decoded.append(hashlib.sha256(d.encode("utf-8")).hexdigest() if digests else d)
-            arrays = [pa.array(n, pa.int64()), pa.array(ids, pa.string() if digests else pa.list_(pa.int64())), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + arrays, names=[*kept, *(m for m, _ in made)])
+            at = 0
+            for rows in e.slices(t for (t,) in rows_of(b.select(["text"]))):
+                n = [len(i) // 4 for i, _ in rows]
+                found = {"n_tokens": pa.array(n, pa.int64())}
+                if ids:
+                    flat = np.frombuffer(b"".join(i for i, _ in rows), "<i4")
+                    found["ids"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(flat, pa.int32()))
+                if decoded:
+                    found["decoded"] = pa.array([d for _, d in rows], pa.string())
+                if digests:
+                    found["ids_sha256"] = pa.array([hashlib.sha256(i).hexdigest() for i, _ in rows])
+                    found["decoded_sha256"] = pa.array([hashlib.sha256(d.encode("utf-8")).hexdigest() for _, d in rows])
+                part = b.slice(at, len(rows))
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [found[f.name] for f in made], names=schema.names)
+                at += len(rows)
 
     return df.mapInArrow(run, schema)
 
 
-def default_tokenizer() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 def op7(documents: DataFrame, path: str | None = None) -> DataFrame:
-    path = path or default_tokenizer()
     docs = documents.select("doc_id", "text")
     return encode(docs, path, build_lexicon(docs, path), digests=True)

@@ -64,6 +64,14 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def unused(name: str, *taken) -> str:
+    """A column name that none of the lists of names has, whatever the case."""
+    names = {c.lower() for columns in taken for c in columns}
+    while name.lower() in names:
+        name = f"_{name}"
+    return name
+
+
 def rows_of(batch, at_once: int = 256):
     """The rows of an Arrow batch as tuples, few of them as Python objects at a time."""
     for at in range(0, batch.num_rows, at_once):

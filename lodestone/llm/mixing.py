@@ -24,18 +24,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WORD_RE, shared_dir, stored
+from .common import WORD_RE, shared_dir, stored, unused
 
 WEIGHTS = (5, 2, 1)
-ROW = "__row"
+ROW = "row"  # number of the row, where documents have one: none but `mixed_documents` gives it
 RAMPS = (-0.5, 0.0, 0.5)  # a of each weight's schedule
 MOST = 3
 
 
-def sized(documents: DataFrame) -> DataFrame:
-    """doc_id, source, size, and the digest that orders the documents; the number of the row where it has one."""
+def sized(documents: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, source, size, and the digest that orders the documents; as `ROW` the column `row`, if named."""
     return documents.select(
-        *(c for c in documents.columns if c == ROW),
+        *([F.col(row).alias(ROW)] if row else []),
         "doc_id",
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("long").alias("size"),
@@ -74,10 +74,10 @@ def training_time(share, ramp):
     return F.when(ramp == 0.0, share).otherwise((F.sqrt(b * b + F.lit(4.0) * ramp * share) - b) / (F.lit(2.0) * ramp))
 
 
-def _placed(documents: DataFrame, weights, ramps, most: int) -> DataFrame:
+def _placed(documents: DataFrame, weights, ramps, most: int, row: str | None = None) -> DataFrame:
     """Each document with its place in its source's stream and what is taken of it."""
     shared_dir(documents.sparkSession)
-    docs = sized(documents).withColumn("bucket", F.substring("order_key", 1, 2)).checkpoint()
+    docs = sized(documents, row).withColumn("bucket", F.substring("order_key", 1, 2)).checkpoint()
     buckets = docs.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     sizes = buckets.groupBy("source").agg(F.sum("words").alias("source_size"))
     t = targets(sizes, weights, ramps, most).withColumnRenamed("source", "s")
@@ -86,7 +86,7 @@ def _placed(documents: DataFrame, weights, ramps, most: int) -> DataFrame:
     offsets = offsets.join(t, F.col("source").eqNullSafe(F.col("s"))).select(
         F.col("source").alias("s"), F.col("bucket").alias("b"), "offset", "source_size", "ramp", "target"
     )
-    inside = W.partitionBy("source", "bucket").orderBy("order_key", "doc_id", "size", *(c for c in docs.columns if c == ROW)).rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source", "bucket").orderBy("order_key", "doc_id", "size", *([ROW] if row else [])).rowsBetween(W.unboundedPreceding, -1)
     d = docs.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     d = d.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     demand = F.least(F.floor(F.col("target") + 0.5).cast("long"), F.col("source_size") * most)
@@ -117,11 +117,12 @@ def mixed_documents(documents: DataFrame, weights=WEIGHTS, ramps=RAMPS, most: in
     document of a source differs from `taken`), its columns unchanged. Each row
     is a document of its own, also where ids are null or repeated."""
     columns = documents.columns
-    documents = stored(documents.withColumn(ROW, F.monotonically_increasing_id()), "mixing-rows")
-    d = _placed(documents, weights, ramps, most).withColumn("copies", F.expr("(2 * taken + size) div (2 * nullif(size, 0))"))
+    row, position, own, by_id = (unused(n, columns) for n in ("row", "position", "own", "by_id"))
+    documents = stored(documents.withColumn(row, F.monotonically_increasing_id()), "mixing-rows")
+    d = _placed(documents, weights, ramps, most, row).withColumn("copies", F.expr("(2 * taken + size) div (2 * nullif(size, 0))"))
     d = d.filter("copies > 0").select("doc_id", ROW, "start", "source_size", "demand", "ramp", F.explode(F.expr("sequence(0L, copies - 1)")).alias("copy"))
-    d = d.select(F.col(ROW), F.col("doc_id").alias("__id"), _position(F.col("start") + F.col("copy") * F.col("source_size")).alias("__position"))
-    return documents.join(d, ROW).orderBy("__position", "__id", ROW).select(*columns)
+    d = d.select(F.col(ROW).alias(own), F.col("doc_id").alias(by_id), _position(F.col("start") + F.col("copy") * F.col("source_size")).alias(position))
+    return documents.join(d, F.col(row) == F.col(own)).orderBy(position, by_id, own).select(*columns)
 
 
 def op3(documents: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, stored, words
+from .common import held, rows_of, stored, words
 from .components import components
 
 WIDTH = 5
@@ -108,7 +108,7 @@ def signed(documents: DataFrame) -> DataFrame:
         hashes, signer = held("neardup", _Hashes), Signer()
         for b in batches:
             n, hi, lo, bands = [], [], [], []
-            for text in b.column("text").to_pylist():
+            for (text,) in rows_of(b.select(["text"])):
                 s = shingles(text, hashes)
                 n.append(len(s))
                 d = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
@@ -131,7 +131,7 @@ def shingle_sets(documents: DataFrame) -> DataFrame:
 
         hashes = held("neardup", _Hashes)
         for b in batches:
-            sets = [shingles(t, hashes).view(np.int64) for t in b.column("text").to_pylist()]
+            sets = [shingles(t, hashes).view(np.int64) for (t,) in rows_of(b.select(["text"]))]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "n", "shingles"])
 
     return documents.select("id", "text").mapInArrow(run, "id long, n long, shingles array<long>")

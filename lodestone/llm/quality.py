@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, held
+from .common import fold, held, rows_of
 from .sample import FOLDS, labelled, sigmoid, trained
 
 SAMPLE = {0: 1000, 1: 1500}  # labelled rows that are learned from, at most
@@ -171,7 +171,7 @@ def score(df: DataFrame, fitted: dict | None, text: str = "text", out: str = "sc
 
         known = known_words(fitted) if fitted else None
         for b in batches:
-            made = [sigmoid(logit(t, known, fitted["bias"])) if fitted else 1.0 for t in b.column(text).to_pylist()]
+            made = [sigmoid(logit(t, known, fitted["bias"])) if fitted else 1.0 for (t,) in rows_of(b.select([text]))]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [pa.array(made, pa.float64())], names=[*kept, out])
 
     return df.select(*kept).mapInArrow(run, schema)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import importlib
 import math
 import os
 import pickle
+import subprocess
+import sys
 import traceback
 import zlib
 from collections.abc import Callable
@@ -12,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, held
+from .common import fold, held, rows_of
 
 FOLDS = 5  # rows of fold 0 are held out
 
@@ -32,7 +35,7 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, most: dict[int
         .agg(F.min(label).alias("y"), F.max(label).alias("z"))
         .filter("y = z")
     )
-    known = known.join(documents.select("doc_id").distinct(), "doc_id", "left_semi")
+    known = known.join(documents.select("doc_id"), "doc_id", "left_semi")
     chosen = None
     for value, n in most.items():
         part = known.filter(F.col("y") == value).select("doc_id", F.col("y").cast("int").alias("y")).orderBy(key, "doc_id").limit(n)
@@ -41,23 +44,39 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, most: dict[int
     return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
-def in_child(work: Callable[[], bytes]) -> bytes:
-    """What `work` returns in a forked process: its memory goes back with its end,
-    which a worker process that lives on would keep."""
-    read, write = os.pipe()
-    pid = os.fork()
-    if not pid:
+def child(module: str, name: str) -> None:
+    """A training process: reads rows from its input up to the end, writes the model that
+    the named function makes of them, or what went wrong."""
+    out = os.fdopen(os.dup(1), "wb")
+    os.dup2(2, 1)  # what training prints is no part of the model
+    try:
+        rows = []
+        while True:
+            try:
+                rows.append(pickle.load(sys.stdin.buffer))
+            except EOFError:
+                break
+        rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
+        made = b"+" + pickle.dumps(getattr(importlib.import_module(module), name)(rows))
+    except BaseException:
+        made = b"-" + traceback.format_exc().encode()
+    with out:
+        out.write(made)
+
+
+def in_child(train: Callable, rows) -> bytes:
+    """The pickled model that `train`, a function of a module, makes of the rows in an
+    interpreter of its own: rows are handed on one by one, and all memory goes back with its end."""
+    code = f"from {__name__} import child; child({train.__module__!r}, {train.__name__!r})"
+    env = os.environ | {"PYTHONPATH": os.pathsep.join(p for p in sys.path if p)}
+    with subprocess.Popen([sys.executable, "-c", code], stdin=subprocess.PIPE, stdout=subprocess.PIPE, env=env) as p:
         try:
-            out = b"+" + work()
-        except BaseException:
-            out = b"-" + traceback.format_exc().encode()
-        with os.fdopen(write, "wb") as f:
-            f.write(out)
-        os._exit(0)
-    os.close(write)
-    with os.fdopen(read, "rb") as f:
-        out = f.read()
-    os.waitpid(pid, 0)
+            for r in rows:
+                pickle.dump(r, p.stdin)
+            p.stdin.close()
+        except BrokenPipeError:  # it says why below
+            pass
+        out = p.stdout.read()
     if out[:1] != b"+":
         raise RuntimeError(out[1:].decode() or "training ended without a model")
     return out[1:]
@@ -72,9 +91,8 @@ def trained(sample: DataFrame, train: Callable[[list[tuple[int, str, int]]], obj
         import pyarrow as pa
 
         held("training", dict)
-        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "y")))]
-        rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
-        yield pa.RecordBatch.from_arrays([pa.array([in_child(lambda: pickle.dumps(train(rows)))], pa.binary())], names=["model"])
+        rows = (r for b in batches for r in rows_of(b.select(["doc_id", "text", "y"]), 16))
+        yield pa.RecordBatch.from_arrays([pa.array([in_child(train, rows)], pa.binary())], names=["model"])
 
     found = sample.repartition(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(found[0].model) if found else None
