@@ -1,49 +1,55 @@
 """HTML extraction by the maximum-scoring subsequence.
 
-A page is a sequence of words and tags. Words score positive and tags negative;
-the weights are log odds of standing inside rather than outside the main
-content, counted on labelled pages (those that mark it with one `article` or
-`main` element). A linear scan finds the contiguous region with the largest
-sum; it is cut at block ends. Elements that are never main text (menus,
-forms, scripts, notices, comments and so on) score with their tag's weight
-alone and are left out of the region's text, unless the main content stands in
-them (`containers`).
+A page is a sequence of blocks of words and tags. Words score positive, by the
+class of their block (paragraph, heading, item, links, a few words, more), and
+tags negative; the weights are log odds of standing inside rather than outside
+the main content, counted on labelled pages: those with one `article` or `main`
+element, whose own tags neither count nor score. A linear scan finds the
+contiguous regions of maximal sum; the best and those near it are the text, cut
+at block ends. Where most of their words stand in `article` elements, or in
+`main`, they are rounded to these elements as a whole. What HTML itself sets
+apart (menus, forms, scripts, hidden parts and so on), and containers whose class,
+id or role names a menu, an advert, a notice or comments, score with a tag's weight
+alone and are left out of the text, unless the main content stands in them (`containers`).
 
 Defined results: a null or empty html gives an empty text, as does a page
-without words; scanning is linear for any input, broken markup included; ties
-go to the longest, then the first region. Repeated rows are extracted each.
-Extra columns are kept by `extract`, those named like its outputs replaced.
+without words; time is linear for any input, broken markup and very long pages
+included; ties go to the longest, then the first region. Repeated rows are
+extracted each; null and repeated ids are kept. An empty table gives an empty
+one. Without labelled pages fixed weights hold. Extra columns are kept by
+`extract`, those named like its outputs replaced.
 """
 
 from __future__ import annotations
 
 import html as entities
 import math
+import pickle
 import re
 from collections import Counter, defaultdict
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LABELLED_PAGES = 600  # at most so many labelled pages are learned from
+from .common import rows_of
 
-#: No tag weighs more than so many times log 2: an advert between two paragraphs
-#: must not cut a short first one off.
+LABELLED_PAGES = 1200  # at most so many pages are looked at for labels
+
+#: No word or tag weighs more than so many times log 2: an advert between two paragraphs
+#: must not cut a short first one off, nor paragraphs all that is none.
 LARGEST = 3 * math.log(2.0)
 
-EPSILON = 0.01
+FEW = 12  # words of a block that is no paragraph: fewer are a line of the layout, if anything
+NEAR = 0.25  # regions of so large a part of the best one's sum are text too
 
 #: Elements whose content is no text of the page. Fixed values of HTML.
 RAW = "script|style|noscript|template|svg|canvas|iframe|object|textarea|select|title|math|audio|video"
-#: A token of the markup: comment, declaration, raw element up to its end, or tag.
-MARKUP = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<![^>]*+>|<\?[^>]*+>"
-    r"|<(?:svg|math)(?=[\s/>])(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+(?<=/)>"
-    rf"|<(?P<raw>{RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*+\"|'[^']*+'|[\"'])*?>.*?(?:</(?P=raw)\s*+[^>]*+>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attr>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>",
-    re.S | re.I,
-)
+RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])", re.I) for n in RAW.split("|")}
+TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*+)")
+#: What ends a tag, or begins a value in which that doesn't.
+STOP = re.compile(r">|=\s*+[\"']")
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody"
@@ -59,6 +65,15 @@ LEFT_OUT_NAMES = frozenset(
     " share sharing social related recommended newsletter subscribe subscription signup popup modal pagination pager widget"
     " toolbar complementary contentinfo form alert".split()
 )
+#: What the other parts of such a name may be, as in ad-slot or site-footer.
+LAYOUT_NAMES = frozenset(
+    "site page global main primary secondary top bottom left right center middle user reader container wrapper wrap box slot section"
+    " area block bar panel list item items inner outer unit row col column group holder links buttons button posts articles stories"
+    " title text message count thread body feed strip zone mobile desktop sticky fixed header".split()
+)
+#: Elements of running text: inside the main content only these names are taken for what they say there.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th tr span em strong b i a figure figcaption table ul ol dl".split())
+ADVERTS = frozenset("ad ads advert adverts advertisement sponsored".split())
 #: First and last parts of names that tell a layout's state, as in has-sidebar or ad-free.
 STATE_FIRST = frozenset("has no not non with without hide show is".split())
 STATE_LAST = frozenset("free enabled disabled".split())
@@ -83,6 +98,79 @@ HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=\s|$|=)|aria-hidden\s*=\s*["']?true|
 PART = re.compile(r"[a-z]+")
 
 
+class Tag(NamedTuple):
+    start: int
+    end: int
+    name: str  # empty for comments, declarations and raw elements
+    close: bool
+    attr: str
+
+
+def markup(page: str) -> list[Tag]:
+    """The markup of a page in order, in one pass: whatever has no end (a quote, a
+    tag, an element) is looked for once and then known to have none."""
+    out: list[Tag] = []
+    at, unquoted, no_end = 0, set(), set()
+    odd = False  # after a tag without an end, quotes hold no more
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            ends = [k + n for end, n in (("-->", 3), ("--!>", 4)) if end not in no_end and (k := page.find(end, at + 2 + (n == 4) * 2)) >= 0 or no_end.add(end)]
+            end = max(at + 4, min(ends, default=len(page)))
+            out.append(Tag(at, end, "", False, ""))
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at) + 1
+            if not end:
+                break
+            out.append(Tag(at, end, "", False, ""))
+        elif m := TAG.match(page, at):
+            k = m.end()
+            while not odd and (stop := STOP.search(page, k)) and stop[0] != ">":
+                quote, k = page[stop.end() - 1], stop.end()
+                if quote not in unquoted:
+                    end = page.find(quote, k)
+                    if end < 0:
+                        unquoted.add(quote)
+                    else:
+                        k = end + 1
+            if odd:
+                end = page.find(">", k) + 1
+                if not end:
+                    break
+            elif stop:
+                end = stop.end()
+            else:
+                odd = True
+                continue
+            name, close = m[1].lower(), page[at + 1] == "/"
+            attr = page[m.end() : end - 1]
+            if close or name not in RAW_END or name in ("svg", "math") and attr.endswith("/"):
+                out.append(Tag(at, end, name if name not in RAW_END else "", close, attr))
+            else:
+                after = None if name in no_end else RAW_END[name].search(page, end)
+                if after is None:
+                    no_end.add(name)
+                    end = len(page)
+                else:
+                    end = page.find(">", after.end()) + 1 or len(page)
+                out.append(Tag(at, end, "", False, ""))
+        else:
+            at += 1
+            continue
+        at = end
+    return out
+
+
+def _named_out(token: str, names: frozenset) -> bool:
+    """Whether a class, id or role names what is left out: it is such a name, or begins or
+    ends with one and has but words of the layout beside it."""
+    if token in names:
+        return True
+    parts = PART.findall(token)
+    if not parts or parts[0] in STATE_FIRST or parts[-1] in STATE_LAST:
+        return False
+    return (parts[0] in names or parts[-1] in names) and all(p in names or p in LAYOUT_NAMES for p in parts)
+
+
 def left_out(name: str, attr: str, in_content: bool) -> bool:
     if name in LEFT_OUT or name == "header" and not in_content:
         return True
@@ -90,17 +178,11 @@ def left_out(name: str, attr: str, in_content: bool) -> bool:
         return False
     if HIDDEN.search(attr):
         return True
-    for m in NAMES.finditer(attr):
-        for token in (m[1] or m[2] or m[3] or "").lower().split():
-            parts = PART.findall(token)
-            if len(parts) > 1 and (parts[0] in STATE_FIRST or parts[-1] in STATE_LAST):
-                continue
-            if token in LEFT_OUT_NAMES or parts and (parts[0] in LEFT_OUT_NAMES or parts[-1] in LEFT_OUT_NAMES):
-                return True
-    return False
+    names = ADVERTS if in_content and name in RUNNING else LEFT_OUT_NAMES
+    return any(_named_out(token, names) for m in NAMES.finditer(attr) for token in (m[1] or m[2] or m[3] or "").lower().split())
 
 
-def containers(page: str, found: list) -> dict[int, int]:
+def containers(page: str, found: list[Tag]) -> dict[int, int]:
     """Start of the tag -> end of the content of containers that are left out.
 
     Elements end as in HTML: with their end tag, with their parent or, where the
@@ -149,14 +231,14 @@ def containers(page: str, found: list) -> dict[int, int]:
 
     at = 0
     for t in found:
-        text(at, t.start())
-        at = t.end()
-        name = (t["name"] or "").lower()
+        text(at, t.start)
+        at = t.end
+        name = t.name
         if not name:
             continue
-        if t["close"]:
+        if t.close:
             if name in ("body", "html"):
-                end(max(0, last((name,))), t.start(), t.end())
+                end(max(0, last((name,))), t.start, t.end)
                 continue
             names = HEADINGS if name in HEADINGS else (name,)
             if name not in CLOSED_AS_BLOCKS:
@@ -166,25 +248,25 @@ def containers(page: str, found: list) -> dict[int, int]:
             else:
                 limit = last(("table",) if name in TABLE_PARTS else LISTS if name == "li" else SCOPE)
             if (place := last(names)) > limit:
-                end(place, t.start(), t.end())
+                end(place, t.start, t.end)
             continue
         if stack and stack[-1][0] == "head" and name not in IN_HEAD:
-            end(len(stack) - 1, t.start())
+            end(len(stack) - 1, t.start)
         if name in ENDS_P and (place := last(("p",))) > last(SCOPE):
-            end(place, t.start())
+            end(place, t.start)
         if name in ENDS:
             ended, around = ENDS[name]
             limit = last(around)
             if inside := [opened[n][-1] for n in ended if opened.get(n) and opened[n][-1] > limit]:
-                end(min(inside), t.start())
+                end(min(inside), t.start)
         if name in VOID:
-            if left_out(name, t["attr"], bool(mark[-1])):
-                held.append([t.start(), t.end(), 0, 0, 0, cover[-1], mark[-1], 0])
+            if left_out(name, t.attr, bool(mark[-1])):
+                held.append([t.start, t.end, 0, 0, 0, cover[-1], mark[-1], 0])
             continue
         c = m = 0
-        if left_out(name, t["attr"], bool(mark[-1])):
+        if left_out(name, t.attr, bool(mark[-1])):
             c = len(held)
-            held.append([t.start(), 0, words, mains, articles, cover[-1], mark[-1], 0])
+            held.append([t.start, 0, words, mains, articles, cover[-1], mark[-1], 0])
             cover.append(c)
         if name in CONTENT:
             m = len(marks)
@@ -211,71 +293,150 @@ def containers(page: str, found: list) -> dict[int, int]:
     return out
 
 
-def atoms(page: str, outside: list | None = None):
-    """The page as a list of ("w", text of a block) and ("t", tag) in order, and
-    whether each stands inside labelled content. `outside` gets what stands in
-    containers that are left out."""
-    out: list[tuple[str, str, bool]] = []
-    held: list[str] = []
-    found = list(MARKUP.finditer(page))
+HEADING, PARAGRAPH = frozenset(HEADINGS), frozenset("p blockquote pre dd".split())
+ITEM = frozenset("li dt option".split())
+
+
+class Atom(NamedTuple):
+    """A block of words or a tag, with the content elements it stands in (0: none)."""
+
+    kind: str  # class of the block, or the name of the tag
+    text: str | None
+    n: int  # words
+    article: int
+    main: int
+
+    @property
+    def inside(self) -> bool:
+        return bool(self.article or self.main)
+
+
+def block_class(name: str, n: int, linked: int) -> str:
+    if name in PARAGRAPH:
+        return "paragraph"
+    if name in HEADING:
+        return "heading"
+    if 2 * linked > n:
+        return "links"
+    return "item" if name in ITEM else "few" if n < FEW else "more"
+
+
+def atoms(page: str, outside: list | None = None) -> list[Atom]:
+    """The page as blocks and tags in order. `outside` gets those of containers that are left out."""
+    out: list[Atom] = []
+    found = markup(page)
     left = containers(page, found)
-    at, content, skip = 0, 0, 0
+    at = skip = links = 0
+    element, item = "", -1  # of the block; the place of its item's tag
+    opened = {"article": 0, "main": 0}
+    number = {"article": 0, "main": 0}
+    held: list[tuple[str, bool]] = []
+
+    def now(name: str) -> int:
+        return number[name] if opened[name] else 0
+
+    def into() -> list[Atom] | None:
+        return out if at >= skip else outside
 
-    def text(s: str) -> None:
-        if s and at >= skip:
-            held.append(s)
-        elif s and outside is not None:
-            outside.append(("w", s, False))
+    def add(kind: str, text: str | None = None, n: int = 0) -> None:
+        if (to := into()) is not None:
+            to.append(Atom(kind, text, n, *((now("article"), now("main")) if to is out else (0, 0))))
 
     def block() -> None:
+        nonlocal item
         if held:
-            if joined := " ".join(entities.unescape("".join(held)).split()):
-                out.append(("w", joined, content > 0))
+            if joined := " ".join(entities.unescape("".join(t for t, _ in held)).split()):
+                n = joined.count(" ") + 1
+                kind = block_class(element, n, sum(len(t.split()) for t, linked in held if linked))
+                if kind == "item" and item >= 0 and (to := into()) is not None and item < len(to):
+                    to[item] = to[item]._replace(kind=f"{element} text")
+                add(kind, joined, n)
             held.clear()
 
-    for m in found:
-        text(page[at : m.start()])
-        at = m.end()
-        name = (m["name"] or "").lower()
-        if not name:
-            continue
-        closing = bool(m["close"])
-        if m.start() < skip:  # inside a container that is left out
-            if outside is not None:
-                outside.append(("t", f"/{name}" if closing else name, False))
-            continue
-        if m.start() in left:
+    for t in found:
+        if t.start > at:
+            held.append((page[at : t.start], links > 0))
+        if at < skip <= t.start:  # the container that is left out ends
+            block()
+            at, element, links, item = t.start, "", 0, -1
+        name, close = t.name, t.close
+        own = t.start < skip and t.end == skip  # a container's own tags are no signs
+        if t.start >= skip and t.start in left and not close:
+            own = True
             block()
-            out.append(("t", "left-out", content > 0))
-            skip = left[m.start()]
+            add("left-out")
+            at, skip = t.start, left[t.start]
+            element, links = "", 0
+        if not name:
+            at = t.end
             continue
         if name in BLOCKS:
             block()
-        elif name in SPACED:
-            held.append(" ")
-        if not closing:
-            out.append(("t", name, content > 0))
+            at = t.start
+            links = 0
+            if name in CONTENT:
+                if t.start >= skip:
+                    if not close:
+                        number[name] += not opened[name]
+                    opened[name] = max(0, opened[name] + (-1 if close else 1))
+            elif not own:
+                text = close and into() and into()[-1].kind == "item" or False
+                add(f"/{name}{' text' if text else ''}" if close else name)
+                if name in ITEM and not close:
+                    item = len(into()) - 1 if into() is not None else -1
+            element = "" if close else name
         else:
-            out.append(("t", f"/{name}", content > 0))
-        if name in CONTENT:
-            content = max(0, content + (-1 if closing else 1))
-    text(page[at:])
+            if name in SPACED:
+                held.append((" ", False))
+            if name == "a":
+                links = max(0, links + (-1 if close else 1))
+            # A link within running text is no sign of a menu.
+            if not own:
+                add(("/" if close else "") + (f"{name} in text" if element in PARAGRAPH or element in HEADING else name))
+        at = t.end
+    if len(page) > at:
+        held.append((page[at:], links > 0))
+    if at < skip:
+        at = min(skip - 1, len(page))
     block()
     return out
 
 
+def label(counts: Counter, page: str) -> None:
+    """Adds the words and tags of a labelled page to the counts by (inside, is word, kind). Of what is left
+    out only lines of the layout count as words: an advert's running text reads like any other."""
+    rest: list[Atom] = []
+    for x in atoms(page, rest):
+        counts[x.inside, x.text is not None, x.kind] += x.n if x.text is not None else 1
+    for x in rest:
+        if x.text is None or x.kind in ("links", "few"):
+            counts[False, x.text is not None, x.kind] += x.n if x.text is not None else 1
+
+
+def weights_from(counts: Counter) -> dict:
+    """Weights from what stands inside and outside of labelled content:
+    {"word": of a word of any block, "words": by class, "tags": by name, "other": of other tags}."""
+    if not counts:
+        return {"word": math.log(2.0), "words": {"links": 0.01, "few": 0.1}, "tags": {"p": -0.01, "/p": -0.01}, "other": -math.log(2.0)}
+    names = {(is_word, kind) for _, is_word, kind in counts}
+    total = {k: sum(n for (inside, _, _), n in counts.items() if inside == k) + len(names) + 1 for k in (True, False)}
+    share = lambda inside, n: math.log((n + 1) / total[inside])
+    odds = lambda key: share(True, counts[True, *key]) - share(False, counts[False, *key])
+    words = {k: sum(n for (inside, is_word, _), n in counts.items() if is_word and inside == k) for k in (True, False)}
+    positive = lambda o: math.log1p(math.exp(o))
+    return {
+        "word": positive(share(True, words[True]) - share(False, words[False])),
+        "words": {kind: min(positive(odds((True, kind))), LARGEST) for is_word, kind in names if is_word},
+        "tags": {kind: -min(positive(-odds((False, kind))), LARGEST) for is_word, kind in names if not is_word},
+        "other": -math.log(2.0),
+    }
+
+
 def learn(pages) -> dict:
-    """Weights from labelled pages: {"word": positive, "tags": {name: negative}, "other": negative}."""
-    seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
+    counts: Counter = Counter()
     for page in pages:
-        rest: list = []
-        for kind, value, inside in [*atoms(page, rest), *rest]:
-            seen[inside]["" if kind == "w" else value] += len(value.split()) if kind == "w" else 1
-    names = seen[True] | seen[False]
-    total = {k: sum(c.values()) + len(names) + 1 for k, c in seen.items()}
-    odds = lambda t: math.log((seen[True][t] + 1) / total[True]) - math.log((seen[False][t] + 1) / total[False])
-    word = math.log1p(math.exp(odds("")))
-    return {"word": word, "tags": {t: -min(math.log1p(math.exp(-odds(t))), LARGEST) for t in names if t}, "other": -math.log(2.0)}
+        label(counts, page)
+    return weights_from(counts)
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -290,27 +451,83 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return at
 
 
+def regions(scores: list[float]) -> list[tuple[float, int, int]]:
+    """Every maximal run (sum, first, end): no run that it is part of, or that is part
+    of it, has a larger sum. In one pass, with for each run the last before it that begins lower."""
+    runs: list[tuple[float, float, int, int, int]] = []  # sums before and behind, bounds, place of the run that begins lower
+    total = 0.0
+    for k, s in enumerate(scores):
+        low, total = total, total + s
+        if s <= 0:
+            continue
+        first, high = k, total
+        while True:
+            j = len(runs) - 1
+            while j >= 0 and runs[j][0] >= low:
+                j = runs[j][4]
+            if j < 0 or runs[j][1] >= high:
+                runs.append((low, high, first, k + 1, j))
+                break
+            low, first = runs[j][0], runs[j][2]
+            del runs[j:]
+    return [(high - low, first, end) for low, high, first, end, _ in runs]
+
+
+def _titled(found: list[Atom], first: int) -> int:
+    """Where a region begins with the headings right before it."""
+    k = first
+    while k and (not found[k - 1].n or found[k - 1].kind == "heading"):
+        k -= 1
+        if found[k].n:
+            first = k
+    return first
+
+
 def main_text(page: str | None, weights: dict) -> str:
     if not page:
         return ""
     found = atoms(page)
-    if not any(kind == "w" for kind, _, _ in found):
+    if not any(x.n for x in found):
         return ""
-    word, tags, other = weights["word"], weights["tags"], weights["other"]
-    # Inside marked content a container that is left out is no sign of its end.
-    tag = lambda v, inside: -EPSILON if inside and v == "left-out" else tags.get(v, other)
-    lo, hi = best_region([word * (v.count(" ") + 1) if kind == "w" else tag(v, inside) for kind, v, inside in found])
-    return "\n\n".join(v for kind, v, _ in found[lo:hi] if kind == "w")
+    word, words, tags, other = weights["word"], weights.get("words", {}), weights["tags"], weights["other"]
+    scores = [x.n * words.get(x.kind, word) if x.text is not None else tags.get(x.kind, other) for x in found]
+    lo, hi = best_region(scores)
+    # Equal sums aside, the best region is one of the maximal ones.
+    least = NEAR * math.fsum(scores[lo:hi])
+    chosen = {(lo, hi)} | {(a, b) for s, a, b in regions(scores) if s >= least and (b <= lo or hi <= a)}
+    held = [found[k] for a, b in sorted(chosen) for k in range(_titled(found, a), b) if found[k].n]
+    total = sum(x.n for x in held if x.kind != "links")
+    for mark in ("article", "main"):
+        marked = [x for x in held if getattr(x, mark)]
+        if 2 * sum(x.n for x in marked) >= total:
+            kept = {getattr(x, mark) for x in marked}
+            held = [x for x in found if x.n and getattr(x, mark) in kept]
+            break
+    return "\n\n".join(x.text for x in held)
 
 
 def weights_of(pages: DataFrame, n: int = LABELLED_PAGES) -> dict:
-    """Learns from at most n pages with one content element, those of least crc32."""
-    marks = F.regexp_count(F.lower("html"), F.lit(r"<(?:article|main)[\s>]"))
+    """Learns, in a task, from those of n pages (of least crc32 of the id, chosen by ids alone) that
+    have one content element; of pages with one id from the least."""
     order = (F.crc32(F.col("page_id").cast("string").cast("binary")), "page_id")
-    chosen = pages.filter(marks == 1).select("page_id").orderBy(*order).limit(n)
-    # Only ids are ordered as a whole; their at most n pages are fetched then.
-    rows = pages.join(F.broadcast(chosen.distinct()), "page_id", "left_semi").filter(marks == 1)
-    return learn(r.html for r in rows.orderBy(*order, F.xxhash64("html")).limit(n).select("html").collect())
+    chosen = pages.filter("page_id IS NOT NULL").select("page_id").distinct().orderBy(*order).limit(n)
+    rows = pages.select("page_id", "html").join(F.broadcast(chosen), "page_id", "left_semi")
+    rows = rows.filter(F.regexp_count(F.lower("html"), F.lit(r"<(?:article|main)[\s>]")) == 1)
+    rows = rows.groupBy("page_id").agg(F.min("html").alias("html")).select("html")
+
+    def run(batches):
+        import pyarrow as pa
+
+        counts: Counter = Counter()
+        for b in batches:
+            for (page,) in rows_of(b, 16):
+                label(counts, page)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(counts)], pa.binary())], names=["counts"])
+
+    total: Counter = Counter()
+    for r in rows.coalesce(1).mapInArrow(run, "counts binary").collect():
+        total.update(pickle.loads(r.counts))
+    return weights_from(total)
 
 
 def extract(pages: DataFrame, weights: dict) -> DataFrame:
@@ -322,7 +539,7 @@ def extract(pages: DataFrame, weights: dict) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            texts = [main_text(h, weights) for h in b.column("html").to_pylist()]
+            texts = [main_text(h, weights) for (h,) in rows_of(b.select(["html"]))]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*kept, "text", "n_chars"])
 
     return pages.select(*kept, "html").mapInArrow(run, schema)

@@ -218,6 +218,54 @@ def test_long_broken_markup():
     assert htmltext.main_text("<div>" * 50_000 + BODY, WEIGHTS) == BODY.strip()
 
 
+TEXT = "one two three four five six seven eight nine ten eleven twelve. " * 2
+LEARNED = f"<nav><ul><li><a>Home</a></li><li><a>News</a></li></ul></nav><div class=ad>buy this one now please today</div><article><h1>A title</h1><p>{TEXT}</p><p>{TEXT}</p></article><footer>Example Inc.</footer>"
+UNMARKED = {
+    # class names in running text of the article say what it is about, not what it is
+    "<article>" + "".join(f"<p class='{c}'>{c} {TEXT}</p>" for c in ("related-work", "share-price", "form-factor", "banner-story", "popup", "article-alert")) + "</article>":
+        [f"{c} {TEXT}" for c in ("related-work", "share-price", "form-factor", "banner-story", "popup", "article-alert")],
+    f"<article><p>{TEXT}</p></article><div>" + "<a>link to a page</a> " * 20 + f"</div><article><p>two {TEXT}</p></article>": [TEXT, f"two {TEXT}"],
+    f"<div><a>Home</a> <a>News</a> <a>About us</a></div><h1>Title</h1><div>{TEXT}</div><div>{TEXT}</div><div>Copyright 2024 Example Inc.</div>": ["Title", TEXT, TEXT],
+    f"<div class=top><ul><li><a>Home</a></li><li><a>News</a></li></ul></div><div>{TEXT}</div><div>{TEXT}</div><div>© 2024 Example</div>": [TEXT, TEXT],
+    f"<div>{TEXT}<a>link</a></div><ul><li>point one of it</li><li>point two of it</li></ul>": [f"{TEXT}link", "point one of it", "point two of it"],
+    f"<p>{TEXT}</p><p>See <a>this</a>.</p>": [TEXT, "See this."],
+    f"<div class='site-footer'>x</div><div class='cookie-notice'>y</div><div class='comments-area'><p>z</p></div><p>{TEXT}</p>": [TEXT],
+}
+
+
+@pytest.mark.parametrize("page", UNMARKED)
+def test_main_text_of_unmarked_pages(page):
+    weights = htmltext.learn([LEARNED] * 50)
+    assert htmltext.main_text(page, weights) == "\n\n".join(" ".join(x.split()) for x in UNMARKED[page])
+
+
+def test_regions():
+    rng = random.Random(5)
+    for _ in range(300):
+        s = [float(rng.randint(-3, 3)) for _ in range(rng.randint(1, 14))]
+        want, spans = [], [(0, len(s))]
+        while spans:  # the best run of least length, then those on both its sides
+            a, b = spans.pop()
+            best = max(((sum(s[i:j]), i - j, -i) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0, 0, 0))
+            if best[0] > 0:
+                i, j = -best[2], -best[2] - best[1]
+                want.append((best[0], i, j))
+                spans += [(a, i), (j, b)]
+        assert sorted(x for x, _, _ in htmltext.regions(s)) == sorted(x for x, _, _ in want)
+
+
+BROKEN = ["<script " + '"' * 10**6, "<script " * 10**5, "<a " * 10**5, "<a '>' " * 10**5, "<!--" * 10**5, "<script>" * 10**5, "<a href='x>" * 10**5, "<svg/ " * 10**5, "</script" * 10**5]
+
+
+@pytest.mark.parametrize("page", BROKEN, ids=lambda p: p[:9])
+def test_broken_markup_is_linear(page):
+    import time
+
+    began = time.process_time()
+    htmltext.main_text(page, WEIGHTS)
+    assert time.process_time() - began < 1
+
+
 # --- media ------------------------------------------------------------------------
 
 
