@@ -1,13 +1,15 @@
 """WARC: a deterministic sharded writer and its reader.
 
-Writing: records are range-sorted by page id (range bounds come from an exact
-histogram of bytes over the id range, so that reruns cut alike), each shard is
-one task that streams gzip members into files, rolled by compressed size. A
-file is written under a temporary name and renamed when it is whole; the
+Writing: records are range-sorted by page id and a hash of the payload. Bounds
+of the shards come from exact running sums of bytes in that order, over a narrow
+table, so that reruns cut alike whatever the ids are; rows of one id and payload
+that are more than a shard are dealt out to several. Each shard is one task
+that streams gzip members into files, rolled by compressed size. A file is
+written under a temporary name and renamed when it is whole; the
 manifest (one row per file: name, size, digest, records), stored after all
 files, is the commit. What no manifest names isn't part of an archive, so lost
 executors and repeated or duplicate tasks do no harm: the same shard always has the
-same names and bytes.
+same names and bytes, and temporary files of lost tasks go when the manifest is there.
 
 Payloads of at least 1000 bytes are written once: the record of the largest
 page id is the response, the others are revisits that refer to it and keep the
@@ -15,9 +17,11 @@ HTTP headers of the full payload. Record ids, dates, lengths and digests are
 regenerated from the content.
 
 Defined results: a null html is an empty payload; a null url leaves out the
-target URI; a null page id is written and read back as null; repeated rows are
-records of their own (of equal ones with the largest id the first is the
-response). An empty table gives an archive without files and no rows. Extra
+target URI; a null page id is written and read back as null, sorts first, and is
+smaller than any other (equal payloads that all have none are all responses);
+repeated rows are records of their own (of those with the largest id one is the
+response, the others revisit it). Ids may be any longs. A very long text is one record, held
+once in its task. An empty table gives an archive without files and no rows. Extra
 columns are ignored.
 """
 
@@ -28,18 +32,22 @@ import hashlib
 import io
 import uuid
 import zlib
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
-from .common import filesystem, scratch, stored
+from .common import filesystem, rows_of, scratch, stored
 
 LEAST_SHARED = 1000
-SHARD_BYTES = 24 << 20  # payload bytes of a shard, about
+SHARD_BYTES = 24 << 20  # bytes of a shard, about; more where there would be more than MOST_SHARDS
+MOST_SHARDS = 50_000
+RECORD_BYTES = 600  # of a record besides its payload, about
 ROLL_BYTES = 16 << 20  # compressed bytes of a file, about
 LEVEL = 3
-STEPS = 4096  # of the histogram over the id range
 DATE = "1970-01-01T00:00:00Z"  # the archive holds no clock: reruns are equal
 
 MANIFEST = "file string, shard long, seq long, records long, bytes long, sha256 string, first_page long, last_page long"
@@ -56,8 +64,8 @@ RECORDS = T.StructType(
 )
 
 
-def _record_id(page_id: int | None, k: int = 0) -> str:
-    return f"<urn:lodestone-page:{'null' if page_id is None else page_id}:{k}>"
+def _record_id(page_id: int | None, digest: str, k: int | str = 0) -> str:
+    return f"<urn:lodestone-page:{'null' if page_id is None else page_id}:{digest}:{k}>"
 
 
 def _page_of(record_id: str) -> int | None:
@@ -65,7 +73,7 @@ def _page_of(record_id: str) -> int | None:
     return None if part == "null" else int(part)
 
 
-def make_record(page_id: int | None, k: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def make_record(page_id: int | None, k: int | str, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC/1.1 record with regenerated headers and digests."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
@@ -73,14 +81,14 @@ def make_record(page_id: int | None, k: int, url: str | None, payload: bytes, di
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {_record_id(page_id, k)}",
+        f"WARC-Record-ID: {_record_id(page_id, digest, k)}",
         f"WARC-Date: {DATE}",
         *([f"WARC-Target-URI: {uri}"] if uri else []),
         f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Block-Digest: sha1:{hashlib.sha1(block).hexdigest()}",
     ]
     if refers_to is not None:
-        lines += [f"WARC-Refers-To: {_record_id(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines += [f"WARC-Refers-To: {_record_id(refers_to, digest)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
@@ -140,61 +148,122 @@ class _Roller:
         return row
 
 
-def shard_of(pages: DataFrame, shard_bytes: int):
-    """(column with the shard of a page id, number of shards), by exact byte counts."""
-    lo, hi = pages.agg(F.min("page_id"), F.max("page_id")).first()
-    if lo is None:
-        return F.lit(0), 1
-    width = (hi - lo) // STEPS + 1
-    step = F.coalesce(F.expr(f"int((page_id - {lo}) div {width})"), F.lit(0))
-    held = dict(pages.groupBy(step.alias("step")).agg(F.sum("payload_bytes")).collect())  # at most STEPS rows
-    shards, total = [], 0
-    for k in range(STEPS):
-        shards.append(total // shard_bytes)
-        total += held.get(k, 0)
-    return F.element_at(F.lit(shards), step + 1), shards[-1] + 1
-
-
-def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, least_shared: int = LEAST_SHARED, level: int = LEVEL) -> DataFrame:
+def shard_bounds(keys: DataFrame, shard_bytes: int | None = None) -> tuple[list[tuple[int, int]], dict[tuple[int, int], tuple[int, int]]]:
+    """From (page, hash, bytes): the first key of each shard, in order, and of each key that is more than a
+    shard the number of the first further shard it goes to and how many these are. At most
+    about MOST_SHARDS rows come to the driver; running sums are by range of keys, and over the ranges' totals."""
+    keys = keys.groupBy("page", "hash").agg(F.sum("bytes").alias("bytes")).repartitionByRange("page", "hash")
+    keys = stored(keys.withColumn("part", F.spark_partition_id()), "warc-keys")
+    parts = keys.groupBy("part").agg(F.sum("bytes").alias("bytes"))
+    total = parts.agg(F.sum("bytes")).first()[0] or 0
+    size = shard_bytes or max(SHARD_BYTES, total // MOST_SHARDS)
+    before = W.rowsBetween(W.unboundedPreceding, -1)
+    offsets = parts.select("part", F.coalesce(F.sum("bytes").over(before.orderBy("part")), F.lit(0)).alias("offset"))
+    inside = F.coalesce(F.sum("bytes").over(before.partitionBy("part").orderBy("page", "hash")), F.lit(0))
+    placed = keys.withColumn("inside", inside).join(offsets, "part").withColumn("shard", F.expr(f"(offset + inside) div {size}"))
+    found = placed.groupBy("shard").agg(F.min(F.struct("page", "hash")).alias("key"), F.max_by(F.struct("page", "hash", "bytes"), "bytes").alias("most")).collect()
+    bounds = sorted((r.key.page, r.key.hash) for r in found)
+    heavy, further = {}, len(bounds)
+    # A key that is more than a shard is the last of its shard, and the largest.
+    for r in sorted(found, key=lambda r: r.shard):
+        if r.most.bytes > size:
+            n = -(-r.most.bytes // size) - 1
+            heavy[r.most.page, r.most.hash] = further, n
+            further += n
+    return bounds, heavy
+
+
+def shards_of(bounds: list[tuple[int, int]], heavy: dict[tuple[int, int], tuple[int, int]]):
+    """A function of columns (page, hash, salt): the shards of a row, one that the salt picks or all without a salt."""
+    first = np.array(bounds or [(0, 0)], np.int64)
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def shards(page, hash, salt):
+        import pandas as pd
+
+        p, h = page.to_numpy(np.int64), hash.to_numpy(np.int64)
+        lo, hi = np.searchsorted(first[:, 0], p, "left"), np.searchsorted(first[:, 0], p, "right")
+        at = np.maximum(lo - 1, 0)
+        for k in np.flatnonzero(hi > lo):  # bounds with this very page
+            at[k] = max(0, lo[k] + np.searchsorted(first[lo[k] : hi[k], 1], h[k], "right") - 1)
+        out = [[x] for x in at.tolist()]
+        if heavy:
+            for k, key in enumerate(zip(p.tolist(), h.tolist())):
+                if key in heavy:
+                    further, n = heavy[key]
+                    every = [*out[k], *range(further, further + n)]
+                    out[k] = every if pd.isna(salt[k]) else [every[int(salt[k]) % len(every)]]
+        return pd.Series(out)
+
+    return shards
+
+
+def write_warc(pages: DataFrame, folder: str, shard_bytes: int | None = None, roll_bytes: int = ROLL_BYTES, least_shared: int = LEAST_SHARED, level: int = LEVEL) -> DataFrame:
     """Writes (page_id, url, html) as archives below `folder`; the manifest."""
     raw = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    narrow = stored(pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(raw).alias("digest"), F.octet_length(raw).cast("long").alias("payload_bytes")), "warc-digests")
+    page_id = F.col("page_id").cast("long")
+    key = [F.coalesce(page_id, F.lit(-(1 << 63))).alias("page"), F.xxhash64(raw).alias("hash")]
+    narrow = stored(pages.select(page_id.alias("page_id"), *key, F.sha1(raw).alias("digest"), F.octet_length(raw).cast("long").alias("payload_bytes")), "warc-digests")
     groups = narrow.filter(F.col("payload_bytes") >= least_shared).groupBy("digest").agg(F.max("page_id").alias("target"), F.count("*").alias("n")).filter("n > 1")
-    shared = narrow.join(groups, "digest").select("page_id", "digest", "target").distinct()
-    shard, n = shard_of(narrow, shard_bytes)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("target"), "url", "html")
-    rows = rows.unionByName(shared.withColumn("kind", F.lit(0)), allowMissingColumns=True).withColumn("shard", shard.cast("int"))
+    shared = narrow.join(groups, "digest").select("page_id", "page", "hash", "digest", "target").distinct()
+    bounds, heavy = shard_bounds(narrow.select("page", "hash", (F.col("payload_bytes") + RECORD_BYTES).alias("bytes")), shard_bytes)
+    own = len(bounds)
+    shards = shards_of(bounds, heavy)
+    # Rows that a heavy key deals out are equal but for their url: any of them may go anywhere.
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 31))
+    nothing = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    rows = pages.select(page_id.alias("page_id"), *key, F.lit(1).alias("kind"), salt.alias("salt"), nothing("string", "digest"), nothing("long", "target"), "url", "html")
+    rows = rows.unionByName(shared.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    rows = rows.withColumn("shards", shards("page", "hash", "salt")).drop("page", "salt")
+    if heavy:
+        rows = rows.withColumn("shard", F.explode("shards"))
+    else:
+        rows = rows.withColumn("shard", F.col("shards")[0])
+    rows = rows.drop("shards").repartitionById(max(1, own + sum(n for _, n in heavy.values())), F.col("shard"))
     # Repeated rows of an id differ at most in url and html: these settle their order.
-    rows = rows.repartitionById(n, F.col("shard")).sortWithinPartitions("page_id", "kind", "url", "html")
+    rows = rows.sortWithinPartitions("page_id", "kind", "hash", "url", "html")
 
     def run(batches):
         import pyarrow as pa
 
-        roller, page, targets, served, seen = None, None, {}, set(), 0
+        roller, page, targets, written = None, None, {}, Counter()
         done = []
         for b in batches:
-            for pid, kind, digest, target, url, html, k in zip(*(b.column(c).to_pylist() for c in ("page_id", "kind", "digest", "target", "url", "html", "shard"))):
+            for pid, kind, digest, target, url, html, k in rows_of(b.select(["page_id", "kind", "digest", "target", "url", "html", "shard"]), 64):
                 roller = roller or _Roller(folder, k, roll_bytes, level)
-                if pid != page or seen == 0 and not targets:
-                    page, targets, served, seen = pid, {}, set(), 0
+                if pid != page:
+                    page, targets, written = pid, {}, Counter()
                 if kind == 0:
                     targets[digest] = target
                     continue
                 payload = (html or "").encode("utf-8", "surrogatepass")
                 digest = hashlib.sha1(payload).hexdigest()
                 to = targets.get(digest)
-                if to is not None and to == pid and digest not in served:
-                    served.add(digest)
+                # The first of the largest id is the response; it stands in the key's own shard.
+                if to is not None and to == pid and k < own and not written[digest]:
                     to = None
-                done.append(roller.write(pid, make_record(pid, seen, url, payload, digest, to)))
-                seen += 1
+                number = written[digest] if k < own else f"{k}.{written[digest]}"
+                done.append(roller.write(pid, make_record(pid, number, url, payload, digest, to)))
+                written[digest] += 1
         if roller:
             done.append(roller.close())
         rows = [r for r in done if r]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if j in (0, 5) else pa.int64()) for j, c in enumerate(zip(*rows))], names=[f.split()[0] for f in MANIFEST.split(", ")])
 
-    return stored(rows.mapInArrow(run, MANIFEST), "warc-manifest")
+    manifest = stored(rows.mapInArrow(run, MANIFEST), "warc-manifest")
+    _clear(folder)
+    return manifest
+
+
+def _clear(folder: str) -> None:
+    """Temporary files that lost tasks left."""
+    from pyarrow import fs
+
+    store, path = filesystem(folder)
+    for info in store.get_file_info(fs.FileSelector(path)):
+        if info.base_name.startswith(".tmp-"):
+            store.delete_file(info.path)
 
 
 def read_warc(manifest: DataFrame, folder: str, payload: bool = True) -> DataFrame:
@@ -250,10 +319,10 @@ def op1(pages: DataFrame) -> DataFrame:
 SQL1 = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
-         count(*) OVER w AS n, max(page_id) OVER w AS top FROM pages
-  WINDOW w AS (PARTITION BY sha1(coalesce(html, ''))))
+         max(page_id) OVER (PARTITION BY sha1(coalesce(html, ''))) AS top,
+         row_number() OVER (PARTITION BY sha1(coalesce(html, '')) ORDER BY page_id DESC NULLS LAST) AS place FROM pages)
 SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
+       CASE WHEN payload_bytes >= 1000 AND place > 1 AND top IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND place > 1 THEN top END AS refers_to
 FROM p
 """

@@ -52,6 +52,52 @@ def test_warc_files(spark, frame):
     assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
 
 
+def test_warc_bounds(spark, frame):
+    """Shards are of one size whatever the ids: at both ends of long, with an outlier, without ids, one id, equal rows."""
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choices("abcdef <>", k=n))
+    ends = [-(2**63), -(2**62) - 5, 2**62 + 5, 2**63 - 1]
+    tables = {
+        "wide": [(i, "u", text(5000), None) for i in ends * 10],
+        "outlier": [(k, "u", text(5000), None) for k in range(100)] + [(10**12, "u", text(5000), None)],
+        "null": [(None, "u", text(5000), None) for _ in range(60)],
+        "one": [(7, "u", text(5000), None) for _ in range(60)],
+        "equal": [(7, "u", "x" * 5000, None)] * 60 + [(9, "u", "y" * 900, None)] * 60 + [(1, "u", "x" * 5000, None)],
+    }
+    for name, rows in tables.items():
+        df = frame(PAGE, rows)
+        folder = scratch(spark, "test-warc")
+        fs, path = filesystem(folder)
+        fs.create_dir(path)
+        with fs.open_output_stream(f"{path}/.tmp-lost") as f:
+            f.write(b"x")
+        manifest = warc.write_warc(df, folder, shard_bytes=50_000)
+        files = manifest.collect()
+        assert len(files) >= len(rows) * 5000 // 100_000 and sum(r.records for r in files) == len(rows), name
+        assert max(r.records for r in files) <= (60 if name == "equal" else 20), name
+        assert not any(i.base_name.startswith(".tmp") for i in fs.get_file_info(__import__("pyarrow").fs.FileSelector(path))), name
+        back = warc.read_warc(manifest, folder).collect()
+        largest = {}
+        for i, _, h, _ in rows:
+            largest.setdefault(h, []).append(-(2**64) if i is None else i)
+        assert sorted((r.page_id if r.page_id is not None else -1, r.payload_bytes) for r in back) == sorted((i if i is not None else -1, len(h)) for i, _, h, _ in rows), name
+        for h, ids in largest.items():
+            mine = [r for r in back if r.payload == h.encode()]
+            assert len(mine) == (1 if len(h) >= 1000 else len(ids)) and (mine[0].page_id or 0) == max(0 if i == -(2**64) else i for i in ids), name
+        assert all(r.refers_to == 7 for r in back if r.record_type == "revisit"), name
+
+
+def test_warc_many_shards(spark):
+    """Ten thousand shards: bounds are in order, and every key goes to the one that holds it."""
+    from pyspark.sql import functions as F
+
+    keys = spark.range(40_000).select(((F.col("id") - 20_000) * 400_000_000_000_000).alias("page"), F.xxhash64("id").alias("hash"), F.lit(25).cast("long").alias("bytes"))
+    bounds, heavy = warc.shard_bounds(keys, shard_bytes=100)
+    assert len(bounds) == 10_000 and bounds == sorted(bounds) and not heavy
+    got = keys.select("page", warc.shards_of(bounds, heavy)("page", "hash", F.lit(1).cast("long")).alias("s")).collect()
+    assert all(r.s == [(r.page // 400_000_000_000_000 + 20_000) // 4] for r in got)
+
+
 def test_damaged_warc_fails(spark, frame):
     folder = scratch(spark, "test-warc")
     fs, path = filesystem(folder)
