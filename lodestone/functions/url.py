@@ -92,22 +92,42 @@ def origin(url: Column) -> Column:
     return F.struct(scheme(url).alias("scheme"), host(url).alias("host"), effective_port(url).alias("port"))
 
 
+def without_dots(path: Column) -> Column:
+    """A path without its `.` and `..` segments, each `..` with the segment before it."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(
+        F.filter(parts, lambda x, i: (i > 0) & (x != ".")),
+        F.array().cast("array<string>"),
+        lambda held, x: F.when(x == "..", F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))).otherwise(F.concat(held, F.array(x))),
+    )
+    open_end = F.regexp_like(path, F.lit(r"/\.\.?$"))
+    found = F.concat(F.lit("/"), F.array_join(F.when(open_end, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/"))
+    return F.when(F.regexp_like(path, F.lit(r"/\.\.?(?:/|$)")), found).otherwise(path)
+
+
 def resolve(base: Column, link: Column) -> Column:
     """A link against its page: absolute, `//host`, `/path`, `?query`, `#fragment`
-    and relative paths without dot segments."""
+    and relative paths, dot segments removed."""
+    path = F.when(_part(base, 3) == "", F.lit("/")).otherwise(_part(base, 3))
     root = F.concat(_part(base, 1), F.lit("://"), _part(base, 2))
-    here = F.concat(root, F.when(_part(base, 3) == "", F.lit("/")).otherwise(_part(base, 3)))
-    folder = F.concat(root, F.regexp_extract(F.when(_part(base, 3) == "", F.lit("/")).otherwise(_part(base, 3)), r"^(.*/)", 1))
+    link_path, tail = F.regexp_extract(link, r"^([^?#]*)", 1), F.regexp_extract(link, r"^[^?#]*(.*)$", 1)
     return (
         F.when(F.regexp_like(link, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")), link)
         .when(F.startswith(link, F.lit("//")), F.concat(_part(base, 1), F.lit(":"), link))
-        .when(F.startswith(link, F.lit("/")), F.concat(root, link))
-        .when(F.startswith(link, F.lit("?")), F.concat(here, link))
+        .when(F.startswith(link, F.lit("/")), F.concat(root, without_dots(link_path), tail))
+        .when(F.startswith(link, F.lit("?")), F.concat(root, path, link))
         .when((link == "") | F.startswith(link, F.lit("#")), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), link))
-        .otherwise(F.concat(folder, link))
+        .otherwise(F.concat(root, without_dots(F.concat(F.regexp_extract(path, r"^(.*/)", 1), link_path)), tail))
     )
 
 
+def valid_port(url: Column) -> Column:
+    """Whether the port, if one is written, is a number from 1 to 65535."""
+    place = F.regexp_replace(_part(url, 2), r"^.*@", "")
+    written = F.regexp_extract(F.regexp_replace(place, r"^\[[^\]]*\]", ""), r":(.*)$", 1)
+    return (written == "") | (F.regexp_like(written, F.lit(r"^[0-9]{1,5}$")) & F.coalesce(written.try_cast("int").between(1, 65535), F.lit(False)))
+
+
 def looks_like_ip(h: Column) -> Column:
     return F.regexp_like(h, F.lit(r"^(?:[0-9]+(?:\.[0-9]+){3}|[0-9a-f:.]*:[0-9a-f:.]*)$"))
 

@@ -1,10 +1,11 @@
 """Retrieval for tables of queries: BM25, exact vector search, collapse, hash
 guard, reciprocal-rank fusion and membership-preserving rerank."""
 
-
+from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import tokens
+from ..session import written
 from .joins import small, top_k
 
 K1, B = 1.2, 0.75
@@ -48,50 +50,81 @@ def saturated(tf: Column, length: Column, average: Column) -> Column:
     return tf / (tf + K1 * (1 - B + B * quantised(length) / average))
 
 
-def _field(chunks: DataFrame, key: list[str], field: str) -> DataFrame:
-    return chunks.select(*key, tokens(F.col(field)).alias("toks")).filter(F.size("toks") > 0)
+class LexicalIndex(NamedTuple):
+    """What a lexical search reads, by field: `texts` (key, dl, toks), `postings` (term, key, dl, tf) where they
+    are stored, and the number of chunks that have the field with their mean length."""
+
+    key: list[str]
+    texts: dict[str, DataFrame]
+    postings: dict[str, DataFrame]
+    stats: dict[str, tuple[int, float]]
+
+
+def lexical_index(chunks: DataFrame, key: list[str], fields, postings: bool = False) -> LexicalIndex:
+    """Tokenises each field once. With `postings` these are stored too, ranged by term, so that a search
+    reads the row groups of the terms it has and no texts but those that may hold a phrase."""
+    texts, stored, stats = {}, {}, {}
+    for field in fields:
+        toks = chunks.select(*key, tokens(F.col(field)).alias("toks")).filter(F.size("toks") > 0)
+        texts[field] = written(toks.select(*key, F.size("toks").alias("dl"), "toks"), f"texts-{field}")
+        n, total = texts[field].agg(F.count("*"), F.sum("dl")).first()
+        stats[field] = n, (total or 0) / max(n, 1)
+        if postings:
+            rows = _postings(texts[field], key).repartitionByRange("term").sortWithinPartitions("term")
+            stored[field] = written(rows, f"postings-{field}")
+    return LexicalIndex(list(key), texts, stored, stats)
 
 
-def _clauses(queries: DataFrame, chunks: DataFrame, key: list[str], field: str, phrase: bool) -> tuple[DataFrame, DataFrame | None]:
+def _postings(texts: DataFrame, key: list[str], wanted: DataFrame | None = None) -> DataFrame:
+    rows = texts.select(F.explode("toks").alias("term"), *key, "dl")
+    rows = rows if wanted is None else rows.join(wanted, "term")  # other tokens are dropped before anything is shuffled
+    return rows.groupBy("term", *key, "dl").agg(F.count("*").alias("tf"))
+
+
+def _clauses(queries: DataFrame, index: LexicalIndex, field: str, phrase: bool) -> tuple[DataFrame, DataFrame | None]:
     """Term and phrase scores of one field: (query_id, *key, score)."""
-    docs = _field(chunks, key, field)
-    stats = docs.agg(F.count("*").alias("n_docs"), (F.sum(F.size("toks")) / F.count("*")).alias("avg_len"))
+    key, texts, (n_docs, average) = index.key, index.texts[field], index.stats[field]
+    length = F.lit(average)
     q = queries.select("query_id", tokens(F.col("query")).alias("qtoks")).filter(F.size("qtoks") > 0)
     terms = q.select("query_id", F.explode("qtoks").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     wanted = small(terms.select("term").distinct())
-    # Tokens that no query has are dropped before anything is shuffled.
-    postings = docs.select(*key, F.size("toks").alias("dl"), F.explode("toks").alias("term")).join(wanted, "term")
-    postings = postings.groupBy(*key, "dl", "term").agg(F.count("*").alias("tf"))
+    if field in index.postings:
+        postings = index.postings[field].join(wanted, "term")
+    else:
+        postings = written(_postings(texts, key, wanted), f"postings-{field}")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weights = df.crossJoin(F.broadcast(stats)).select("term", idf(F.col("n_docs"), F.col("df")).alias("idf"))  # stats is one row
-    hits = postings.join(small(terms.join(weights, "term")), "term").crossJoin(F.broadcast(stats))
-    part = F.col("qtf") * F.col("idf") * saturated(F.col("tf"), F.col("dl"), F.col("avg_len"))
+    weights = written(terms.join(df.select("term", idf(F.lit(n_docs), F.col("df")).alias("idf")), "term"), f"weights-{field}")
+    hits = postings.join(small(weights), "term")
+    part = F.col("qtf") * F.col("idf") * saturated(F.col("tf"), F.col("dl"), length)
     scored = hits.groupBy("query_id", *key).agg(F.sum(part).alias("score"), F.count("*").alias("met"))
     if not phrase:
         return scored.select("query_id", *key, "score"), None
     # A phrase can only stand where all of its terms do: few texts are looked at.
     whole = q.select("query_id", "qtoks", F.size(F.array_distinct("qtoks")).alias("need"))
-    idfs = terms.join(weights, "term").groupBy("query_id").agg(F.sum(F.col("qtf") * F.col("idf")).alias("idf_sum"))
-    near = scored.join(small(whole.join(idfs, "query_id")), "query_id").filter("met = need").join(docs, key).crossJoin(F.broadcast(stats))
+    idfs = weights.groupBy("query_id").agg(F.sum(F.col("qtf") * F.col("idf")).alias("idf_sum"))
+    scored = written(scored, f"scores-{field}")
+    near = scored.join(small(whole.join(idfs, "query_id")), "query_id").filter("met = need")
+    near = near.join(texts.join(small(near.select(*key).distinct()), key, "left_semi"), key)
     runs = F.expr("size(filter(sequence(1, greatest(1, size(toks) - size(qtoks) + 1)), i -> slice(toks, i, size(qtoks)) = qtoks))")
     near = near.withColumn("tf", runs).filter("tf > 0")
-    return scored.select("query_id", *key, "score"), near.select(
-        "query_id", *key, (F.col("idf_sum") * saturated(F.col("tf"), F.size("toks"), F.col("avg_len"))).alias("score")
-    )
+    return scored.select("query_id", *key, "score"), near.select("query_id", *key, (F.col("idf_sum") * saturated(F.col("tf"), F.col("dl"), length)).alias("score"))
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, key: list[str], boosts: dict | None = None, phrases: dict | None = None) -> DataFrame:
+def bm25(queries: DataFrame, chunks: DataFrame | LexicalIndex, key: list[str], boosts: dict | None = None, phrases: dict | None = None) -> DataFrame:
     """(query_id, *key, score): the best field of the term clause plus the best
     field of the exact-phrase clause, rounded to 6 decimals. `queries` has
-    query_id and query. Statistics are of all chunks that have the field."""
+    query_id and query; `chunks` may be an index of them. Statistics are of all chunks that have the field."""
     boosts = TERM_BOOSTS if boosts is None else boosts
     phrases = {} if phrases is None else phrases
+    index = chunks if isinstance(chunks, LexicalIndex) else lexical_index(chunks, key, boosts)
     parts = []
     for field, boost in boosts.items():
-        term, phrase = _clauses(queries, chunks, key, field, field in phrases)
+        term, phrase = _clauses(queries, index, field, field in phrases)
         parts.append(term.select("query_id", *key, F.lit("t").alias("clause"), (F.col("score") * boost).alias("score")))
         if phrase is not None:
             parts.append(phrase.select("query_id", *key, F.lit("p").alias("clause"), (F.col("score") * phrases[field]).alias("score")))
+    if len(parts) == 1:
+        return parts[0].select("query_id", *key, F.round("score", 6).alias("score"))
     both = reduce(DataFrame.union, parts).groupBy("query_id", *key)
     best = both.agg(*(F.max(F.when(F.col("clause") == c, F.col("score"))).alias(c) for c in "tp"))
     total = F.coalesce("t", F.lit(0.0)) + F.coalesce("p", F.lit(0.0))
@@ -103,7 +136,7 @@ def collapse(hits: DataFrame, document: str, tie: list[str]) -> DataFrame:
     return top_k(hits, ["query_id", document], [F.desc("score"), *tie], 1, "__n").drop("__n")
 
 
-def lexical_search(queries: DataFrame, chunks: DataFrame, limit: int, document: str = "document_id", ordinal: str = "ordinal", **options) -> DataFrame:
+def lexical_search(queries: DataFrame, chunks: DataFrame | LexicalIndex, limit: int, document: str = "document_id", ordinal: str = "ordinal", **options) -> DataFrame:
     """Collapsed top documents of each query by BM25: query_id, document, ordinal, score, rank."""
     _positive(limit=limit)
     hits = collapse(bm25(queries, chunks, [document, ordinal], **options), document, [ordinal])
@@ -209,7 +242,7 @@ def fused_search(lexical: DataFrame, dense: DataFrame, limit: int, k: int = RRF_
     found = dense.select("query_id").distinct().withColumn("has_dense", F.lit(True))
     out = fused.join(ranks, ["query_id", "document_id"]).join(found, "query_id", "left")
     mode = F.when(F.col("has_dense"), "hybrid").otherwise("bm25")
-    return out.select("query_id", "document_id", "rank", "score", "lexical_rank", "dense_rank", mode.alias("mode_used"), F.col("has_dense").isNull().alias("degraded"))
+    return out.select("query_id", "document_id", "rank", "score", "lexical_rank", "dense_rank", mode.alias("mode_used"), F.col("has_dense").isNull().alias("degraded"), F.when(F.col("has_dense").isNull(), F.lit("no current dense candidate")).alias("reason"))
 
 
 def candidate_limit(limit: int) -> int:
@@ -223,11 +256,9 @@ def search(queries: DataFrame, chunks: DataFrame, limit: int, mode: str = "hybri
     _positive(limit=limit)
     if mode not in ("bm25", "hybrid"):
         raise ValueError(f"mode must be bm25 or hybrid, not {mode!r}")
-    none = F.lit(None).cast("int")
     if mode == "bm25" or vectors is None or query_vectors is None:
         rows = lexical_search(queries, chunks, limit, **options)
-        degraded = mode != "bm25"
-        return rows.select("query_id", "document_id", "rank", "score", F.col("rank").alias("lexical_rank"), none.alias("dense_rank"), F.lit("bm25").alias("mode_used"), F.lit(degraded).alias("degraded"))
+        return _lexical_only(rows, mode, "dense retrieval is off")
     pool = candidate_limit(limit)
     lexical = lexical_search(queries, chunks, pool, **options)
     dense = dense_search(query_vectors, vectors, pool, document)
@@ -235,9 +266,20 @@ def search(queries: DataFrame, chunks: DataFrame, limit: int, mode: str = "hybri
         hashes = vectors.select("id", "content_hash") if "content_hash" in vectors.columns else None
         dense = current_only(dense.join(hashes, "id") if hashes is not None else dense, documents)
         dense = dense.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("rank")))
+    lexical = written(lexical, "lexical")  # its failure is the search's
+    try:
+        dense = written(dense, "dense")
+    except Exception as e:  # whatever a model or a store raises: the lexical ranking still answers
+        return _lexical_only(lexical.filter(F.col("rank") <= limit), mode, f"dense retrieval failed: {type(e).__name__}")
     return fused_search(lexical, dense, limit)
 
 
+def _lexical_only(rows: DataFrame, mode: str, reason: str) -> DataFrame:
+    degraded = mode != "bm25"
+    none = F.lit(None).cast("int")
+    return rows.select("query_id", "document_id", "rank", "score", F.col("rank").alias("lexical_rank"), none.alias("dense_rank"), F.lit("bm25").alias("mode_used"), F.lit(degraded).alias("degraded"), F.lit(reason if degraded else None).cast("string").alias("reason"))
+
+
 # --- rerank -------------------------------------------------------------------
 
 
@@ -255,6 +297,31 @@ def score_order(scored: DataFrame) -> DataFrame:
     return scored.withColumn("new_rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank")))
 
 
+def first_stage_limit(limit: int, pool: int = POOL) -> int:
+    """How many hits the first stage is asked for where a rerank follows."""
+    return max(limit, pool)
+
+
+def rerank_control(first: DataFrame, scores: DataFrame | None, limit: int, protected: int = PROTECTED, pool: int = POOL) -> DataFrame:
+    """The first stage (query_id, document_id, rank, score, mode_used, degraded) reranked by `scores`
+    (query_id, document_id, rerank_score) and cut to the limit: adds position, rerank_used,
+    rerank_degraded and rerank_reason. A query that asked for BM25 alone bypasses the rerank silently;
+    one whose first stage is degraded, or any of whose candidates lacks a finite score, keeps
+    the order of the first stage and says why. Without `scores` that holds for all."""
+    _positive(limit=limit)
+    if scores is None:
+        scores = first.select("query_id", "document_id", F.lit(None).cast("double").alias("rerank_score"))
+    rows = first.join(scores.select("query_id", "document_id", "rerank_score"), ["query_id", "document_id"], "left")
+    finite = F.col("rerank_score").isNotNull() & ~F.isnan("rerank_score") & (F.abs("rerank_score") < float("inf"))
+    short = F.count_if((F.col("rank") <= pool) & ~finite).over(W.partitionBy("query_id")) > 0
+    why = F.when(F.col("degraded"), F.lit("the first stage is degraded")).when(F.col("mode_used") == "bm25", None).when(short, F.lit("the scorer failed"))
+    rows = rows.withColumn("rerank_reason", why).withColumn("rerank_used", (F.col("mode_used") != "bm25") & F.col("rerank_reason").isNull())
+    rows = protected_order(rows.withColumn("rerank_score", F.when(F.col("rerank_used"), F.col("rerank_score"))), protected, pool)
+    place = F.when(F.col("rerank_used"), F.col("new_rank")).otherwise(F.col("rank"))
+    rows = rows.withColumn("position", place).withColumn("rerank_degraded", F.col("rerank_reason").isNotNull())
+    return rows.filter(F.col("position") <= limit).drop("new_rank")
+
+
 def rerank_text(title: Column, description: Column) -> Column:
     """What a scorer reads; raises where both parts are blank."""
     held = F.filter(F.array(F.trim(F.coalesce(title, F.lit(""))), F.trim(F.coalesce(description, F.lit("")))), lambda x: x != "")

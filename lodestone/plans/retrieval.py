@@ -95,10 +95,7 @@ def rrf_fusion(spark, d):
 def hybrid_search(spark, d):
     """Benchmark passages as queries; a query's vector is that of the same id, a
     document's that of its id. Queries without one are degraded."""
-    vectors = _vectors(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("id")), "id", "left_semi")
-    asked = _queries(spark, d).filter("query_id % 3 <> 0").select(F.col("query_id").alias("id"))
-    q = _vectors(spark, d).join(asked, "id", "left_semi")
-    found = R.search(_queries(spark, d), _chunks(spark, d), 10, "hybrid", q, vectors, F.col("id"), boosts=TEXT_ONLY)
+    found = _hybrid(spark, d, 10)
     return found.select("query_id", F.col("document_id").alias("doc_id"), "rank", "score", "lexical_rank", "dense_rank", "mode_used", "degraded")
 
 
@@ -108,6 +105,30 @@ def protected_rerank(spark, d):
     return R.protected_order(scored).select("query_id", F.col("document_id").alias("doc_id"), "rank", "rerank_score", "new_rank")
 
 
+def indexed_search(spark, d):
+    """The same as bm25_fields, from stored postings."""
+    index = R.lexical_index(_chunks(spark, d), ["document_id", "ordinal"], ("title", "text"), postings=True)
+    options = {"boosts": {"title": 4.0, "text": 1.0}, "phrases": {"title": 7.0, "text": 2.0}}
+    found = R.lexical_search(_queries(spark, d), index, 10, **options)
+    return found.select("query_id", F.col("document_id").alias("doc_id"), "score", "rank")
+
+
+def _hybrid(spark, d, limit):
+    vectors = _vectors(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("id")), "id", "left_semi")
+    asked = _queries(spark, d).filter("query_id % 3 <> 0").select(F.col("query_id").alias("id"))
+    q = _vectors(spark, d).join(asked, "id", "left_semi")
+    return R.search(_queries(spark, d), _chunks(spark, d), limit, "hybrid", q, vectors, F.col("id"), boosts=TEXT_ONLY)
+
+
+def rerank_control(spark, d):
+    """Five hits a query of the hybrid search, reranked by overlap; the scorer fails for queries divisible by 7."""
+    first = _hybrid(spark, d, R.first_stage_limit(5))
+    pairs = first.select("query_id", "document_id").join(_queries(spark, d), "query_id").join(_chunks(spark, d).select("document_id", "text"), "document_id")
+    scores = pairs.select("query_id", "document_id", F.when(F.col("query_id") % 7 != 0, R.overlap_score(F.col("query"), F.col("text"))).alias("rerank_score"))
+    found = R.rerank_control(first, scores, 5)
+    return found.select("query_id", F.col("document_id").alias("doc_id"), "position", "score", "rerank_used", "rerank_degraded", "rerank_reason")
+
+
 def result_envelope(spark, d):
     """Hits as a caller gets them; documents with an id divisible by 11 have no url and drop out."""
     hits = _lexical(spark, d, 10).join(table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "source", "text"), "document_id")
@@ -171,11 +192,12 @@ def _rrf(one: str, two: str, limit: int) -> str:
   fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_rank, doc_id)::INT AS rank FROM rs) WHERE rank <= {limit})"""
 
 
-_HYBRID = f"""{_TEXT}, {_top("h", 10, "lex")},
+_FUSED = f"""{_TEXT}, {_top("h", 10, "lex")},
   v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
   da AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_cosine_similarity(q.e, v.e), 6) + 0 AS score
          FROM v q JOIN benchmark b ON b.item_id = q.vec_id, v WHERE b.item_id % 3 <> 0 AND v.vec_id IN (SELECT doc_id FROM documents)),
-  {_top("da", 10, "den")}, {_rrf("lex", "den", 10)}
+  {_top("da", 10, "den")}, {_rrf("lex", "den", 10)}"""
+_HYBRID = f"""{_FUSED}
 SELECT query_id, doc_id, rank, score, r0 AS lexical_rank, r1 AS dense_rank,
        CASE WHEN query_id IN (SELECT query_id FROM den) THEN 'hybrid' ELSE 'bm25' END AS mode_used,
        query_id NOT IN (SELECT query_id FROM den) AS degraded FROM fused"""
@@ -183,6 +205,7 @@ SELECT query_id, doc_id, rank, score, r0 AS lexical_rank, r1 AS dense_rank,
 QUERIES = {
     "bm25_topk": (bm25_topk, f"{_TEXT}, {_top('h', 5, 'top')} SELECT * FROM top"),
     "bm25_fields": (bm25_fields, f"{_BOTH}, {_top('h', 10, 'top')} SELECT * FROM top"),
+    "indexed_search": (indexed_search, f"{_BOTH}, {_top('h', 10, 'top')} SELECT * FROM top"),
     "valid_vectors": (
         valid_vectors,
         f"SELECT vec_id, coalesce(len(embedding) = {DIM} AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS valid FROM embeddings",
@@ -205,6 +228,15 @@ QUERIES = {
   z AS (SELECT query_id, doc_id, rank, round(len(list_filter(list_distinct(qtoks), lambda t: list_contains(toks, t)))::DOUBLE / greatest(len(list_distinct(qtoks)), 1), 6) AS rerank_score
         FROM lex JOIN q USING (query_id) JOIN d_x USING (doc_id))
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank <= 5 THEN 0 WHEN rank <= 10 THEN 1 ELSE 2 END, CASE WHEN rank <= 10 THEN -rerank_score END, rank)::INT AS new_rank FROM z""",
+    ),
+    "rerank_control": (
+        rerank_control,
+        f"""{_FUSED},
+  z AS (SELECT query_id, doc_id, rank, score, query_id NOT IN (SELECT query_id FROM den) AS deg,
+        round(len(list_filter(list_distinct(qtoks), lambda t: list_contains(toks, t)))::DOUBLE / greatest(len(list_distinct(qtoks)), 1), 6) AS z FROM fused JOIN q USING (query_id) JOIN d_x USING (doc_id)),
+  y AS (SELECT *, CASE WHEN deg THEN 'the first stage is degraded' WHEN query_id % 7 = 0 THEN 'the scorer failed' END AS why FROM z),
+  p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN why IS NULL AND rank > 5 THEN 1 ELSE 0 END, CASE WHEN why IS NULL THEN -z END, rank)::INT AS position FROM y)
+SELECT query_id, doc_id, position, score, why IS NULL AS rerank_used, why IS NOT NULL AS rerank_degraded, why AS rerank_reason FROM p WHERE position <= 5""",
     ),
     "result_envelope": (
         result_envelope,

@@ -250,7 +250,9 @@ def with_fallback(first: Column, second: Column) -> Column:
 
 # --- native scans ---------------------------------------------------------------
 
-HREF = r"""(?i)<a\s[^>]*?href\s*=\s*"([^"]*)\""""
+#: A link's tag up to its address, which is quoted either way or bare.
+HREF = r"""(?is)<a\s(?:[^>"']|"[^"]*"|'[^']*')*?(?<=[\s"'])href\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+ADDRESS = r"""(?is)href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)$"""
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 
 
@@ -264,7 +266,11 @@ def page_title(html: Column) -> Column:
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(url, link, position): links of each page, absolute, http(s) only,
     normalised, each once at its first position."""
-    found = pages.select(F.col(url).alias("url"), F.posexplode(F.regexp_extract_all(F.col(html), F.lit(HREF), F.lit(1))).alias("at", "href"))
+    found = pages.select(F.col(url).alias("url"), F.posexplode(F.regexp_extract_all(F.col(html), F.lit(HREF), F.lit(0))).alias("at", "tag"))
+    href = F.regexp_replace(F.regexp_extract("tag", ADDRESS, 1), r"""^["']|["']$""", "")
+    for name, char in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        href = F.replace(href, F.lit(name), F.lit(char))
+    found = found.select("url", "at", href.alias("href"))
     full = found.withColumn("full", U.resolve(F.col("url"), F.trim(F.col("href"))))
     kept = full.filter(U.scheme(F.col("full")).isin("http", "https") & (U.host(F.col("full")) != ""))
     links = kept.select("url", U.normalize(F.col("full")).alias("link"), "at")

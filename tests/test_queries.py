@@ -3,9 +3,9 @@
 import pytest
 from same import same_rows
 
-from lodestone.plans import evaluation, refresh, retrieval, tables, text, urls
+from lodestone.plans import evaluation, holdout, refresh, retrieval, tables, text, urls
 
-ALL = text.QUERIES | retrieval.QUERIES | evaluation.QUERIES | urls.QUERIES | tables.QUERIES | refresh.QUERIES
+ALL = text.QUERIES | retrieval.QUERIES | evaluation.QUERIES | urls.QUERIES | tables.QUERIES | refresh.QUERIES | holdout.QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ALL))
