@@ -88,21 +88,24 @@ def gate_checks(spark, d):
     return E.threshold_checks(rows, FLOORS, CEILINGS)
 
 
-GATE = {"min_gain": -1.0, "max_loss": 1.0, "max_p95": 1e9, "min_top1": 0.0}
+#: Bounds that one of the two rankers misses.
+GATE = {"min_gain": 0.001, "max_loss": 0.0, "max_p95": 500.0, "min_top1": 0.0}
 
 
-def candidate_checks(spark, d):
-    return E.candidate_checks(_report(spark, d), "all", **GATE)
+def _checks(spark, d):
+    """Each ranker against the other."""
+    from ..session import written
 
+    reports = written(_report(spark, d), "reports")
+    return E.candidate_checks(reports, "all", **GATE).unionByName(E.candidate_checks(reports, "half", **GATE))
 
-def select_candidate(spark, d):
-    return E.select_candidate(E.candidate_checks(_report(spark, d), "none", **GATE).unionByName(_eligible(spark, d)), "lexical")
 
+def candidate_checks(spark, d):
+    return _checks(spark, d)
 
-def _eligible(spark, d):
-    r = _report(spark, d)
-    t = F.lit(True)
-    return r.select("ranker", "ndcg", "p95", *(t.alias(c) for c in ("gain_ok", "mrr_ok", "recall_ok", "p95_ok", "top1_ok", "eligible")))
+
+def select_candidate(spark, d):
+    return E.select_candidate(_checks(spark, d), "lexical")
 
 
 def fixture_violations(spark, d):
@@ -138,10 +141,18 @@ _ALL = f"WITH {_J}, {_rank_sql('all', 'embedding')}"
 _TWO = f"{_ALL}, {_rank_sql('half', 'embedding[1:32]')}"
 _MACRO = "count(*) AS n_queries, round(avg(mrr), 6) AS mrr, round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg"
 _P95 = "SELECT value FROM (SELECT value, row_number() OVER (ORDER BY value) AS i, count(*) OVER () AS n FROM events WHERE value >= 0) WHERE i = greatest(1, ceil(0.95 * n))"
+
+
+def _top1(name: str) -> str:
+    return f"(SELECT round(avg(coalesce((r.item = target)::INT, 0)), 6) FROM tg LEFT JOIN (SELECT * FROM r_{name} WHERE rank = 1) r USING (query_id))"
+
+
 _REPORT = f"""{_TWO},
   p AS ({_P95}),
   tg AS (SELECT query_id, item AS target FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, item) AS n FROM j) WHERE n = 1),
-  rep AS (SELECT 'all' AS ranker, {_MACRO}, (SELECT value FROM p) AS p95 FROM m_all UNION ALL SELECT 'half', {_MACRO}, (SELECT value FROM p) FROM m_half)"""
+  rep AS (SELECT 'all' AS ranker, {_MACRO}, (SELECT value FROM p) AS p95, {_top1("all")} AS top1 FROM m_all UNION ALL SELECT 'half', {_MACRO}, (SELECT value FROM p), {_top1("half")} FROM m_half),
+  chk AS (SELECT c.ranker, c.ndcg, c.p95, round(c.ndcg - b.ndcg, 6) >= {GATE["min_gain"]} AS gain_ok, round(b.mrr - c.mrr, 6) <= {GATE["max_loss"]} AS mrr_ok, round(b.recall - c.recall, 6) <= {GATE["max_loss"]} AS recall_ok,
+          c.p95 <= {GATE["max_p95"]} AS p95_ok, c.top1 >= {GATE["min_top1"]} AS top1_ok FROM rep c, rep b WHERE c.ranker <> b.ranker)"""
 
 QUERIES = {
     "ranking_metrics": (ranking_metrics, f"{_ALL} SELECT query_id, mrr, recall, ndcg FROM m_all"),
@@ -168,13 +179,12 @@ SELECT event_type, max(n) AS n, max(value) FILTER (i = greatest(1, ceil(0.5 * n)
         gate_checks,
         f"{_REPORT} SELECT mrr >= 0.05 AS mrr_ok, recall >= 0.01 AS recall_ok, ndcg >= 0.9 AS ndcg_ok, p95 <= 500 AS p95_ok, mrr >= 0.05 AND recall >= 0.01 AND ndcg >= 0.9 AND p95 <= 500 AS passed FROM rep WHERE ranker = 'all'",
     ),
-    "candidate_checks": (
-        candidate_checks,
-        f"{_REPORT} SELECT c.ranker, c.ndcg, c.p95, round(c.ndcg - b.ndcg, 6) >= -1 AS gain_ok, round(b.mrr - c.mrr, 6) <= 1 AS mrr_ok, round(b.recall - c.recall, 6) <= 1 AS recall_ok, c.p95 <= 1e9 AS p95_ok, true AS top1_ok, round(c.ndcg - b.ndcg, 6) >= -1 AND round(b.mrr - c.mrr, 6) <= 1 AND round(b.recall - c.recall, 6) <= 1 AS eligible FROM rep c, rep b WHERE c.ranker <> 'all' AND b.ranker = 'all'",
-    ),
+    "candidate_checks": (candidate_checks, f"{_REPORT} SELECT *, gain_ok AND mrr_ok AND recall_ok AND p95_ok AND top1_ok AS eligible FROM chk"),
     "select_candidate": (
         select_candidate,
-        f"{_REPORT} SELECT min(ranker) AS selected, count(*) AS n_close FROM rep WHERE round((SELECT max(ndcg) FROM rep) - ndcg, 9) <= 0.005",
+        f"""{_REPORT}, ok AS (SELECT * FROM chk WHERE gain_ok AND mrr_ok AND recall_ok AND p95_ok AND top1_ok),
+  near_best AS (SELECT * FROM ok WHERE round((SELECT max(ndcg) FROM ok) - ndcg, 9) <= 0.005)
+SELECT coalesce((SELECT ranker FROM near_best ORDER BY p95, ranker LIMIT 1), 'lexical') AS selected, (SELECT count(*) FROM near_best) AS n_close""",
     ),
     "fixture_violations": (
         fixture_violations,
