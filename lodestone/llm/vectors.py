@@ -14,7 +14,7 @@ and a spanning forest of them, never the pairs. A pair that both sides find is
 counted by one of them: a resident knows which cells it visits itself.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
-components link with nothing; vectors of different dimension don't link, each
+components link with nothing; components are floats or doubles, which travel as they are and are compared in double precision; vectors of different dimension don't link, each
 dimension has an index of its own; rows with the same id are one vertex but
 have the links of their own vector. An empty table gives an empty one. Extra
 columns are ignored.
@@ -28,16 +28,18 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stored
 from .components import components
 
 COSINE = 0.9
 RECALL = 0.97  # of pairs at the threshold, from one side
-SAMPLE = 4096  # vectors that codebooks are fitted on, at most
+SAMPLE, MOST_SAMPLE = 4096, 65_536  # vectors that codebooks are fitted on: at most the first, or so many a codeword up to the second
+EACH = 16
 PLANTED = 2000  # of them, so many to measure recall with
 CELL = 200  # residents of a cell, about
-LARGEST_BOOK = 256
+LARGEST_BOOK = 4096  # reached by 3 * 10^9 vectors; beyond that cells grow
 STEPS = 12  # of k-means
 SEED = 11
 RESIDENTS, VISITORS = 1024, 4096  # rows of a block, about
@@ -78,6 +80,11 @@ def multi_sequence(one: np.ndarray, two: np.ndarray, count: int) -> list[int]:
     return out
 
 
+def book_size(n: int) -> int:
+    """Codewords of a half for n vectors: the grid has about n / CELL cells."""
+    return min(1 << max(1, round(np.log2(max(n, 1) / CELL) / 2)), LARGEST_BOOK) if n > CELL else 1
+
+
 class Index:
     """Codebooks of both halves and the number of cells to visit."""
 
@@ -85,8 +92,7 @@ class Index:
         rng = np.random.default_rng(SEED)
         x = unit(sample)
         self.half = max(1, x.shape[1] // 2)
-        k = 1 << max(1, round(np.log2(max(n, 1) / CELL) / 2)) if n > CELL else 1
-        k = min(k, LARGEST_BOOK, len(x))
+        k = min(book_size(n), len(x))
         self.books = [fit_book(h, k, rng) for h in self._halves(x)]
         self.visits = self._visits(x[:PLANTED], cosine, recall, rng)
 
@@ -118,17 +124,18 @@ class Index:
         return home, [v if h in v else [int(h), *v] for h, v in zip(home.tolist(), visits)]
 
 
-def _matrix(column, size: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, size)
+def _matrix(column, size: int, kind: str) -> np.ndarray:
+    """Unit rows in double precision of vectors that travel as they are stored."""
+    return unit(np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, size).astype(np.float64))
 
 
-def _block(cosine: float, dim: int):
+def _block(cosine: float, dim: int, kind: str):
     """Residents times visitors: sums of links per vector, forest edges."""
 
     def run(residents, visitors):
         import pyarrow as pa
 
-        x, y = _matrix(residents.column("vector"), dim), _matrix(visitors.column("vector"), dim)
+        x, y = _matrix(residents.column("vector"), dim, kind), _matrix(visitors.column("vector"), dim, kind)
         r, v = residents.column("rep").to_numpy(), visitors.column("rep").to_numpy()
         rn, vn = residents.column("copies").to_numpy(), visitors.column("copies").to_numpy()
         home, visited = visitors.column("home").to_numpy(), residents.column("visits").to_pylist()
@@ -169,8 +176,9 @@ def _least(at: np.ndarray, values: np.ndarray, n: int, far: int) -> np.ndarray:
 
 def _links(reps: DataFrame, dim: int, n: int, cosine: float, recall: float) -> DataFrame:
     """(id, links, to) of the representatives of one dimension."""
-    rows = reps.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").collect()
+    rows = reps.orderBy(F.xxhash64("rep"), "rep").limit(min(MOST_SAMPLE, max(SAMPLE, EACH * book_size(n)))).select("embedding").collect()
     index = Index(np.array([r.embedding for r in rows], np.float64), n, cosine, recall)
+    kind = "<f4" if reps.schema["embedding"].dataType.elementType == T.FloatType() else "<f8"
 
     def place(batches):
         import pyarrow as pa
@@ -178,10 +186,10 @@ def _links(reps: DataFrame, dim: int, n: int, cosine: float, recall: float) -> D
         for b in batches:
             if not b.num_rows:
                 continue
-            x = unit(b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim))
-            home, visits = index.cells(x)
+            x = b.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            home, visits = index.cells(unit(x.astype(np.float64)))
             yield pa.RecordBatch.from_arrays(
-                [b.column("rep"), b.column("copies"), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(home, pa.int64()), pa.array(visits, pa.list_(pa.int64()))],
+                [b.column("rep"), b.column("copies"), pa.array([v.tobytes() for v in x.astype(kind)], pa.binary()), pa.array(home, pa.int64()), pa.array(visits, pa.list_(pa.int64()))],
                 names=["rep", "copies", "vector", "home", "visits"],
             )
 
@@ -195,7 +203,7 @@ def _links(reps: DataFrame, dim: int, n: int, cosine: float, recall: float) -> D
     visitors = placed.withColumn("cell", F.explode("visits")).join(blocks, "cell").select("cell", part("cols").alias("col"), every("rows").alias("row"), "rep", "copies", "vector", "home")
     visitors = visitors.toDF(*visitors.columns)  # names of its own, though both sides come from one table
     keys = ("cell", "row", "col")
-    return residents.groupBy(*keys).cogroup(visitors.groupBy(*keys)).applyInArrow(_guarded(_block(cosine, dim)), "id long, links long, to long")
+    return residents.groupBy(*keys).cogroup(visitors.groupBy(*keys)).applyInArrow(_guarded(_block(cosine, dim, kind)), "id long, links long, to long")
 
 
 def _guarded(f):
@@ -217,7 +225,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     valid = F.coalesce(finite & F.exists(e, lambda x: x != 0), F.lit(False))
     # -0.0 and 0.0 are the same number and must hash alike.
-    same = F.when(valid, F.transform(e, lambda x: x.cast("double") + 0.0))
+    number = T.FloatType() if vectors.schema["embedding"].dataType.elementType == T.FloatType() else T.DoubleType()
+    same = F.when(valid, F.transform(e, lambda x: x.cast(number) + F.lit(0.0).cast(number)))
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), same.alias("embedding"))
     v = v.withColumn("k1", F.xxhash64("embedding")).withColumn("k2", F.xxhash64(F.lit(1), "embedding"))
     classes = stored(v.filter("embedding IS NOT NULL").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors-classes")
