@@ -34,9 +34,9 @@ from .common import filesystem, held, rows_of, scratch, stored
 
 LEXICON_WORDS = 262_144
 LONGEST = 32  # bytes of a lexicon word
-SLICE = 1 << 20  # characters of text that are held as words at once
-REMEMBERED = 80_000  # words whose encoding a worker remembers, beside those of a slice
-HOT = 40_000  # of them, so many of the lexicon's stay
+SLICE = 1 << 21  # characters of text that are held as words at once
+REMEMBERED = 240_000  # words whose encoding a worker remembers, beside those of a slice
+HOT = 160_000  # of them, so many of the lexicon's stay
 
 
 def byte_symbols() -> list[str]:
