@@ -62,6 +62,10 @@ def _asked(spark, d):
     return _turns(spark, d).withColumn("query", first)
 
 
+def _ranked_by_words(spark, d):
+    return P.ranked_passages(_asked(spark, d), "conv_id", "turn", "query", "role")
+
+
 def _ranked(spark, d):
     # The registered SQL divides by the token estimate, where the operator's own measure is words.
     return P.ranked_passages(_asked(spark, d), "conv_id", "turn", "query", "role", size=X.approx_tokens(F.col("text")))
@@ -72,6 +76,11 @@ def passage_ranking(spark, d):
     return ranked.select("conv_id", "turn", "matches", "heading_matches", "score", "rank")
 
 
+def passage_ranking_words(spark, d):
+    """The ranking with the operator's own measure of density, occurrences by words."""
+    return _ranked_by_words(spark, d).select("conv_id", "turn", "matches", "heading_matches", "score", "rank")
+
+
 def context_window(spark, d):
     chosen = P.within_budget(_turns(spark, d), "conv_id", "turn", BUDGET, MOST)
     return P.contexts(chosen, "conv_id", "turn")
@@ -83,6 +92,11 @@ def query_context(spark, d):
     return P.contexts(P.within_budget(ranked, "conv_id", "rank", BUDGET, MOST), "conv_id", "turn")
 
 
+def query_context_words(spark, d):
+    """As `query_context`, of the passages that rank best by words."""
+    return P.contexts(P.within_budget(_ranked_by_words(spark, d), "conv_id", "rank", BUDGET, MOST), "conv_id", "turn")
+
+
 _RANKED = f"""
   a AS (SELECT *, first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) AS query FROM conversations),
   b AS (SELECT *, lower(text) AS body, lower(coalesce(role, '')) AS head,
@@ -91,6 +105,7 @@ _RANKED = f"""
                len(list_filter(terms, lambda t: contains(head, t)))::INT AS heading_matches FROM b),
   r AS (SELECT *, round(4.0::DOUBLE * heading_matches + matches + 100.0::DOUBLE * (matches::DOUBLE / greatest(1, {sql_approx_tokens("text")})), 6) AS score FROM c),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn)::INT AS rank FROM r)"""
+_RANKED_BY_WORDS = _RANKED.replace(f"greatest(1, {sql_approx_tokens('text')})", r"greatest(1, len(regexp_extract_all(body, '[\p{L}\p{N}_.-]+')))")
 
 
 def _budget_sql(source: str, order: str) -> str:
@@ -133,4 +148,6 @@ QUERIES = {
     "passage_ranking": (passage_ranking, f"WITH {_RANKED} SELECT conv_id, turn, matches, heading_matches, score, rank FROM ranked"),
     "context_window": (context_window, "WITH " + _budget_sql("conversations", "turn")),
     "query_context": (query_context, f"WITH {_RANKED}, " + _budget_sql("ranked", "rank")),
+    "passage_ranking_words": (passage_ranking_words, f"WITH {_RANKED_BY_WORDS} SELECT conv_id, turn, matches, heading_matches, score, rank FROM ranked"),
+    "query_context_words": (query_context_words, f"WITH {_RANKED_BY_WORDS}, " + _budget_sql("ranked", "rank")),
 }
