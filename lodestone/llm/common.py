@@ -6,6 +6,7 @@ import gc
 import uuid
 from urllib.parse import urlparse
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +79,32 @@ def rows_of(batch, at_once: int = 256):
         yield from zip(*(c.to_pylist() for c in batch.slice(at, at_once).columns))
 
 
+#: Integers made of vector components stay within this, so that blocks of BLOCK rows add up in 64 bits.
+EDGE, BLOCK = 1 << 52, 1000
+
+
+def floored(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) as 64-bit integers, for a power of two; what lies beyond EDGE becomes EDGE."""
+    with np.errstate(over="ignore"):
+        return np.floor(np.clip(x * scale, -float(EDGE), float(EDGE))).astype(np.int64)
+
+
+def matrices(column, at_once: int = BLOCK):
+    """The vectors of an Arrow list column that hold no null or non-finite component and at least one: for each
+    dimension and run of rows the rows' numbers and the vectors as doubles."""
+    first = column.offsets.to_numpy()
+    length, known = np.diff(first), column.is_valid().to_numpy(zero_copy_only=False)
+    flat = column.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    for d in np.unique(length[known & (length > 0)]):
+        rows = np.flatnonzero(known & (length == d))
+        for at in range(0, len(rows), at_once):
+            r = rows[at : at + at_once]
+            x = flat[first[r][:, None] + np.arange(d)]
+            fine = np.isfinite(x).all(1)
+            if fine.any():
+                yield r[fine], x[fine]
+
+
 _HELD: dict = {}
 
 

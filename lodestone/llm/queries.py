@@ -1,10 +1,12 @@
-"""The ten queries of this subpackage and their SQL."""
+"""The queries of this subpackage and their SQL."""
 
 from __future__ import annotations
 
 from .bpe import op7
+from .codes import SQL12, op12
 from .common import table
 from .htmltext import op4
+from .langid import op13
 from .lm import op8
 from .media import op10
 from .mixing import SQL3, op3
@@ -13,6 +15,7 @@ from .quality import op2
 from .toxicity import op9
 from .vectors import op6
 from .warc import SQL1, op1
+from .whitening import op11
 
 
 def queries() -> dict:
@@ -27,8 +30,11 @@ def queries() -> dict:
         "op8_lm": lambda spark, d: op8(table(spark, d, "documents")),
         "op9_toxicity": lambda spark, d: op9(table(spark, d, "documents"), table(spark, d, "labels")),
         "op10_media": lambda spark, d: op10(table(spark, d, "documents")),
+        "op11_whitening": lambda spark, d: op11(table(spark, d, "embeddings")),
+        "op12_codes": lambda spark, d: op12(table(spark, d, "embeddings")),
+        "op13_langid": lambda spark, d: op13(table(spark, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": SQL1, "op3_mixing": SQL3}
+    return {"op1_warc": SQL1, "op3_mixing": SQL3, "op12_codes": SQL12}
