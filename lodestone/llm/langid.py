@@ -44,7 +44,7 @@ UNKNOWN = -1
 BETWEEN = 8  # positions between two scalings of a word's sums
 CELLS = 1 << 20  # numbers that a batch of words holds
 SLICE = 1 << 20  # characters of a text that are words at once
-REMEMBERED, LONGEST = 150_000, 48  # words a worker remembers, and characters of them
+REMEMBERED, LONGEST = 300_000, 48  # words a worker remembers, and characters of them
 
 
 @functools.cache
@@ -69,36 +69,72 @@ def default_vocabulary() -> str:
 
 
 class Lattice:
-    """All segmentations of words into pieces."""
+    """All segmentations of words into pieces: a tree of the pieces' characters, whose steps are found in one hash table for many
+    positions at once."""
 
     def __init__(self, pieces: list[str]):
-        self.place = {p: k for k, p in enumerate(pieces)}
-        self.beginnings = {p[:n] for p in pieces for n in range(1, len(p))}
+        nodes = {"": 0}
+        for p in pieces:
+            for n in range(1, len(p) + 1):
+                nodes.setdefault(p[:n], len(nodes))
+        self.piece = np.full(len(nodes), -1, np.int32)
+        self.piece[[nodes[p] for p in pieces]] = range(len(pieces))
         self.widest = max(map(len, pieces), default=1)
         self.bytes_at = len(pieces)
+        steps = np.array([(nodes[p[:-1]] << 21 | ord(p[-1]), k) for p, k in nodes.items() if p], np.int64).reshape(-1, 2)
+        self.mask = (4 << len(steps).bit_length()) - 1
+        self.keys, self.nodes = np.full(self.mask + 1, -1, np.int64), np.zeros(self.mask + 1, np.int32)
+        left, at = steps, self._slot(steps[:, 0])
+        while len(left):
+            free = np.flatnonzero(self.keys[at] < 0)
+            free = free[np.unique(at[free], return_index=True)[1]]
+            self.keys[at[free]], self.nodes[at[free]] = left[free].T
+            rest = np.ones(len(left), bool)
+            rest[free] = False
+            left, at = left[rest], (at[rest] + 1) & self.mask
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & self.mask
+
+    def _step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The nodes that characters lead to, -1 for none."""
+        key = node.astype(np.int64) << 21 | char
+        at, out = self._slot(key), np.full(len(key), -1, np.int32)
+        open_ = np.arange(len(key))
+        while len(open_):
+            found = self.keys[at]
+            hit = found == key[open_]
+            out[open_[hit]] = self.nodes[at[hit]]
+            more = ~hit & (found >= 0)
+            open_, at = open_[more], (at[more] + 1) & self.mask
+        return out
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """(word, start, end, piece) of every piece in every word, by start; and the characters that stand for
+        """(word, start, end, piece) of every piece in every word, by start; the words' lengths; and the characters that stand for
         themselves as bytes, whose pieces are numbered from -1 down."""
-        out, odd = [], {}
-        place, beginnings, widest = self.place, self.beginnings, self.widest
-        for w, word in enumerate(words):
-            n = len(word)
-            for i in range(n):
-                one = word[i]
-                k = place.get(one)
-                if k is None:
-                    k = -1 - odd.setdefault(one, len(odd))
-                out.append((w, i, i + 1, k))
-                j, part = i + 1, one
-                while part in beginnings and j < n and j - i < widest:
-                    j += 1
-                    part = word[i:j]
-                    k = place.get(part)
-                    if k is not None:
-                        out.append((w, i, j, k))
-        made = np.array(out, np.int64).reshape(-1, 4)
-        return made[np.argsort(made[:, 1], kind="stable")], np.array([len(w) for w in words]), [c.encode("utf-8", "surrogatepass") for c in odd]
+        length = np.array([len(w) for w in words])
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        word = np.repeat(np.arange(len(words)), length)
+        start = np.arange(len(chars)) - np.repeat(np.cumsum(length) - length, length)
+        left = length[word] - start
+        node, at = np.zeros(len(chars), np.int32), np.arange(len(chars))
+        parts, odd = [], np.zeros(0, np.int64)
+        for n in range(1, self.widest + 1):
+            node = self._step(node, chars[at + n - 1])
+            piece = np.where(node >= 0, self.piece[node], -1)
+            if n == 1:
+                lone = np.flatnonzero(piece < 0)
+                odd, which = np.unique(chars[lone], return_inverse=True)
+                parts.append((word[lone], start[lone], start[lone] + 1, -1 - which))
+            some = np.flatnonzero(piece >= 0)
+            parts.append((word[at[some]], start[at[some]], start[at[some]] + n, piece[some]))
+            on = np.flatnonzero((node >= 0) & (left[at] > n))
+            node, at = node[on], at[on]
+            if not len(at):
+                break
+        made = np.stack([np.concatenate(c) for c in zip(*parts)], 1).astype(np.int64)
+        order = made[:, 1].astype(np.uint16) if len(length) and length.max() < 1 << 16 else made[:, 1]  # short keys sort faster
+        return made[np.argsort(order, kind="stable")], length, [chr(c).encode("utf-8", "surrogatepass") for c in odd.tolist()]
 
     def probabilities(self, table: np.ndarray, odd: list[bytes], piece: np.ndarray) -> np.ndarray:
         """Of each edge, by language: a piece's own or the product of its bytes'."""
@@ -129,19 +165,19 @@ def passes(lattice: Lattice, words: list[str], table: np.ndarray, backward: bool
     def swept(starts: np.ndarray, source: np.ndarray, target: np.ndarray, order: range, step: int):
         sums, logs = np.zeros((len(words), most + 1, langs)), np.zeros((len(words), most + 1, langs))
         sums[rows, starts] = 1
+        flat, source, target = sums.reshape(-1, langs), w * (most + 1) + source, w * (most + 1) + target
         for k, at in enumerate(order):
             if k and k % BETWEEN == 0:
                 _scaled(sums, logs, at, step, lattice.widest)
-            e = slice(begin[at], begin[at + 1]) if step > 0 else slice(begin_back[at], begin_back[at + 1])
-            e = e if step > 0 else by_end[e]
-            sums[w[e], target[e]] += sums[w[e], source[e]] * p[e]
+            e = slice(begin[at], begin[at + 1]) if step > 0 else by_end[begin_back[at] : begin_back[at + 1]]
+            flat[target[e]] += flat[source[e]] * p[e]  # from one position each target is reached once
         return sums, logs
 
     forward, up = swept(np.zeros(len(words), np.int64), i, j, range(most), 1)
     total = np.log(forward[rows, length]) + up[rows, length]
     if not backward:
         return total, edges, None
-    by_end = np.argsort(j, kind="stable")
+    by_end = np.argsort(j.astype(np.uint16) if most < 1 << 16 else j, kind="stable")
     begin_back = np.searchsorted(j[by_end], np.arange(most + 2))
     back, down = swept(length, j, i, range(most, 0, -1), -1)
     expected = forward[w, i] * p * back[w, j] * np.exp(up[w, i] + down[w, j] - total[w])
@@ -161,14 +197,14 @@ def batches_of(words: list[str], langs: int) -> Iterator[list[str]]:
 
 
 def words_of(text: str) -> Iterator[list[str]]:
-    """The marked words of a text, by slices that end between words."""
+    """The words of a text, by slices that end between words."""
     at = 0
     while at < len(text):
         end = min(at + SLICE, len(text))
         if end < len(text):
             gap = BLANK.search(text, end)
             end = gap.end() if gap else len(text)
-        yield [MARK + w for w in text[at:end].split()]
+        yield text[at:end].split()
         at = end
 
 
@@ -183,47 +219,96 @@ class Model:
 
 
 class _Known:
-    """What a worker keeps: the lattice, and words' log probabilities as rows of one matrix, all forgotten when full."""
+    """What a worker keeps: the lattice, and words' log probabilities as rows of one matrix. When that is full, words that were
+    met but once are forgotten, or all if these are few."""
 
     def __init__(self, model: Model, pieces: list[str]):
         self.model, self.lattice = model, Lattice(pieces)
         self.at: dict[str, int] = {}
-        self.logs = np.zeros((0, len(model.languages)))
-
-    def total(self, counts: dict[str, int]) -> np.ndarray:
-        """The sum of count times log probability, by language."""
-        if len(self.at) + len(counts) > REMEMBERED:
-            self.at, self.logs = {}, self.logs[:0]
-        fresh = [w for w in counts if w not in self.at]
-        out = np.zeros(self.logs.shape[1])
-        rows, short = [], []
+        self.logs = np.zeros((REMEMBERED, len(model.languages)))
+        self.again = np.zeros(REMEMBERED, bool)
+
+    def _forget(self) -> None:
+        kept = [(w, k) for w, k in self.at.items() if self.again[k]]
+        kept = kept if len(kept) < REMEMBERED // 2 else []
+        self.logs[: len(kept)] = self.logs[[k for _, k in kept]]
+        self.at = {w: n for n, (w, _) in enumerate(kept)}
+        self.again[:] = False
+
+    def totals(self, counts: list[dict[str, int]]) -> list[np.ndarray]:
+        """Of each count of words the sum of count times log probability, by language."""
+        every = set().union(*counts)
+        if len(self.at) + len(every) > REMEMBERED:
+            self._forget()
+        fresh, known = [w for w in every if w not in self.at], len(self.at)
+        extra: list[str] = []  # words that aren't kept beyond this call
+        more = []
         for batch in batches_of(fresh, self.logs.shape[1]):
-            logs = passes(self.lattice, batch, self.model.table, False)[0]
-            keep = [k for k, w in enumerate(batch) if len(w) <= LONGEST]
-            out += np.array([counts[w] for w in batch], float) @ logs
-            if len(self.at) + len(keep) <= REMEMBERED:
-                start = len(self.logs) + sum(map(len, rows))
-                self.at.update((batch[k], start + n) for n, k in enumerate(keep))
-                rows.append(logs[keep])
-        new = set(fresh)
-        short = [(self.at[w], c) for w, c in counts.items() if w not in new]
-        if short:
-            at, c = np.array(short).T
-            out += c @ self.logs[at]
-        if rows:
-            self.logs = np.concatenate([self.logs, *rows])
+            logs = passes(self.lattice, [MARK + w for w in batch], self.model.table, False)[0]
+            keep = np.array([len(w) <= LONGEST for w in batch]) & (np.arange(len(batch)) + len(self.at) < REMEMBERED)
+            first = len(self.at)
+            self.logs[first : first + keep.sum()] = logs[keep]
+            for w, kept in zip(batch, keep.tolist()):
+                if kept:
+                    self.at[w] = len(self.at)
+                else:
+                    extra.append(w)
+            more.append(logs[~keep])
+        more = np.concatenate(more) if more else self.logs[:0]
+        self.at.update((w, REMEMBERED + n) for n, w in enumerate(extra))
+        out = []
+        for c in counts:
+            at = np.fromiter(map(self.at.__getitem__, c), np.int64, len(c))
+            n = np.fromiter(c.values(), np.float64, len(c))
+            own = at < REMEMBERED
+            self.again[at[own & (at < known)]] = True
+            out.append(n[own] @ self.logs[at[own]] + n[~own] @ more[at[~own] - REMEMBERED])
+        for w in extra:
+            del self.at[w]
         return out
 
 
-def predict(known: _Known | None, text: str | None) -> tuple[str, float]:
-    if known is None or not text or not any(map(str.isalpha, text)):
-        return "und", 0.0
-    z = known.model.prior.copy()
-    for words in words_of(text):
-        z += known.total(Counter(words))
-    z = np.exp(z - z.max())
-    best = int(z.argmax())
-    return known.model.languages[best], float(z[best] / z.sum())
+def predict(known: _Known | None, texts: Iterator[str | None]) -> Iterator[tuple[str, float]]:
+    """(language, probability) of each text, in order. Words of several short texts are scored together; of a long
+    one slice by slice."""
+
+    def ended(z: np.ndarray | None) -> tuple[str, float]:
+        if z is None:
+            return "und", 0.0
+        p = np.exp(z - z.max())
+        best = int(p.argmax())
+        return known.model.languages[best], float(p[best] / p.sum())
+
+    waiting: list[np.ndarray | None] = []
+    counts: list[tuple[int, Counter]] = []
+    size = 0
+
+    def flush() -> Iterator[tuple[str, float]]:
+        nonlocal size
+        for (k, _), total in zip(counts, known.totals([c for _, c in counts]) if counts else ()):
+            waiting[k] = waiting[k] + total
+        yield from map(ended, waiting)
+        waiting.clear()
+        counts.clear()
+        size = 0
+
+    for text in texts:
+        if known is None or not text or not any(map(str.isalpha, text)):
+            waiting.append(None)
+        else:
+            waiting.append(known.model.prior)
+            for words in words_of(text):
+                length = min(SLICE, len(text))
+                if size + length > SLICE and counts:  # what is counted so far joins its texts
+                    for (k, _), total in zip(counts, known.totals([c for _, c in counts])):
+                        waiting[k] = waiting[k] + total
+                    counts.clear()
+                    size = 0
+                counts.append((len(waiting) - 1, Counter(words)))
+                size += length
+        if size >= SLICE // 2 or len(waiting) >= 4096:
+            yield from flush()
+    yield from flush()
 
 
 def _learnable(documents: DataFrame, folds: int) -> DataFrame:
@@ -242,7 +327,7 @@ def sampled(documents: DataFrame, sample: int) -> DataFrame:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(lang, word, n) of a table (lang, text); a task counts before it hands on."""
+    """(lang, word, n) of a table (lang, text), words without their mark; a task counts before it hands on."""
 
     def run(batches):
         import pyarrow as pa
@@ -286,7 +371,7 @@ def expected_counts(words: DataFrame, languages: list[str], table: np.ndarray, p
             for lang, counts in by_lang.items():
                 k = number[lang]
                 for batch in batches_of(list(counts), 1):
-                    _, (edges, odd), e = passes(lattice, batch, table[:, k : k + 1], True)
+                    _, (edges, odd), e = passes(lattice, [MARK + w for w in batch], table[:, k : k + 1], True)
                     e = e[:, 0] * np.array([counts[w] for w in batch], float)[edges[:, 0]]
                     piece = edges[:, 3]
                     out[:, k] += np.bincount(piece[piece >= 0], e[piece >= 0], len(table))
@@ -336,7 +421,7 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
 
         known = held(("langid", name), lambda: _Known(*shared.value)) if shared else None
         for b in batches:
-            made = [predict(known, t) for (t,) in rows_of(b.select(["text"]), 64)]
+            made = list(predict(known, (t for (t,) in rows_of(b.select(["text"]), 64))))
             yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], names=[*kept, "lang_pred", "score"])
 
     return documents.select(*kept).mapInArrow(run, schema)
