@@ -36,6 +36,7 @@ from .common import fold, held, rows_of, stored
 
 FOLDS = 5
 SAMPLE = 2000  # documents of a language that piece probabilities are learned from, at most
+MARGIN = 1.5
 ROUNDS = 4
 LANGUAGES = 500  # at most: a model has a number for each piece and language, some 128 MB then
 PRIOR = 0.01  # count that each piece starts with in each language
@@ -315,14 +316,19 @@ def _learnable(documents: DataFrame, folds: int) -> DataFrame:
     return documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(fold(F.col("doc_id"), folds), F.lit(1)) != 0))
 
 
-def sampled(documents: DataFrame, sample: int) -> DataFrame:
-    """(lang, text): of each language the first documents by crc32 of the id. Ids alone are ranked; rows of an equal id and
-    language come together, so that a few more than `sample` may be taken."""
+def sampled(documents: DataFrame, sample: int, counts: dict[str, int]) -> DataFrame:
+    """(lang, text): of each language, which has so many rows, the first documents by crc32 of the id. Ids alone are ranked, of a
+    language that has more than `sample` only those whose crc32 is so small that about MARGIN times the sample is left; rows of
+    an equal id and language come together, so that a few more than `sample` may be taken."""
     rows = _learnable(documents, FOLDS).select(F.col("lang").cast("string").alias("lang"), "doc_id", "text")
     key = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    ids = rows.groupBy("lang", "doc_id").agg(F.min(key).alias("key"))
+    spark = documents.sparkSession
+    below = spark.createDataFrame([(lang, int((1 << 32) * min(1.0, MARGIN * sample / n))) for lang, n in counts.items()], "its string, below long")
+    ids = rows.join(F.broadcast(below), F.col("lang") == F.col("its")).filter(key <= F.col("below"))  # at most LANGUAGES rows
+    ids = ids.groupBy("lang", "doc_id").agg(F.min(key).alias("key"))
     ids = ids.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("key", "doc_id"))).filter(F.col("place") <= sample)
     ids = ids.select(F.col("lang").alias("its"), F.col("doc_id").alias("id"))
+    # At most LANGUAGES times `sample` ids, eight bytes and a language each.
     return rows.join(F.broadcast(ids), (F.col("lang") == F.col("its")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("lang", "text")
 
 
@@ -400,7 +406,7 @@ def fit(documents: DataFrame, vocabulary: str | None = None, sample: int = SAMPL
         return None
     shares = sorted((r.lang, r["count"]) for r in shares)
     languages = [lang for lang, _ in shares]
-    words = stored(word_counts(sampled(documents, sample)), "langid-words")
+    words = stored(word_counts(sampled(documents, sample, dict(shares))), "langid-words")
     table = np.full((len(pieces) + len(byte_places), len(languages)), 1.0 / (len(pieces) + len(byte_places)))
     for _ in range(rounds):
         table = expected_counts(words, languages, table, pieces) + PRIOR
