@@ -73,10 +73,10 @@ def _page_of(record_id: str) -> int | None:
     return None if part == "null" else int(part)
 
 
-def make_record(page_id: int | None, k: int | str, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record with regenerated headers and digests."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if refers_to is not None else http + payload
+def make_record(page_id: int | None, k: int | str, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None) -> bytes:
+    """One WARC/1.1 record with regenerated headers and digests; a revisit needs no payload, only its size."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    block = http if refers_to is not None else http + (payload or b"")
     uri = url and "".join(c if 0x20 < ord(c) < 0x7F else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in url)
     lines = [
         "WARC/1.1",
@@ -174,11 +174,11 @@ def shard_bounds(keys: DataFrame, shard_bytes: int | None = None) -> tuple[list[
 
 
 def shards_of(bounds: list[tuple[int, int]], heavy: dict[tuple[int, int], tuple[int, int]]):
-    """A function of columns (page, hash, salt): the shards of a row, one that the salt picks or all without a salt."""
+    """A function of columns (page, hash): the shards of a row, its own first; several for a key that is more than a shard."""
     first = np.array(bounds or [(0, 0)], np.int64)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def shards(page, hash, salt):
+    def shards(page, hash):
         import pandas as pd
 
         p, h = page.to_numpy(np.int64), hash.to_numpy(np.int64)
@@ -191,13 +191,33 @@ def shards_of(bounds: list[tuple[int, int]], heavy: dict[tuple[int, int], tuple[
             for k, key in enumerate(zip(p.tolist(), h.tolist())):
                 if key in heavy:
                     further, n = heavy[key]
-                    every = [*out[k], *range(further, further + n)]
-                    out[k] = every if pd.isna(salt[k]) else [every[int(salt[k]) % len(every)]]
+                    out[k] += range(further, further + n)
         return pd.Series(out)
 
     return shards
 
 
+def _dealt(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """The rows of keys that are more than a shard, dealt out by content. Equal rows are counted, then numbered; where the key's
+    payload is shared, one row of the target (the first by url) is its response and stays in the key's own shard, and all
+    others travel as revisits, without their html."""
+    key = ["page_id", "page", "hash", "digest"]
+    size = F.octet_length(F.coalesce("html", F.lit(""))).cast("long")
+    rows = rows.withColumn("digest", F.sha1(F.coalesce("html", F.lit("")).cast("binary"))).groupBy(*key, "url", "shards").agg(F.count("*").alias("n"), F.max("html").alias("html"))
+    first = rows.groupBy(*key).agg(F.min(F.struct(F.col("url").isNull().alias("none"), "url")).alias("first"))
+    one = targets.withColumnsRenamed({c: f"of_{c}" for c in targets.columns})
+    rows = rows.join(first.withColumnsRenamed({c: f"of_{c}" for c in key}), F.expr(" AND ".join(f"{c} <=> of_{c}" for c in key))).drop(*(f"of_{c}" for c in key))
+    rows = rows.join(one, (F.col("digest") == F.col("of_digest")) & F.col("page_id").eqNullSafe(F.col("of_page_id")), "left")
+    rows = rows.withColumn("copy", F.explode(F.expr("sequence(0L, n - 1)")))
+    response = F.col("of_target").eqNullSafe(F.col("page_id")) & F.col("url").eqNullSafe(F.col("first.url")) & (F.col("copy") == 0)
+    plain = F.col("of_target").isNull()
+    salt = F.when(response, F.lit(0)).otherwise(F.pmod(F.xxhash64("url", "copy"), F.size("shards"))).cast("int")
+    return rows.select(
+        "page_id", "hash", F.when(plain | response, F.lit(1)).otherwise(F.lit(2)).alias("kind"), "digest", F.col("of_target").alias("target"), "url",
+        F.when(plain | response, F.col("html")).alias("html"), size.alias("payload_bytes"), F.get("shards", salt).alias("shard"),
+    )
+
+
 def write_warc(pages: DataFrame, folder: str, shard_bytes: int | None = None, roll_bytes: int = ROLL_BYTES, least_shared: int = LEAST_SHARED, level: int = LEVEL) -> DataFrame:
     """Writes (page_id, url, html) as archives below `folder`; the manifest."""
     raw = F.coalesce(F.col("html"), F.lit("")).cast("binary")
@@ -209,17 +229,15 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int | None = None, ro
     bounds, heavy = shard_bounds(narrow.select("page", "hash", (F.col("payload_bytes") + RECORD_BYTES).alias("bytes")), shard_bytes)
     own = len(bounds)
     shards = shards_of(bounds, heavy)
-    # Rows that a heavy key deals out are equal but for their url: any of them may go anywhere.
-    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 31))
-    nothing = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    rows = pages.select(page_id.alias("page_id"), *key, F.lit(1).alias("kind"), salt.alias("salt"), nothing("string", "digest"), nothing("long", "target"), "url", "html")
-    rows = rows.unionByName(shared.withColumn("kind", F.lit(0)), allowMissingColumns=True)
-    rows = rows.withColumn("shards", shards("page", "hash", "salt")).drop("page", "salt")
+    whole = pages.select(page_id.alias("page_id"), *key, "url", "html").withColumn("shards", shards("page", "hash"))
+    plain = whole.filter(F.size("shards") == 1) if heavy else whole
+    rows = plain.withColumn("kind", F.lit(1)).withColumn("shard", F.col("shards")[0])
     if heavy:
-        rows = rows.withColumn("shard", F.explode("shards"))
-    else:
-        rows = rows.withColumn("shard", F.col("shards")[0])
-    rows = rows.drop("shards").repartitionById(max(1, own + sum(n for _, n in heavy.values())), F.col("shard"))
+        rows = rows.unionByName(_dealt(whole.filter(F.size("shards") > 1), shared.select("page_id", "digest", "target")), allowMissingColumns=True)
+    marks = shared.withColumn("kind", F.lit(0)).withColumn("shard", shards("page", "hash")[0])
+    rows = rows.drop("shards", "page").unionByName(marks.drop("page"), allowMissingColumns=True)
+    rows = rows.withColumns({c: F.col(c) if c in rows.columns else F.lit(None).cast("long") for c in ("payload_bytes",)})
+    rows = rows.repartitionById(max(1, own + sum(n for _, n in heavy.values())), F.col("shard"))
     # Repeated rows of an id differ at most in url and html: these settle their order.
     rows = rows.sortWithinPartitions("page_id", "kind", "hash", "url", "html")
 
@@ -229,21 +247,23 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int | None = None, ro
         roller, page, targets, written = None, None, {}, Counter()
         done = []
         for b in batches:
-            for pid, kind, digest, target, url, html, k in rows_of(b.select(["page_id", "kind", "digest", "target", "url", "html", "shard"]), 64):
+            for pid, kind, digest, target, url, html, size, k in rows_of(b.select(["page_id", "kind", "digest", "target", "url", "html", "payload_bytes", "shard"]), 64):
                 roller = roller or _Roller(folder, k, roll_bytes, level)
                 if pid != page:
                     page, targets, written = pid, {}, Counter()
                 if kind == 0:
                     targets[digest] = target
                     continue
-                payload = (html or "").encode("utf-8", "surrogatepass")
-                digest = hashlib.sha1(payload).hexdigest()
-                to = targets.get(digest)
-                # The first of the largest id is the response; it stands in the key's own shard.
-                if to is not None and to == pid and k < own and not written[digest]:
-                    to = None
+                payload, to = None, target
+                if kind == 1:
+                    payload = (html or "").encode("utf-8", "surrogatepass")
+                    digest, size = hashlib.sha1(payload).hexdigest(), len(payload)
+                    # The first of the largest id is the response; of a key that is dealt out, it is the only one here.
+                    to = targets.get(digest)
+                    if to is not None and to == pid and not written[digest]:
+                        to = None
                 number = written[digest] if k < own else f"{k}.{written[digest]}"
-                done.append(roller.write(pid, make_record(pid, number, url, payload, digest, to)))
+                done.append(roller.write(pid, make_record(pid, number, url, payload, size, digest, to)))
                 written[digest] += 1
         if roller:
             done.append(roller.close())
@@ -309,11 +329,21 @@ def read_warc(manifest: DataFrame, folder: str, payload: bool = True) -> DataFra
     return files.repartition(n, "file").mapInArrow(run, schema)
 
 
+def checked(records: DataFrame) -> DataFrame:
+    """The records, stored, if each revisit's target is a response of its payload; else an error."""
+    records = stored(records, "warc-records")
+    wanted = records.filter("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), "payload_digest").distinct()
+    lost = wanted.join(records.filter("record_type = 'response'").select("page_id", "payload_digest"), ["page_id", "payload_digest"], "left_anti").limit(5).collect()
+    if lost:
+        raise ValueError(f"revisits refer to pages that hold no response of their payload: {[r.page_id for r in lost]}")
+    return records
+
+
 def op1(pages: DataFrame) -> DataFrame:
     folder = scratch(pages.sparkSession, "warc")
     filesystem(folder)[0].create_dir(filesystem(folder)[1], recursive=True)
     manifest = write_warc(pages.select("page_id", "url", "html"), folder)
-    return read_warc(manifest, folder, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return checked(read_warc(manifest, folder, payload=False)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL1 = """

@@ -94,10 +94,37 @@ def test_warc_many_shards(spark):
     keys = spark.range(40_000).select(((F.col("id") - 20_000) * 400_000_000_000_000).alias("page"), F.xxhash64("id").alias("hash"), F.lit(25).cast("long").alias("bytes"))
     bounds, heavy = warc.shard_bounds(keys, shard_bytes=100)
     assert len(bounds) == 10_000 and bounds == sorted(bounds) and not heavy
-    got = keys.select("page", warc.shards_of(bounds, heavy)("page", "hash", F.lit(1).cast("long")).alias("s")).collect()
+    got = keys.select("page", warc.shards_of(bounds, heavy)("page", "hash").alias("s")).collect()
     assert all(r.s == [(r.page // 400_000_000_000_000 + 20_000) // 4] for r in got)
 
 
+@pytest.mark.parametrize("rows", [[(5, 1), (10, 1)], [(5, 3), (10, 1)], [(5, 1), (10, 7), (None, 2)], [(None, 4)]], ids=str)
+@pytest.mark.parametrize("size", [5000, 900])
+def test_payloads_above_a_shard_are_kept_once(spark, frame, rows, size):
+    """Equal payloads that are each more than a shard, with and without urls: one response, of the largest id."""
+    html = "é" + "x" * (size - 2)
+    pages = [(i, None if n % 3 == 2 else f"u{n % 2}", html, None) for i, times in rows for n in range(times)]
+    for _ in range(2):
+        folder = scratch(spark, "test-warc")
+        filesystem(folder)[0].create_dir(filesystem(folder)[1])
+        manifest = warc.write_warc(frame(PAGE, pages), folder, shard_bytes=2000 if size == 5000 else 700)
+        back = warc.checked(warc.read_warc(manifest, folder)).collect()
+        ids = [i for i, _, _, _ in pages]
+        top = max((i for i in ids if i is not None), default=None)
+        key = lambda r: (r[0] or 0, r[1] or "")
+        assert sorted(((r.page_id, r.url) for r in back), key=key) == sorted(((i, u) for i, u, _, _ in pages), key=key)
+        kinds = [r.page_id for r in back if r.record_type == "response"]
+        assert sorted(kinds, key=str) == ([top] if size >= 1000 and top is not None else sorted(ids, key=str))
+        assert all(r.payload.decode() == html for r in back if r.record_type == "response") and {r.payload_bytes for r in back} == {size}
+
+
+def test_revisit_without_response_fails(spark):
+    rows = [(1, 9, "d", "revisit", 2), (2, 9, "e", "response", None)]
+    records = spark.createDataFrame(rows, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    with pytest.raises(ValueError, match="no response"):
+        warc.checked(records)
+
+
 def test_damaged_warc_fails(spark, frame):
     folder = scratch(spark, "test-warc")
     fs, path = filesystem(folder)
