@@ -91,6 +91,16 @@ def unpack(raw: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def pack_totals(a: np.ndarray) -> bytes:
+    """Counts in as many bytes each as the largest needs, four or eight, which the first byte says."""
+    kind = np.uint32 if a.max(initial=0) < 1 << 32 else np.uint64
+    return bytes([np.dtype(kind).itemsize]) + pack(a.astype(kind))
+
+
+def unpack_totals(raw: bytes) -> np.ndarray:
+    return unpack(raw[1:], np.uint32 if raw[0] == 4 else np.uint64).astype(np.int64)
+
+
 class Block:
     """The n-grams of a block's documents. Keys: words, pairs, and the start once."""
 
@@ -196,7 +206,15 @@ def _answer(t):
 
     keys = [unpack_keys(x.as_py()) for x in t.column("keys")]
     merged, at = np.unique(np.concatenate(keys), return_inverse=True)
-    add = lambda name: np.bincount(at, np.concatenate([unpack(x.as_py(), np.uint32) for x in t.column(name)]), len(merged)).astype(np.int64)
+
+    def add(name: str) -> np.ndarray:
+        out = np.zeros(len(merged), np.int64)
+        lo = 0
+        for k, x in zip(keys, t.column(name)):
+            out[at[lo : lo + len(k)]] += unpack(x.as_py(), np.uint32)  # a block has each key once
+            lo += len(k)
+        return out
+
     rest = add("learned")
     total = rest + add("tuned")
     cuts = np.cumsum([0, *map(len, keys)])
@@ -208,8 +226,8 @@ def _answer(t):
         {
             "shard": pa.array([shard] * (n + 1), pa.int32()),
             "block": pa.array([*t.column("block").to_pylist(), None], pa.int64()),
-            "rest": pa.array([*(pack(rest[at[a:b]].astype(np.uint32)) for a, b in ends), None], pa.binary()),
-            "total": pa.array([*(pack(total[at[a:b]].astype(np.uint32)) for a, b in ends), None], pa.binary()),
+            "rest": pa.array([*(pack_totals(rest[at[a:b]]) for a, b in ends), None], pa.binary()),
+            "total": pa.array([*(pack_totals(total[at[a:b]]) for a, b in ends), None], pa.binary()),
             **{k: pa.array([None] * n + [v], pa.int64()) for k, v in zip(("types", "rest_tokens", "tokens", "rest_docs", "docs"), stats)},
         }
     )
@@ -264,7 +282,7 @@ def score(documents: DataFrame, block_bytes: int | None = None, shard_bytes: int
     def gather(raw: list, got, column: str, hashes: _Hashes):
         order = np.argsort(got.column("shard").to_numpy())
         parts = got.column(column)
-        return Block(raw[0].as_py(), hashes), np.concatenate([unpack(parts[int(k)].as_py(), np.uint32) for k in order]).astype(np.int64)
+        return Block(raw[0].as_py(), hashes), np.concatenate([unpack_totals(parts[int(k)].as_py()) for k in order])
 
     def tune(left, right):
         import pyarrow as pa

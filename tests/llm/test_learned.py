@@ -355,3 +355,18 @@ def test_vectors_against_all_pairs(spark):
         got = {r.vec_id: r.n_links for r in vectors.near_vectors(df, cosine).collect()}
         found = np.array([got[r.vec_id] for r in rows])
         assert (found <= true).all() and found.sum() >= 0.9 * true.sum() and (true.sum() > 0) == some
+
+
+def test_totals_beyond_32_bits():
+    """Sums of blocks whose counts each fit 32 bits, where the totals don't."""
+    import pyarrow as pa
+
+    keys = np.array([2, 5, 9], np.uint64)
+    counts = np.array([4_000_000_000, 7, 1], np.uint32)
+    t = pa.table({"shard": [0] * 3, "block": [1, 2, 3], "keys": [lm.pack_keys(keys)] * 3, "learned": [lm.pack(counts)] * 3, "tuned": [lm.pack(counts)] * 3})
+    out = lm._answer(t)
+    for name, times in (("rest", 3), ("total", 6)):
+        got = [lm.unpack_totals(x) for x in out.column(name).to_pylist() if x is not None]
+        assert len(got) == 3 and all((g == times * counts.astype(np.int64)).all() for g in got)
+    small = lm.pack_totals(np.array([1, 2]))
+    assert small[0] == 4 and lm.unpack_totals(small).tolist() == [1, 2] and lm.unpack_totals(lm.pack_totals(np.array([], np.int64))).tolist() == []
