@@ -3,7 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages
 the documents are written as Parquet and read again, so a lost executor costs at
 most work of one stage. All stages but the last return the columns of the
-documents; the last returns one row per document of the mix, with its token ids.
+documents; the last returns one row per document of the mix, with its token ids. The mix is
+written in the order of training, and the last stage names each row's place in it (ORDER): rows sorted
+by these columns are in the order that the curriculum trains on. They are missing where rows come from no files.
 
 Defined results. Rows are documents of their own: those with a null id, or with
 an id that others have too, are judged each by its text. Null and blank texts
@@ -55,9 +57,19 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
+#: Where a row stands in files that were written in order: the number of the part, of the file in it, of the row in that.
+ORDER = ("train_part", "train_file", "train_row")
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document of the mix, with their count and digests of them and of the decoded text."""
-    return bpe.op7(docs)
+    """Token ids of each document of the mix, with their count and digests of them and of the decoded text, and
+    its place in the order of training: Spark reads files in any order, so that places are those of the mix's own files."""
+    rows = docs.select("doc_id", "text")
+    if docs.inputFiles():
+        name, number = F.col("_metadata.file_name"), lambda of, pattern: F.regexp_extract(of, pattern, 1).try_cast("long")
+        places = (number(name, r"part-(\d+)"), number(name, r"c(\d+)\."), F.col("_metadata.row_index"))
+        rows = docs.select("doc_id", "text", *(p.alias(n) for p, n in zip(places, ORDER)))
+    return bpe.encode(rows, None, bpe.build_lexicon(rows.select("doc_id", "text")), digests=True)
 
 
 STAGES = [

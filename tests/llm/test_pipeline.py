@@ -35,6 +35,17 @@ def test_stages(spark, sf_dir, documents, labels):
     assert P.run(spark, sf_dir).count() == docs.count()
 
 
+def test_order_of_training_is_kept(spark, sf_dir, documents):
+    """Sorted by its places the last stage's result is the mix in its order, whatever files Spark packs together."""
+    want = [r.doc_id for r in mixing.mixed_documents(documents).select("doc_id").toLocalIterator()]
+    path = scratch(spark, "test-order")
+    P.mix_sources(spark, documents, sf_dir).write.option("maxRecordsPerFile", 37).parquet(path)
+    got = P.encode(spark, spark.read.parquet(path), sf_dir)
+    rows = sorted(got.select(*P.ORDER, "doc_id").collect())
+    assert [r.doc_id for r in rows] == want and len({tuple(r)[:3] for r in rows}) == len(rows)
+    assert [r.doc_id for r in got.orderBy(*P.ORDER).select("doc_id").collect()] == want
+
+
 def test_empty_and_odd_rows(spark, sf_dir):
     rows = [(1, None, None, None, 0), (2, "", "en", "a", 0), (3, "word " * 50, "en", "a", 250), (3, "word " * 50, "en", "a", 250), (4, "word " * 50, "en", None, 250)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
