@@ -3,10 +3,14 @@ every vector whose id is divisible by 20, against all rows."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import retrieval as R
+from ..operators.stored_index import StoredIndex
+from ..session import shared_folder
 from .base import sql_compact, sql_tokens, table
 
 DIM = 64
@@ -105,11 +109,47 @@ def protected_rerank(spark, d):
     return R.protected_order(scored).select("query_id", F.col("document_id").alias("doc_id"), "rank", "rerank_score", "new_rank")
 
 
+_BOTH_FIELDS = {"boosts": {"title": 4.0, "text": 1.0}, "phrases": {"title": 7.0, "text": 2.0}}
+
+
+def _index_path(spark, d, what):
+    """A name for the index of a folder's documents as its files are now."""
+    files = table(spark, d, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    print_ = files.agg(F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)"))).first()[0]
+    return f"{shared_folder(spark)}/indexes/{what}-{print_}"
+
+
+def _index(spark, d) -> StoredIndex:
+    """The index that an earlier query has left, else a new one."""
+    path, chunks = _index_path(spark, d, "documents"), _chunks(spark, d)
+    if StoredIndex.exists(spark, path):
+        found = StoredIndex(spark, path)
+        if found.state["segments"]:
+            return found
+    return StoredIndex.create(spark, path, chunks.select("document_id", "ordinal").schema, ["title", "text"]).add(chunks)
+
+
+def index_documents(spark, d):
+    """Writes the index of titles and texts, if it isn't there, and says what it holds by field."""
+    index = _index(spark, d)
+    words = index._read("dictionary").groupBy("field").agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"))
+    texts = index.texts().groupBy("field").agg(F.count("*").alias("n_chunks"), F.sum("dl").alias("n_tokens"))
+    return texts.join(words, "field")
+
+
 def indexed_search(spark, d):
-    """The same as bm25_fields, from stored postings."""
-    index = R.lexical_index(_chunks(spark, d), ["document_id", "ordinal"], ("title", "text"), postings=True)
-    options = {"boosts": {"title": 4.0, "text": 1.0}, "phrases": {"title": 7.0, "text": 2.0}}
-    found = R.lexical_search(_queries(spark, d), index, 10, **options)
+    """The same as bm25_fields, from an index that an earlier query has left."""
+    found = _index(spark, d).search(_queries(spark, d), 10, **_BOTH_FIELDS)
+    return found.select("query_id", F.col("document_id").alias("doc_id"), "score", "rank")
+
+
+def index_update(spark, d):
+    """A search after changes: documents with an id divisible by 5 are removed, and of the others those divisible by 7 become their
+    first line alone."""
+    path, chunks = _index_path(spark, d, f"update-{uuid.uuid4().hex}"), _chunks(spark, d)
+    index = StoredIndex.create(spark, path, chunks.select("document_id", "ordinal").schema, ["title", "text"]).add(chunks)
+    index = index.remove(chunks.filter("document_id % 5 = 0")).add(chunks.filter("document_id % 7 = 0 AND document_id % 5 <> 0").withColumn("text", F.col("title")))
+    found = index.search(_queries(spark, d), 10, **_BOTH_FIELDS)
     return found.select("query_id", F.col("document_id").alias("doc_id"), "score", "rank")
 
 
@@ -205,7 +245,19 @@ SELECT query_id, doc_id, rank, score, r0 AS lexical_rank, r1 AS dense_rank,
 QUERIES = {
     "bm25_topk": (bm25_topk, f"{_TEXT}, {_top('h', 5, 'top')} SELECT * FROM top"),
     "bm25_fields": (bm25_fields, f"{_BOTH}, {_top('h', 10, 'top')} SELECT * FROM top"),
+    "index_documents": (
+        index_documents,
+        f"""WITH f AS (SELECT 'text' AS field, {sql_tokens("text")} AS toks FROM documents UNION ALL SELECT 'title', {sql_tokens("split_part(text, chr(10), 1)")} FROM documents),
+  t AS (SELECT field, term, count(*) AS df FROM (SELECT field, unnest(list_distinct(toks)) AS term FROM f) GROUP BY ALL),
+  w AS (SELECT field, count(*) AS n_terms, sum(df)::BIGINT AS n_postings FROM t GROUP BY field)
+SELECT field, count(*) AS n_chunks, sum(len(toks))::BIGINT AS n_tokens, n_terms, n_postings FROM f JOIN w USING (field) WHERE len(toks) > 0 GROUP BY ALL""",
+    ),
     "indexed_search": (indexed_search, f"{_BOTH}, {_top('h', 10, 'top')} SELECT * FROM top"),
+    "index_update": (
+        index_update,
+        f"""WITH changed AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN split_part(text, chr(10), 1) ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0),
+{_BOTH.removeprefix("WITH").replace("FROM documents", "FROM changed")}, {_top("h", 10, "top")} SELECT * FROM top""",
+    ),
     "valid_vectors": (
         valid_vectors,
         f"SELECT vec_id, coalesce(len(embedding) = {DIM} AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS valid FROM embeddings",

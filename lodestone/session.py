@@ -7,6 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir itself, for tables that other sessions open by name."""
+    ensure_checkpoints(spark)
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """`df` as a table below the checkpoint folder, read again: computed once, with columns that can be
     pruned, and nothing to recompute if an executor is lost."""
