@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import json
 import re
 from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import url as U
-from ..sources.markup import BadSelector, compile_selector, extract, usable_selectors
+from ..sources.markup import BadSelector, compile_selector, extract_with_rules, usable_selectors
 from .joins import small
 
 MOST_RULES = 100
@@ -58,69 +58,83 @@ def check_rules(rules: list[dict]) -> None:
             raise ValueError(f"the rule of {host} has selectors that can't be used")
 
 
-def passes(markdown: str, required: list[str], forbidden: list[str]) -> bool:
-    t = markdown.replace("\\_", "_")
-    return all(m in t for m in required) and not any(m in t for m in forbidden)
+PARTS = ("remove_selectors", "force_browser")
+BUNDLE = "bundle_id string, host string, url string, static_html string, rendered_html string, required_markers array<string>, forbidden_markers array<string>, candidate_rule struct<remove_selectors: array<string>, force_browser: boolean>"
 
 
-def _output(bundle: dict, parts: tuple[str, ...]) -> dict:
-    """What extraction gives when the named parts of the bundle's rule are on."""
-    html = bundle["static_html"]
-    if "force_browser" in parts and bundle.get("rendered_html"):
-        html = bundle["rendered_html"]
-    got = extract(html, bundle["candidate_rule"].get("remove_selectors") if "remove_selectors" in parts else None)
-    return {k: got[k] for k in ("title", "markdown", "text")}
+@F.pandas_udf(T.BooleanType())
+def _usable(selectors: pd.Series) -> pd.Series:
+    """Whether a list holds selectors and all of them compile."""
 
-
-def _parts(rule: dict) -> list[str]:
-    return [p for p in ("remove_selectors", "force_browser") if rule.get(p)]
-
-
-def subsets(parts: list[str]):
-    """Non-empty subsets, smallest first."""
-    return [s for n in range(1, len(parts) + 1) for s in combinations(parts, n)]
-
-
-def rule_problem(rule: dict) -> str | None:
-    if not _parts(rule):
-        return "empty_rule"
-    selectors = rule.get("remove_selectors")
-    if selectors:
+    def one(x) -> bool:
         try:
-            if not [compile_selector(s) for s in usable_selectors(selectors)]:
-                return "invalid_remove_selectors"
+            return x is not None and bool([compile_selector(s) for s in usable_selectors(list(x))])
         except BadSelector:
-            return "invalid_remove_selectors"
-    return None
-
-
-def admit(bundle: dict, control: dict | None = None) -> dict:
-    """Whether a bundle's rule is admitted: needed, sufficient, minimal, effective
-    and harmless to a page of another host. Gives decision, selected parts, reasons."""
-    host = bundle["host"].strip().rstrip(".").lower()
-    target = re.sub(r"^[a-z]+://(?:[^/@]*@)?([^/:?#]*).*$", r"\1", bundle["url"].lower())
-    rule, wanted, banned = bundle["candidate_rule"], bundle["required_markers"], bundle["forbidden_markers"]
-    base = _output(bundle, ())
-    needed = not passes(base["markdown"], wanted, banned)
-    everything = tuple(_parts(rule))
-    works = passes(_output(bundle, everything)["markdown"], wanted, banned)
-    good = [s for s in subsets(list(everything)) if passes(_output(bundle, s)["markdown"], wanted, banned)]
-    chosen = good[0] if good else ()
-    checks = [
-        (not valid_host(host), "invalid_host"),
-        (host != target, "host_is_not_the_target"),
-        (rule_problem(rule) is not None, rule_problem(rule)),
-        (not needed, "no_need"),
-        (not works, "candidate_fails"),
-        (_output(bundle, everything) != _output(bundle, everything), "not_deterministic"),
-        (control is not None and control.get("host", "") == host, "control_changed"),
-        (works and not good, "no_passing_subset"),
-        ("remove_selectors" in chosen and _output(bundle, chosen) == _output(bundle, tuple(p for p in chosen if p != "remove_selectors")), "selectors_do_nothing"),
-        ("force_browser" in chosen and not bundle.get("rendered_html"), "no_rendered_page"),
-        ("force_browser" in chosen and not needed, "rendering_is_needless"),
-    ]
-    reasons = [why for wrong, why in checks if wrong]
-    return {"decision": "REJECT" if reasons else "ADMIT", "selected": list(chosen), "reasons": reasons}
+            return False
+
+    return selectors.map(one)
+
+
+def trials(bundles: DataFrame) -> DataFrame:
+    """What extraction gives for each bundle under each subset of its rule's parts, the empty one among them: bundle_id, selectors and
+    browser (which parts are on), output, good (its contract is met). At most four rows a bundle."""
+    rule = F.col("candidate_rule")
+    has = {"selectors": F.coalesce(F.size(rule.remove_selectors) > 0, F.lit(False)), "browser": F.coalesce(rule.force_browser, F.lit(False))}
+    on = F.array(F.lit(False), F.lit(True))
+    rows = bundles.withColumn("selectors", F.explode(F.filter(on, lambda x: ~x | has["selectors"])))
+    rows = rows.withColumn("browser", F.explode(F.filter(on, lambda x: ~x | has["browser"])))
+    html = F.when(F.col("browser") & F.col("rendered_html").isNotNull(), F.col("rendered_html")).otherwise(F.col("static_html"))
+    found = rows.withColumn("e", extract_with_rules(html, F.when(F.col("selectors"), rule.remove_selectors)))
+    output = F.struct("e.title", "e.markdown", "e.text")
+    return found.select("bundle_id", "selectors", "browser", output.alias("output"), meets_contract(F.col("e.markdown"), F.col("required_markers"), F.col("forbidden_markers")).alias("good"))
+
+
+def control_effects(bundles: DataFrame, controls: DataFrame) -> DataFrame:
+    """(bundle_id, matched, changed) for each control page (url, html), which no rule should touch: whether the rule of the
+    bundle's host applies to it, and whether its text would change by that. A few pages meet all bundles."""
+    host = F.lower(F.regexp_replace(F.trim("host"), r"\.+$", ""))
+    met = bundles.select("bundle_id", host.alias("host"), F.col("candidate_rule.remove_selectors").alias("remove_selectors")).join(
+        small(controls.select(U.host(F.col("url")).alias("host"), "html"), MOST_RULES), "host"
+    )
+    outputs = met.withColumn("plain", extract_with_rules("html", F.lit(None).cast("array<string>"))).withColumn("ruled", extract_with_rules("html", "remove_selectors"))
+    changed = outputs.groupBy("bundle_id").agg(F.lit(True).alias("matched"), F.max(F.col("plain.markdown") != F.col("ruled.markdown")).alias("changed"))
+    return bundles.select("bundle_id").join(changed, "bundle_id", "left").fillna(False, ["matched", "changed"])
+
+
+def admissions(bundles: DataFrame, controls: DataFrame | None = None) -> DataFrame:
+    """(bundle_id, decision, selected, reasons): a rule is admitted if its page needs it, some smallest set of its parts meets the page's
+    contract, each part of that set does something, and no control page is touched. `bundles` has the columns of BUNDLE.
+
+    All follows from one table of trials, four outputs a bundle at most: `need` is the empty set's failure, `sufficient` the full set's
+    success, the selection the smallest good set (selectors before the browser), `effective` a difference to the set without selectors."""
+    outputs = trials(bundles)
+    size = F.col("selectors").cast("int") + F.col("browser").cast("int")
+    key = F.struct(size.alias("size"), F.col("browser").alias("browser"), F.col("selectors").alias("selectors"))
+    output = lambda s, b: F.max(F.when((F.col("selectors") == s) & (F.col("browser") == b), F.struct("output", "good")))
+    found = outputs.groupBy("bundle_id").agg(
+        F.max(key).alias("whole"), F.max_by("good", key).alias("sufficient"), F.min(F.when(F.col("good") & (size > 0), key)).alias("best"),
+        output(False, False).alias("plain"), output(True, False).alias("cut"), output(False, True).alias("rendered"), output(True, True).alias("both"),
+    )
+    rows = bundles.join(found, "bundle_id")
+    touched = F.lit(False)
+    if controls is not None:
+        rows = rows.join(control_effects(bundles, controls), "bundle_id")
+        touched = F.col("matched") | F.col("changed")
+    host, best, rule = F.lower(F.regexp_replace(F.trim("host"), r"\.+$", "")), F.col("best"), F.col("candidate_rule")
+    named = F.filter(F.array(F.when(F.size(rule.remove_selectors) > 0, F.lit(PARTS[0])), F.when(rule.force_browser, F.lit(PARTS[1]))), lambda x: x.isNotNull())
+    with_cut = F.when(best.browser, F.col("both.output")).otherwise(F.col("cut.output"))
+    without = F.when(best.browser, F.col("rendered.output")).otherwise(F.col("plain.output"))
+    problems = {
+        "host": F.when(~U.is_dns_host(host), "host is no DNS name").when(host != U.host(F.col("url")), "page is of another host"),
+        "rule": F.when(F.size(named) == 0, "rule has no parts").when((F.size(rule.remove_selectors) > 0) & ~_usable(rule.remove_selectors), "selectors can't be used"),
+        "need": F.when(F.col("plain.good"), "page needs no rule"),
+        "success": F.when(~F.col("sufficient"), "rule doesn't help"),
+        "effect": F.when(best.selectors & (with_cut == without), "selectors change nothing").when(best.browser & F.col("rendered_html").isNull(), "no rendered page"),
+        "harm": F.when(touched, "rule touches a control page"),
+    }
+    reasons = F.filter(F.array(*problems.values()), lambda x: x.isNotNull())
+    selected = F.filter(F.array(F.when(best.selectors, F.lit(PARTS[0])), F.when(best.browser, F.lit(PARTS[1]))), lambda x: x.isNotNull())
+    return rows.select("bundle_id", F.when(F.size(reasons) == 0, "ADMIT").otherwise("REJECT").alias("decision"), selected.alias("selected"), reasons.alias("reasons"))
 
 
 def minimal_cover(coverage: dict[str, set[str]], needed: set[str]) -> list[str] | None:
@@ -131,12 +145,3 @@ def minimal_cover(coverage: dict[str, set[str]], needed: set[str]) -> list[str]
             if needed <= set().union(*(coverage[n] for n in chosen)):
                 return list(chosen)
     return None
-
-
-def admissions(bundles: DataFrame) -> DataFrame:
-    """Decisions for a table of bundles (rows as JSON in `bundle`, key bundle_id)."""
-    @F.pandas_udf("struct<decision: string, selected: array<string>, reasons: array<string>>")
-    def run(rows: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([admit(json.loads(r)) for r in rows], columns=["decision", "selected", "reasons"])
-
-    return bundles.select("bundle_id", run("bundle").alias("a")).select("bundle_id", "a.*")

@@ -264,24 +264,40 @@ def bundle(**changes):
     return b | changes
 
 
-def test_admission():
-    assert L.admit(bundle()) == {"decision": "ADMIT", "selected": ["remove_selectors"], "reasons": []}
-    assert "host_is_not_the_target" in L.admit(bundle(host="other.example"))["reasons"]
-    assert "invalid_host" in L.admit(bundle(host="10.0.0.1", url="https://10.0.0.1/a"))["reasons"]
-    assert "no_need" in L.admit(bundle(forbidden_markers=[]))["reasons"]
-    assert "candidate_fails" in L.admit(bundle(candidate_rule={"remove_selectors": [".none"]}))["reasons"]
-    assert "invalid_remove_selectors" in L.admit(bundle(candidate_rule={"remove_selectors": ["p >> q"]}))["reasons"]
-    force = bundle(candidate_rule={"force_browser": True}, rendered_html=RENDERED, required_markers=["late_part"], forbidden_markers=[])
-    assert L.admit(force)["decision"] == "ADMIT"
-    both = L.admit(force | {"candidate_rule": {"force_browser": True, "remove_selectors": [".promo"]}})
-    assert both["selected"] == ["force_browser"]
-
-
-def test_admission_table(spark):
-    import json
-
-    df = spark.createDataFrame([("one", json.dumps(bundle())), ("two", json.dumps(bundle(forbidden_markers=[])))], "bundle_id string, bundle string")
-    assert {r.bundle_id: r.decision for r in L.admissions(df).collect()} == {"one": "ADMIT", "two": "REJECT"}
+CONTROLS = [("https://clean.example/", "<main><p>Plain</p><div class='promo'>Kept</div></main>")]
+
+
+def test_admission(spark):
+    force = {"candidate_rule": {"force_browser": True}, "rendered_html": RENDERED, "required_markers": ["late_part"], "forbidden_markers": []}
+    cases = {
+        "fine": {},
+        "other host": {"host": "other.example"},
+        "address": {"host": "10.0.0.1", "url": "https://10.0.0.1/a"},
+        "needless": {"forbidden_markers": []},
+        "useless": {"candidate_rule": {"remove_selectors": [".none"]}},
+        "broken": {"candidate_rule": {"remove_selectors": ["p >> q"]}},
+        "empty": {"candidate_rule": {"force_browser": False}},
+        "browser": force,
+        "both": force | {"candidate_rule": {"force_browser": True, "remove_selectors": [".promo"]}},
+        "not rendered": force | {"rendered_html": None, "static_html": STATIC},
+        "clean host": {"host": "Clean.example.", "url": "https://clean.example/a"},
+    }
+    rows = [bundle(**c) | {"bundle_id": name} for name, c in cases.items()]
+    rows = [r | {"candidate_rule": {"remove_selectors": None, "force_browser": None} | r["candidate_rule"]} for r in rows]
+    df = spark.createDataFrame(rows, L.BUNDLE)
+    controls = spark.createDataFrame(CONTROLS, "url string, html string")
+    got = {r.bundle_id: (r.decision, r.selected, r.reasons) for r in L.admissions(df, controls).collect()}
+    assert got["fine"] == ("ADMIT", ["remove_selectors"], [])
+    assert got["other host"][2] == ["page is of another host"] and got["address"][2] == ["host is no DNS name"]
+    assert "page needs no rule" in got["needless"][2]
+    assert got["useless"] == ("REJECT", [], ["rule doesn't help"])
+    assert got["broken"] == ("REJECT", [], ["selectors can't be used", "rule doesn't help"])
+    assert "rule has no parts" in got["empty"][2]
+    assert got["browser"] == ("ADMIT", ["force_browser"], []) and got["both"] == ("ADMIT", ["force_browser"], [])
+    assert got["not rendered"][2] == ["rule doesn't help"]
+    assert got["clean host"][2] == ["rule touches a control page"]
+    assert {r.bundle_id: r.decision for r in L.admissions(df).collect()}["clean host"] == "ADMIT"
+    assert L.trials(df).filter("bundle_id = 'both'").count() == 4 and L.trials(df).filter("bundle_id = 'fine'").count() == 2
 
 
 def test_rule_checks(spark):
