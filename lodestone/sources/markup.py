@@ -250,9 +250,11 @@ def with_fallback(first: Column, second: Column) -> Column:
 
 # --- native scans ---------------------------------------------------------------
 
-#: A link's tag up to its address, which is quoted either way or bare.
-HREF = r"""(?is)<a\s(?:[^>"']|"[^"]*"|'[^']*')*?(?<=[\s"'])href\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
-ADDRESS = r"""(?is)href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)$"""
+#: A link's whole tag: runs that are never given back, and that end at the next tag's beginning, so that neither long attributes
+#: nor tags and quotes without an end cost more than one pass.
+ANCHOR = r"""(?is)<a(?=[\s/])(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>"""
+#: Its attributes one after the other, the value quoted either way or bare.
+ATTRIBUTE = r"""(?is)([^\s"'<>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?+"""
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 
 
@@ -266,8 +268,11 @@ def page_title(html: Column) -> Column:
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(url, link, position): links of each page, absolute, http(s) only,
     normalised, each once at its first position."""
-    found = pages.select(F.col(url).alias("url"), F.posexplode(F.regexp_extract_all(F.col(html), F.lit(HREF), F.lit(0))).alias("at", "tag"))
-    href = F.regexp_replace(F.regexp_extract("tag", ADDRESS, 1), r"""^["']|["']$""", "")
+    found = pages.select(F.col(url).alias("url"), F.posexplode(F.regexp_extract_all(F.col(html), F.lit(ANCHOR), F.lit(0))).alias("at", "tag"))
+    part = lambda group: F.regexp_extract_all(F.expr("substring(tag, 3)"), F.lit(ATTRIBUTE), F.lit(group))
+    place = F.array_position(F.transform(part(1), F.lower), F.lit("href"))  # the first one counts
+    found = found.withColumn("raw", F.get(part(2), (place - 1).cast("int"))).filter("raw <> ''")
+    href = F.regexp_replace("raw", r"""^["']|["']$""", "")
     for name, char in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         href = F.replace(href, F.lit(name), F.lit(char))
     found = found.select("url", "at", href.alias("href"))
