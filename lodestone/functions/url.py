@@ -2,7 +2,7 @@
 
 URLs are taken apart by the regular expression of RFC 3986, appendix B, in
 native expressions; only the classification of IP literals needs Python
-(`ip_class`), as a pandas UDF over the distinct hosts that look like one.
+(`classify_ip`), in pandas UDFs.
 """
 
 from __future__ import annotations

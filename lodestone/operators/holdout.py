@@ -21,8 +21,10 @@ def canonical_hash(*columns: str) -> Column:
 
 
 def set_checksum(digest: Column) -> Column:
-    """An aggregate of hexadecimal digests that doesn't depend on their order."""
-    return F.bit_xor(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
+    """An aggregate of hexadecimal digests that doesn't depend on their order but on how often each is there: the
+    sum of their first 60 bits, modulo 2^60."""
+    total = F.sum(F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(38,0)"))
+    return F.pmod(total, F.lit(1 << 60).cast("decimal(38,0)")).cast("long")
 
 
 def file_checksums(spark: SparkSession, *paths: str) -> DataFrame:
@@ -65,12 +67,13 @@ def fixture_items(results: DataFrame, fixtures: DataFrame) -> DataFrame:
 
 
 def resolved_admission(targets: DataFrame, dns: DataFrame, url: str = "url") -> DataFrame:
-    """Adds `refusal` and `admitted`: the static checks, then the port, then what the host
+    """Adds `refusal` and `admitted`: the static checks, then the port, then the host's class if it is an IP literal, else what it
     resolves to by `dns` (host, address): nothing, or any address that must not be fetched, refuses."""
     seen = dns.select("address").distinct().withColumn("bad", U.forbidden_ip("address"))
     hosts = dns.join(seen, "address").groupBy("host").agg(F.max(F.coalesce("bad", F.lit(True))).alias("bad"))
     rows = targets.withColumn("host", U.host(F.col(url))).join(hosts, "host", "left")
-    why = F.coalesce(U.refusal(F.col(url)), F.when(~U.valid_port(F.col(url)), "port").when(F.col("bad").isNull(), "not resolved").when(F.col("bad"), "address"))
+    literal = U.forbidden_ip(U.host(F.col(url)))  # null where the host is a name
+    why = F.coalesce(U.refusal(F.col(url)), F.when(~U.valid_port(F.col(url)), "port").when(literal, "address").when(literal.isNull() & F.col("bad").isNull(), "not resolved").when(F.col("bad"), "address"))
     return rows.withColumn("refusal", why).withColumn("admitted", F.col("refusal").isNull()).drop("bad")
 
 

@@ -288,13 +288,13 @@ def protected_order(scored: DataFrame, protected: int = PROTECTED, pool: int = P
     `protected` or the rest; what lies beyond the pool keeps its place. `scored`:
     query_id, rank, rerank_score and more; adds new_rank."""
     part = F.when(F.col("rank") <= protected, 0).when(F.col("rank") <= pool, 1).otherwise(2)
-    by = F.when(F.col("rank") <= pool, -F.col("rerank_score"))
+    by = F.when(F.col("rank") <= pool, -F.col("rerank_score")).asc_nulls_last()  # what has no score comes last in its part
     return scored.withColumn("new_rank", F.row_number().over(W.partitionBy("query_id").orderBy(part, by, "rank")))
 
 
 def score_order(scored: DataFrame) -> DataFrame:
     """The plain order by score, without protection."""
-    return scored.withColumn("new_rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank")))
+    return scored.withColumn("new_rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc_nulls_last("rerank_score"), "rank")))
 
 
 def first_stage_limit(limit: int, pool: int = POOL) -> int:

@@ -63,8 +63,8 @@ QUERIES = {
     "holdout_freeze": (
         holdout_freeze,
         f"""WITH h AS (SELECT item_id, text, {_ROW} AS r FROM benchmark), c AS (SELECT conv_id * 1000 + turn AS item_id, text FROM conversations), k AS (SELECT item_id, text, {_ROW} AS r FROM c),
-  x AS (SELECT (SELECT count(*) FROM h) AS n_holdout, (SELECT bit_xor(('0x' || substring(r, 1, 15))::BIGINT) FROM h) AS holdout_checksum, (SELECT count(*) FROM k) AS n_known,
-        (SELECT bit_xor(('0x' || substring(r, 1, 15))::BIGINT) FROM k) AS known_checksum, (SELECT count(*) FROM h WHERE item_id IN (SELECT item_id FROM k)) AS shared_ids, (SELECT count(*) FROM h WHERE text IN (SELECT text FROM k)) AS shared_contents)
+  x AS (SELECT (SELECT count(*) FROM h) AS n_holdout, (SELECT (sum(('0x' || substring(r, 1, 15))::BIGINT) % 1152921504606846976)::BIGINT FROM h) AS holdout_checksum, (SELECT count(*) FROM k) AS n_known,
+        (SELECT (sum(('0x' || substring(r, 1, 15))::BIGINT) % 1152921504606846976)::BIGINT FROM k) AS known_checksum, (SELECT count(*) FROM h WHERE item_id IN (SELECT item_id FROM k)) AS shared_ids, (SELECT count(*) FROM h WHERE text IN (SELECT text FROM k)) AS shared_contents)
 SELECT *, shared_ids = 0 AND shared_contents = 0 AND n_holdout > 0 AS frozen FROM x""",
     ),
     "identity_check": (
