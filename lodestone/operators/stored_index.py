@@ -33,6 +33,7 @@ from .retrieval import PHRASE_BOOSTS, TERM_BOOSTS, LexicalIndex, _positive, bm25
 BLOCK = 256
 SEEDS = 8  # terms of a query that its bound is made of
 WEIGHTS = 200_000  # rows (query, field, term) that are broadcast: some 10 MB
+IDLE = 0.25  # of the bound, what terms that give no candidates may add up to: less of it, more candidates, but better known ones
 SLACK = 2e-6  # scores are rounded to six decimals before they are compared
 
 
@@ -232,7 +233,7 @@ class StoredIndex:
         field = W.partitionBy("query_id", "field")
         weights = weights.join(F.broadcast(theta), "query_id", "left").fillna(0.0, ["theta"])
         weights = weights.withColumn("up_to", F.sum("ub").over(field.orderBy("ub", "term"))).withColumn("place", F.row_number().over(field.orderBy(F.desc("ub"), F.desc("term"))))
-        weights = weights.withColumn("idle", (F.col("up_to") < F.col("theta") - SLACK) & (F.col("place") > 1))
+        weights = weights.withColumn("idle", (F.col("up_to") < IDLE * F.col("theta") - SLACK) & (F.col("place") > 1))
         weights = weights.withColumn("rest", F.sum(F.when(F.col("idle"), F.col("ub")).otherwise(0.0)).over(field)).withColumn("others", F.sum("ub").over(field) - F.col("ub"))
         weights = written(weights.withColumn("sources", F.count_if(~F.col("idle")).over(field)), "index-sources")
         reach = F.col("w") * saturated(F.col("max_tf"), F.col("min_dl"), F.col("average")) + F.col("others") + F.col("phrase") >= F.col("theta") - SLACK

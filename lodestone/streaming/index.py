@@ -1,45 +1,74 @@
 """Incremental tables: each micro-batch replaces the keys it brings.
 
-A table is a folder of numbered Parquet versions; a batch writes the next one
-whole and is applied once, since the version bears the batch's number. With a
-transactional table format the body of `apply` would be one MERGE.
+Rows lie in buckets by a hash of their key. A batch reads and writes only the buckets its keys are in, and a commit
+names for each bucket the part that holds it: of writers that change one bucket at the same time one is first, and
+the others merge again with what it left. A batch is applied once, since the commit bears its writer's last number.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.commits import Commits, Conflict
 from ..operators.tables import latest_by_key, upsert
+from ..session import written
+
+BUCKETS = 64
 
 
 class VersionedTable:
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-        jvm = spark.sparkContext._jvm
-        self._folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        self._fs = self._folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._success = lambda n: self._fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{n}/_SUCCESS"))
-
-    def version(self) -> int:
-        """The newest whole version, -1 if there is none."""
-        if not self._fs.exists(self._folder):
-            return -1
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._folder)]
-        return max((n for n in (int(x[1:]) for x in names if x[:1] == "v" and x[1:].isdigit()) if self._success(n)), default=-1)
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, buckets: int = BUCKETS):
+        self.spark, self.path, self.schema, self.buckets = spark, path.rstrip("/"), schema, buckets
+        self.commits = Commits(spark, self.path)
+        self._bucket = next(n for n in ("bucket", "_bucket", "__bucket") if n not in {c.lower() for c in schema.names})
+
+    def version(self, writer: str = "") -> int:
+        """The number of the writer's last batch, -1 if there is none."""
+        return self.commits.latest()[1].get("batches", {}).get(writer, -1)
+
+    def _read(self, parts: dict[str, str]) -> DataFrame:
+        """Buckets from the parts that hold them."""
+        by_part: dict[str, list[int]] = {}
+        for bucket, part in parts.items():
+            by_part.setdefault(part, []).append(int(bucket))
+        kept = T.StructType([*self.schema.fields, T.StructField(self._bucket, T.IntegerType())])
+        read = lambda part: self.spark.read.schema(kept).parquet(f"{self.path}/parts/{part}")
+        found = [read(part).filter(F.col(self._bucket).isin(buckets)) for part, buckets in by_part.items()]  # at most a part a bucket
+        return reduce(DataFrame.unionByName, found).select(*self.schema.names) if found else self.spark.createDataFrame([], self.schema)
 
     def read(self) -> DataFrame:
-        n = self.version()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{n}") if n >= 0 else self.spark.createDataFrame([], self.schema)
-
-    def apply(self, batch: DataFrame, batch_id: int, key: list[str], order: list[Column]) -> bool:
-        """Replaces the batch's keys; False if this batch has been applied before."""
-        if self.version() >= batch_id:
-            return False
-        new = latest_by_key(batch, key, order)
-        upsert(self.read(), new, key).select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/v{batch_id}")
-        return True
+        return self._read(self.commits.latest()[1].get("buckets", {}))
+
+    def apply(self, batch: DataFrame, batch_id: int, key: list[str], order: list[Column], writer: str = "", tries: int = 20) -> bool:
+        """Replaces the batch's keys; False if this batch of the writer has been applied before."""
+        number = F.pmod(F.xxhash64(*key), F.lit(self.buckets)).cast("int")
+        new, merged, touched = None, None, []
+        for _ in range(tries):
+            n, state = self.commits.latest()
+            held, batches = state.get("buckets", {}), state.get("batches", {})
+            if batches.get(writer, -1) >= batch_id:
+                return False
+            if new is None:
+                new = written(latest_by_key(batch, key, order), "batch")
+                touched = [str(r[0]) for r in new.select(number).distinct().collect()]  # at most `buckets`
+            before = {b: held[b] for b in touched if b in held}
+            if merged is None or merged[0] != before:  # else the others have changed other buckets
+                part = uuid.uuid4().hex
+                rows = upsert(self._read(before), new, key).select(*self.schema.names).withColumn(self._bucket, number)
+                rows.write.partitionBy(self._bucket).parquet(f"{self.path}/parts/{part}")
+                merged = before, part
+            if self.commits.offer(n + 1, {"buckets": held | {b: merged[1] for b in touched}, "batches": batches | {writer: batch_id}}):
+                return True
+        raise Conflict(f"{self.path}: {tries} commits were each overtaken")
+
+    def vacuum(self, keep: int = 2) -> list[str]:
+        """Removes parts that the last commits don't name; no writer may be at work."""
+        return self.commits.expire(keep, "parts", lambda s: set(s.get("buckets", {}).values()))
 
 
 def keep_current(stream: DataFrame, table: VersionedTable, key: list[str], order: list[Column], checkpoint: str):
