@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, rows_of, stored, words
+from .common import fold, release, rows_of, stored, words
 
 FOLDS, HELD_OUT, TUNING = 10, 0, 1
 #: Bytes of text of a block, and of the text whose n-grams a shard gets: least,
@@ -186,6 +186,7 @@ def _ask(shards: int):
         hashes = _Hashes()
         for b in batches:
             for block, docs in zip(b.column("block").to_pylist(), b.column("docs")):
+                release()
                 x = Block(docs.as_py(), hashes)
                 rest = x.counts((x.fold != HELD_OUT) & (x.fold != TUNING))
                 tuned = x.counts(x.fold == TUNING)
@@ -204,8 +205,11 @@ def _answer(t):
     """A shard: adds up what its blocks bring and answers each with the totals."""
     import pyarrow as pa
 
+    release()  # what the worker's last shard held
     keys = [unpack_keys(x.as_py()) for x in t.column("keys")]
     merged, at = np.unique(np.concatenate(keys), return_inverse=True)
+    at = at.astype(np.uint32)  # a shard has fewer keys than that
+    release()
 
     def add(name: str) -> np.ndarray:
         out = np.zeros(len(merged), np.int64)
@@ -280,6 +284,7 @@ def score(documents: DataFrame, block_bytes: int | None = None, shard_bytes: int
     answers = answers.filter("block IS NOT NULL").select("block", "shard", "rest", "total")
 
     def gather(raw: list, got, column: str, hashes: _Hashes):
+        release()
         order = np.argsort(got.column("shard").to_numpy())
         parts = got.column(column)
         return Block(raw[0].as_py(), hashes), np.concatenate([unpack_totals(parts[int(k)].as_py()) for k in order])
