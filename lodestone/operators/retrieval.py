@@ -9,7 +9,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -334,6 +334,52 @@ def overlap_score(query: Column, text: Column) -> Column:
     return F.round(F.size(F.array_intersect(q, tokens(text))) / F.greatest(F.size(q), F.lit(1)), 6)
 
 
+class ModelError(RuntimeError):
+    """A model that must not score: its files aren't those it was admitted with."""
+
+
+_FAILED: dict[tuple, str] = {}
+
+
+def verified(spark: SparkSession, files: dict[str, str], version: str, admitted: str, load: Callable[[list[str]], Callable[[list[str], list[str]], list[float]]]) -> Callable:
+    """A scorer for `scored_by` that reads model files on the executors. `files`: SHA-256 of each by its path or URI, which Spark
+    ships to every executor. A worker process compares version and checksums before its first score, once: what fails
+    then fails at once in that process from then on, and no score is given by files that aren't the admitted ones."""
+    import os
+    from urllib.parse import urlparse
+
+    names = {}
+    for path, digest in files.items():
+        spark.sparkContext.addFile(path)
+        names[os.path.basename(urlparse(path).path)] = digest.lower()
+    if len(names) < len(files):
+        raise ValueError("two model files have the same name")
+    key = (version, admitted, *sorted(names.items()))
+
+    def scorer():
+        import hashlib
+
+        from pyspark import SparkFiles
+
+        if key in _FAILED:
+            raise ModelError(_FAILED[key])
+        try:
+            if version != admitted:
+                raise ModelError(f"model version {version} isn't the admitted {admitted}")
+            places = [SparkFiles.get(n) for n in names]
+            for place, (name, digest) in zip(places, names.items()):
+                with open(place, "rb") as f:
+                    found = hashlib.file_digest(f, "sha256").hexdigest()
+                if found != digest:
+                    raise ModelError(f"{name} has the checksum {found}, admitted is {digest}")
+            return load(places)
+        except Exception as e:
+            _FAILED[key] = str(e)
+            raise
+
+    return scorer
+
+
 def scored_by(pairs: DataFrame, scorer: Callable[[], Callable[[list[str], list[str]], list[float]]]) -> DataFrame:
     """Adds rerank_score to rows with query and text from a model: `scorer` makes
     the scoring function once per Python worker. Scores must be finite."""

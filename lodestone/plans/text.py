@@ -57,6 +57,14 @@ def passages(spark, d):
     return P.passage_table(table(spark, d, "documents"), "doc_id").withColumn("section_path", X.section_path(F.col("section_path")))
 
 
+def passages_lateral(spark, d):
+    """The same as `passages`, by the table function and a lateral join."""
+    P.register_passages(spark)
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    made = spark.sql("SELECT doc_id, p.* FROM {docs}, LATERAL passages(text) p", docs=docs)
+    return made.withColumn("section_path", X.section_path(F.col("section_path")))
+
+
 def _asked(spark, d):
     first = F.first("text").over(W.partitionBy("conv_id").orderBy("turn"))
     return _turns(spark, d).withColumn("query", first)
@@ -145,6 +153,7 @@ QUERIES = {
         "SELECT conv_id, turn, 'passage: ' || array_to_string(list_filter([trim(coalesce(role, '')), trim(coalesce(text, ''))], lambda x: x <> ''), E'\\n') AS passage FROM conversations",
     ),
     "passages": (passages, None),
+    "passages_lateral": (passages_lateral, None),
     "passage_ranking": (passage_ranking, f"WITH {_RANKED} SELECT conv_id, turn, matches, heading_matches, score, rank FROM ranked"),
     "context_window": (context_window, "WITH " + _budget_sql("conversations", "turn")),
     "query_context": (query_context, f"WITH {_RANKED}, " + _budget_sql("ranked", "rank")),

@@ -344,3 +344,46 @@ def test_indexing(spark):
     assert len(made) == 16
     c = {r.url[-1]: r for r in build_contexts(pages.withColumn("q", F.lit("body")), query="q").collect()}
     assert c["x"].context == "# Head\n\nBody text here" and c["y"].error == "no content"
+
+
+def test_passage_function_equals_the_passages(spark, sf_dir):
+    import __spark_entry__ as E
+
+    q = E.queries()
+    key = lambda df: sorted(map(str, df.select("doc_id", "ordinal", "section_path", "text", "approx_tokens").collect()))
+    assert key(q["passages_lateral"](spark, sf_dir)) == key(q["passages"](spark, sf_dir))
+    assert spark.sql("SELECT p.ordinal, p.text FROM VALUES ('# A\n\nb'), (NULL), ('') AS t(x), LATERAL passages(x, 128) p").collect() == [(0, "# A\n\nb")]
+    for bad in ("passages(1)", "passages('x', 5)", "passages('x', 'y')"):
+        with pytest.raises(Exception, match="passages|target_tokens"):
+            spark.sql(f"SELECT * FROM {bad}").collect()
+
+
+def test_only_admitted_model_files_score(spark, tmp_path):
+    import hashlib
+
+    from lodestone.operators import retrieval as R
+
+    (tmp_path / "weights.txt").write_text("2.5")
+    path, good = str(tmp_path / "weights.txt"), hashlib.sha256(b"2.5").hexdigest()
+    pairs = spark.createDataFrame([("q", "long text"), ("q", "t")], "query string, text string")
+
+    def load(places):
+        w = float(open(places[0]).read())
+        return lambda qs, ts: [w * len(t) for t in ts]
+
+    assert sorted(r.rerank_score for r in R.scored_by(pairs, R.verified(spark, {path: good}, "1", "1", load)).collect()) == [2.5, 22.5]
+    for digest, version, why in (("0" * 64, "1", "checksum"), (good, "2", "isn't the admitted")):
+        with pytest.raises(Exception, match=why):
+            R.scored_by(pairs, R.verified(spark, {path: digest}, version, "1", load)).collect()
+
+
+def test_a_failed_model_stays_failed(spark, tmp_path):
+    from lodestone.operators import retrieval as R
+
+    (tmp_path / "model.bin").write_text("x")
+    calls = []
+    scorer = R.verified(spark, {str(tmp_path / "model.bin"): "0" * 64}, "3", "4", calls.append)
+    for _ in range(2):
+        with pytest.raises(R.ModelError, match="admitted"):
+            scorer()
+    assert not calls and len([k for k in R._FAILED if k[0] == "3"]) == 1
