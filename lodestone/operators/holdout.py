@@ -77,6 +77,40 @@ def resolved_admission(targets: DataFrame, dns: DataFrame, url: str = "url") ->
     return rows.withColumn("refusal", why).withColumn("admitted", F.col("refusal").isNull()).drop("bad")
 
 
+def frozen_manifest(**tables: DataFrame) -> dict[str, list[int]]:
+    """Rows and checksum of each table, to be kept with a holdout and verified before it is used."""
+    out = {}
+    for name, df in tables.items():
+        r = df.agg(F.count("*").alias("n"), set_checksum(canonical_hash(*df.columns)).alias("c")).first()
+        out[name] = [r.n, r.c or 0]
+    return out
+
+
+def require_frozen(manifest: dict[str, list[int]], **tables: DataFrame) -> None:
+    """Raises where a table isn't what the manifest has frozen."""
+    found = frozen_manifest(**tables)
+    changed = sorted(n for n in manifest.keys() | found.keys() if list(manifest.get(n, ())) != found.get(n))
+    if changed:
+        raise ValueError(f"not as frozen: {', '.join(changed)}")
+
+
+def frozen_evaluation(rankings: DataFrame, scores: DataFrame, judgments: DataFrame, categories: DataFrame, depth: int = 10, protected: int = PROTECTED, pool: int = POOL) -> DataFrame:
+    """From frozen rankings (query_id, item, rank) and scores (query_id, item, rerank_score) a row for each category of
+    queries (query_id, category) and one for all: macro metrics before and after the protected rerank, their
+    differences, wins, ties and losses by ndcg, and how many queries kept the items of their protected part."""
+    after = protected_order(rankings.join(scores, ["query_id", "item"], "left"), protected, pool)
+    moved = after.groupBy("query_id").agg(F.count_if((F.col("rank") <= protected) != (F.col("new_rank") <= protected)).alias("moved"))
+    asked = categories.select("query_id").distinct()
+    before = ranking_metrics(rankings, judgments, depth, queries=asked)
+    later = ranking_metrics(after.select("query_id", "item", F.col("new_rank").alias("rank")), judgments, depth, queries=asked)
+    names = ("mrr", "recall", "ndcg")
+    rows = before.join(later.select("query_id", *(F.col(c).alias(f"new_{c}") for c in names)), "query_id").join(moved, "query_id", "left").join(categories, "query_id")
+    rows = rows.withColumn("d", F.round(F.col("new_ndcg") - F.col("ndcg"), 6)).withColumn("category", F.explode(F.array(F.col("category").cast("string"), F.lit("all"))))
+    sums = [F.count("*").alias("n_queries"), *(F.round(F.avg(c), 6).alias(c) for n in names for c in (n, f"new_{n}"))]
+    sums += [F.count_if(F.col("d") > 0).alias("wins"), F.count_if(F.col("d") == 0).alias("ties"), F.count_if(F.col("d") < 0).alias("losses"), F.count_if(F.coalesce("moved", F.lit(0)) == 0).alias("membership_kept")]
+    return rows.groupBy("category").agg(*sums).withColumns({f"{n}_delta": F.round(F.col(f"new_{n}") - F.col(n), 6) for n in names})
+
+
 def frozen_rerank(rankings: DataFrame, scores: DataFrame, judgments: DataFrame, depth: int = 10, protected: int = PROTECTED, pool: int = POOL) -> DataFrame:
     """One row from frozen rankings (query_id, item, rank) and scores (query_id, item, rerank_score): macro
     metrics before and after the protected rerank, and whether every query kept the items of its protected part."""

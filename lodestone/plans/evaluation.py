@@ -108,6 +108,19 @@ def select_candidate(spark, d):
     return E.select_candidate(_checks(spark, d), "lexical")
 
 
+def frozen_evaluation(spark, d):
+    """The rankings by all dimensions as frozen ones, reranked by frozen scores that every eleventh item lacks; categories are labels."""
+    from ..operators import holdout as H
+    from ..session import written
+
+    rankings = written(_ranking(spark, d).select("query_id", "item", "rank"), "frozen-rankings")
+    scores = rankings.filter("item % 11 <> 0").select("query_id", "item", (F.col("item") % 7 / 7.0).alias("rerank_score"))
+    manifest = H.frozen_manifest(rankings=rankings, scores=scores)
+    H.require_frozen(manifest, rankings=rankings, scores=scores)
+    categories = table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("category"))
+    return H.frozen_evaluation(rankings, scores, _judgments(spark, d), categories)
+
+
 def fixture_violations(spark, d):
     items = table(spark, d, "benchmark").agg((F.count("*") - F.count_distinct("item_id")).alias("repeated_items"), F.count_if(F.coalesce(F.trim("text"), F.lit("")) == "").alias("blank_items"))
     labels = table(spark, d, "labels")
@@ -125,7 +138,11 @@ def _rank_sql(name: str, vector: str) -> str:
   v_{name} AS (SELECT vec_id, {vector}::DOUBLE[] AS e FROM embeddings),
   a_{name} AS (SELECT q.vec_id AS query_id, v.vec_id AS item, round(list_cosine_similarity(q.e, v.e), 6) + 0 AS score FROM v_{name} q, v_{name} v WHERE q.vec_id % 20 = 0),
   b_{name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS n FROM a_{name}),
-  r_{name} AS (SELECT * FROM (SELECT query_id, item, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS rank FROM b_{name} WHERE n <= 11 AND item <> query_id) WHERE rank <= 10),
+  r_{name} AS (SELECT * FROM (SELECT query_id, item, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS rank FROM b_{name} WHERE n <= 11 AND item <> query_id) WHERE rank <= 10),{_metric_sql(name)}"""
+
+
+def _metric_sql(name: str) -> str:
+    return f"""
   s_{name} AS (SELECT query_id, min(rank) FILTER (grade > 0) AS f, count(DISTINCT item) FILTER (grade > 0 AND rank <= 5) AS found, sum((pow(2, coalesce(grade, 0)) - 1) / log2(rank + 1)) AS dcg
            FROM r_{name} LEFT JOIN j USING (query_id, item) GROUP BY query_id),
   m_{name} AS (SELECT query_id, label, round(coalesce(1.0::DOUBLE / f, 0), 6) AS mrr, round(coalesce(found::DOUBLE / relevant, 0), 6) AS recall, round(coalesce(dcg / ideal, 0), 6) AS ndcg
@@ -154,7 +171,18 @@ _REPORT = f"""{_TWO},
   chk AS (SELECT c.ranker, c.ndcg, c.p95, round(c.ndcg - b.ndcg, 6) >= {GATE["min_gain"]} AS gain_ok, round(b.mrr - c.mrr, 6) <= {GATE["max_loss"]} AS mrr_ok, round(b.recall - c.recall, 6) <= {GATE["max_loss"]} AS recall_ok,
           c.p95 <= {GATE["max_p95"]} AS p95_ok, c.top1 >= {GATE["min_top1"]} AS top1_ok FROM rep c, rep b WHERE c.ranker <> b.ranker)"""
 
+_FROZEN = f"""{_ALL},
+  z AS (SELECT query_id, item, rank, CASE WHEN item % 11 <> 0 THEN (item % 7) / 7.0::DOUBLE END AS z FROM r_all),
+  r_new AS (SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY rank > 5, z DESC NULLS LAST, rank) AS rank, rank AS old FROM z),{_metric_sql("new")},
+  k AS (SELECT query_id, count(*) FILTER ((old <= 5) <> (rank <= 5)) AS moved FROM r_new GROUP BY query_id),
+  x AS (SELECT a.query_id, a.label, a.mrr, a.recall, a.ndcg, n.mrr AS new_mrr, n.recall AS new_recall, n.ndcg AS new_ndcg, round(n.ndcg - a.ndcg, 6) AS d, coalesce(moved, 0) AS moved FROM m_all a JOIN m_new n USING (query_id) LEFT JOIN k USING (query_id)),
+  y AS (SELECT *, label::VARCHAR AS category FROM x UNION ALL SELECT *, 'all' FROM x),
+  g AS (SELECT category, count(*) AS n_queries, {", ".join(f"round(avg({c}), 6) AS {c}" for n in ("mrr", "recall", "ndcg") for c in (n, f"new_{n}"))}, count(*) FILTER (d > 0) AS wins, count(*) FILTER (d = 0) AS ties,
+        count(*) FILTER (d < 0) AS losses, count(*) FILTER (moved = 0) AS membership_kept FROM y GROUP BY category)
+SELECT *, {", ".join(f"round(new_{n} - {n}, 6) AS {n}_delta" for n in ("mrr", "recall", "ndcg"))} FROM g"""
+
 QUERIES = {
+    "frozen_evaluation": (frozen_evaluation, _FROZEN),
     "ranking_metrics": (ranking_metrics, f"{_ALL} SELECT query_id, mrr, recall, ndcg FROM m_all"),
     "macro_metrics": (macro_metrics, f"{_ALL} SELECT {_MACRO} FROM m_all"),
     "metrics_by_group": (

@@ -102,6 +102,34 @@ def test_frozen_rerank(spark):
     assert (r.mrr, r.mrr_delta, r.membership_kept) == (0.2, 0.8, True)
 
 
+def test_frozen_evaluation(spark):
+    rankings = spark.createDataFrame([(q, f"i{k}", k) for q in (1, 2, 3) for k in range(1, 8)], "query_id int, item string, rank int")
+    scores = spark.createDataFrame([(q, f"i{k}", float(k if q == 1 else -k)) for q in (1, 2) for k in range(1, 6)], "query_id int, item string, rerank_score double")
+    judgments = spark.createDataFrame([(1, "i5", 1), (2, "i1", 2), (3, "i6", 1)], "query_id int, item string, grade int")
+    categories = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b"), (4, "b")], "query_id int, category string")
+    manifest = H.frozen_manifest(rankings=rankings, scores=scores)
+    H.require_frozen(manifest, scores=scores, rankings=rankings)
+    for bad in (rankings.union(rankings.limit(2)), rankings.filter("rank > 1")):
+        with pytest.raises(ValueError, match="rankings"):
+            H.require_frozen(manifest, rankings=bad, scores=scores)
+    got = {r.category: r for r in H.frozen_evaluation(rankings, scores, judgments, categories).collect()}
+    assert (got["a"].mrr, got["a"].new_mrr, got["a"].wins, got["a"].n_queries) == (0.2, 1.0, 1, 1)
+    assert (got["b"].n_queries, got["b"].wins, got["b"].ties, got["b"].losses, got["b"].membership_kept) == (3, 0, 3, 0, 3)  # a query without hits ties
+    assert (got["all"].n_queries, got["all"].wins, got["all"].mrr_delta) == (4, 1, 0.2)
+
+
+def test_checksums_count_equal_rows(spark):
+    sums = [spark.createDataFrame([(x,) for x in rows], "x string").agg(H.set_checksum(F.sha2("x", 256))).first()[0] for rows in ("aab", "b", "baa", "ab")]
+    assert sums[0] == sums[2] and len(set(sums)) == 3
+
+
+def test_ip_literals_need_no_name_resolution(spark):
+    none = spark.createDataFrame([], "host string, address string")
+    urls = ["http://93.184.216.34/", "http://10.0.0.1/", "http://[2606:2800:220:1::1]/", "http://[::1]/", "http://name.example/"]
+    got = {r.url: r.refusal for r in H.resolved_admission(spark.createDataFrame([(u,) for u in urls], "url string"), none).collect()}
+    assert [got[u] for u in urls] == [None, "address", None, "address", "not resolved"]
+
+
 def test_search_survives_dense_failure(spark):
     chunks = spark.createDataFrame([("d1", 0, "one two"), ("d2", 0, "two three")], "document_id string, ordinal int, text string")
     queries = spark.createDataFrame([(1, "two")], "query_id int, query string")
