@@ -151,7 +151,8 @@ def _level(spark, at, level, depth, responses, documents, now, policy, ask, orig
     docs.write.parquet(f"{at}/documents")
     passages.write.parquet(f"{at}/passages")
     indexed = indexed.select(F.col("url").alias("final_url"), F.col("document_id").alias("i_id"), F.col("content_hash").alias("i_hash"), F.col("indexed").alias("i_ok"), F.col("passages").alias("i_n"), F.col("error").alias("i_error"))
-    got = got.join(indexed, "final_url", "left")
+    got.join(indexed, "final_url", "left").write.parquet(f"{at}/answers")  # outcomes and links both read it
+    got = spark.read.parquet(f"{at}/answers")
     worked = F.col("error").isNull() & F.col("v_age").isNull()
     same = known.select("url", "document_id", "content_hash", "age_s")
     zero = {c: F.lit(0) for c in COUNTS}
@@ -173,6 +174,9 @@ def _level(spark, at, level, depth, responses, documents, now, policy, ask, orig
     outcomes = rows_skipped.unionByName(rows_renewed).unionByName(rows_got).select(*names)
     level.join(outcomes, "url").withColumn("depth", F.lit(depth)).write.parquet(f"{at}/outcomes")
     links = page_links(got.filter("html IS NOT NULL").select(F.col("final_url").alias("url"), "html").dropDuplicates(["url"]) if depth < policy.max_depth else got.select(F.col("final_url").alias("url"), "html").limit(0))
+    # Stored, so that what is asked of a link's parts isn't worked into the expressions that make the link.
+    links.write.parquet(f"{at}/found")
+    links = spark.read.parquet(f"{at}/found")
     pages = level.join(got.filter("html IS NOT NULL").select("url", F.col("final_url").alias("from")), "url").select("crawl_id", F.col("visit").alias("p"), "from")
     found = links.join(pages, links.url == pages["from"]).select("crawl_id", "p", "position", F.col("link").alias("url"))
     if policy.same_origin:

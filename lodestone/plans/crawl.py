@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import url as U
 from ..operators import crawler as C
-from ..session import shared_folder
+from ..session import shared_folder, written
 from ..sources import responses as R
 from .base import table
 
@@ -44,7 +44,7 @@ def _web(spark, d):
 def _crawled(spark, d):
     folder = f"{shared_folder(spark)}/crawl-{uuid.uuid4().hex}"
     pages, n = table(spark, d, "pages").select("page_id"), F.col("page_id")
-    R.store_responses(_web(spark, d), f"{folder}/responses")
+    R.store_responses(_web(spark, d), f"{folder}/responses", 8)
     at = F.date_format(F.expr(f"timestamp'{NOW}' - make_interval(0, 0, 0, 0, 0, 0, (page_id % 5) * 1000)"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     documents = pages.filter("page_id % 2 = 0").select(
         F.concat(F.lit("d"), n).alias("document_id"), _address(n).alias("url"), F.concat(F.lit("h"), n).alias("content_hash"), at.alias("fetched_at"),
@@ -54,7 +54,7 @@ def _crawled(spark, d):
     seeds = first.select(n.alias("crawl_id"), F.explode(F.sequence(F.lit(0), F.lit(1))).alias("position")).select("crawl_id", _address(F.col("crawl_id") + F.col("position")).alias("url"), "position")
     robots = spark.createDataFrame([(f"https|s{k}.example|443", 200 if k == 1 else 404, "User-agent: *\nDisallow: /p/9" if k == 1 else "") for k in range(3)], "origin string, status int, body string")
     robots = robots.withColumn("expires_at", F.lit("2100-01-01").cast("timestamp"))
-    responses = R.read_responses(spark, f"{folder}/responses")
+    responses = written(R.read_responses(spark, f"{folder}/responses", 8), "responses")  # read by each hop of each level
     renewable = F.expr("try_cast(substring(document_id, 2) AS int) % 3 <> 0")
     return C.crawl(spark, folder, seeds, responses, documents, F.lit(NOW).cast("timestamp"), POLICY, robots, touch_ok=renewable)
 

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 from ..functions import url as U
+from ..operators.joins import small
 from ..session import written
 from .markup import MOST_BYTES, acceptable_type
 
@@ -152,7 +153,6 @@ def fetch(requests: DataFrame, responses: DataFrame, admission=None, most: int =
     etag, last_modified, not_modified, error. `admission` adds a column `refusal` to rows with a column `url`; it is asked
     about every address on the way. A loop over hops, at most `most` + 1, that ends when nothing is under way; each is a join of what
     is, written, so that no plan grows with the hops."""
-    one = responses.select(*COLUMNS).dropDuplicates(["url"]).select(*(F.col(c).alias(f"r_{c}") for c in COLUMNS))
     at = requests.select("url", "if_none_match", "if_modified_since", F.col("url").alias("final_url"), F.lit(None).cast("string").alias("error"), F.lit(0).alias("hops"), F.lit(False).alias("done"))
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("status", "int"), ("content_type", "string"), ("body", "binary"), ("etag", "string"), ("last_modified", "string"))]
     at = at.select("*", *nothing, F.lit(False).alias("not_modified"))
@@ -170,6 +170,9 @@ def fetch(requests: DataFrame, responses: DataFrame, admission=None, most: int =
         else:
             at = at.withColumns({"a_url": F.lit(None).cast("string"), "a_refusal": F.lit(None).cast("string")})
         refused = ~F.col("done") & F.col("a_refusal").isNotNull()
+        # Answers that nobody asks for are dropped where they are read, before anything is shuffled.
+        asked_for = small(at.filter("NOT done").select(F.col("final_url").alias("url")).distinct())
+        one = responses.select(*COLUMNS).join(asked_for, "url", "left_semi").dropDuplicates(["url"]).select(*(F.col(c).alias(f"r_{c}") for c in COLUMNS))
         met = at.withColumn("key", F.when(~F.col("done") & ~refused, F.col("final_url"))).join(one, F.col("key") == F.col("r_url"), "left")
         open_ = F.col("key").isNotNull()
         moved = open_ & F.coalesce(F.col("r_status").isin(*REDIRECTS), F.lit(False))
