@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import url as U
-from ..sources.markup import extract_udf
+from ..sources.markup import extract_any_udf
 from . import passages as P
 from . import tables as T
 
@@ -52,8 +52,8 @@ def hashed_words(dim: int = 64, seed: int = 0):
 
 
 def extractions(pages: DataFrame) -> DataFrame:
-    """Pages (url, html) with identity, title, markdown, hash, quality and error."""
-    e = pages.withColumn("e", extract_udf("html"))
+    """Pages (url, html) with identity, title, markdown, hash, quality, error and the extractor whose text it is."""
+    e = pages.withColumn("e", extract_any_udf("html"))
     out = e.select("url", "html", "e.*")
     return out.select(
         "url",
@@ -63,6 +63,7 @@ def extractions(pages: DataFrame) -> DataFrame:
         X.content_hash(F.col("markdown")).alias("content_hash"),
         X.quality(F.col("markdown"), F.col("html")).alias("quality"),
         "error",
+        "extractor",
     )
 
 
@@ -85,7 +86,7 @@ def build_contexts(pages: DataFrame, budget: int = 3500, most: int = 3, query: s
     """One row per page: the passages that fit the budget, best first for a query
     (a column of the pages), in document order without one."""
     kept = [c for c in (query,) if c]
-    e = pages.select("url", *kept, extract_udf("html").alias("e"))
+    e = pages.select("url", *kept, extract_any_udf("html").alias("e"))
     parts = e.select("url", *kept, F.explode(P.passages_udf()("e.markdown")).alias("p"))
     parts = parts.select("url", *kept, F.col("p.ordinal").alias("ordinal"), X.section_path(F.col("p.section_path")).alias("path"), F.col("p.text").alias("text"))
     order = "ordinal"

@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..operators import retrieval as R
 from ..operators.stored_index import StoredIndex
 from ..session import shared_folder
+from ..sources import answers as A
 from .base import sql_compact, sql_tokens, table
 
 DIM = 64
@@ -176,6 +177,26 @@ def result_envelope(spark, d):
     return hits.withColumn("url", url).filter("url IS NOT NULL").select("query_id", F.coalesce(F.split("text", "\n")[0], F.lit("")).alias("title"), "url", X.compact(F.col("text")).alias("description"), F.col("rank").alias("position"))
 
 
+def answer_sink(spark, d):
+    """Answers of five hits, written to the line sink and read back; hits lack a url, title or position by their document's id, and
+    every ninth query's answer is an error."""
+    n = F.col("document_id")
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "source", "text")
+    hits = _lexical(spark, d, 5).join(texts, "document_id").select(
+        "query_id", "rank",
+        F.when(n % 5 != 0, F.split("text", "\n")[0]).alias("title"),
+        F.when(n % 11 != 0, F.concat(F.lit("https://"), "source", F.lit(".example/"), n)).alias("url"),
+        X.compact(F.col("text")).alias("description"),
+        F.when(n % 3 != 0, F.col("rank") + 10).alias("position"),
+    )
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
+    found = A.answers(asked, hits, F.when(F.col("query_id") % 9 == 0, "search failed"))
+    folder = f"{shared_folder(spark)}/answers-{uuid.uuid4().hex}"
+    A.write_lines(found.select(F.to_json(F.struct("query_id", "answer")).alias("value")), folder)
+    read = A.read_lines(spark, folder).select(F.from_json("value", "query_id bigint, answer string").alias("v")).select("v.query_id", F.from_json("v.answer", A.ANSWER).alias("a"))
+    return read.select("query_id", "a.success", "a.error", F.explode_outer("a.data.web").alias("w")).select("query_id", "success", "error", "w.title", "w.url", "w.description", "w.position")
+
+
 _QUANT = "(CASE WHEN dl < 40 THEN dl::DOUBLE ELSE 24 + floor((dl - 24) / pow(2, greatest(floor(log2(dl - 24 + 0.5)) - 3, 0))) * pow(2, greatest(floor(log2(dl - 24 + 0.5)) - 3, 0)) END)"
 
 
@@ -296,4 +317,13 @@ SELECT query_id, doc_id, position, score, why IS NULL AS rerank_used, why IS NOT
 SELECT query_id, split_part(text, chr(10), 1) AS title, 'https://' || source || '.example/' || doc_id AS url, {sql_compact("text")} AS description, rank AS position
 FROM lex JOIN documents USING (doc_id) WHERE doc_id % 11 <> 0""",
     ),
+    "answer_sink": (
+        answer_sink,
+        f"""{_TEXT}, {_top("h", 5, "lex")},
+  web AS (SELECT query_id, CASE WHEN doc_id % 5 <> 0 THEN coalesce(split_part(text, chr(10), 1), '') ELSE '' END AS title, 'https://' || source || '.example/' || doc_id AS url,
+          {sql_compact("text")} AS description, CASE WHEN doc_id % 3 <> 0 THEN rank + 10 ELSE rank END AS position
+          FROM lex JOIN documents USING (doc_id) WHERE doc_id % 11 <> 0 AND query_id % 9 <> 0)
+SELECT item_id AS query_id, item_id % 9 <> 0 AS success, CASE WHEN item_id % 9 = 0 THEN 'search failed' END AS error, title, url, description, position
+FROM benchmark LEFT JOIN web ON query_id = item_id""",
+    ),
 }

@@ -6,12 +6,15 @@ changed text, those divisible by 50 a second row under a new id.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import operations as O
 from ..operators import tables as T
 from ..operators.joins import small
+from ..session import shared_folder
 from .base import sql_collapse, table
 
 
@@ -117,6 +120,14 @@ def event_props(spark, d):
     return e.select("event_id", F.get_json_object("props", "$.k").alias("k"), p.isNotNull().alias("decoded"))
 
 
+def measured_write(spark, d):
+    """Totals of a table, from the pass that writes it."""
+    e = table(spark, d, "events")
+    sums = [F.count("*").alias("n_rows"), F.count_if("value > 50").alias("n_large"), F.sum("event_id").alias("ids"), F.max("event_id").alias("last_id")]
+    found = O.measured_write(e, f"{shared_folder(spark)}/events-{uuid.uuid4().hex}", *sums)
+    return spark.createDataFrame([found], "n_rows bigint, n_large bigint, ids bigint, last_id bigint")
+
+
 #: Words of a document that are compared with the beginning of a passage.
 ANCHOR = 4
 
@@ -169,6 +180,7 @@ QUERIES = {
         touch_documents,
         f"WITH {_STORED} SELECT document_id, CASE WHEN document_id % 3 = 0 THEN fetched_at + INTERVAL 1 DAY ELSE fetched_at END AS fetched_at, CASE WHEN document_id % 3 = 0 THEN 304 ELSE 200 END AS http_status, CASE WHEN document_id % 6 = 0 THEN 'renewed' ELSE etag END AS etag, NULL::VARCHAR AS last_modified FROM s",
     ),
+    "measured_write": (measured_write, "SELECT count(*) AS n_rows, count(*) FILTER (value > 50) AS n_large, sum(event_id)::BIGINT AS ids, max(event_id)::BIGINT AS last_id FROM events"),
     "latest_by_key": (latest_by_key, f"WITH {_LATEST} SELECT user_id, event_id, ts, event_type, value FROM l"),
     "cache_lookup": (
         cache_lookup,

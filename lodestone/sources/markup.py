@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,9 +19,11 @@ MOST_BYTES = 5_000_000  # of a page that is fetched
 DROPPED = frozenset("script style noscript template svg canvas form iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 PARAGRAPHS = frozenset("p div section article main blockquote figure figcaption header footer nav aside table tr ul ol dl dt dd address".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MOST_SELECTORS, LONGEST_SELECTOR = 32, 512
 
 EXTRACTED = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "markdown", "text", "canonical", "error")])
+EXTRACTED_BY = T.StructType([*EXTRACTED.fields, T.StructField("extractor", T.StringType())])
 
 
 class Node:
@@ -132,16 +135,20 @@ def usable_selectors(selectors) -> list[str]:
     return out if len(out) == len(selectors) and all(0 < len(s) <= LONGEST_SELECTOR for s in out) else []
 
 
+def detach(nodes) -> None:
+    """Takes elements out of the tree, with one pass over each parent's children."""
+    doomed = set(nodes)
+    for parent in {n.parent for n in doomed if n.parent}:
+        parent.children = [c for c in parent.children if not (isinstance(c, Node) and c in doomed)]
+
+
 def remove(root: Node, selectors) -> None:
     """Takes out what matches any selector; a bad selector leaves all as it is."""
     try:
         tests = [compile_selector(s) for s in usable_selectors(selectors)]
     except BadSelector:
         return
-    doomed = [n for n in root.walk() if any(t(n) for t in tests)]
-    for n in doomed:
-        if n.parent and n in n.parent.children:
-            n.parent.children.remove(n)
+    detach(n for n in root.walk() if any(t(n) for t in tests))
 
 
 DEEPEST = 100  # levels of markup that are told apart; below, text is text
@@ -207,30 +214,93 @@ def clean(markdown: str) -> str:
     return re.sub(r"\n{4,}", "\n\n\n", t).strip()
 
 
-def extract(html: str | None, selectors=None) -> dict:
-    """Title, markdown, text and canonical link of a page; `error` says why there are none."""
-    empty = {"title": "", "markdown": "", "text": "", "canonical": None, "error": None}
+EMPTY = {"title": "", "markdown": "", "text": "", "canonical": None, "error": None}
+
+
+def _read(html: str | None, selectors) -> tuple[Node | None, dict]:
+    """The page's tree without what selectors name or no reader sees, and its title and canonical link, or why there are none."""
     if not html or len(html) > MOST_CHARACTERS:
-        return empty | {"error": "HTML is empty or too large"}
+        return None, EMPTY | {"error": "HTML is empty or too large"}
     try:
         root = parse(html)
     except Exception as e:  # one page's failure is its own row's
-        return empty | {"error": str(e)}
+        return None, EMPTY | {"error": str(e)}
     titles = [n for n in root.walk() if n.tag == "title"]
     title = " ".join(titles[0].text().split()) if titles else ""
     canonical = next((n.attrs["href"] for n in root.walk() if n.tag == "link" and "canonical" in n.attrs.get("rel", "").lower().split() and n.attrs.get("href")), None)
     remove(root, selectors or [])
-    for n in [n for n in root.walk() if n.tag in DROPPED or n.tag == "head"]:
-        if n.parent:
-            n.parent.children.remove(n)
+    detach(n for n in root.walk() if n.tag in DROPPED or n.tag == "head")
+    return root, EMPTY | {"title": title, "canonical": canonical}
+
+
+def _content(node: Node) -> dict:
+    out: list[str] = []
+    _blocks(node, out)
+    return {"markdown": clean("\n\n".join(out)), "text": node.text().strip()}
+
+
+def extract(html: str | None, selectors=None) -> dict:
+    """Title, markdown, text and canonical link of a page; `error` says why there are none."""
+    root, page = _read(html, selectors)
+    if root is None:
+        return page
     found = next((n for tag in ("article", "main") for n in root.walk() if n.tag == tag), None)
     if found is None:
         remove(root, ["nav", "footer", "aside", "header"])
-        found = root
-    out: list[str] = []
-    _blocks(found, out)
-    markdown = clean("\n\n".join(out))
-    return empty | {"title": title, "markdown": markdown, "text": found.text().strip(), "canonical": canonical}
+    return page | _content(found or root)
+
+
+class Density(NamedTuple):
+    characters: int  # that are no white space
+    linked: int  # those of them in links
+    tags: int
+
+    @property
+    def value(self) -> float:
+        return (self.characters - self.linked) / max(self.tags, 1)
+
+
+def densities(root: Node) -> dict[Node, Density]:
+    """Of every element, all that is below it counted."""
+    found: dict[Node, Density] = {}
+    for n in reversed(list(root.walk())):  # children before parents
+        below = [found[c] for c in n.children if isinstance(c, Node)]
+        own = sum(len("".join(c.split())) for c in n.children if isinstance(c, str))
+        characters = own + sum(d.characters for d in below)
+        linked = characters if n.tag == "a" else sum(d.linked for d in below)
+        found[n] = Density(characters, linked, sum(d.tags + 1 for d in below))
+    return found
+
+
+def densest(root: Node, found: dict[Node, Density]) -> Node:
+    """The element whose child blocks' densities have the largest sum, the first of several; the root where there are no blocks.
+    Text density over the element tree, as published for content extraction."""
+    total = {n: sum(found[c].value for c in n.children if isinstance(c, Node) and c.tag in PARAGRAPHS | HEADINGS) for n in found}
+    best = max(total.values(), default=0.0)
+    if best <= 0:  # no blocks: the text stands in the root
+        return root
+    return next(n for n in root.walk() if total[n] == best)
+
+
+def extract_dense(html: str | None, selectors=None) -> dict:
+    """As `extract`, by another rule, which reads no element's name as a mark of content: the densest element, less those blocks
+    of it that are links by more than half. It prefers precision: of several bodies it takes one."""
+    root, page = _read(html, selectors)
+    if root is None:
+        return page
+    found = densities(root)
+    part = densest(root, found)
+    detach(n for n in part.walk() if n is not part and n.tag in PARAGRAPHS and 2 * found[n].linked > found[n].characters)
+    return page | _content(part)
+
+
+def extract_any(html: str | None, selectors=None) -> dict:
+    """`extract`, or where that finds no text, `extract_dense`; `extractor` names the one whose text it is, null if neither has any."""
+    for name, f in (("article", extract), ("density", extract_dense)):
+        page = f(html, selectors)
+        if page["markdown"] or page["error"]:
+            break
+    return page | {"extractor": name if page["markdown"] else None}
 
 
 @F.pandas_udf(EXTRACTED)
@@ -238,6 +308,11 @@ def extract_udf(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([extract(h) for h in html], columns=EXTRACTED.names)
 
 
+@F.pandas_udf(EXTRACTED_BY)
+def extract_any_udf(html: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([extract_any(h) for h in html], columns=EXTRACTED_BY.names)
+
+
 @F.pandas_udf(EXTRACTED)
 def extract_with_rules(html: pd.Series, selectors: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([extract(h, None if s is None else list(s)) for h, s in zip(html, selectors)], columns=EXTRACTED.names)
