@@ -123,7 +123,7 @@ def event_props(spark, d):
 def measured_write(spark, d):
     """Totals of a table, from the pass that writes it."""
     e = table(spark, d, "events")
-    sums = [F.count("*").alias("n_rows"), F.count_if("value > 50").alias("n_large"), F.sum("event_id").alias("ids"), F.max("event_id").alias("last_id")]
+    sums = [F.count("*").alias("n_rows"), F.count_if(F.expr("value > 50")).alias("n_large"), F.sum("event_id").alias("ids"), F.max("event_id").alias("last_id")]
     found = O.measured_write(e, f"{shared_folder(spark)}/events-{uuid.uuid4().hex}", *sums)
     return spark.createDataFrame([found], "n_rows bigint, n_large bigint, ids bigint, last_id bigint")
 
