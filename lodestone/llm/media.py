@@ -6,8 +6,13 @@ short-time Fourier transforms, keeps spectral peaks and pairs near ones into
 codes with the frame at which they start.
 
 Defined results: a null or empty text is a payload of 64 zero bytes; a null
-media value gives null features. Other input columns pass through; an input
-column that bears the name of an output column is replaced.
+media value gives null features. Other input columns pass through whatever they
+are called; an input column that bears the name of an output column is replaced.
+Every row is stored and read for itself: null, repeated and equal ids are kept,
+equal texts get equal values, an empty table gives an empty one. Texts of any
+length are stored whole; of several, a task holds at most AT_ONCE bytes, or one
+text. Of equally loud bins the lowest is a frame's peak, of equally loud frames
+near each other the last.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import unused
+
 BLOCK = 64
 RATE = 8000
 FRAME, HOP = 128, 64
@@ -30,6 +37,7 @@ BANDS = ((1, 8), (8, 24), (24, 65))
 NEAR = 2  # frames on either side that a peak must not be quieter than
 FAN, REACH = 3, 32  # partners of a peak, and how many frames ahead they may be
 FRAMES_AT_ONCE = 16384
+AT_ONCE = 4 << 20  # bytes of texts or media that a task holds as Python objects
 
 
 def padded(raw: bytes) -> bytes:
@@ -95,18 +103,34 @@ def _replaced(df: DataFrame, fields: list[T.StructField]) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name.lower() not in new] + fields)
 
 
+def _slices(batch, column: str):
+    """Runs of a batch's rows whose values in a column have at most AT_ONCE bytes, or are one row."""
+    import pyarrow.compute as pc
+
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+    first, held = 0, 0
+    for k, n in enumerate(size):
+        if k > first and held + n > AT_ONCE:
+            yield batch.slice(first, k - first)
+            first, held = k, 0
+        held += int(n)
+    if first < batch.num_rows:
+        yield batch.slice(first)
+
+
 def store_wav(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds `media` (WAV bytes of the padded text) and `n_bytes`; drops the text."""
     kept = df.select([c for c in df.columns if c != text])
     schema = _replaced(kept, [T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
     names = [f.name for f in schema.fields[:-2]]
-    df = df.select(*names, F.col(text).alias("__text"))
+    given = unused("given_text", names)
+    df = df.select(*names, F.col(text).alias(given))
 
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            raw = [(t or "").encode("utf-8", "surrogatepass") for t in b.column("__text").to_pylist()]
+        for b in (part for batch in batches for part in _slices(batch, given)):
+            raw = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(given).to_pylist()]
             media = [to_wav(padded(r)) for r in raw]
             yield pa.RecordBatch.from_arrays(
                 [b.column(n) for n in names] + [pa.array([len(r) for r in raw], pa.int64()), pa.array(media, pa.binary())],
@@ -139,7 +163,8 @@ def landmarks(df: DataFrame, media: str = "media", arrays: bool = True) -> DataF
     kept = df.select([c for c in df.columns if c != media])
     schema = _replaced(kept, fields)
     names = [f.name for f in schema.fields[: -len(fields)]]
-    df = df.select(*names, F.col(media).alias("__media"))
+    given = unused("given_media", names)
+    df = df.select(*names, F.col(media).alias(given))
     types = {f.name: f.dataType for f in fields}
 
     def one(m: bytes | None) -> dict:
@@ -163,8 +188,8 @@ def landmarks(df: DataFrame, media: str = "media", arrays: bool = True) -> DataF
         import pyarrow as pa
 
         kinds = {"pair_time": pa.list_(pa.int32()), "pair_code": pa.list_(pa.int32())}
-        for b in batches:
-            rows = [one(m) for m in b.column("__media").to_pylist()]
+        for b in (part for batch in batches for part in _slices(batch, given)):
+            rows = [one(m) for m in b.column(given).to_pylist()]
             made = [pa.array([r[n] for r in rows], kinds.get(n) or (pa.int64() if isinstance(k, T.LongType) else pa.string())) for n, k in types.items()]
             yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + made, names=[*names, *types])
 

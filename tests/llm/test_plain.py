@@ -303,6 +303,8 @@ UNMARKED = {
     f"<div>{TEXT}<a>link</a></div><ul><li>point one of it</li><li>point two of it</li></ul>": [f"{TEXT}link", "point one of it", "point two of it"],
     f"<p>{TEXT}</p><p>See <a>this</a>.</p>": [TEXT, "See this."],
     f"<div class='site-footer'>x</div><div class='cookie-notice'>y</div><div class='comments-area'><p>z</p></div><p>{TEXT}</p>": [TEXT],
+    # a short part behind a long list of links counts by its own words, however long the best part is
+    f"<p>{TEXT * 12}</p><ul>" + "<li><a>link to page</a></li>" * 30 + f"</ul><p>{TEXT}{TEXT}</p>": [TEXT * 12, TEXT * 2],
 }
 
 
@@ -366,6 +368,56 @@ def test_landmarks_find_tones():
     assert f & {9, 10, 11} and f & {29, 30, 31}
 
 
+def test_landmarks_by_brute_force():
+    rng = np.random.default_rng(3)
+    for n in (64, 128, 192, 64 * 40):
+        x = rng.integers(0, 256, n).astype(np.uint8)
+        wave = [float(v) - 128 for v in x] + [float(x[-1]) - 128] * max(0, media.FRAME - n)
+        loudest = []
+        for at in range(0, len(wave) - media.FRAME + 1, media.HOP):
+            part = np.array(wave[at : at + media.FRAME])
+            part = (part - part.mean()) * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(media.FRAME) / (media.FRAME - 1)))
+            size = [abs(sum(part * np.exp(-2j * np.pi * k * np.arange(media.FRAME) / media.FRAME))) for k in range(media.FRAME // 2 + 1)]
+            loudest.append([max((size[k], -k) for k in range(lo, hi)) for lo, hi in media.BANDS])
+        peaks = []
+        for t, bands in enumerate(loudest):
+            for b, (size, k) in enumerate(bands):
+                before = [loudest[u][b][0] for u in range(max(0, t - media.NEAR), t)]
+                after = [loudest[u][b][0] for u in range(t + 1, min(len(loudest), t + media.NEAR + 1))]
+                if size > 1e-3 and all(size >= v for v in before) and all(size > v for v in after):
+                    peaks.append((t, -k))
+        pairs = [(t, f << 16 | g << 8 | u - t) for k, (t, f) in enumerate(peaks) for u, g in peaks[k + 1 : k + 1 + media.FAN] if u - t <= media.REACH]
+        at, code, count = media.landmark_pairs(x)
+        assert count == len(peaks) and sorted(zip(at.tolist(), code.tolist())) == sorted(pairs)
+
+
+def test_media_names_rows_and_slices(frame, monkeypatch):
+    schema = "doc_id long, text string, given_text string, __text string, given_media string, n_bytes string, Feature string"
+    rows = [(None, "a" * 100, "p", "q", "r", "s", "t"), (1, "b", None, None, None, None, None), (1, "b", None, None, None, None, None), (2, "long " * 10_000, "p", "q", "r", "s", "t")]
+    want = None
+    for most in (media.AT_ONCE, 1):
+        monkeypatch.setattr(media, "AT_ONCE", most)
+        kept = media.landmarks(media.store_wav(frame(schema, rows)), arrays=False)
+        assert kept.columns[:4] == ["doc_id", "given_text", "__text", "given_media"]
+        got = sorted(map(str, kept.collect()))
+        assert len(got) == 4 and (want is None or got == want)
+        want = got
+    r = {x.doc_id: x for x in kept.collect()}
+    assert (r[None].given_text, r[None].given_media, r[None].n_bytes, r[2].n_bytes) == ("p", "r", 100, 50_000)
+
+
+def test_media_slices():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"t": ["a" * n if n is not None else None for n in (3, 9, None, 2, 2, 0, 30, 1)]})
+    media_at, media.AT_ONCE = media.AT_ONCE, 5
+    try:
+        parts = [p.column(0).to_pylist() for p in media._slices(batch, "t")]
+    finally:
+        media.AT_ONCE = media_at
+    assert sum(parts, []) == batch.column(0).to_pylist() and [len(p) for p in parts] == [1, 1, 4, 1, 1]
+
+
 def test_fingerprint_arrays(frame):
     df = media.store_wav(frame("doc_id long, text string, media string", [(1, "some text " * 100, "clash")]))
     r = media.landmarks(df).first()
