@@ -5,8 +5,8 @@ class of their block (paragraph, heading, item, links, a few words, more), and
 tags negative; the weights are log odds of standing inside rather than outside
 the main content, counted on labelled pages: those with one `article` or `main`
 element, whose own tags neither count nor score. A linear scan finds the
-contiguous regions of maximal sum; the best and those near it are the text, cut
-at block ends. Where most of their words stand in `article` elements, or in
+contiguous regions of maximal sum; the best and those worth a paragraph of LEAST
+words are the text, cut at block ends. Where most of their words stand in `article` elements, or in
 `main`, they are rounded to these elements as a whole. What HTML itself sets
 apart (menus, forms, scripts, hidden parts and so on), and containers whose class,
 id or role names a menu, an advert, a notice or comments, score with a tag's weight
@@ -42,7 +42,7 @@ LABELLED_PAGES = 1200  # at most so many pages are looked at for labels
 LARGEST = 3 * math.log(2.0)
 
 FEW = 12  # words of a block that is no paragraph: fewer are a line of the layout, if anything
-NEAR = 0.25  # regions of so large a part of the best one's sum are text too
+LEAST = 2 * FEW  # words of a paragraph: a region that is worth as many is text too, however good the best one is
 
 #: Elements whose content is no text of the page. Fixed values of HTML.
 RAW = "script|style|noscript|template|svg|canvas|iframe|object|textarea|select|title|math|audio|video"
@@ -493,7 +493,7 @@ def main_text(page: str | None, weights: dict) -> str:
     scores = [x.n * words.get(x.kind, word) if x.text is not None else tags.get(x.kind, other) for x in found]
     lo, hi = best_region(scores)
     # Equal sums aside, the best region is one of the maximal ones.
-    least = NEAR * math.fsum(scores[lo:hi])
+    least = LEAST * words.get("paragraph", word)
     chosen = {(lo, hi)} | {(a, b) for s, a, b in regions(scores) if s >= least and (b <= lo or hi <= a)}
     held = [found[k] for a, b in sorted(chosen) for k in range(_titled(found, a), b) if found[k].n]
     total = sum(x.n for x in held if x.kind != "links")
