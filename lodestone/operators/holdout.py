@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import url as U
 from .evaluation import macro_average, ranking_metrics
@@ -20,6 +21,29 @@ def canonical_hash(*columns: str) -> Column:
     return F.sha2(canonical_json(*columns), 256)
 
 
+def key_sorted(c: Column, kind: T.DataType) -> Column:
+    """The column with the fields of its structs, at any depth, in the order of their names, and maps in that of their keys."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(c.isNotNull(), F.struct(*(key_sorted(c.getField(f.name), f.dataType).alias(f.name) for f in fields)))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: key_sorted(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entries = F.map_entries(F.transform_values(c, lambda _, v: key_sorted(v, kind.valueType)))
+        by_key = lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+        return F.map_from_entries(F.array_sort(entries, by_key))
+    return c
+
+
+def canonical_rows(rows: DataFrame, *columns: str) -> Column:
+    """The hash of the columns of `rows` as JSON, keys sorted at every depth, nulls kept; names with a dot are as they stand."""
+    fields = sorted((f for f in rows.schema.fields if f.name in columns), key=lambda f: f.name)
+    if len(fields) != len(set(columns)):
+        raise ValueError(f"not all of {', '.join(columns)} are columns, or one is there twice")
+    whole = F.struct(*(key_sorted(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fields))
+    return F.sha2(F.to_json(whole, {"ignoreNullFields": "false"}), 256)
+
+
 def set_checksum(digest: Column) -> Column:
     """An aggregate of hexadecimal digests that doesn't depend on their order but on how often each is there: the
     sum of their first 60 bits, modulo 2^60."""

@@ -14,6 +14,15 @@ def documents_json(spark, d):
     return table(spark, d, "documents").select("doc_id", H.canonical_json("doc_id", "lang", "n_chars", "source").alias("json"))
 
 
+def canonical_rows(spark, d):
+    """Rows with structs in an array and in a map, whose fields are not in the order of their names."""
+    n = F.col("event_id")
+    part = F.struct(F.col("user_id").alias("user"), F.when(n % 3 != 0, n).alias("event"))
+    nested = F.struct(F.array(part, part).alias("parts"), F.create_map(F.lit("z"), part, F.lit("b"), part).alias("named"))
+    rows = table(spark, d, "events").select("event_id", F.when(n % 5 != 0, nested).alias("nested"), F.col("event_type").alias("kind"))
+    return rows.select("event_id", H.canonical_rows(rows, "nested", "kind", "event_id").alias("sha256"))
+
+
 def canonical_hash(spark, d):
     return table(spark, d, "labels").select("doc_id", H.canonical_hash("doc_id", "quality", "toxic").alias("sha256"))
 
@@ -59,6 +68,12 @@ _ROW = """sha256('{"item_id":' || item_id || ',"text":' || to_json(text) || '}')
 
 QUERIES = {
     "documents_json": (documents_json, """SELECT doc_id, to_json({'doc_id': doc_id, 'lang': lang, 'n_chars': n_chars, 'source': source})::VARCHAR AS json FROM documents"""),
+    "canonical_rows": (
+        canonical_rows,
+        """WITH p AS (SELECT event_id, event_type, '{"event":' || CASE WHEN event_id % 3 <> 0 THEN event_id::VARCHAR ELSE 'null' END || ',"user":' || coalesce(user_id::VARCHAR, 'null') || '}' AS part FROM events)
+SELECT event_id, sha256('{"event_id":' || event_id || ',"kind":' || coalesce('"' || event_type || '"', 'null') || ',"nested":' ||
+  CASE WHEN event_id % 5 <> 0 THEN '{"named":{"b":' || part || ',"z":' || part || '},"parts":[' || part || ',' || part || ']}' ELSE 'null' END || '}') AS sha256 FROM p""",
+    ),
     "canonical_hash": (canonical_hash, """SELECT doc_id, sha256('{"doc_id":' || doc_id || ',"quality":' || coalesce(quality::VARCHAR, 'null') || ',"toxic":' || coalesce(toxic::VARCHAR, 'null') || '}') AS sha256 FROM labels"""),
     "holdout_freeze": (
         holdout_freeze,

@@ -137,3 +137,13 @@ def test_search_survives_dense_failure(spark):
     broken = vectors.withColumn("v", F.when(F.rand() >= 0, F.raise_error(F.lit("no model")).cast("array<double>")))
     rows = R.search(queries, chunks, 5, "hybrid", broken, vectors, F.lit("d1"), boosts={"text": 1.0}).collect()
     assert len(rows) == 2 and all(r.degraded and r.mode_used == "bm25" and r.reason.startswith("dense retrieval failed") for r in rows)
+
+
+def test_canonical_rows(spark):
+    one = spark.sql("SELECT named_struct('b', 1, 'a', array(named_struct('y', 1, 'x', map('q', 1, 'c', 2)))) AS v, CAST(NULL AS struct<a:int>) AS `n.m`")
+    two = spark.sql("SELECT CAST(NULL AS struct<a:int>) AS `n.m`, named_struct('a', array(named_struct('x', map('c', 2, 'q', 1), 'y', 1)), 'b', 1) AS v, 3 AS other")
+    want = '{"n.m":null,"v":{"a":[{"x":{"c":2,"q":1},"y":1}],"b":1}}'
+    for df in (one, two):
+        assert df.select(H.canonical_rows(df, "v", "n.m").alias("h")).first().h == hashlib.sha256(want.encode()).hexdigest()
+    with pytest.raises(ValueError, match="columns"):
+        H.canonical_rows(one, "v", "missing")
