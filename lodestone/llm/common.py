@@ -21,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder of `spark.checkpoint.dir`, which driver and executors share.
 
-    Only where the session names none (a local test) a temporary one is set.
+    Only where a local session names none (a test) a temporary one is set; elsewhere that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         found = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
