@@ -1,4 +1,4 @@
-"""A bounded sample of labelled rows to fit a classifier on."""
+"""Labelled rows to fit a classifier on: all of them, or a bounded sample."""
 
 from __future__ import annotations
 
@@ -15,26 +15,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import small
 from .common import fold, held, rows_of
 
 FOLDS = 5  # rows of fold 0 are held out
+IDS = 200_000  # ids with a label that are broadcast: some 10 MB
 
 
-def labelled(documents: DataFrame, labels: DataFrame, label: str, most: dict[int, int]) -> DataFrame:
-    """(doc_id, text, y): whole text and label of at most `most[v]` rows with each label v,
-    those of least crc32 of the id, without the held-out fold.
+def labelled(documents: DataFrame, labels: DataFrame, label: str, most: dict[int, int] | None = None) -> DataFrame:
+    """(doc_id, text, y): whole text and label of every row with the label 0 or 1, or of at most
+    `most[v]` rows with each label v, those of least crc32 of the id, without the held-out fold.
 
-    Ids are chosen from the labels alone; the bounded list of them is broadcast
-    to fetch the texts. Labels that contradict each other for one id and null
-    labels are left out, as are null texts.
+    Ids are chosen from the labels alone; a bounded list of them is broadcast
+    to fetch the texts, a longer one is joined by a shuffle. Labels that contradict
+    each other for one id and null labels are left out, as are null texts.
     """
     key = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     known = (
-        labels.filter(F.col(label).isin(*most) & (fold(F.col("doc_id"), FOLDS) != 0))
+        labels.filter(F.col(label).isin(*(most or (0, 1))) & (fold(F.col("doc_id"), FOLDS) != 0))
         .groupBy("doc_id")
         .agg(F.min(label).alias("y"), F.max(label).alias("z"))
         .filter("y = z")
     )
+    if most is None:
+        chosen = small(known.select("doc_id", F.col("y").cast("int").alias("y")), IDS)
+        rows = documents.filter(F.col("text").isNotNull()).join(chosen, "doc_id")
+        return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     known = known.join(documents.select("doc_id"), "doc_id", "left_semi")
     chosen = None
     for value, n in most.items():

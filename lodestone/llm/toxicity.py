@@ -13,6 +13,9 @@ Restored words are scored by learned evidence: the lower confidence bound of
 the log odds with which the word or its beginning marks toxic documents; a
 logistic function of a document's two strongest pieces of evidence is its score.
 
+All labelled documents outside the held-out fold are learned from: words, marks and
+weights are counted by Spark, and the driver gets the character model and the evidence.
+
 Defined results: a null or blank text has no evidence and gets the score of
 none; without labelled documents of both kinds all scores are 0. Repeated rows
 are scored each. Whole texts are read; time is linear but for one lattice per
@@ -26,7 +29,6 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 import zlib
 from collections import Counter
 from functools import lru_cache
@@ -36,10 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, held, rows_of
-from .sample import FOLDS, labelled, sigmoid, trained
+from ..operators.joins import small
+from .common import fold, held, rows_of, stored
+from .sample import FOLDS, IDS, labelled, sigmoid
 
-SAMPLE = {1: 1200, 0: 2400}  # labelled documents that are learned from, at most
+SHARE = 1e-6  # of all words, that a word known as a whole has at least: a million of them at most
 STARTS = (4, 5, 6)  # lengths of the beginnings of words that carry evidence
 SURE = 2.5  # standard errors that the evidence is lowered by
 REMEMBERED = 150_000
@@ -98,23 +101,33 @@ class CharModel:
 
     def __init__(self, counted: Counter):
         c3: Counter = Counter()
-        c2: Counter = Counter()
-        c1: Counter = Counter()
         for w, n in counted.items():
             s = f"^^{w}$"
             for k in range(2, len(s)):
                 c3[s[k - 2 : k + 1]] += n
-                c2[s[k - 1 : k + 1]] += n
-                c1[s[k]] += n
+        # A word seen once is no likelier than its characters.
+        self._fit(c3, {w: n for w, n in counted.items() if n > 1}, sum(counted.values()))
+
+    @classmethod
+    def of(cls, c3: dict[str, int], known: dict[str, int], words: int) -> CharModel:
+        """The model of counted trigrams, of the words known as a whole, and of the number of all words."""
+        model = cls.__new__(cls)
+        model._fit(c3, known, words)
+        return model
+
+    def _fit(self, c3: dict[str, int], known: dict[str, int], words: int) -> None:
+        c2: Counter = Counter()
+        c1: Counter = Counter()
+        for g, n in c3.items():
+            c2[g[1:]] += n
+            c1[g[2]] += n
         h2: Counter = Counter()
         h1: Counter = Counter()
         for g, n in c3.items():
             h2[g[:2]] += n
         for g, n in c2.items():
             h1[g[0]] += n
-        # A word seen once is no likelier than its characters.
-        words = sum(counted.values())
-        self.words = {w: KNOWN + math.log(n / words) for w, n in counted.items() if n > 1}
+        self.words = {w: KNOWN + math.log(n / words) for w, n in known.items()}
         total = sum(c1.values()) + 1
         self.longest = max(map(len, self.words), default=0)
         uni = {c: (n + 0.5) / (total + 0.5 * len(c1)) for c, n in c1.items()}
@@ -330,42 +343,89 @@ def marks(word: str) -> list[str]:
     return [word, *(f"{word[:n]}~" for n in STARTS if len(word) > n)] if word else []
 
 
-def evidence_of(docs: list[tuple[set[str], int]]) -> dict[str, float]:
-    """Lower bound of the log odds of each mark that stands for toxic documents."""
-    n = Counter(y for _, y in docs)
-    seen = {0: Counter(), 1: Counter()}
-    for found, y in docs:
-        seen[y].update(found)
-    if not n[0] or not n[1]:
+def evidence_of(counts: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
+    """Lower bound of the log odds of each mark that stands for toxic documents. `counts`: mark, and in a and b the
+    toxic and clean documents that have it."""
+    if not n_toxic or not n_clean:
         return {}
+    begins, a, b = F.col("mark").endswith("~"), F.col("a"), F.col("b")
+    odds = F.log((a + 0.5) / (n_toxic + 1)) - F.log((b + 0.5) / (n_clean + 1))
+    bound = odds - SURE * F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) - 1 / (n_toxic + 1) - 1 / (n_clean + 1))
+    strong = counts.withColumn("bound", bound).filter("a > 0 AND bound > 0.05")
     # A beginning says more than a word only if several words share it.
-    leading: Counter = Counter()
-    for w, a in seen[1].items():
-        if not w.endswith("~"):
-            for m in marks(w)[1:]:
-                leading[m] = max(leading[m], a)
-    out = {}
-    for m, a in seen[1].items():
-        b = seen[0][m]
-        if m.endswith("~") and a < 1.5 * leading[m]:
-            continue
-        odds = math.log((a + 0.5) / (n[1] + 1)) - math.log((b + 0.5) / (n[0] + 1))
-        bound = odds - SURE * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) - 1 / (n[1] + 1) - 1 / (n[0] + 1))
-        if bound > 0.05:
-            out[m] = bound
-    return out
+    starts = F.array(*(F.when(F.length("mark") > n, F.concat(F.substring("mark", 1, n), F.lit("~"))) for n in STARTS))
+    words = counts.filter(~begins & (a > 0)).select(F.explode(starts).alias("mark"), "a").filter("mark IS NOT NULL")
+    leading = words.groupBy("mark").agg(F.max("a").alias("leading"))
+    found = strong.join(leading, "mark", "left").filter(~begins | (a >= 1.5 * F.coalesce("leading", F.lit(0))))
+    return {r.mark: r.bound for r in found.select("mark", "bound").collect()}
 
 
-def copies(text: str, seen: set) -> bool:
-    """Whether one of two triples of minimum hashes of the text's runs of three
-    words was seen before: near copies of a document would count its words again."""
+def near_keys(text: str) -> tuple[bytes, bytes]:
+    """Two triples of minimum hashes of the text's runs of three words; near copies share one."""
     w = text.lower().encode("utf-8", "surrogatepass").split()
-    hashes = {zlib.crc32(b" ".join(w[k : k + 3])) for k in range(max(1, len(w) - 2))}
-    lows = [min(h * m & 0xFFFFFFFF for h in hashes) for m in (1, 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)]
-    keys = {(0, *lows[:3]), (1, *lows[3:])}
-    found = bool(keys & seen)
-    seen |= keys
-    return found
+    hashes = np.array([zlib.crc32(b" ".join(w[k : k + 3])) for k in range(max(1, len(w) - 2))], np.uint64)
+    lows = [int((hashes * np.uint64(m) & np.uint64(0xFFFFFFFF)).min()) for m in (1, 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)]
+    return tuple(bytes([k]) + b"".join(v.to_bytes(4, "little") for v in lows[3 * k : 3 * k + 3]) for k in (0, 1))
+
+
+def without_copies(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, y, half, text) but those that share a key with a row before them by crc32 of
+    the id: near copies of a document would count its words again."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            keys = [near_keys(t) for (t,) in rows_of(b.select(["text"]), 16)]
+            rows = pa.array(np.repeat(np.arange(b.num_rows), 2))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), pa.array([k for pair in keys for k in pair], pa.binary())], names=["doc_id", "key"])
+
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("key", T.BinaryType())])
+    keys = rows.select("doc_id", "text").mapInArrow(run, schema)
+    order = F.struct(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id")
+    first = keys.groupBy("key").agg(F.min(order).alias("first")).groupBy("first.doc_id").agg(F.count("*").alias("n"))
+    return rows.join(small(stored(first.filter("n = 2").select("doc_id"), "toxicity-kept"), IDS), "doc_id", "left_semi")
+
+
+TALLIED = 400_000  # counts that a task holds before it hands them on
+
+
+def _tallies(rows: DataFrame, name: str, by: list[str], each) -> DataFrame:
+    """Counts of strings, and of the columns `by` of their row: (name, *by, n). `each` gives a function of a text once
+    per task, which gives the strings to count."""
+    schema = T.StructType([T.StructField(name, T.StringType()), *(T.StructField(c, T.IntegerType()) for c in by), T.StructField("n", T.LongType())])
+
+    def run(batches):
+        import pyarrow as pa
+
+        count, tallies = each(), {}
+
+        def counted():
+            for key, tally in tallies.items():
+                repeated = [pa.array(np.full(len(tally), k, np.int32)) for k in key]
+                yield pa.RecordBatch.from_arrays([pa.array(tally.keys(), pa.string()), *repeated, pa.array(tally.values(), pa.int64())], names=schema.names)
+            tallies.clear()
+
+        for b in batches:
+            for text, *key in rows_of(b.select(["text", *by]), 16):
+                tallies.setdefault(tuple(key), Counter()).update(count(text))
+                if sum(map(len, tallies.values())) > TALLIED:
+                    yield from counted()
+        yield from counted()
+
+    return rows.select("text", *by).mapInArrow(run, schema).groupBy(name, *by).agg(F.sum("n").alias("n"))
+
+
+def char_model(rows: DataFrame) -> CharModel:
+    """The character model of the plain words of all rows."""
+    counted = stored(_tallies(rows, "word", [], lambda: plain_words), "toxicity-words")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    padded = F.concat(F.lit("^^"), "word", F.lit("$"))
+    grams = counted.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda k: F.substring(padded, k, F.lit(3)))).alias("g"), "n")
+    c3 = {r.g: r.n for r in grams.groupBy("g").agg(F.sum("n").alias("n")).collect()}
+    # A word seen once, or hardly ever, is no likelier than its characters.
+    known = {r.word: r.n for r in counted.filter((F.col("n") > 1) & (F.col("n") >= SHARE * total)).collect()}
+    return CharModel.of(c3, known, total)
 
 
 def two_best(values) -> tuple[float, float]:
@@ -378,49 +438,81 @@ def two_best(values) -> tuple[float, float]:
     return a, b
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.002, steps: int = 50) -> np.ndarray:
-    """Newton steps for a ridge logistic model with an intercept."""
-    x = np.c_[np.ones(len(x)), x]
-    w = np.zeros(x.shape[1])
-    keep = np.diag([1e-6] + [ridge * len(y)] * (x.shape[1] - 1))
+def fit_logistic(points: DataFrame, ridge: float = 0.002, steps: int = 50) -> list[float]:
+    """Newton steps for a ridge logistic model with an intercept. `points`: one, two, y, n; a step is a sum over them."""
+    w, x = np.zeros(3), [F.lit(1.0), F.col("one"), F.col("two")]
+    total = points.agg(F.sum("n")).first()[0] or 0
+    keep = np.diag([1e-6] + [ridge * total] * 2)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + keep, x.T @ (y - p) - keep @ w)
+        z = sum((float(a) * c for a, c in zip(w, x)), F.lit(0.0))
+        p = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
+        slopes = [F.sum(F.col("n") * (F.col("y") - p) * c) for c in x]
+        curves = [F.sum(F.col("n") * p * (1 - p) * x[i] * x[j]) for i in range(3) for j in range(3)]
+        r = np.array([v or 0.0 for v in points.agg(*(c.alias(f"s{k}") for k, c in enumerate(slopes + curves))).first()])
+        step = np.linalg.solve(r[3:].reshape(3, 3) + keep, r[:3] - keep @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    return w
+    return w.tolist()
+
+
+def _points(rows: DataFrame, fitted: list[dict]) -> DataFrame:
+    """(one, two, y, n): how many rows with a label have such evidence by the half they aren't in."""
+    schema = "one double, two double, y int"
 
+    def run(batches):
+        import pyarrow as pa
 
-def train(rows: list[tuple[int, str, int]]) -> dict | None:
-    """The character model, the evidence and the logistic weights. Weights are
-    fitted on evidence that the other half of the rows gave."""
-    if len({y for _, _, y in rows}) < 2:
+        e = [_Evidence(f) for f in fitted]
+        for b in batches:
+            made = [(*e[1 - half].strongest(t), y) for t, y, half in rows_of(b.select(["text", "y", "half"]), 16)]
+            columns = [*zip(*made)] or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.float64(), pa.float64(), pa.int32()))], names=["one", "two", "y"])
+
+    return rows.select("text", "y", "half").mapInArrow(run, schema).groupBy("one", "two", "y").agg(F.count("*").alias("n"))
+
+
+def train(rows: DataFrame) -> dict | None:
+    """The character model, the evidence and the logistic weights, all counted from all rows (doc_id, text, y).
+    Weights are fitted on evidence that the other half of the rows gave."""
+    half = F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / FOLDS) % 2
+    rows = stored(rows.select("doc_id", "y", half.cast("int").alias("half"), "text"), "toxicity-rows")
+    if rows.select("y").distinct().count() < 2:
         return None
-    letters: Counter = Counter()
-    found, seen = [], set()
-    for _, text, y in rows:
-        if copies(text, seen):
-            continue
-        found.append(([sys.intern(w) for w in tokens(text)], y))
-        letters.update(plain_words(text))
-    model = CharModel(letters)
-    known: dict[str, list[str]] = {}
-    docs = []
-    for words, y in found:
-        held: set[str] = set()
-        for w in words:
-            if w not in known:
-                known[w] = behind(w, model)
-            held.update(known[w])
-        docs.append((held, y))
-    x, y = [], []
-    for half in (0, 1):
-        e = evidence_of(docs[half::2])
-        for words, label in found[1 - half :: 2]:
-            x.append(two_best(max((e.get(m, 0.0) for m in known[w]), default=0.0) for w in words))
-            y.append(label)
-    return {"model": model, "evidence": evidence_of(docs), "weights": fit_logistic(np.array(x), np.array(y)).tolist()}
+    rows = stored(without_copies(rows), "toxicity-distinct")
+    n = {(r.y, r.half): r.n for r in rows.groupBy("y", "half").agg(F.count("*").alias("n")).collect()}
+    model = char_model(rows)
+
+    def each():
+        known: dict[str, list[str]] = {}
+
+        def of(text: str) -> set[str]:
+            found: set[str] = set()
+            for w in tokens(text):
+                if p := plain(w):
+                    found.update(marks(p))
+                    continue
+                if w not in known:
+                    if len(known) > REMEMBERED:
+                        known.clear()
+                    made = behind(w, model)
+                    if len(w) > REMEMBERED_LENGTH:
+                        found.update(made)
+                        continue
+                    known[w] = made
+                found.update(known[w])
+            return found
+
+        return of
+
+    met = lambda y, h: F.coalesce(F.sum(F.when((F.col("y") == y) & (F.col("half") == h), F.col("n"))), F.lit(0)).alias(f"n{y}{h}")
+    tallies = _tallies(rows, "mark", ["y", "half"], each).groupBy("mark").agg(*(met(y, h) for y in (0, 1) for h in (0, 1)))
+    tallies = stored(tallies.filter("n10 + n11 > 0"), "toxicity-marks")  # others stand for no toxic document
+    n = {k: n.get(k, 0) for k in ((0, 0), (0, 1), (1, 0), (1, 1))}
+    of_half = [evidence_of(tallies.select("mark", F.col(f"n1{h}").alias("a"), F.col(f"n0{h}").alias("b")), n[1, h], n[0, h]) for h in (0, 1)]
+    evidence = evidence_of(tallies.select("mark", (F.col("n10") + F.col("n11")).alias("a"), (F.col("n00") + F.col("n01")).alias("b")), n[1, 0] + n[1, 1], n[0, 0] + n[0, 1])
+    points = stored(_points(rows, [{"model": model, "evidence": e} for e in of_half]), "toxicity-points")
+    return {"model": model, "evidence": evidence, "weights": fit_logistic(points)}
 
 
 class _Evidence(dict):
@@ -484,7 +576,7 @@ THRESHOLD = 0.5
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> dict | None:
-    return trained(labelled(documents, labels, "toxic", SAMPLE), train)
+    return train(labelled(documents, labels, "toxic"))
 
 
 def op9(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -91,6 +91,22 @@ def test_toxicity(frame):
     assert toxicity.op9(frame(DOC, []), frame(LABEL, labels)).count() == 0
 
 
+def test_toxicity_learns_from_every_labelled_row(frame):
+    rng = random.Random(7)
+    ids = sorted((k for k in range(4000) if crc(k, 5)), key=lambda k: zlib.crc32(str(k).encode()))
+    toxic = ids[::2]
+    early, late = set(toxic[:1200]), set(toxic)
+    docs = [(k, f"{good(rng)} {'moron' if k in early else 'zubbel' if k in late else 'river'} {good(rng)}", "s", "l", "") for k in ids]
+    rows = [(k, 1, int(k in late), "") for k in ids]
+    docs += [(5000, good(rng) + " zubbel", "s", "l", ""), (5001, good(rng), "s", "l", "")]
+    documents, labels = frame(DOC, docs), frame(LABEL, rows)
+    assert labelled(documents, labels, "toxic").count() == len(ids)
+    fitted = toxicity.fit(documents, labels)
+    assert {"moron", "zubbel"} <= set(fitted["evidence"]) and not {"river", "stone"} & set(fitted["evidence"])
+    got = rows_of(toxicity.score(documents, fitted, out="score").filter("doc_id >= 5000"))
+    assert got[5000].score > 0.5 > got[5001].score
+
+
 SPACED = [
     "such a m o r o n", "y o u i d i o t", "i  d  i  o  t", "i\td\ti\to\tt", "you $ c u m !", "m 0 r o n", "1 d ! o t",
     "( l o w n", "a (lown.", "mo ro n", "i. d. i. o. t.", "i - d - i - o - t", "y.o.u.i.d.i.o.t", "you a s s", "s h ! t", "@ s s", "naz! they",
