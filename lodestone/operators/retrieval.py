@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions.text import tokens
@@ -136,13 +137,140 @@ def collapse(hits: DataFrame, document: str, tie: list[str]) -> DataFrame:
     return top_k(hits, ["query_id", document], [F.desc("score"), *tie], 1, "__n").drop("__n")
 
 
+#: Chunks and token bytes of a packed block, and queries of a block that meets it: scores of 512 x 128 at a time.
+BLOCK_CHUNKS, BLOCK_TOKENS, BLOCK_QUERIES = 512, 200_000, 128
+
+
+def _together(index: LexicalIndex, fields: list[str]) -> DataFrame:
+    """(*key, tokens of each field) of the index's chunks."""
+    parts = [index.texts[f].select(*index.key, F.col("toks").alias(f"toks_{k}")) for k, f in enumerate(fields)]
+    return reduce(lambda a, b: a.join(b, index.key, "full"), parts)
+
+
+def _term_weights(queries: DataFrame, index: LexicalIndex, field: str) -> DataFrame:
+    """(query_id, term, w): the term's frequency in the query times its idf in the field."""
+    q = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term"))
+    terms = q.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    wanted = small(terms.select("term").distinct())
+    df = index.texts[field].select(F.explode(F.array_distinct("toks")).alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("df"))
+    return terms.join(df, "term").select("query_id", "term", (F.col("qtf") * idf(F.lit(index.stats[field][0]), F.col("df"))).alias("w"))
+
+
+def _ipc(batch) -> bytes:
+    import pyarrow as pa
+
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema) as w:
+        w.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def _chunk_blocks(rows: DataFrame, lists: list[str]) -> DataFrame:
+    """Rows as Arrow blocks of at most BLOCK_CHUNKS of them; a block ends where its tokens are many."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            sizes = sum(np.nan_to_num(b.column(c).value_lengths().to_numpy(zero_copy_only=False).astype(float)) for c in lists)
+            at, held = 0, 0.0
+            for k, n in enumerate(sizes):
+                if k > at and (k - at >= BLOCK_CHUNKS or held + n > BLOCK_TOKENS):
+                    yield pa.RecordBatch.from_arrays([pa.array([_ipc(pa.RecordBatch.from_arrays([c.take(pa.array(np.arange(at, k))) for c in b.columns], names=b.schema.names))], pa.binary())], names=["chunks"])
+                    at, held = k, 0.0
+                held += n
+            if b.num_rows > at:
+                yield pa.RecordBatch.from_arrays([pa.array([_ipc(pa.RecordBatch.from_arrays([c.take(pa.array(np.arange(at, b.num_rows))) for c in b.columns], names=b.schema.names))], pa.binary())], names=["chunks"])
+
+    return rows.mapInArrow(run, "chunks binary")
+
+
+def _block_scores(starts, ids, w, k1_norm) -> np.ndarray:
+    """Chunks by queries: sums of w[term] * saturated frequency over a chunk's tokens, which `ids` names (-1: not asked for)."""
+    out = np.zeros((len(starts) - 1, w.shape[1]))
+    row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    met = ids >= 0
+    pairs, tf = np.unique(row[met] * len(w) + ids[met], return_counts=True)
+    r, t = pairs // max(len(w), 1), pairs % max(len(w), 1)
+    weight = tf / (tf + k1_norm[r])
+    for at in np.searchsorted(r, np.arange(0, len(out), 32)):  # some rows at a time: a row of w for each of their terms
+        to = np.searchsorted(r, r[at] // 32 * 32 + 32) if at < len(r) else at
+        if to > at:
+            rows, first = np.unique(r[at:to], return_index=True)
+            out[rows] = np.add.reduceat(w[t[at:to]] * weight[at:to, None], first, axis=0)
+    return out
+
+
 def lexical_search(queries: DataFrame, chunks: DataFrame | LexicalIndex, limit: int, document: str = "document_id", ordinal: str = "ordinal", **options) -> DataFrame:
     """Collapsed top documents of each query by BM25: query_id, document, ordinal, score, rank."""
     _positive(limit=limit)
+    if not options.get("phrases"):
+        return _block_search(queries, chunks, limit, document, ordinal, options.get("boosts"))
     hits = collapse(bm25(queries, chunks, [document, ordinal], **options), document, [ordinal])
     return top_k(hits, ["query_id"], [F.desc("score"), document], limit)
 
 
+def _block_search(queries: DataFrame, chunks: DataFrame | LexicalIndex, limit: int, document: str, ordinal: str, boosts: dict | None) -> DataFrame:
+    """The same as collapsed and ranked `bm25` without phrases. Blocks of chunks meet blocks of queries, and each such pair keeps
+    its `limit` best documents of a query: no row a query and chunk is shuffled, and a task holds a pair of blocks."""
+    boosts = TERM_BOOSTS if boosts is None else boosts
+    key, fields = [document, ordinal], list(boosts)
+    index = chunks if isinstance(chunks, LexicalIndex) else lexical_index(chunks, key, fields)
+    rows = _together(index, fields)
+    weights = [_term_weights(queries, index, f).withColumn("field", F.lit(k)) for k, f in enumerate(fields)]
+    weights = written(reduce(DataFrame.union, weights), "weights")
+    # Blocks of queries: numbered by their ids' hashes, so that a block has about BLOCK_QUERIES of them.
+    n_queries = weights.select("query_id").distinct().count()
+    block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n_queries // BLOCK_QUERIES))))
+    asked = weights.groupBy(block.alias("b")).agg(F.collect_list(F.struct("query_id", "field", "term", "w")).alias("asked")).select("asked")
+    lists = [f"toks_{k}" for k in range(len(fields))]
+    kinds = {f.name: f.dataType for f in [*rows.schema.fields, weights.schema["query_id"]]}
+    schema = T.StructType([T.StructField("query_id", kinds["query_id"]), *(T.StructField(c, kinds[c]) for c in key), T.StructField("score", T.DoubleType())])
+    averages = [index.stats[f][1] for f in fields]
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for b in batches:
+            for packed, table in zip(b.column("chunks"), b.column("asked")):
+                block = pa.ipc.open_stream(packed.as_buffer()).read_all().combine_chunks().to_batches()[0]
+                block = block.take(pc.sort_indices(block, [(c, "ascending") for c in key], null_placement="at_start"))
+                rows = table.values
+                ids = rows.field("query_id").dictionary_encode()
+                query, of_field, w = ids.indices.to_numpy(), rows.field("field").to_numpy(), rows.field("w").to_numpy()
+                best = np.zeros((block.num_rows, len(ids.dictionary)))
+                for k, (f, average) in enumerate(zip(fields, averages)):
+                    mine = np.flatnonzero(of_field == k)
+                    if not len(mine):
+                        continue
+                    terms = rows.field("term").take(pa.array(mine)).dictionary_encode()
+                    matrix = np.zeros((len(terms.dictionary), best.shape[1]))
+                    matrix[terms.indices.to_numpy(), query[mine]] = w[mine]
+                    toks = block.column(f"toks_{k}")
+                    n = np.nan_to_num(toks.value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+                    at = pc.fill_null(pc.index_in(toks.flatten(), value_set=terms.dictionary), -1).to_numpy()
+                    bits = np.maximum(np.floor(np.log2(np.maximum(n - 24, 0) + 0.5)) - 3, 0)
+                    length = np.where(n < 40, n, 24 + np.floor((n - 24) / 2**bits) * 2**bits)
+                    scores = _block_scores(np.append(0, np.cumsum(n)), at, matrix, K1 * (1 - B + B * length / average))
+                    np.maximum(best, boosts[f] * scores, out=best)
+                hit = np.where(best > 0, np.round(best, 6), -np.inf)
+                codes = block.column(document).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                first = np.flatnonzero(np.append(True, np.diff(codes) != 0))
+                top = np.maximum.reduceat(hit, first, axis=0)  # of a document's chunks here
+                order = np.argsort(-top, axis=0, kind="stable")[:limit]
+                d, q = order.ravel(), np.tile(np.arange(top.shape[1]), len(order))
+                some = np.isfinite(top[d, q])
+                d, q = d[some], q[some]
+                ends = np.append(first[1:], block.num_rows)
+                chunk = np.array([first[x] + np.argmax(hit[first[x] : ends[x], y] == top[x, y]) for x, y in zip(d, q)], np.int64)
+                yield pa.RecordBatch.from_arrays([ids.dictionary.take(pa.array(q)), *(block.column(c).take(pa.array(chunk)) for c in key), pa.array(top[d, q])], names=schema.names)
+
+    met = _chunk_blocks(rows.select(*key, *lists), lists).crossJoin(asked)  # a row is a block
+    partial = met.mapInArrow(run, schema)
+    return top_k(collapse(partial, document, [ordinal]), ["query_id"], [F.desc("score"), document], limit)
+
+
 # --- vectors ------------------------------------------------------------------
 
 

@@ -149,3 +149,19 @@ def test_model_scorer(spark):
     assert sorted(r.rerank_score for r in good.collect()) == [0.0, 1.0]
     with pytest.raises(Exception, match="finite"):
         R.scored_by(df, lambda: lambda q, t: [float("nan")] * len(q)).collect()
+
+
+def test_block_search_equals_scored_pairs_and_makes_none(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(60)]
+    text = lambda n: " ".join(rng.choice(words, n))
+    rows = [(k // 3, k % 3, text(3), None if k % 50 == 0 else text(int(rng.integers(0, 90)))) for k in range(1500)]
+    rows += [(900 + k, 0, "same title", "w1 w2 w3 same") for k in range(40)]
+    chunks = spark.createDataFrame(rows, "document_id long, ordinal int, title string, text string").repartition(5)
+    asked = queries(spark, *(text(int(rng.integers(1, 9))) for _ in range(200)), "same", "", "absent")
+    boosts = {"title": 4.0, "text": 1.0}
+    found = R.lexical_search(asked, chunks, 7, boosts=boosts)
+    hits = R.collapse(R.bm25(asked, chunks, ["document_id", "ordinal"], boosts=boosts), "document_id", ["ordinal"])
+    want = R.top_k(hits, ["query_id"], [F.desc("score"), "document_id"], 7)
+    assert sorted(found.select("query_id", "document_id", "ordinal", "score", "rank").collect()) == sorted(want.select("query_id", "document_id", "ordinal", "score", "rank").collect())
+    assert "CartesianProduct" in (plan := found._jdf.queryExecution().executedPlan().toString()) or "BroadcastNestedLoopJoin" in plan
