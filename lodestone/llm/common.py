@@ -7,6 +7,7 @@ import uuid
 from urllib.parse import urlparse
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +51,23 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, row: str, what: str) -> DataFrame:
+    """The documents with a number of their own as column `row`: their ids, where each has one that no other has;
+    else rows are numbered and stored, since a number that is made anew need not be the same."""
+    if dict(docs.dtypes)["doc_id"] == "bigint" and docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
+        return docs.withColumn(row, F.col("doc_id"))
+    return stored(docs.withColumn(row, F.monotonically_increasing_id()), what)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of tables that `stored` has made and nothing will read again."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        for folder in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            path = sc._jvm.org.apache.hadoop.fs.Path(sc._jvm.java.net.URI(folder))
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def filesystem(uri: str):
     """(pyarrow filesystem, path) for a folder of any scheme that pyarrow knows."""
     from pyarrow import fs
@@ -57,6 +75,22 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+#: Where a row stands in files that were written in order: the number of the part, of the file in it, of the row in that.
+ORDER = ("train_part", "train_file", "train_row")
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """doc_id and text, with the places (ORDER) of rows of tables that Spark has written."""
+    if not any(f.rpartition("/")[2].startswith("part-") for f in docs.inputFiles()):
+        return docs.select("doc_id", "text")
+    name, number = F.col("_metadata.file_name"), lambda of, pattern: F.regexp_extract(of, pattern, 1).try_cast("long")
+    places = (number(name, r"part-(\d+)"), number(name, r"c(\d+)\."), F.col("_metadata.row_index"))
+    try:
+        return docs.select("doc_id", "text", *(p.alias(n) for p, n in zip(places, ORDER)))
+    except AnalysisException:  # the rows are no table's, though some were chosen by tables
+        return docs.select("doc_id", "text")
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)

@@ -32,6 +32,7 @@ import re
 import zlib
 from collections import Counter
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.joins import small
-from .common import fold, held, rows_of, stored
+from .common import discard, fold, held, rows_of, stored
 from .sample import FOLDS, IDS, labelled, sigmoid
 
 SHARE = 1e-6  # of all words, that a word known as a whole has at least: a million of them at most
@@ -207,10 +208,26 @@ def finished(paths: Paths, model: CharModel) -> tuple[float, str]:
     return best, word
 
 
+def straight(text: str) -> int:
+    """How many characters a text begins with, less than CHUNK, that only stand for themselves: letters, none twice in a row."""
+    before = ""
+    for k, c in enumerate(text[: CHUNK - 1]):
+        if c == before or not c.isalpha():
+            return k
+        before = c
+    return min(len(text), CHUNK - 1)
+
+
 def read(token: str, model: CharModel, kept: bool = False) -> tuple[float, str]:
     """Likelihood and letters of the word behind a token, the first and last look-alikes of which may be `kept`."""
-    paths, before = START, ""
-    for k, c in enumerate(token):
+    n = straight(token)
+    trigrams, padded, p = model.trigrams, "^^" + token[:n], 0.0
+    for k in range(n):
+        p += trigrams[padded[k : k + 3]]
+    paths = {(padded[-2], padded[-1]): (p, (token[:n], None), 0.0, n)}
+    before = padded[-1] if n else ""
+    for k in range(n, len(token)):
+        c = token[k]
         paths = further(paths, c, before, model, kept and k in (0, len(token) - 1))
         before = c
     return finished(paths, model)
@@ -224,17 +241,36 @@ def decode(token: str, model: CharModel) -> str:
 def segmented(pieces: list[str], model: CharModel) -> list[str]:
     """The likeliest words behind a run of pieces: each blank between them is nothing or the end of a word."""
     best: list[tuple[float, int, str]] = [(0.0, 0, "")] + [(-math.inf, 0, "")] * len(pieces)
+    trigrams, known, joined = model.trigrams, model.words, "".join(pieces)
+    off = [0, *accumulate(map(len, pieces))]
     for i, piece in enumerate(pieces):
         sofar = best[i][0]
         # What has no letter may be no part of a word.
-        if not any(c.isalpha() for c in piece) and sofar + COST_LEFT_OUT > best[i + 1][0]:
+        if not piece.isalpha() and not any(c.isalpha() for c in piece) and sofar + COST_LEFT_OUT > best[i + 1][0]:
             best[i + 1] = (sofar + COST_LEFT_OUT, i, "")
-        paths, before = START, ""
-        for j in range(i, min(len(pieces), i + LONGEST)):
-            for k, c in enumerate(pieces[j]):
-                paths = further(paths, c, before, model, j == i and k == 0)
-                before = c
-            p, word = finished(paths, model)
+        # While characters only stand for themselves there is one path.
+        last = min(len(pieces), i + LONGEST)
+        lone = straight(joined[off[i] : min(off[last], off[i] + CHUNK)])
+        padded, at, p_at = "^^" + joined[off[i] : off[i] + lone], 0, 0.0
+        paths = None
+        for j in range(i, last):
+            n = off[j + 1] - off[i]
+            if n <= lone:
+                for k in range(at, n):
+                    p_at += trigrams[padded[k : k + 3]]
+                at = n
+                word = padded[2 : n + 2]
+                p = p_at + trigrams[padded[n : n + 2] + "$"]
+                if word in known and known[word] > p:
+                    p = known[word]
+            else:
+                if paths is None:
+                    paths = {(padded[at], padded[at + 1]): (p_at, (padded[2 : at + 2], None), 0.0, at)}
+                    before = padded[at + 1] if at else ""
+                for k, c in enumerate(pieces[j]):
+                    paths = further(paths, c, before, model, j == i and k == 0)
+                    before = c
+                p, word = finished(paths, model)
             if sofar + p > best[j + 1][0]:
                 best[j + 1] = (sofar + p, i, word)
     out, at = [], len(pieces)
@@ -268,13 +304,17 @@ def restored(token: str, model: CharModel | None) -> str:
     t = core(token)
     if model is None or not t:
         return t
+    # Marks around the token may be letters too, as in (lown.
+    full = DECORATION.sub(r"\1", token).strip(OUTER)
+    more = full != t and hidden(full)
     if hidden(t):
         best = read(t, model)
+    elif more:
+        trigrams, padded = model.trigrams, f"^^{t}$"
+        best = (math.fsum([trigrams[padded[k : k + 3]] for k in range(len(t) + 1)]), t)
     else:
-        best = (math.fsum(model(a, b, c) for a, b, c in zip("^^" + t, "^" + t, t + "$")), t)
-    # Marks around the token may be letters too, as in (lown.
-    full = DECORATION.sub(r"\1", token).strip(OUTER)
-    if full != t and hidden(full):
+        return t
+    if more:
         lead, tail = len(full) - len(full.lstrip(LEADING)), len(full) - len(full.rstrip(TRAILING))
         for x in {full, full[lead:] if lead else full, full[: len(full) - tail] if tail else full} - {t}:
             best = max(best, read(x, model, kept=True))
@@ -290,8 +330,8 @@ def short(token: str) -> tuple[str, ...] | None:
     return tuple(BETWEEN.split(t)) if SINGLES.fullmatch(t) else None
 
 
-def runs(words: list[str]) -> list[list[str]]:
-    """Runs of short pieces, several pieces each, that hold a letter."""
+def runs(words: list[str], distinct: set[str] | None = None) -> list[list[str]]:
+    """Runs of short pieces, several pieces each, that hold a letter. `distinct`: the words, each once."""
     out: list[list[str]] = []
     run: list[str] = []
     last = -1
@@ -301,7 +341,8 @@ def runs(words: list[str]) -> list[list[str]]:
             out.append(run[:])
         run.clear()
 
-    for k in [k for k, w in enumerate(words) if len(w) < 4 or not w[1:4].isalnum()]:
+    brief = {w for w in distinct or set(words) if len(w) < 4 or not w[1:4].isalnum()}
+    for k in [k for k, w in enumerate(words) if w in brief]:
         found = short(words[k])
         if found is None:
             continue
@@ -318,7 +359,8 @@ def tokens(text: str | None) -> set[str]:
     if not text:
         return set()
     words = text.lower().split()
-    return {*words, *map(" ".join, runs(words))}
+    distinct = set(words)
+    return {*distinct, *map(" ".join, runs(words, distinct))}
 
 
 def plain_words(text: str) -> list[str]:
@@ -326,7 +368,7 @@ def plain_words(text: str) -> list[str]:
     words = text.lower().split()
     out = []
     for k, w in enumerate(words):
-        c = core(w)
+        c = w if w.isalpha() else core(w)
         if c.isalpha() and not (len(c) == 1 and any(k >= d and k - d + 3 <= len(words) and max(map(len, words[k - d : k - d + 3])) <= 1 for d in range(3))):
             out.append(c)
     return out
@@ -340,7 +382,9 @@ def behind(token: str, model: CharModel | None) -> list[str]:
 
 
 def marks(word: str) -> list[str]:
-    return [word, *(f"{word[:n]}~" for n in STARTS if len(word) > n)] if word else []
+    if (n := len(word)) > STARTS[-1]:
+        return [word, *[word[:k] + "~" for k in STARTS]]
+    return [word, *[word[:k] + "~" for k in STARTS if n > k]] if word else []
 
 
 def evidence_of(counts: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
@@ -363,13 +407,16 @@ def evidence_of(counts: DataFrame, n_toxic: int, n_clean: int) -> dict[str, floa
 def near_keys(text: str) -> tuple[bytes, bytes]:
     """Two triples of minimum hashes of the text's runs of three words; near copies share one."""
     w = text.lower().encode("utf-8", "surrogatepass").split()
-    hashes = np.array([zlib.crc32(b" ".join(w[k : k + 3])) for k in range(max(1, len(w) - 2))], np.uint64)
+    joined = memoryview(b" ".join(w))
+    ends = [k + n for n, k in enumerate(accumulate(map(len, w)))]
+    starts = [0, *(k + 1 for k in ends)]
+    hashes = np.array([zlib.crc32(joined[a:b]) for a, b in zip(starts, ends[2:])] or [zlib.crc32(joined)], np.uint64)
     lows = [int((hashes * np.uint64(m) & np.uint64(0xFFFFFFFF)).min()) for m in (1, 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)]
     return tuple(bytes([k]) + b"".join(v.to_bytes(4, "little") for v in lows[3 * k : 3 * k + 3]) for k in (0, 1))
 
 
 def without_copies(rows: DataFrame) -> DataFrame:
-    """Rows (doc_id, y, half, text) but those that share a key with a row before them by crc32 of
+    """A table of the rows (doc_id, y, half, text) but those that share a key with a row before them by crc32 of
     the id: near copies of a document would count its words again."""
 
     def run(batches):
@@ -384,7 +431,10 @@ def without_copies(rows: DataFrame) -> DataFrame:
     keys = rows.select("doc_id", "text").mapInArrow(run, schema)
     order = F.struct(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id")
     first = keys.groupBy("key").agg(F.min(order).alias("first")).groupBy("first.doc_id").agg(F.count("*").alias("n"))
-    return rows.join(small(stored(first.filter("n = 2").select("doc_id"), "toxicity-kept"), IDS), "doc_id", "left_semi")
+    kept = stored(first.filter("n = 2").select("doc_id"), "toxicity-kept")
+    found = stored(rows.join(small(kept, IDS), "doc_id", "left_semi"), "toxicity-distinct")
+    discard(kept)
+    return found
 
 
 TALLIED = 400_000  # counts that a task holds before it hands them on
@@ -425,6 +475,7 @@ def char_model(rows: DataFrame) -> CharModel:
     c3 = {r.g: r.n for r in grams.groupBy("g").agg(F.sum("n").alias("n")).collect()}
     # A word seen once, or hardly ever, is no likelier than its characters.
     known = {r.word: r.n for r in counted.filter((F.col("n") > 1) & (F.col("n") >= SHARE * total)).collect()}
+    discard(counted)
     return CharModel.of(c3, known, total)
 
 
@@ -476,31 +527,28 @@ def train(rows: DataFrame) -> dict | None:
     """The character model, the evidence and the logistic weights, all counted from all rows (doc_id, text, y).
     Weights are fitted on evidence that the other half of the rows gave."""
     half = F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / FOLDS) % 2
-    rows = stored(rows.select("doc_id", "y", half.cast("int").alias("half"), "text"), "toxicity-rows")
-    if rows.select("y").distinct().count() < 2:
+    given = stored(rows.select("doc_id", "y", half.cast("int").alias("half"), "text"), "toxicity-rows")
+    if given.select("y").distinct().count() < 2:
+        discard(given)
         return None
-    rows = stored(without_copies(rows), "toxicity-distinct")
+    rows = without_copies(given)
+    discard(given)
     n = {(r.y, r.half): r.n for r in rows.groupBy("y", "half").agg(F.count("*").alias("n")).collect()}
     model = char_model(rows)
 
     def each():
-        known: dict[str, list[str]] = {}
+        known: dict[str, tuple[str, ...]] = {}
 
         def of(text: str) -> set[str]:
             found: set[str] = set()
             for w in tokens(text):
-                if p := plain(w):
-                    found.update(marks(p))
-                    continue
-                if w not in known:
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                    made = behind(w, model)
-                    if len(w) > REMEMBERED_LENGTH:
-                        found.update(made)
-                        continue
-                    known[w] = made
-                found.update(known[w])
+                if (made := known.get(w)) is None:
+                    made = tuple(marks(p) if (p := plain(w)) else behind(w, model))
+                    if len(w) <= REMEMBERED_LENGTH:
+                        if len(known) > REMEMBERED:
+                            known.clear()
+                        known[w] = made
+                found.update(made)
             return found
 
         return of
@@ -512,36 +560,46 @@ def train(rows: DataFrame) -> dict | None:
     of_half = [evidence_of(tallies.select("mark", F.col(f"n1{h}").alias("a"), F.col(f"n0{h}").alias("b")), n[1, h], n[0, h]) for h in (0, 1)]
     evidence = evidence_of(tallies.select("mark", (F.col("n10") + F.col("n11")).alias("a"), (F.col("n00") + F.col("n01")).alias("b")), n[1, 0] + n[1, 1], n[0, 0] + n[0, 1])
     points = stored(_points(rows, [{"model": model, "evidence": e} for e in of_half]), "toxicity-points")
-    return {"model": model, "evidence": evidence, "weights": fit_logistic(points)}
+    weights = fit_logistic(points)
+    discard(rows, tallies, points)
+    return {"model": model, "evidence": evidence, "weights": weights}
 
 
 class _Evidence(dict):
-    """Token or run -> evidence of the words it restores to; forgets all when large."""
+    """Token or run -> evidence of the words it restores to; forgets all when large. Those without evidence are a set."""
 
     def __init__(self, fitted: dict):
-        self.fitted = fitted
+        self.of_mark, self.model = fitted["evidence"], fitted["model"]
+        self.nothing: set[str] = set()
         #: How words with evidence begin: other plain words have none.
         self.leads = frozenset(m.rstrip("~")[: STARTS[0]] for m in fitted["evidence"])
 
     def __missing__(self, token: str) -> float:
-        if len(self) > REMEMBERED:
-            self.clear()
-        e = self.fitted["evidence"]
-        v = max((e.get(m, 0.0) for m in behind(token, self.fitted["model"])), default=0.0)
+        e, v = self.of_mark, 0.0
+        if word := plain(token):
+            found = marks(word) if word[: STARTS[0]] in self.leads else ()
+        else:
+            found = behind(token, self.model)
+        for m in found:
+            if m in e and e[m] > v:
+                v = e[m]
         if len(token) <= REMEMBERED_LENGTH:
-            self[token] = v
+            if v:
+                self[token] = v
+            else:
+                self.nothing.add(token)
         return v
 
     def strongest(self, text: str | None) -> tuple[float, float]:
         """The two strongest pieces of evidence in a text."""
-        leads, start, lower = self.leads, STARTS[0], (text or "").lower()
-        words = lower.split()
+        words = (text or "").lower().split()
         distinct = set(words)
-        if THRICE.search(lower):
-            asked = [w for w in distinct if (p := plain(w))[:start] in leads or not p]
-        else:
-            asked = [w for w in distinct if (w if w.isalpha() else w.strip(OUTER))[:start] in leads or not w.strip(OUTER).isalpha()]
-        return two_best(map(self.__getitem__, {*asked, *map(" ".join, runs(words))}))
+        found = runs(words, distinct)
+        if len(self) + len(self.nothing) > 2 * REMEMBERED:
+            self.clear()
+            self.nothing.clear()
+        distinct.update(map(" ".join, found))
+        return two_best(map(self.__getitem__, distinct - self.nothing))
 
 
 def known_evidence(fitted: dict) -> _Evidence:

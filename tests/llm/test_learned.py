@@ -107,6 +107,37 @@ def test_toxicity_learns_from_every_labelled_row(frame):
     assert got[5000].score > 0.5 > got[5001].score
 
 
+def test_toxicity_leaves_no_tables_and_looks_plain_words_up_without_reading_them(spark, frame, monkeypatch):
+    """What a fit stores is gone with its end; plain words and runs of letters cost no paths, and read as paths would."""
+    from pathlib import Path
+
+    from lodestone.llm.common import shared_dir
+
+    rng = random.Random(6)
+    docs = [(k, good(rng) + " scum" * (k % 3 == 0), "s", "l", "") for k in range(60)]
+    toxicity.fit(frame(DOC, docs), frame(LABEL, [(k, 1, int(k % 3 == 0), "") for k in range(60)]))
+    assert not [f.name for f in Path(shared_dir(spark).removeprefix("file://")).iterdir() if f.name.startswith("toxicity-")]
+
+    model = toxicity.CharModel(Counter({w: 5 for w in GOOD + INSULTS} | {"a": 400, "to": 300, "in": 300}))
+
+    def by_paths(token, kept=False):
+        paths, before = toxicity.START, ""
+        for k, c in enumerate(token):
+            paths = toxicity.further(paths, c, before, model, kept and k in (0, len(token) - 1))
+            before = c
+        return toxicity.finished(paths, model)
+
+    for n in range(400):
+        token = "".join(rng.choice("abcmorn" if n % 2 else "mor0n$!.-aé") for _ in range(rng.randrange(1, 140 if n % 9 == 0 else 12)))
+        assert [toxicity.read(token, model, kept) for kept in (False, True)] == [by_paths(token, kept) for kept in (False, True)], token
+    calls = []
+    real = toxicity.further
+    monkeypatch.setattr(toxicity, "further", lambda *a: calls.append(a) or real(*a))
+    e = toxicity._Evidence({"model": model, "evidence": {"scum": 2.0, "moro~": 1.0}})
+    assert e.strongest("to be in a moron scum. 12 river, to in") == (2.0, 1.0) and not calls
+    assert e.strongest("s c u m") == (2.0, 0.0) and e.strongest(None) == (0.0, 0.0)
+
+
 SPACED = [
     "such a m o r o n", "y o u i d i o t", "i  d  i  o  t", "i\td\ti\to\tt", "you $ c u m !", "m 0 r o n", "1 d ! o t",
     "( l o w n", "a (lown.", "mo ro n", "i. d. i. o. t.", "i - d - i - o - t", "y.o.u.i.d.i.o.t", "you a s s", "s h ! t", "@ s s", "naz! they",
