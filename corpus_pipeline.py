@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, mixing, neardup, quality, toxicity
-from lodestone.llm.common import scratch, stored, table, unused
+from lodestone.llm.common import ORDER, numbered, placed, scratch, table, unused  # noqa: F401
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, that of the smallest id, of each group of near copies. Rows are told apart by a number of
     their own, so that what shares an id or has none is a copy only if its text is."""
     row = unused("row", docs.columns)
-    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
+    rows = numbered(docs, row, "pipeline-rows")
     groups = neardup.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("own"), "component_id")
     ids = rows.select(F.col(row).alias("own"), F.col("doc_id").isNull().alias("none"), "doc_id")
     kept = groups.join(ids, "own").groupBy("component_id").agg(F.min(F.struct("none", "doc_id", "own")).alias("first")).select(F.col("first.own").alias(row))
@@ -57,18 +57,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
-#: Where a row stands in files that were written in order: the number of the part, of the file in it, of the row in that.
-ORDER = ("train_part", "train_file", "train_row")
-
-
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document of the mix, with their count and digests of them and of the decoded text, and
     its place in the order of training: Spark reads files in any order, so that places are those of the mix's own files."""
-    rows = docs.select("doc_id", "text")
-    if docs.inputFiles():
-        name, number = F.col("_metadata.file_name"), lambda of, pattern: F.regexp_extract(of, pattern, 1).try_cast("long")
-        places = (number(name, r"part-(\d+)"), number(name, r"c(\d+)\."), F.col("_metadata.row_index"))
-        rows = docs.select("doc_id", "text", *(p.alias(n) for p, n in zip(places, ORDER)))
+    rows = placed(docs)
     return bpe.encode(rows, None, bpe.build_lexicon(rows.select("doc_id", "text")), digests=True)
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import filesystem, held, rows_of, scratch, stored
+from .common import filesystem, held, placed, rows_of, scratch, stored
 
 LEXICON_WORDS = 262_144
 LONGEST = 32  # bytes of a lexicon word
@@ -414,5 +414,6 @@ def encode(df: DataFrame, path: str | None, folder: str | None, ids: bool = True
 
 
 def op7(documents: DataFrame, path: str | None = None) -> DataFrame:
-    docs = documents.select("doc_id", "text")
-    return encode(docs, path, build_lexicon(docs, path), digests=True)
+    """Token ids, their number and digests; of tables that Spark has written, each row's place too."""
+    docs = placed(documents)
+    return encode(docs, path, build_lexicon(docs.select("doc_id", "text"), path), digests=True)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WORD_RE, shared_dir, stored, unused
+from .common import WORD_RE, numbered, shared_dir, unused
 
 WEIGHTS = (5, 2, 1)
 ROW = "row"  # number of the row, where documents have one: none but `mixed_documents` gives it
@@ -118,7 +118,7 @@ def mixed_documents(documents: DataFrame, weights=WEIGHTS, ramps=RAMPS, most: in
     is a document of its own, also where ids are null or repeated."""
     columns = documents.columns
     row, position, own, by_id = (unused(n, columns) for n in ("row", "position", "own", "by_id"))
-    documents = stored(documents.withColumn(row, F.monotonically_increasing_id()), "mixing-rows")
+    documents = numbered(documents, row, "mixing-rows")
     d = _placed(documents, weights, ramps, most, row).withColumn("copies", F.expr("(2 * taken + size) div (2 * nullif(size, 0))"))
     d = d.filter("copies > 0").select("doc_id", ROW, "start", "source_size", "demand", "ramp", F.explode(F.expr("sequence(0L, copies - 1)")).alias("copy"))
     d = d.select(F.col(ROW).alias(own), F.col("doc_id").alias(by_id), _position(F.col("start") + F.col("copy") * F.col("source_size")).alias(position))

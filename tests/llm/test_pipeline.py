@@ -67,3 +67,21 @@ def test_null_and_repeated_ids_are_rows_of_their_own(spark, sf_dir):
     mixed = P.mix_sources(spark, kept, sf_dir)
     assert sorted((r.doc_id or 0, r.text) for r in mixed.collect()) == sorted((i or 0, t) for i, t in want)
     assert P.encode(spark, mixed, sf_dir).count() == 5
+
+
+def test_rows_with_ids_of_their_own_are_not_stored_again(spark, sf_dir, documents):
+    """Near-duplicates and the mix write no copy of the texts where ids tell rows apart; the rows are those of numbered ones."""
+    from pathlib import Path
+
+    from lodestone.llm.common import shared_dir
+
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    tables = lambda: {f.name for f in shared.iterdir() if f.name.startswith(("pipeline-rows", "mixing-rows"))}
+    before = tables()
+    kept = P.drop_copies(spark, documents, sf_dir)
+    mixed = P.mix_sources(spark, kept, sf_dir)
+    got = [r.doc_id for r in mixed.select("doc_id").collect()]
+    assert tables() == before and kept.columns == mixed.columns == documents.columns
+    assert ids(kept) == sorted(r.doc_id for r in neardup.op5(documents).filter("kept").collect())
+    numbered = kept.withColumn("doc_id", kept.doc_id.cast("decimal(20,0)"))  # in the same order, but not taken as they are
+    assert [int(r.doc_id) for r in P.mix_sources(spark, numbered, sf_dir).select("doc_id").collect()] == got and tables() > before
