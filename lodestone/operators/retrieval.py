@@ -377,10 +377,12 @@ def candidate_limit(limit: int) -> int:
     return min(20, max(10, limit))
 
 
-def search(queries: DataFrame, chunks: DataFrame, limit: int, mode: str = "hybrid", query_vectors: DataFrame | None = None, vectors: DataFrame | None = None, document: Column | None = None, documents: DataFrame | None = None, **options) -> DataFrame:
+def search(queries: DataFrame, chunks: DataFrame, limit: int, mode: str = "hybrid", query_vectors: DataFrame | None = None, vectors: DataFrame | None = None, document: Column | None = None, documents: DataFrame | None = None, fallback: bool = True, **options) -> DataFrame:
     """The whole ladder: lexical search always runs; without vectors, or for
     queries without current dense hits, it is the answer. `documents` with
-    content hashes guards against stale vectors (dense hits must bear one)."""
+    content hashes guards against stale vectors (dense hits must bear one).
+    With `fallback` it is also the answer, marked so, where `query_vectors`, which a model
+    makes, can't be had; without it, and wherever else a step fails, the search fails."""
     _positive(limit=limit)
     if mode not in ("bm25", "hybrid"):
         raise ValueError(f"mode must be bm25 or hybrid, not {mode!r}")
@@ -388,18 +390,18 @@ def search(queries: DataFrame, chunks: DataFrame, limit: int, mode: str = "hybri
         rows = lexical_search(queries, chunks, limit, **options)
         return _lexical_only(rows, mode, "dense retrieval is off")
     pool = candidate_limit(limit)
-    lexical = lexical_search(queries, chunks, pool, **options)
+    lexical = written(lexical_search(queries, chunks, pool, **options), "lexical")
+    if fallback:
+        try:
+            query_vectors = written(query_vectors, "query-vectors")
+        except Exception as e:  # whatever a model raises: the lexical ranking still answers
+            return _lexical_only(lexical.filter(F.col("rank") <= limit), mode, f"dense retrieval failed: {type(e).__name__}")
     dense = dense_search(query_vectors, vectors, pool, document)
     if documents is not None:
         hashes = vectors.select("id", "content_hash") if "content_hash" in vectors.columns else None
         dense = current_only(dense.join(hashes, "id") if hashes is not None else dense, documents)
         dense = dense.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("rank")))
-    lexical = written(lexical, "lexical")  # its failure is the search's
-    try:
-        dense = written(dense, "dense")
-    except Exception as e:  # whatever a model or a store raises: the lexical ranking still answers
-        return _lexical_only(lexical.filter(F.col("rank") <= limit), mode, f"dense retrieval failed: {type(e).__name__}")
-    return fused_search(lexical, dense, limit)
+    return fused_search(lexical, written(dense, "dense"), limit)
 
 
 def _lexical_only(rows: DataFrame, mode: str, reason: str) -> DataFrame:

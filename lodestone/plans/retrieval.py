@@ -158,7 +158,7 @@ def _hybrid(spark, d, limit):
     vectors = _vectors(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("id")), "id", "left_semi")
     asked = _queries(spark, d).filter("query_id % 3 <> 0").select(F.col("query_id").alias("id"))
     q = _vectors(spark, d).join(asked, "id", "left_semi")
-    return R.search(_queries(spark, d), _chunks(spark, d), limit, "hybrid", q, vectors, F.col("id"), boosts=TEXT_ONLY)
+    return R.search(_queries(spark, d), _chunks(spark, d), limit, "hybrid", q, vectors, F.col("id"), fallback=False, boosts=TEXT_ONLY)  # a failure is no result here
 
 
 def rerank_control(spark, d):

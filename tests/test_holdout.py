@@ -139,6 +139,25 @@ def test_search_survives_dense_failure(spark):
     assert len(rows) == 2 and all(r.degraded and r.mode_used == "bm25" and r.reason.startswith("dense retrieval failed") for r in rows)
 
 
+def test_other_failures_are_no_results(spark, sf_dir, monkeypatch):
+    """Only a model that makes query vectors may fail, and not in the registered queries."""
+    from lodestone.plans import retrieval as P
+
+    chunks = spark.createDataFrame([("d1", 0, "one two")], "document_id string, ordinal int, text string")
+    queries = spark.createDataFrame([(1, "two")], "query_id int, query string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0])], "id long, v array<double>")
+    broken = vectors.withColumn("v", F.when(F.rand() >= 0, F.raise_error(F.lit("no store")).cast("array<double>")))
+    with pytest.raises(Exception, match="no store"):
+        R.search(queries, chunks, 5, "hybrid", vectors, broken, F.lit("d1"), boosts={"text": 1.0}).collect()
+    with pytest.raises(Exception, match="no store"):
+        R.search(queries, chunks, 5, "hybrid", broken, vectors, F.lit("d1"), fallback=False, boosts={"text": 1.0}).collect()
+    found = P._vectors
+    monkeypatch.setattr(P, "_vectors", lambda spark, d: found(spark, d).withColumn("v", F.when(F.rand() >= 0, F.raise_error(F.lit("no store")).cast("array<float>"))))
+    for query in (P.hybrid_search, P.rerank_control):
+        with pytest.raises(Exception, match="no store"):
+            query(spark, sf_dir).collect()
+
+
 def test_canonical_rows(spark):
     one = spark.sql("SELECT named_struct('b', 1, 'a', array(named_struct('y', 1, 'x', map('q', 1, 'c', 2)))) AS v, CAST(NULL AS struct<a:int>) AS `n.m`")
     two = spark.sql("SELECT CAST(NULL AS struct<a:int>) AS `n.m`, named_struct('a', array(named_struct('x', map('c', 2, 'q', 1), 'y', 1)), 'b', 1) AS v, 3 AS other")
