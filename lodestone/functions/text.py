@@ -10,8 +10,9 @@ SPACE = r"(?U)[\s\x1C-\x1F]+"
 #: Line ends, the Unicode ones included.
 NEWLINE = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 #: Letters, digits and underscores; a full stop, colon or apostrophe between
-#: letters and a full stop or comma between digits don't end a token.
-TOKEN = r"(?:_|\p{L}(?:[.':]\p{L})*|\p{N}(?:[.,]\p{N})*)+"
+#: letters and a full stop or comma between digits don't end a token. Runs are possessive: matched in
+#: loops, not by recursion over a token's letters.
+TOKEN = r"(?:\p{L}+(?:[.':]\p{L}+)*+|\p{N}+(?:[.,]\p{N}+)*+|_+)++"
 QUERY_TERM = r"[\p{L}\p{N}_.-]+"
 ELLIPSIS = " …"
 SEPARATOR_TOKENS = 3  # what the separator between passages costs

@@ -139,21 +139,44 @@ def collapse(hits: DataFrame, document: str, tie: list[str]) -> DataFrame:
 
 #: Chunks and token bytes of a packed block, and queries of a block that meets it: scores of 512 x 128 at a time.
 BLOCK_CHUNKS, BLOCK_TOKENS, BLOCK_QUERIES = 512, 200_000, 128
+BLOCK_WEIGHTS = 200_000  # terms of queries that are broadcast: some 10 MB
+
+
+def tokenised(chunks: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
+    """(*key, toks_0, toks_1, ...): the tokens of each field with blanks between them, a row a chunk: one value is stored and
+    sent to Python much faster than an array."""
+    return chunks.select(*key, *(F.array_join(tokens(F.col(f)), " ").alias(f"toks_{k}") for k, f in enumerate(fields)))
+
+
+def split_tokens(toks: Column) -> Column:
+    """Tokens with blanks between them as an array; null for none."""
+    return F.when(toks != "", F.split(toks, " "))
+
+
+def n_tokens(toks: Column) -> Column:
+    return F.when(toks != "", F.length(toks) - F.length(F.replace(toks, F.lit(" "), F.lit(""))) + 1).otherwise(0)
+
+
+def field_stats(rows: DataFrame, fields: list[str]) -> dict[str, list[int]]:
+    """[chunks that have the field, their tokens] by field, of tokenised chunks."""
+    size = [n_tokens(F.col(f"toks_{k}")) for k in range(len(fields))]
+    found = rows.agg(*(x for n in size for x in (F.count_if(n > 0), F.coalesce(F.sum(n), F.lit(0))))).first()
+    return {f: [found[2 * k], found[2 * k + 1]] for k, f in enumerate(fields)}
 
 
 def _together(index: LexicalIndex, fields: list[str]) -> DataFrame:
-    """(*key, tokens of each field) of the index's chunks."""
-    parts = [index.texts[f].select(*index.key, F.col("toks").alias(f"toks_{k}")) for k, f in enumerate(fields)]
+    """The index's chunks as `tokenised` has them."""
+    parts = [index.texts[f].select(*index.key, F.array_join("toks", " ").alias(f"toks_{k}")) for k, f in enumerate(fields)]
     return reduce(lambda a, b: a.join(b, index.key, "full"), parts)
 
 
-def _term_weights(queries: DataFrame, index: LexicalIndex, field: str) -> DataFrame:
-    """(query_id, term, w): the term's frequency in the query times its idf in the field."""
+def _term_weights(queries: DataFrame, toks: DataFrame, n_docs: int) -> DataFrame:
+    """(query_id, term, w): the term's frequency in the query times its idf in the field whose tokens these are."""
     q = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term"))
     terms = q.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     wanted = small(terms.select("term").distinct())
-    df = index.texts[field].select(F.explode(F.array_distinct("toks")).alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("df"))
-    return terms.join(df, "term").select("query_id", "term", (F.col("qtf") * idf(F.lit(index.stats[field][0]), F.col("df"))).alias("w"))
+    df = toks.toDF("toks").select(F.explode(F.array_distinct(split_tokens(F.col("toks")))).alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("df"))
+    return terms.join(df, "term").select("query_id", "term", (F.col("qtf") * idf(F.lit(n_docs), F.col("df"))).alias("w"))
 
 
 def _ipc(batch) -> bytes:
@@ -170,9 +193,10 @@ def _chunk_blocks(rows: DataFrame, lists: list[str]) -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for b in batches:
-            sizes = sum(np.nan_to_num(b.column(c).value_lengths().to_numpy(zero_copy_only=False).astype(float)) for c in lists)
+            sizes = sum(pc.fill_null(pc.count_substring(b.column(c), " "), 0).to_numpy() + 1 for c in lists)
             at, held = 0, 0.0
             for k, n in enumerate(sizes):
                 if k > at and (k - at >= BLOCK_CHUNKS or held + n > BLOCK_TOKENS):
@@ -201,46 +225,76 @@ def _block_scores(starts, ids, w, k1_norm) -> np.ndarray:
     return out
 
 
-def lexical_search(queries: DataFrame, chunks: DataFrame | LexicalIndex, limit: int, document: str = "document_id", ordinal: str = "ordinal", **options) -> DataFrame:
+def _phrase_counts(starts, ids, n_terms, phrases) -> Iterator[tuple]:
+    """(number of a phrase, chunks that it stands in, how often). Only places of its term that is rarest here are looked at."""
+    row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    seen = np.bincount(ids[ids >= 0], minlength=n_terms)
+    for k, phrase in enumerate(phrases):
+        if not len(phrase) or phrase.min() < 0 or not seen[phrase].all():
+            continue
+        at = int(np.argmin(seen[phrase]))
+        place = np.flatnonzero(ids == phrase[at]) - at
+        place = place[(place >= 0) & (place + len(phrase) <= len(ids))]
+        place = place[row[place] == row[place + len(phrase) - 1]]
+        for n, term in enumerate(phrase):
+            if not len(place):
+                break
+            place = place[ids[place + n] == term]
+        if len(place):
+            yield k, *np.unique(row[place], return_counts=True)
+
+
+def lexical_search(queries: DataFrame, chunks: DataFrame | LexicalIndex, limit: int, document: str = "document_id", ordinal: str = "ordinal", boosts: dict | None = None, phrases: dict | None = None) -> DataFrame:
     """Collapsed top documents of each query by BM25: query_id, document, ordinal, score, rank."""
     _positive(limit=limit)
-    if not options.get("phrases"):
-        return _block_search(queries, chunks, limit, document, ordinal, options.get("boosts"))
-    hits = collapse(bm25(queries, chunks, [document, ordinal], **options), document, [ordinal])
-    return top_k(hits, ["query_id"], [F.desc("score"), document], limit)
-
-
-def _block_search(queries: DataFrame, chunks: DataFrame | LexicalIndex, limit: int, document: str, ordinal: str, boosts: dict | None) -> DataFrame:
-    """The same as collapsed and ranked `bm25` without phrases. Blocks of chunks meet blocks of queries, and each such pair keeps
-    its `limit` best documents of a query: no row a query and chunk is shuffled, and a task holds a pair of blocks."""
     boosts = TERM_BOOSTS if boosts is None else boosts
     key, fields = [document, ordinal], list(boosts)
-    index = chunks if isinstance(chunks, LexicalIndex) else lexical_index(chunks, key, fields)
-    rows = _together(index, fields)
-    weights = [_term_weights(queries, index, f).withColumn("field", F.lit(k)) for k, f in enumerate(fields)]
+    if isinstance(chunks, LexicalIndex):
+        rows, stats = _together(chunks, fields), chunks.stats
+    else:
+        rows = written(tokenised(chunks, key, fields), "texts")
+        stats = {f: (n, total / max(n, 1)) for f, (n, total) in field_stats(rows, fields).items()}
+    weights = [_term_weights(queries, rows.select(f"toks_{k}"), stats[f][0]).withColumn("field", F.lit(k)) for k, f in enumerate(fields)]
     weights = written(reduce(DataFrame.union, weights), "weights")
+    return block_search(queries, rows, key, weights, {f: stats[f][1] for f in fields}, limit, boosts, phrases or {})
+
+
+def block_search(queries: DataFrame, rows: DataFrame, key: list[str], weights: DataFrame, averages: dict[str, float], limit: int, boosts: dict, phrases: dict) -> DataFrame:
+    """The same as collapsed and ranked `bm25`, over tokenised chunks and `weights` (query_id, field's number, term, w). Blocks of
+    chunks meet blocks of queries, and each such pair keeps its `limit` best documents of a query: no row a query and chunk is
+    shuffled, and a task holds a pair of blocks. Phrases are counted in the blocks' tokens."""
+    document, fields = key[0], list(averages)
     # Blocks of queries: numbered by their ids' hashes, so that a block has about BLOCK_QUERIES of them.
     n_queries = weights.select("query_id").distinct().count()
-    block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n_queries // BLOCK_QUERIES))))
-    asked = weights.groupBy(block.alias("b")).agg(F.collect_list(F.struct("query_id", "field", "term", "w")).alias("asked")).select("asked")
+    block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n_queries // BLOCK_QUERIES)))).alias("b")
+    asked = weights.groupBy(block).agg(F.collect_list(F.struct("query_id", "field", "term", "w")).alias("asked"))
+    said = queries.select("query_id", tokens(F.col("query")).alias("qtoks")).filter((F.size("qtoks") > 0) & F.lit(bool(phrases)))
+    said = said.groupBy(block).agg(F.collect_list(F.struct("query_id", "qtoks")).alias("said"))
+    asked = asked.join(said, "b", "left").select("asked", "said")
+    if weights.limit(BLOCK_WEIGHTS + 1).count() <= BLOCK_WEIGHTS:
+        asked = F.broadcast(asked)
     lists = [f"toks_{k}" for k in range(len(fields))]
     kinds = {f.name: f.dataType for f in [*rows.schema.fields, weights.schema["query_id"]]}
     schema = T.StructType([T.StructField("query_id", kinds["query_id"]), *(T.StructField(c, kinds[c]) for c in key), T.StructField("score", T.DoubleType())])
-    averages = [index.stats[f][1] for f in fields]
 
     def run(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
 
         for b in batches:
-            for packed, table in zip(b.column("chunks"), b.column("asked")):
+            for packed, table, phrased in zip(b.column("chunks"), b.column("asked"), b.column("said")):
                 block = pa.ipc.open_stream(packed.as_buffer()).read_all().combine_chunks().to_batches()[0]
                 block = block.take(pc.sort_indices(block, [(c, "ascending") for c in key], null_placement="at_start"))
                 rows = table.values
                 ids = rows.field("query_id").dictionary_encode()
                 query, of_field, w = ids.indices.to_numpy(), rows.field("field").to_numpy(), rows.field("w").to_numpy()
                 best = np.zeros((block.num_rows, len(ids.dictionary)))
-                for k, (f, average) in enumerate(zip(fields, averages)):
+                near = np.zeros_like(best)
+                if phrases and phrased.is_valid:
+                    by = pc.fill_null(pc.index_in(phrased.values.field("query_id"), value_set=ids.dictionary), -1).to_numpy()
+                    words = phrased.values.field("qtoks")
+                    cuts = np.cumsum(words.value_lengths().to_numpy())[:-1]
+                for k, f in enumerate(fields):
                     mine = np.flatnonzero(of_field == k)
                     if not len(mine):
                         continue
@@ -248,13 +302,19 @@ def _block_search(queries: DataFrame, chunks: DataFrame | LexicalIndex, limit: i
                     matrix = np.zeros((len(terms.dictionary), best.shape[1]))
                     matrix[terms.indices.to_numpy(), query[mine]] = w[mine]
                     toks = block.column(f"toks_{k}")
+                    toks = pc.split_pattern(pc.if_else(pc.equal(toks, ""), None, toks), " ")
                     n = np.nan_to_num(toks.value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
                     at = pc.fill_null(pc.index_in(toks.flatten(), value_set=terms.dictionary), -1).to_numpy()
                     bits = np.maximum(np.floor(np.log2(np.maximum(n - 24, 0) + 0.5)) - 3, 0)
                     length = np.where(n < 40, n, 24 + np.floor((n - 24) / 2**bits) * 2**bits)
-                    scores = _block_scores(np.append(0, np.cumsum(n)), at, matrix, K1 * (1 - B + B * length / average))
-                    np.maximum(best, boosts[f] * scores, out=best)
-                hit = np.where(best > 0, np.round(best, 6), -np.inf)
+                    starts, norm = np.append(0, np.cumsum(n)), K1 * (1 - B + B * length / averages[f])
+                    np.maximum(best, boosts[f] * _block_scores(starts, at, matrix, norm), out=best)
+                    if f in phrases and phrased.is_valid:
+                        codes = np.split(pc.fill_null(pc.index_in(words.flatten(), value_set=terms.dictionary), -1).to_numpy(), cuts)
+                        total = matrix.sum(0)
+                        for j, r, tf in _phrase_counts(starts, at, len(terms.dictionary), codes):
+                            near[r, by[j]] = np.maximum(near[r, by[j]], phrases[f] * total[by[j]] * tf / (tf + norm[r]))
+                hit = np.where(best > 0, np.round(best + near, 6), -np.inf)
                 codes = block.column(document).dictionary_encode(null_encoding="encode").indices.to_numpy()
                 first = np.flatnonzero(np.append(True, np.diff(codes) != 0))
                 top = np.maximum.reduceat(hit, first, axis=0)  # of a document's chunks here
@@ -268,7 +328,7 @@ def _block_search(queries: DataFrame, chunks: DataFrame | LexicalIndex, limit: i
 
     met = _chunk_blocks(rows.select(*key, *lists), lists).crossJoin(asked)  # a row is a block
     partial = met.mapInArrow(run, schema)
-    return top_k(collapse(partial, document, [ordinal]), ["query_id"], [F.desc("score"), document], limit)
+    return top_k(collapse(partial, document, key[1:]), ["query_id"], [F.desc("score"), document], limit)
 
 
 # --- vectors ------------------------------------------------------------------

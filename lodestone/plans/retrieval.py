@@ -24,7 +24,7 @@ def _queries(spark, d):
 
 def _chunks(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.lit(0).alias("ordinal"), F.split(t, "\n")[0].alias("title"), t.alias("text"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.lit(0).alias("ordinal"), F.substring_index(t, "\n", 1).alias("title"), t.alias("text"))
 
 
 TEXT_ONLY = {"text": 1.0}

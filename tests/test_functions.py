@@ -103,3 +103,19 @@ def test_admission(spark):
 def test_hosts(spark):
     hosts = ["a.example", "a" * 63 + ".example", "a" * 64 + ".example", "-a.example", "single", "1.2.3.4"]
     assert many(spark, U.is_dns_host(F.col("t")), hosts) == [True, True, False, False, False, False]
+
+
+def test_tokens_are_those_of_the_plain_pattern(spark):
+    """Runs against the pattern that goes letter by letter, on odd strings; and a token that is longer than a stack is deep."""
+    import random
+
+    from lodestone.functions.text import tokens
+
+    rng = random.Random(4)
+    parts = ["a", "Z", "é", "ß", "\U00010400", "字", "7", "٣", "²", "_", ".", "'", ":", ",", " ", "-", "\u0301", "\n"]
+    rows = [(k, "".join(rng.choices(parts, k=rng.randint(0, 25)))) for k in range(4000)]
+    df = spark.createDataFrame(rows, "k int, x string")
+    plain = F.regexp_extract_all(F.lower("x"), F.lit(r"(?:_|\p{L}(?:[.':]\p{L})*|\p{N}(?:[.,]\p{N})*)+"), F.lit(0))
+    assert df.filter(plain != tokens(F.col("x"))).count() == 0
+    long = spark.createDataFrame([("ab.c" * 50_000 + " 1",)], "x string")
+    assert [len(t) for t in long.select(tokens(F.col("x")).alias("t")).first().t] == [200_000, 1]

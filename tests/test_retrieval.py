@@ -165,3 +165,19 @@ def test_block_search_equals_scored_pairs_and_makes_none(spark):
     want = R.top_k(hits, ["query_id"], [F.desc("score"), "document_id"], 7)
     assert sorted(found.select("query_id", "document_id", "ordinal", "score", "rank").collect()) == sorted(want.select("query_id", "document_id", "ordinal", "score", "rank").collect())
     assert "CartesianProduct" in (plan := found._jdf.queryExecution().executedPlan().toString()) or "BroadcastNestedLoopJoin" in plan
+
+
+def test_phrases_are_counted_in_blocks_and_make_no_pairs(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in range(6)]
+    text = lambda n: " ".join(rng.choice(words, n))
+    rows = [(k // 3, k % 3, text(int(rng.integers(0, 4))), None if k % 50 == 0 else text(int(rng.integers(0, 90)))) for k in range(900)]
+    rows += [(900, 0, "a a a", "a a b a a a"), (901, 0, "a", "a"), (902, 0, "b", "a a"), (903, 0, "a b", None)]
+    chunks = spark.createDataFrame(rows, "document_id long, ordinal int, title string, text string").repartition(3)
+    asked = queries(spark, *(text(int(rng.integers(1, 5))) for _ in range(150)), "a", "a a", "a a a", "b a", "a absent", "", "absent")
+    options = {"boosts": {"title": 4.0, "text": 1.0}, "phrases": {"title": 7.0, "text": 2.0}}
+    found = R.lexical_search(asked, chunks, 7, **options)
+    hits = R.collapse(R.bm25(asked, chunks, ["document_id", "ordinal"], **options), "document_id", ["ordinal"])
+    want = R.top_k(hits, ["query_id"], [F.desc("score"), "document_id"], 7)
+    assert sorted(found.select("query_id", "document_id", "ordinal", "score", "rank").collect()) == sorted(want.select("query_id", "document_id", "ordinal", "score", "rank").collect())
+    assert "CartesianProduct" in (plan := found._jdf.queryExecution().executedPlan().toString()) or "BroadcastNestedLoopJoin" in plan
