@@ -2,9 +2,10 @@
 
 A commit names the index's segments and deletions. A segment holds, for the chunks of one `add`:
 
-* `texts`: the tokens of each field of each chunk;
+* `texts`: the tokens of each field of each chunk, a row a chunk;
 * `postings`: packed rows of at most BLOCK postings of one term in one field, those of most weight first, with the
-  largest term frequency and smallest length among them, from which a bound on any score in the block follows;
+  largest term frequency and smallest length among them, from which a bound on any score in the block follows. A task packs and
+  sorts the chunks it has read, some at a time, so that no posting is shuffled;
 * `dictionary`: document frequency and bounds of each term.
 
 Documents that are replaced or removed are named in a deletion, with what that takes from the dictionary and
@@ -12,12 +13,14 @@ the statistics, so that scores are at all times those of an index that was built
 
 A search computes the k-th best score that a few weighty terms alone make for sure. Terms that even together can't reach it
 are no source of candidates; blocks whose bound can't reach it aren't unpacked. What is left is scored exactly
-from its texts. Batches of queries with more terms than are broadcast are scored without those short cuts.
+from its texts. Batches of queries with more terms than are broadcast, or whose terms stand in more places than the texts
+have tokens, are scored without those short cuts: blocks of texts meet blocks of queries.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,11 +31,13 @@ from ..functions.text import tokens
 from ..session import written
 from .commits import Commits
 from .joins import small, top_k
-from .retrieval import PHRASE_BOOSTS, TERM_BOOSTS, LexicalIndex, _positive, bm25, collapse, idf, saturated
+from .retrieval import PHRASE_BOOSTS, TERM_BOOSTS, B, K1, _positive, block_search, collapse, field_stats, idf, n_tokens, saturated, split_tokens, tokenised
 
 BLOCK = 256
+PACKED = 2_000_000  # tokens whose postings are packed at a time
 SEEDS = 8  # terms of a query that its bound is made of
 WEIGHTS = 200_000  # rows (query, field, term) that are broadcast: some 10 MB
+PLACES = 1.0  # places of a batch's terms for each token of the texts, beyond which it is cheaper to read the texts
 IDLE = 0.25  # of the bound, what terms that give no candidates may add up to: less of it, more candidates, but better known ones
 SLACK = 2e-6  # scores are rounded to six decimals before they are compared
 
@@ -64,13 +69,16 @@ class StoredIndex:
         hit = T.StructType([*key, T.StructField("tf", T.IntegerType()), T.StructField("dl", T.IntegerType())])
         return T.StructType(
             {
-                "texts": [word("segment"), *key, T.StructField("dl", T.IntegerType()), T.StructField("toks", T.ArrayType(T.StringType())), word("field")],
-                "postings": [word("segment"), word("term"), long_("n"), long_("max_tf"), long_("min_dl"), T.StructField("hits", T.ArrayType(hit)), word("field")],
+                "texts": [word("segment"), *key, *(word(c) for c in self._lists())],
+                "postings": [word("segment"), word("field"), word("term"), long_("n"), long_("max_tf"), long_("min_dl"), T.StructField("hits", T.ArrayType(hit))],
                 "dictionary": [word("field"), word("term"), long_("df"), long_("max_tf"), long_("min_dl")],
                 "dead": [word("segment"), key[0]],
             }[part]
         )
 
+    def _lists(self) -> list[str]:
+        return [f"toks_{k}" for k in range(len(self.state["fields"]))]
+
     def _read(self, part: str, names: list[str] | None = None) -> DataFrame:
         if names is None:
             names = [n for n in ([] if part == "dead" else self.state["segments"])]
@@ -90,33 +98,34 @@ class StoredIndex:
             return rows
         return rows.join(small(self._read("dead").distinct()), ["segment", self.document], "left_anti")
 
-    def texts(self) -> DataFrame:
+    def chunks(self) -> DataFrame:
+        """What is live, as `tokenised` has it."""
         return self._alive(self._read("texts"))
 
+    def texts(self) -> DataFrame:
+        """(segment, *key, field, dl, toks) of what is live."""
+        return self._by_field(self.chunks(), lambda c: [n_tokens(c).alias("dl"), split_tokens(c).alias("toks")])
+
+    def _by_field(self, chunks: DataFrame, values) -> DataFrame:
+        """A row for each field that a chunk has."""
+        each = [chunks.filter(F.col(c) != "").select("segment", *self.names, F.lit(f).alias("field"), *values(F.col(c))) for f, c in zip(self.state["fields"], self._lists())]
+        return reduce(DataFrame.unionByName, each)
+
     def stats(self) -> dict[str, tuple[int, float]]:
         return {f: (n, total / max(n, 1)) for f, (n, total) in self.state["stats"].items()}
 
     # --- writing
 
-    def _segment(self, name: str, texts: DataFrame) -> dict[str, list[int]]:
-        """Writes a segment of texts (key, field, toks); chunks with the field and tokens by field."""
-        at = f"{self.path}/parts/{name}"
-        texts = texts.select(F.lit(name).alias("segment"), *self.names, F.size("toks").alias("dl"), "toks", "field")
-        texts.write.partitionBy("field").parquet(f"{at}/texts")
+    def _segment(self, name: str, chunks: DataFrame) -> dict[str, list[int]]:
+        """Writes a segment of tokenised chunks; chunks with the field and tokens by field."""
+        at, fields = f"{self.path}/parts/{name}", self.state["fields"]
+        some = F.greatest(*(F.length(c) for c in self._lists()), F.lit(0)) > 0
+        chunks.filter(some).select(F.lit(name).alias("segment"), *self.names, *self._lists()).write.parquet(f"{at}/texts")
         texts = self.spark.read.schema(self._schema("texts")).parquet(f"{at}/texts")
-        stats = {r.field: [r.n, r.total] for r in texts.groupBy("field").agg(F.count("*").alias("n"), F.sum("dl").alias("total")).collect()}
-        lengths = F.create_map(*(F.lit(v) for f, (n, total) in stats.items() for v in (f, total / n))) if stats else None
-        rows = _counted(texts, self.names)
-        if lengths is not None:
-            weight = saturated(F.col("tf"), F.col("dl"), F.get(F.map_values(F.map_filter(lengths, lambda f, _: f == F.col("field"))), F.lit(0)))
-            rows = rows.withColumn("level", F.floor(-16 * weight).cast("int"))
-        else:
-            rows = rows.withColumn("level", F.lit(0))
-        order = ["field", "term", "level", *self.names]
-        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("level")
+        stats = field_stats(texts, fields)
         schema = self._schema("postings")
-        blocks = rows.mapInArrow(_packer(name, self.names, schema.names), schema)
-        blocks.write.partitionBy("field").parquet(f"{at}/postings")
+        blocks = texts.mapInArrow(_packer(name, self.names, {f: total / max(n, 1) for f, (n, total) in stats.items()}, schema.names), schema)
+        blocks.write.parquet(f"{at}/postings")
         blocks = self.spark.read.schema(schema).parquet(f"{at}/postings")
         words = blocks.groupBy("field", "term").agg(F.sum("n").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"))
         words.sortWithinPartitions("field", "term").write.parquet(f"{at}/dictionary")
@@ -125,21 +134,14 @@ class StoredIndex:
     def _delete(self, name: str, documents: DataFrame) -> tuple[bool, dict[str, list[int]]]:
         """Writes a deletion of the live chunks of the documents; whether there are any, and what goes from the statistics."""
         at = f"{self.path}/parts/{name}"
-        gone = written(self.texts().join(documents.select(self.document).distinct(), self.document, "left_semi"), "index-gone")
+        gone = written(self.chunks().join(small(documents.select(self.document).distinct(), WEIGHTS), self.document, "left_semi"), "index-gone")
         if gone.isEmpty():
             return False, {}
         gone.select("segment", self.document).distinct().write.parquet(f"{at}/dead")
         none = F.lit(None).cast("long")
-        words = _counted(gone, self.names).groupBy("field", "term").agg((-F.count("*")).alias("df"), none.alias("max_tf"), none.alias("min_dl"))
-        words.write.parquet(f"{at}/dictionary")
-        return True, {r.field: [r.n, r.total] for r in gone.groupBy("field").agg(F.count("*").alias("n"), F.sum("dl").alias("total")).collect()}
-
-    def _tokenised(self, chunks: DataFrame) -> DataFrame:
-        each = [chunks.select(*self.names, tokens(F.col(f)).alias("toks"), F.lit(f).alias("field")).filter(F.size("toks") > 0) for f in self.state["fields"]]
-        out = each[0]
-        for e in each[1:]:
-            out = out.unionByName(e)
-        return out
+        words = self._by_field(gone, lambda c: [F.explode(F.array_distinct(split_tokens(c))).alias("term")]).groupBy("field", "term")
+        words.agg((-F.count("*")).alias("df"), none.alias("max_tf"), none.alias("min_dl")).write.parquet(f"{at}/dictionary")
+        return True, field_stats(gone, self.state["fields"])
 
     def add(self, chunks: DataFrame) -> StoredIndex:
         """Indexes chunks; documents that they name replace those of before, chunk by chunk or not."""
@@ -156,7 +158,7 @@ class StoredIndex:
             nonlocal made
             self.state = state
             if made is None and chunks is not None:
-                made = self._segment(segment, self._tokenised(chunks))
+                made = self._segment(segment, tokenised(chunks, self.names, self.state["fields"]))
             deletion = uuid.uuid4().hex
             some, gone = self._delete(deletion, documents) if self.state["segments"] else (False, {})
             stats = {f: [v + (made or {}).get(f, [0, 0])[k] - gone.get(f, [0, 0])[k] for k, v in enumerate(self.state["stats"][f])] for f in self.state["fields"]}
@@ -168,7 +170,7 @@ class StoredIndex:
     def compact(self) -> StoredIndex:
         """One segment of all that is live, without deletions; fails if another writer comes first."""
         name = uuid.uuid4().hex
-        stats = self._segment(name, self.texts().select(*self.names, "toks", "field"))
+        stats = self._segment(name, self.chunks())
         new = self.state | {"segments": [name], "deletions": [], "stats": {f: stats.get(f, [0, 0]) for f in self.state["fields"]}}
         if not self.commits.offer(self.number + 1, new):
             self.commits.remove(f"parts/{name}")
@@ -181,21 +183,9 @@ class StoredIndex:
 
     # --- searching
 
-    def unpacked(self) -> LexicalIndex:
-        """The index as tables of texts and single postings, for a search without short cuts."""
-        fields = self.state["fields"]
-        texts, blocks = self.texts(), self._read("postings")
-        hits = self._alive(blocks.select("segment", "term", "field", F.inline("hits")))
-        return LexicalIndex(
-            self.names,
-            {f: texts.filter(F.col("field") == f).select(*self.names, "dl", "toks") for f in fields},
-            {f: hits.filter(F.col("field") == f).select("term", *self.names, "dl", "tf") for f in fields},
-            self.stats(),
-        )
-
     def weights(self, queries: DataFrame, boosts: dict, phrases: dict) -> DataFrame:
-        """(query_id, field, term, w, ub, need, phrase): what a term adds at most, the query's distinct terms, and what its
-        phrase adds at most in the field."""
+        """(query_id, field, term, raw, w, df, ub, need, phrase): a term's weight without and with the field's, its places, what it
+        adds at most, the query's distinct terms, and what its phrase adds at most in the field."""
         stats = self.stats()
         of = lambda values: F.get(F.map_values(F.map_filter(F.create_map(*(F.lit(x) for f in boosts for x in (f, float(values[f])))), lambda f, _: f == F.col("field"))), F.lit(0))
         terms = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
@@ -208,7 +198,7 @@ class StoredIndex:
         rows = rows.withColumn("raw", raw).withColumn("w", F.col("raw") * of(boosts)).withColumn("ub", F.col("w") * saturated(F.col("max_tf"), F.col("min_dl"), average))
         field = W.partitionBy("query_id", "field")
         phrase = F.when(F.count("*").over(field) == F.col("need"), F.sum("raw").over(field) * of({f: phrases.get(f, 0.0) for f in boosts})).otherwise(0.0)
-        return rows.select("query_id", "field", "term", "w", "ub", "need", phrase.alias("phrase"), average.alias("average"))
+        return rows.select("query_id", "field", "term", "raw", "w", "df", "ub", "need", phrase.alias("phrase"), average.alias("average"))
 
     def _hits(self, weights: DataFrame, reachable: Column | None = None) -> DataFrame:
         """(query_id, field, *key, part) of all live postings of the weighted terms, but for blocks that can't reach."""
@@ -276,67 +266,65 @@ class StoredIndex:
         _positive(limit=limit)
         boosts = {f: b for f, b in (TERM_BOOSTS if boosts is None else boosts).items() if f in self.state["fields"]}
         phrases = {f: b for f, b in (PHRASE_BOOSTS if phrases is None else phrases).items() if f in boosts}
-        weights = self.weights(queries, boosts, phrases)
-        if weights.limit(WEIGHTS + 1).count() > WEIGHTS:
-            found = bm25(queries, self.unpacked(), self.names, boosts, phrases)
-        else:
-            weights = written(weights, "index-weights")
-            found = self.scored(self.candidates(weights, limit), weights, queries, phrases)
+        weights = written(self.weights(queries, boosts, phrases), "index-weights")
+        n, places = weights.agg(F.count("*"), F.coalesce(F.sum("df"), F.lit(0))).first()
+        if n > WEIGHTS or places > PLACES * sum(self.state["stats"][f][1] for f in boosts):
+            number = {f: k for k, f in enumerate(boosts)}
+            rows = self.chunks().select(*self.names, *(F.col(c).alias(f"toks_{number[f]}") for f, c in zip(self.state["fields"], self._lists()) if f in number))
+            of = F.create_map(*(F.lit(x) for f, k in number.items() for x in (f, k)))
+            weights = weights.select("query_id", F.get(F.map_values(F.map_filter(of, lambda f, _: f == F.col("field"))), F.lit(0)).alias("field"), "term", F.col("raw").alias("w"))
+            return block_search(queries, rows, self.names, weights, {f: self.stats()[f][1] for f in boosts}, limit, boosts, phrases)
+        found = self.scored(self.candidates(weights, limit), weights, queries, phrases)
         found = collapse(found, self.document, self.names[1:])
         return top_k(found, ["query_id"], [F.desc("score"), self.document], limit)
 
 
-def _counted(texts: DataFrame, key: list[str]) -> DataFrame:
-    """(field, term, *key, tf, dl): tokens counted within their row, so that only counts are shuffled."""
-    schema = T.StructType([T.StructField("field", T.StringType()), T.StructField("term", T.StringType()), *(T.StructField(k, texts.schema[k].dataType) for k in key), T.StructField("tf", T.IntegerType()), T.StructField("dl", T.IntegerType())])
+def _packer(segment: str, key: list[str], averages: dict[str, float], names: list[str]):
+    """Postings of tokenised chunks as blocks, sorted by field and term; a block's postings are of one batch, term and field."""
 
     def run(batches):
-        from collections import Counter
-
         import numpy as np
         import pyarrow as pa
-
-        for b in batches:
-            for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
-                counts = [Counter(toks) for toks in part.column("toks").to_pylist()]
-                row = pa.array(np.repeat(np.arange(part.num_rows), [len(c) for c in counts]))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("field").take(row), pa.array([t for c in counts for t in c], pa.string()), *(part.column(k).take(row) for k in key), pa.array([n for c in counts for n in c.values()], pa.int32()), part.column("dl").take(row)],
-                    names=schema.names,
-                )
-
-    return texts.select("field", "dl", "toks", *key).mapInArrow(run, schema)
-
-
-def _packer(segment: str, key: list[str], names: list[str]):
-    """Sorted postings as blocks; a block's rows are of one batch, term and field."""
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            codes = [b.column(c).dictionary_encode().indices.to_numpy() for c in ("field", "term")]
-            new = np.concatenate([[True], np.any([np.diff(c) != 0 for c in codes], 0)])
-            first = np.flatnonzero(new)
-            run_at = first[np.cumsum(new) - 1]
-            start = np.flatnonzero((np.arange(b.num_rows) - run_at) % BLOCK == 0)
-            ends = np.append(start, b.num_rows)
-            hit = ("tf", "dl")
-            hits = pa.StructArray.from_arrays([b.column(c) for c in (*key, *hit)], names=[*key, *hit])
-            tf, dl = (b.column(c).to_numpy() for c in hit)
+        import pyarrow.compute as pc
+
+        def packed(part, column, field, n):
+            words = pc.split_pattern(pc.if_else(pc.equal(column, ""), None, column), " ").flatten().dictionary_encode()
+            place = pc.sort_indices(words.dictionary).to_numpy()
+            of_word = np.empty(len(place), np.int64)
+            of_word[place] = np.arange(len(place))  # terms are numbered in their order
+            pairs, tf = np.unique(of_word[words.indices.to_numpy()] * len(n) + np.repeat(np.arange(len(n)), n), return_counts=True)
+            term, row = pairs // len(n), pairs % len(n)
+            dl = n[row]
+            bits = np.maximum(np.floor(np.log2(np.maximum(dl - 24, 0) + 0.5)) - 3, 0)
+            length = np.where(dl < 40, dl, 24 + np.floor((dl - 24) / 2**bits) * 2**bits)
+            order = np.lexsort((np.floor(-16 * (tf / (tf + K1 * (1 - B + B * length / averages[field])))), term))
+            term, row, dl, tf = term[order], row[order], dl[order], tf[order]
+            first = np.flatnonzero(np.append(True, np.diff(term) != 0))
+            start = np.flatnonzero((np.arange(len(term)) - np.repeat(first, np.diff(np.append(first, len(term))))) % BLOCK == 0)
+            ends = np.append(start, len(term))
+            hits = [*(part.column(c).take(pa.array(row)) for c in key), pa.array(tf, pa.int32()), pa.array(dl, pa.int32())]
             columns = {
                 "segment": pa.array([segment] * len(start), pa.string()),
-                "term": b.column("term").take(pa.array(start)),
+                "field": pa.array([field] * len(start), pa.string()),
+                "term": words.dictionary.take(pa.array(place[term[start]])),
                 "n": pa.array(np.diff(ends), pa.int64()),
                 "max_tf": pa.array(np.maximum.reduceat(tf, start), pa.int64()),
                 "min_dl": pa.array(np.minimum.reduceat(dl, start), pa.int64()),
-                "hits": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), hits),
-                "field": b.column("field").take(pa.array(start)),
+                "hits": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(hits, names=[*key, "tf", "dl"])),
             }
-            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
+            return pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
+
+        for b in batches:
+            size = lambda c: np.where(pc.fill_null(pc.not_equal(c, ""), False).to_numpy(zero_copy_only=False), pc.fill_null(pc.count_substring(c, " "), 0).to_numpy() + 1, 0).astype(np.int64)
+            sizes = [size(b.column(f"toks_{k}")) for k in range(len(averages))]
+            group = np.cumsum(sum(sizes)) // PACKED
+            cuts = np.flatnonzero(np.append(True, np.diff(group) != 0))
+            for at, to in zip(cuts, np.append(cuts[1:], b.num_rows)):
+                part = b.take(pa.array(np.arange(at, to)))  # a copy: Arrow splits strings of a slice wrongly
+                for k, field in sorted(enumerate(averages), key=lambda x: x[1]):
+                    if (n := sizes[k][at:to]).any():
+                        out = packed(part, part.column(f"toks_{k}"), field, n)
+                        for x in range(0, out.num_rows, 20_000):
+                            yield out.slice(x, 20_000)
 
     return run

@@ -122,7 +122,7 @@ def _index_path(spark, d, what):
 
 def _index(spark, d) -> StoredIndex:
     """The index that an earlier query has left, else a new one."""
-    path, chunks = _index_path(spark, d, "documents"), _chunks(spark, d)
+    path, chunks = _index_path(spark, d, "documents-2"), _chunks(spark, d)
     if StoredIndex.exists(spark, path):
         found = StoredIndex(spark, path)
         if found.state["segments"]:

@@ -146,3 +146,19 @@ def test_two_writers_of_an_index(spark, tmp_path, chunks, queries):
     for t in threads:
         t.join()
     assert found(StoredIndex(spark, path).search(queries, 5, **OPTIONS)) == plain(queries, chunks)
+
+
+def test_large_batches_read_texts_in_blocks_and_small_ones_postings(spark, tmp_path, chunks, queries, monkeypatch):
+    """Rows of queries and chunks are made only where the batch's terms stand in few places; postings are packed some chunks at a time."""
+    monkeypatch.setattr(S, "PACKED", 500)
+    made = index(spark, tmp_path / "i", chunks)
+    made = made.remove(spark.createDataFrame([(7,), (8,)], "document_id long"))
+    want = plain(queries, chunks.filter("document_id NOT IN (7, 8)"))
+    for places in (0.0, 1e9):
+        monkeypatch.setattr(S, "PLACES", places)
+        got = made.search(queries, 5, **OPTIONS)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert found(got) == want and ("BroadcastNestedLoopJoin" in plan or "CartesianProduct" in plan) == (places == 0.0)
+    hits = made._read("postings").filter("field = 'text'").selectExpr("term", "inline(hits)").groupBy("term").agg(F.count("*").alias("n"), F.sum("tf").alias("tf"))
+    words = chunks.select(F.explode(F.split("text", " ")).alias("term"), "document_id", "ordinal").filter("term <> ''").groupBy("term")
+    assert sorted(hits.collect()) == sorted(words.agg(F.count_distinct("document_id", "ordinal").alias("n"), F.count("*").alias("tf")).collect())
